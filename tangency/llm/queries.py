@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangency.llm import mixing, packing, simhash, substrings
+from tangency.llm import chat, language, mixing, packing, repetition, simhash, substrings, toxicity
 from tangency.llm.common import table
 
 
@@ -27,5 +27,33 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_source_mix, op3_best_fit_packing, op4_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
+def op8_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered_turns(table(spark, sf_dir, "conversations"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_dedup,
+        op2_source_mix,
+        op3_best_fit_packing,
+        op4_suffix_dedup,
+        op6_language_id,
+        op8_repetition_quality,
+        op9_chat_format,
+        op10_toxicity,
+    )
+}
+ORACLES: dict[str, str] = {"op9_chat_format": chat.ORACLE}
