@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangency.llm import chat, language, mixing, packing, repetition, simhash, substrings, toxicity
+from tangency.llm import chat, language, mixing, packing, repetition, simhash, substrings, topk, toxicity
 from tangency.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
@@ -50,10 +54,11 @@ QUERIES = {
         op2_source_mix,
         op3_best_fit_packing,
         op4_suffix_dedup,
+        op5_exact_top_k,
         op6_language_id,
         op8_repetition_quality,
         op9_chat_format,
         op10_toxicity,
     )
 }
-ORACLES: dict[str, str] = {"op9_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op5_exact_top_k": topk.ORACLE, "op9_chat_format": chat.ORACLE}
