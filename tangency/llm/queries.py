@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangency.llm import chat, language, mixing, packing, repetition, simhash, substrings, topk, toxicity
+from tangency.llm import chat, language, mixing, packing, repetition, simhash, substrings, topk, toxicity, webpage
 from tangency.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpage.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
         op4_suffix_dedup,
         op5_exact_top_k,
         op6_language_id,
+        op7_main_text,
         op8_repetition_quality,
         op9_chat_format,
         op10_toxicity,
