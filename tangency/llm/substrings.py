@@ -342,7 +342,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -
     """
     covers = repeated_covers(docs, length, most)
     rows = with_ident(docs).withColumn("_data", F.col("text").cast("binary")).join(covers, "_ident", "left")
-    plain = [c for c in docs.columns if c != "text"]
+    names = docs.columns
+    plain = [c for c in names if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,6 +354,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -
                 old = columns["n_chars"]
                 counts = [old[i].as_py() if lists[i].values is None else len(out[i]) for i in range(batch.num_rows)]
                 columns["n_chars"] = pa.array(counts, old.type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     return rows.select(*plain, F.col("_data").alias("text"), "covers").mapInArrow(run, docs.schema)
