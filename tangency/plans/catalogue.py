@@ -1,4 +1,8 @@
-"""The registered queries and their DuckDB texts."""
+"""All registered queries and their DuckDB texts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from tangency.plans import pairs_catalogue
+
+QUERIES = dict(pairs_catalogue.QUERIES)
+ORACLES = dict(pairs_catalogue.ORACLES)
