@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,35 +38,70 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Fixed value: how the tokenizer file cuts words.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Generations(dict):
+    """A cache of ``make(key)`` in two generations of at most ``most`` keys; the older one is dropped."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordCache:
     """Ids of white-space separated words as little-endian bytes.
 
     The tokenizer drops white space before it forms tokens and no token spans
-    it, so a text's ids are those of its words one after another. The cache is
-    dropped when it holds ``most`` words.
+    it, so a text's ids are those of its words one after another. A new word
+    of Latin-1 letters and marks, to which normal forms make no difference, is
+    cut into parts as the tokenizer would and each part is given to the BPE
+    model; any other word, or one with the beginning of a special token, goes
+    through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.words = _Generations(self._word, most)
+        self.parts = _Generations(self._part, most // 2)
+
+    def _part(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if max(text) > "\xff" or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        text = text.lower()
+        if text.isalpha():
+            return self.parts[text]
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                encoded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                for word, e in zip(part, encoded):
-                    known[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
