@@ -16,7 +16,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     A file is one row until it is split, so numbering needs no shuffle; files
     hold a few thousand queries each.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("line", "value"))
 
@@ -52,7 +52,7 @@ def with_labels(queries: DataFrame, labels: DataFrame, stem=None) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(file, values) of JSON files that hold one list of booleans each."""
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(path)
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     return text.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<boolean>").alias("values"))
 
 
