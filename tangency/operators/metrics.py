@@ -101,6 +101,7 @@ def policy_scores(rows: DataFrame, by: Sequence[str], head: str) -> DataFrame:
 
 def policy_head(source: str, density: float | None = None, hard_negative: bool = False) -> str:
     """The head for a source: hybrid for primitive queries, hard negatives and dense groups, else cost aware."""
+    # Parts of the names of primitive-query sources.
     if "tight_inclusion" in source or "nyu" in source or hard_negative or (density is not None and density >= 256):
         return "risk_proximity_hybrid"
     return "cost_aware"

@@ -30,3 +30,11 @@ def test_matches_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.entry(spark)
+    assert rows.columns == ["query_id", "candidates", "collisions", "first_toi"] and rows.count() > 0
+    assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
