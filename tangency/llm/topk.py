@@ -1,12 +1,18 @@
 """Exact top-k inner products from an impact-ordered index, score at a time.
 
 Vectors are integers. Equal vectors are one entry of the index. The index is
-cut into blocks of some thousand entries; a block holds, per dimension and
-quantised impact level, the posting segment of its entries there. A query goes
-through a block's segments by descending impact on its score and adds what
-each brings. What an entry may still gain is bounded by the impact reached;
-the block is left only when that bound proves that all but a few entries
-cannot be among the best k, and those few are rescored exactly.
+cut into blocks of some thousand entries. A component's impact is written in
+quantised levels, the coarse one first and finer ones for what it leaves, and
+a block holds a posting segment of every dimension for each level. A group of
+queries goes through the segments by descending level and adds them to one
+accumulator per entry. What the levels still to come can add is at most the
+norm of the query times the norm of what they hold of the entry; an entry is
+left only when that bound proves that it is not among the best k, and the few
+entries that may be are rescored exactly.
+
+Segments ordered by the impact on one query (component times weight) were
+tried first: with dense vectors the sum of the least and largest impacts that
+are still possible bounds so little that no block could be left early.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ from pyspark.sql import functions as F
 from tangency.llm.common import materialised
 
 SCALE = 256
-LEVEL = 16
+#: Widths of the levels, the coarse one first.
+LEVELS = (8, 2)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -47,84 +54,64 @@ def distinct_vectors(rows: DataFrame, k: int, salts: int = 64) -> DataFrame:
 class Block:
     """Entries of one block and their posting segments.
 
-    ``entries`` lists the block's entries by dimension and level; segment s
-    covers entries[starts[s]:starts[s + 1]], all of ``dimension[s]`` and with
-    values from ``least[s]`` to ``most[s]``.
+    ``segments[l]`` has, per entry and dimension, what level l holds of the
+    component, in units of the level's width; ``rests[l]`` is the norm of
+    what an entry has left after it, about the middle of the width.
     """
 
-    def __init__(self, vectors: np.ndarray, level: int = LEVEL):
+    def __init__(self, vectors: np.ndarray, levels: tuple[int, ...] = LEVELS):
         self.vectors = vectors
-        n, width = vectors.shape
-        levels = vectors // level
-        order = np.argsort(levels, axis=0, kind="stable")
-        self.entries = order.T.ravel()
-        sorted_levels = np.take_along_axis(levels, order, 0).T
-        change = np.ones((width, n), bool)
-        change[:, 1:] = sorted_levels[:, 1:] != sorted_levels[:, :-1]
-        first = np.flatnonzero(change.ravel())
-        self.starts = np.r_[first, n * width]
-        self.dimension = first // n if n else first
-        values = vectors.T.ravel()[self.dimension.repeat(np.diff(self.starts)) * n + self.entries] if n else np.zeros(0, np.int64)
-        self.least = np.minimum.reduceat(values, first) if n else values
-        self.most = np.maximum.reduceat(values, first) if n else values
-
-    def best(self, query: np.ndarray, k: int, floor: float = -np.inf, portions: int = 12) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, scores) that hold every entry that may be among the block's k best or above ``floor``."""
-        n, width = self.vectors.shape
-        weight = query[self.dimension]
-        high = np.maximum(weight * self.least, weight * self.most)
-        low = np.minimum(weight * self.least, weight * self.most)
-        base_high = np.full(width, np.iinfo(np.int64).max)
-        np.minimum.at(base_high, self.dimension, high)
-        base_low = np.full(width, np.iinfo(np.int64).max)
-        np.minimum.at(base_low, self.dimension, low)
-        gain = high - base_high[self.dimension]
-        order = np.argsort(-gain, kind="stable")
-        sizes = np.diff(self.starts)[order]
-        upto = np.cumsum(sizes)
-        cuts = np.searchsorted(upto, np.linspace(0, n * width, portions + 1)[1:-1])
-        upper = np.zeros(n)
-        seen = np.zeros(n)
-        lower = np.zeros(n)
-        total_high, total_low = int(base_high.sum()), int(base_low.sum())
-        begin = 0
-        for end in np.r_[cuts + 1, len(order)]:
-            part = order[begin:end]
-            if not len(part):
-                continue
-            size = sizes[begin:end]
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[part], size)
-            entries = self.entries[at]
-            upper += np.bincount(entries, np.repeat(gain[part], size), n)
-            lower += np.bincount(entries, np.repeat(low[part] - base_low[self.dimension[part]], size), n)
-            seen += np.bincount(entries, minlength=n)
-            begin = end
-            reached = gain[order[end]] if end < len(order) else 0
-            bound = total_high + upper + (width - seen) * reached
-            sure = total_low + lower
-            line = np.partition(sure, n - k)[n - k] if n >= k else -np.inf
-            possible = np.flatnonzero(bound >= max(line, floor))
-            if len(possible) <= max(4 * k, n // 64):
-                break
-        return possible, self.vectors[possible] @ query
+        self.levels = levels
+        self.segments, self.rests = [], []
+        left = vectors
+        for width in levels:
+            own = left // width
+            left = left - own * width
+            self.segments.append(own.astype(np.float64))
+            self.rests.append(np.sqrt(((left - (width - 1) / 2) ** 2).sum(1)))
+
+    def best(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, score) with all entries that may be among a query's k best of the block, ties included."""
+        q = queries.astype(np.float64)
+        size = np.sqrt((q * q).sum(1))
+        middle = q.sum(1)
+        n = len(self.vectors)
+        # Level 0 for all pairs, by one product; later levels only for the pairs left.
+        scores = (q @ self.segments[0].T) * self.levels[0]
+        room = size[:, None] * self.rests[0]
+        mid = scores + middle[:, None] * ((self.levels[0] - 1) / 2)
+        line = np.partition(mid - room, n - k, axis=1)[:, n - k] if n >= k else np.full(len(q), -np.inf)
+        ask, entry = np.nonzero(mid + room >= line[:, None] - 1e-6)
+        held = scores[ask, entry]
+        for level in range(1, len(self.levels)):
+            held = held + np.einsum("ij,ij->i", q[ask], self.segments[level][entry]) * self.levels[level]
+            mid = held + middle[ask] * ((self.levels[level] - 1) / 2)
+            room = size[ask] * self.rests[level][entry]
+            order = np.lexsort((room - mid, ask))
+            first = np.flatnonzero(np.r_[True, ask[order][1:] != ask[order][:-1]]) if len(ask) else np.zeros(0, np.int64)
+            line = np.full(len(q), -np.inf)
+            ends = np.r_[first[1:], len(order)]
+            full = ends - first >= k
+            line[ask[order][first[full]]] = (mid - room)[order][first[full] + k - 1]
+            keep = mid + room >= line[ask] - 1e-6
+            ask, entry, held = ask[keep], entry[keep], held[keep]
+        return ask, entry, np.einsum("ij,ij->i", queries[ask], self.vectors[entry])
 
 
 def _search(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, Block] = {}
-        ids: dict[int, list] = {}
+        kept: tuple = (None, None, None)
         for batch in batches:
             columns = batch.to_pydict()
             out: list[tuple[int, int, int]] = []
             for number, vectors, own, queries, wanted in zip(*(columns[c] for c in ("block", "vectors", "ids", "queries", "query_ids"))):
-                if number not in kept:
-                    kept, ids = {number: Block(np.array(vectors, np.int64).reshape(-1, width))}, {number: own}
-                block, own = kept[number], ids[number]
-                for query, query_id in zip(np.array(queries, np.int64).reshape(-1, width), wanted):
-                    entries, scores = block.best(query, k + 1)
-                    found = [(s, i) for e, s in zip(entries.tolist(), scores.tolist()) for i in own[e] if i != query_id]
-                    found.sort(key=lambda x: (-x[0], x[1]))
-                    out.extend((query_id, i, s) for s, i in found[:k])
+                if kept[0] != number:
+                    kept = (number, Block(np.array(vectors, np.int64).reshape(-1, width)), own)
+                found: dict[int, list] = {}
+                for a, e, s in zip(*(x.tolist() for x in kept[1].best(np.array(queries, np.int64).reshape(-1, width), k + 1))):
+                    found.setdefault(a, []).extend((-s, i) for i in kept[2][e] if i != wanted[a])
+                for a, pairs in found.items():
+                    out.extend((wanted[a], i, -s) for s, i in sorted(pairs)[:k])
             arrays = zip(*out) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["query_id", "vec_id", "score"])
 

@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -370,12 +371,13 @@ def test_block_search_keeps_all_possible_members():
     rng = np.random.default_rng(2)
     vectors = rng.integers(-100, 100, (300, 12))
     block = topk.Block(vectors)
-    for _ in range(20):
-        q = rng.integers(-100, 100, 12)
-        entries, scores = block.best(q, 4)
-        every = vectors @ q
-        line = np.sort(every)[-4]
-        assert set(np.flatnonzero(every >= line)) <= set(entries.tolist()) and (scores == every[entries]).all()
+    queries_ = rng.integers(-100, 100, (20, 12))
+    ask, entry, scores = block.best(queries_, 4)
+    every = queries_ @ vectors.T
+    assert (scores == every[ask, entry]).all() and len(ask) < every.size / 2
+    for i in range(20):
+        line = np.sort(every[i])[-4]
+        assert set(np.flatnonzero(every[i] >= line)) <= set(entry[ask == i].tolist())
 
 
 def test_top_k_of_nothing(spark):
@@ -395,8 +397,8 @@ def test_language_accuracy_on_held_out_documents(spark):
 
 
 def test_unseen_words_back_off_to_shorter_grams():
-    known = {"the": np.log(np.array([0.9, 0.1], np.float32))}
-    grams = ((3, {"sch": np.log(np.array([0.1, 0.9], np.float32))}), (1, {"x": np.log(np.array([0.7, 0.3], np.float32))}))
+    known = {"the": (math.log(0.9), math.log(0.1))}
+    grams = ((3, {"sch": (math.log(0.1), math.log(0.9))}), (1, {"x": (math.log(0.7), math.log(0.3))}))
     model = language.LanguageModel(("a", "b"), known, grams)
     scorer = language.Scorer(model)
     assert scorer.predict("The")[0] == "a" and scorer.predict("schule")[0] == "b" and scorer.predict("x")[0] == "a"
