@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,18 @@ def held_out(key: Column | str, modulus: int, remainder: int) -> Column:
     """True where crc32 of ``key`` as text leaves ``remainder``; never null."""
     key = F.col(key) if isinstance(key, str) else key
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+_held: dict = {}
+
+
+def per_process(key, make: Callable):
+    """What ``make`` gives, kept in this process for later tasks that ask with the same key.
+
+    Only the latest is kept, so a worker that goes on to another operator
+    drops the caches of the one before.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -9,7 +9,9 @@ languages, so both kinds weigh alike, and the words' posteriors add up.
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tangency.llm.common import held_out
+from tangency.llm.common import held_out, per_process
 
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -35,27 +37,27 @@ class LanguageModel:
     """
 
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: tuple[tuple[int, dict[str, np.ndarray]], ...]
+    words: dict[str, tuple[float, ...]]
+    grams: tuple[tuple[int, dict[str, tuple[float, ...]]], ...]
 
-    def posterior(self, word: str) -> np.ndarray:
+    def posterior(self, word: str) -> tuple[float, ...]:
         row = self.words.get(word)
         if row is not None:
             return row
         padded = f" {word} "
         for n, known in self.grams:
-            rows = [known[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in known]
+            rows = [known[g] for g in [padded[i : i + n] for i in range(len(padded) - n + 1)] if g in known]
             if rows:
-                return np.mean(rows, axis=0)
-        return np.full(len(self.languages), -np.log(max(1, len(self.languages))), np.float32)
+                return rows[0] if len(rows) == 1 else tuple(sum(c) / len(rows) for c in zip(*rows))
+        return (-math.log(max(1, len(self.languages))),) * len(self.languages)
 
 
-def _posteriors(counts: dict[str, np.ndarray], languages: int, smooth: float = 0.5) -> dict[str, np.ndarray]:
+def _posteriors(counts: dict[str, np.ndarray], languages: int, smooth: float = 0.5) -> dict[str, tuple[float, ...]]:
     total = sum(counts.values(), np.zeros(languages)) + smooth * (len(counts) + 1)
     out = {}
     for key, row in counts.items():
         logs = np.log((row + smooth) / total)
-        out[key] = (logs - np.logaddexp.reduce(logs)).astype(np.float32)
+        out[key] = tuple((logs - np.logaddexp.reduce(logs)).tolist())
     return out
 
 
@@ -63,8 +65,8 @@ def train(
     docs: DataFrame,
     rows_per_language: int = 1500,
     most_languages: int = 200,
-    most_words: int = 20_000,
-    most_grams: int = 20_000,
+    most_words: int = 10_000,
+    most_grams: int = 5_000,
     lengths: tuple[int, ...] = (5, 4, 3, 2, 1),
 ) -> LanguageModel:
     """Fits the model on (text, lang) of ``docs``; rows with a null in either are left out.
@@ -104,32 +106,29 @@ def train(
     return LanguageModel(languages, fitted[0], tuple((n, fitted[n]) for n in sorted(lengths, reverse=True)))
 
 
-class Scorer:
-    """Sums of word posteriors for many texts; keeps the rows of words seen, at most ``most``."""
+class Scorer(dict):
+    """Sums of word posteriors for many texts; keeps the rows of words seen, at most ``most``.
+
+    As a dictionary it numbers words; ``rows`` has a row per number.
+    """
 
     def __init__(self, model: LanguageModel, most: int = 300_000):
+        super().__init__()
         self.model, self.most = model, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, max(1, len(self.model.languages))), np.float32)
+        self.rows = np.zeros((1024, max(1, len(model.languages))))
 
-    def number(self, word: str) -> int:
-        at = len(self.index)
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[at] = self.model.posterior(word)
-        self.index[word] = at
         return at
 
     def total(self, words: list[str]) -> np.ndarray:
-        if len(self.index) > self.most:
+        if len(self) > self.most:
             self.clear()
-        index = self.index
-        for word in set(words).difference(index):
-            self.number(word)
-        return self.rows[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.rows[numbers].sum(0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its posterior; UNKNOWN and 0 without a letter or without a model."""
@@ -149,10 +148,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = per_process(("language", name), lambda: Scorer(shared.value))
         for batch in batches:
             texts = batch.column(at)
             found = [scorer.predict(texts[i].as_py()) for i in range(batch.num_rows)]

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tangency.llm.common import materialised
+from tangency.llm.common import materialised, per_process
 
 SEQUENCE = 4096
 END_ID = 1
@@ -104,14 +103,10 @@ class WordCache:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
-def _cache(path: str) -> WordCache:
-    return WordCache(path)
-
-
 def _piece_batches(path: str | None, sequence: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(path or default_tokenizer())
+        place_ = path or default_tokenizer()
+        cache = per_process(("words", place_), lambda: WordCache(place_))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts, rows, out = batch.column(1), [], []
