@@ -77,7 +77,7 @@ class WordCache:
     through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,6 +119,7 @@ def _piece_batches(path: str | None, sequence: int, end_id: int):
             piece, start, length, crc = zip(*out) if out else ((), (), (), ())
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
