@@ -260,7 +260,8 @@ def repeated_covers(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -
     texts = with_ident(docs).select("_ident", F.col("text").cast("binary").alias("_data"))
     runs = texts.mapInArrow(_run_batches(length), "anchor long, context long, ident long, pos long")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-    anchors = anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    # Written first, so that both sides of the join are plain exchanges and a frequent anchor can be split.
+    anchors = materialised(anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
     shared = materialised(runs.join(anchors, "anchor"))
     cover = F.shiftright("pos", 24) * 4096 + F.shiftright("pos", 12).bitwiseAND(F.lit(4095).cast("long"))
     cover = cover.alias("cover")
