@@ -17,6 +17,9 @@ bytes that its windows cover are its context.
 
 Anchors, contexts and ends are compared by 64-bit hashes within their group;
 whole blocks are compared as they are.
+
+An anchor found very often is divided by further anchors first, equal parts
+again counted together, so that no group of step 3 grows with the corpus.
 """
 
 from __future__ import annotations
@@ -88,13 +91,22 @@ def window_runs(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return piece[starts], starts - base[piece[starts]], ends - starts, at[starts] - starts, hashes[at[starts]], contexts
 
 
-def _run_batches(length: int):
+def _run_batches(length: int, only: np.ndarray | None = None):
+    """The runs of all texts, or those of the anchors ``only`` with their contexts' bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(pieces, idents, bases):
-            piece, start, size, place, anchor, context = window_runs(pieces, length)
+            found = window_runs(pieces, length)
+            if only is not None:
+                found = [x[np.isin(found[4].view(np.int64), only)] for x in found]
+            piece, start, size, place, anchor, context = found
+            data = [pieces[p][i : i + n] for p, i, n in zip(piece.tolist(), start.tolist(), size.tolist())] if only is not None else None
             start = start + np.array(bases, np.int64)[piece]
             columns = [anchor.view(np.int64), context.view(np.int64), np.array(idents, np.int64)[piece], (start << 24) | (size << 12) | place]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "ident", "pos"])
+            arrays, names = [pa.array(c) for c in columns], ["anchor", "context", "ident", "pos"]
+            if data is not None:
+                arrays, names = [*arrays, pa.array(data, pa.binary())], [*names, "data"]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
             idents, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -115,31 +127,52 @@ def _run_batches(length: int):
     return run
 
 
-def _split_batches(length: int, most: int):
-    """Contexts of anchors with over ``most`` of them, cut by a second anchor clear of the first."""
+def _split_batches(length: int, level: int):
+    """Contexts cut by one more anchor, clear of those in ``used`` (places from the first one).
+
+    A window in which no gram is clear is ``tied``: its part keeps the key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, signed = xxhash.xxh64_intdigest, lambda h: h - (1 << 64) if h >> 63 else h
         for batch in batches:
             columns = batch.to_pydict()
             out = []
-            for key, ident, pos, single, many, data in zip(*(columns[c] for c in ("anchor", "ident", "pos", "single", "many", "data"))):
-                if many <= most:
-                    out.append((key, ident, pos, single, data))
-                    continue
+            for key, ident, pos, single, data, used in zip(*(columns[c] for c in ("key", "ident", "pos", "single", "data", "used"))):
                 start, place = pos >> 24, pos & 4095
                 with np.errstate(over="ignore"):
-                    hashes = gram_hashes(np.frombuffer(data, np.uint8)) * _MIX[2]
-                hashes[max(0, place - GRAM + 1) : place + GRAM] |= ~_LOW
+                    hashes = gram_hashes(np.frombuffer(data, np.uint8)) * (_MIX[2] + np.uint64(2 * level))
+                for other in used:
+                    hashes[max(0, place + other - GRAM + 1) : max(0, place + other + GRAM)] |= ~_LOW
                 at = least_grams(hashes, length)
+                at = np.where(hashes[at] >= ~_LOW, -1, at)
                 cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist()
                 for i, j in zip(cuts, [*cuts[1:], len(at)]):
-                    second = int(at[i])
-                    own = xxhash.xxh64_intdigest(b"%d %d %d" % (key, second - place, int(hashes[second])))
+                    found = int(at[i])
+                    tied = found < 0
+                    own = key if tied else signed(digest(b"%d %d %d" % (key, found - place, int(hashes[found]))))
                     part = data[i : j + length - 1]
-                    out.append((own - (1 << 64) if own >> 63 else own, ident, ((start + i) << 24) | (len(part) << 12) | (place - i), single, part))
-            arrays = zip(*out) if out else ((),) * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], ["key", "ident", "pos", "single", "data"])
+                    places = used if tied else [*used, found - place]
+                    out.append((own, signed(digest(part)), ident, ((start + i) << 24) | (len(part) << 12) | (place - i), single, part, places, tied))
+            arrays = zip(*out) if out else ((),) * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.bool_())
+            names = ["key", "digest", "ident", "pos", "single", "data", "used", "tied"]
+            yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], names)
+
+    return run
+
+
+def _window_batches(length: int):
+    """Every window of the contexts: key, its hash, and its stretch if wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.to_pydict()
+            for key, ident, pos, single, data in zip(*(columns[c] for c in ("key", "ident", "pos", "single", "data"))):
+                n = len(data) - length + 1
+                hashes = np.fromiter((xxhash.xxh64_intdigest(data[i : i + length]) for i in range(n)), np.uint64, n)
+                arrays = [np.full(n, key), hashes.view(np.int64), np.full(n, ident), (((pos >> 24) + np.arange(n)) << 12) | length, np.full(n, single)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "window", "ident", "cover", "single"])
 
     return run
 
@@ -250,35 +283,100 @@ def with_ident(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_ident", F.xxhash64("doc_id", "text"))
 
 
+_PART = "key long, digest long, ident long, pos long, single boolean, data binary, used array<int>, tied boolean"
+
+
+def _cover(pos: str = "pos"):
+    """The stretch of a run as start * 4096 + bytes."""
+    return (F.shiftright(pos, 24) * 4096 + F.shiftright(pos, 12).bitwiseAND(F.lit(4095).cast("long"))).alias("cover")
+
+
+def _divided(rows: DataFrame, length: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Contexts (key, ident, pos, single, data, used) of crowded anchors, divided until no key has over ``most``.
+
+    Gives the rows (key, ident, pos, single, data) to compare, and frames
+    (ident, cover) of what is known to repeat. Each round cuts the contexts of
+    a crowded key by a further anchor; equal parts are then one row, and their
+    stretches repeat as a whole. Anchors stay clear of each other, so the
+    rounds end: windows without room for one more are counted by their hash.
+    """
+    ready, known, tied = [], [], []
+    level = 0
+    while True:
+        parts = materialised(rows.mapInArrow(_split_batches(length, level), _PART))
+        tied.append(parts.where("tied").select("key", "ident", "pos", "single", "data"))
+        parts = parts.where("not tied")
+        one = F.min(F.struct("ident", "pos", "single", "data", "used")).alias("one")
+        merged = materialised(parts.groupBy("key", "digest").agg(F.count("*").alias("n"), one))
+        # Only rows of their own: the stretches of the others are known.
+        again = merged.where("n > 1").select("key", "digest")
+        known.append(parts.where("single").join(again, ["key", "digest"]).select("ident", _cover()))
+        single = (F.col("one.single") & (F.col("n") == 1)).alias("single")
+        rows = merged.select("key", "one.ident", "one.pos", single, "one.data", "one.used")
+        crowded = materialised(rows.groupBy("key").count().where(F.col("count") > most).select("key"))
+        if crowded.isEmpty():
+            ready.append(rows)
+            break
+        ready.append(rows.join(F.broadcast(crowded), "key", "left_anti"))
+        rows = rows.join(F.broadcast(crowded), "key", "left_semi")
+        level += 1
+    windows = tied[0]
+    for more in tied[1:]:
+        windows = windows.union(more)
+    if not windows.isEmpty():
+        windows = materialised(windows.mapInArrow(_window_batches(length), "key long, window long, ident long, cover long, single boolean"))
+        again = materialised(windows.groupBy("key", "window").count().where("count > 1").select("key", "window"))
+        known.append(windows.where("single").join(again, ["key", "window"]).select("ident", "cover"))
+    out = ready[0].select("key", "ident", "pos", "single", "data")
+    for more in ready[1:]:
+        out = out.union(more.select("key", "ident", "pos", "single", "data"))
+    return out, known
+
+
 def repeated_covers(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -> DataFrame:
     """(_ident, covers): per row the stretches, as start * 4096 + bytes, that strings found elsewhere cover.
 
     Rows without any are absent. Stretches overlap and come in any order; one
-    is less than two windows long. An anchor with over ``most`` different
-    contexts is divided by a second anchor; none is left out.
+    is less than two windows long. Anchors found over ``most`` times are
+    divided by further anchors until no group has over ``most`` contexts; none
+    is left out.
     """
     texts = with_ident(docs).select("_ident", F.col("text").cast("binary").alias("_data"))
     runs = texts.mapInArrow(_run_batches(length), "anchor long, context long, ident long, pos long")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
     # Written first, so that both sides of the join are plain exchanges and a frequent anchor can be split.
-    anchors = materialised(anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
+    kind = F.when(F.col("low") == F.col("high"), 0).when(F.col("n") <= most, 1).otherwise(2)
+    anchors = materialised(anchors.where("n > 1").select("anchor", kind.alias("kind")))
     shared = materialised(runs.join(anchors, "anchor"))
-    cover = F.shiftright("pos", 24) * 4096 + F.shiftright("pos", 12).bitwiseAND(F.lit(4095).cast("long"))
-    cover = cover.alias("cover")
+    cover = _cover()
 
-    mixed = shared.where("mixed")
+    mixed = shared.where("kind > 0")
     contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("ident", "pos")).alias("one"))
-    many = contexts.groupBy("anchor").agg(F.count("*").alias("many"))
     again = contexts.where("n > 1").select("anchor", "context")
-    whole = shared.where("not mixed").select("ident", cover).union(mixed.join(again, ["anchor", "context"]).select("ident", cover))
-
-    wanted = contexts.join(many, "anchor").select("anchor", "one.ident", "one.pos", (F.col("n") == 1).alias("single"), "many")
+    whole = shared.where("kind = 0").select("ident", cover).union(mixed.join(again, ["anchor", "context"]).select("ident", cover))
+
+    wanted, divided, known = contexts, None, []
+    if not anchors.where("kind = 2").isEmpty():
+        # At most one anchor for ``most`` runs.
+        many = shared.where("kind = 2").select("anchor", "context").distinct().groupBy("anchor").count()
+        crowded = materialised(many.where(F.col("count") > most).select("anchor"))
+        names = np.array([r.anchor for r in crowded.collect()], np.int64)
+        if len(names):
+            wanted = contexts.join(F.broadcast(crowded), "anchor", "left_anti")
+            rows = texts.select("_ident", "_data").mapInArrow(_run_batches(length, names), "anchor long, context long, ident long, pos long, data binary")
+            rows = rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("ident", "pos", "data")).alias("one"))
+            rows = rows.select(F.col("anchor").alias("key"), "one.ident", "one.pos", (F.col("n") == 1).alias("single"), "one.data", F.array(F.lit(0)).alias("used"))
+            divided, known = _divided(rows, length, most)
+    wanted = wanted.select(F.col("anchor").alias("key"), "one.ident", "one.pos", (F.col("n") == 1).alias("single"))
     # Equal rows share an ident; either text will do.
     start, size = F.shiftright("pos", 24).cast("int") + 1, F.shiftright("pos", 12).bitwiseAND(F.lit(4095).cast("long")).cast("int")
-    cut = wanted.join(texts, F.col("ident") == F.col("_ident")).select("anchor", "ident", "pos", "single", "many", F.substring("_data", start, size).alias("data"))
-    cut = cut.mapInArrow(_split_batches(length, most), "key long, ident long, pos long, single boolean, data binary")
-    compared = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_batches(length), "ident long, cover long")
-    return whole.union(compared).groupBy(F.col("ident").alias("_ident")).agg(F.collect_list("cover").alias("covers"))
+    pieces = wanted.join(texts, F.col("ident") == F.col("_ident")).select("key", "ident", "pos", "single", F.substring("_data", start, size).alias("data"))
+    if divided is not None:
+        pieces = pieces.union(divided)
+    compared = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_batches(length), "ident long, cover long")
+    for more in (*known, compared):
+        whole = whole.union(more)
+    return whole.groupBy(F.col("ident").alias("_ident")).agg(F.collect_set("cover").alias("covers"))
 
 
 def removed_spans(covers: np.ndarray) -> list[tuple[int, int]]:

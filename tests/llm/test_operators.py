@@ -318,6 +318,29 @@ def test_substrings_equal_brute_force(spark, most):
         assert (bytes(rows[i].kept), rows[i].n_removed, len(rows[i].spans)) == (kept, removed, spans)
 
 
+@pytest.mark.parametrize("size", [70, 110, 150, 190, 230])
+def test_shared_passages_make_no_large_group(spark, monkeypatch, size):
+    rng = random.Random(size)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(size)
+    texts = [noise(210) + passage + noise(210) for _ in range(25)] + [noise(30) + passage * 4] * 2
+    compare = substrings._compare_batches
+
+    def strict(length):
+        def run(batches):
+            batches = list(batches)
+            groups = collections.Counter(k for b in batches for k in b.column(0).to_pylist())
+            assert max(groups.values(), default=0) <= 4
+            yield from compare(length)(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(substrings, "_compare_batches", strict)
+    rows = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), most=4).collect()}
+    for i, (kept, removed, spans) in enumerate(plain_cut([t.encode() for t in texts])):
+        assert (bytes(rows[i].kept), rows[i].n_removed, len(rows[i].spans)) == (kept, removed, spans)
+
+
 def test_substrings_of_the_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
     rows = {r.doc_id: r for r in substrings.remove_repeats(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
