@@ -523,6 +523,16 @@ def test_quality_counts(spark):
         assert r.base_failed == (len(w) < 20 or 100 * r.n_repeat_words > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_verdict_rejects_what_the_base_rules_pass(spark):
+    rng = random.Random(12)
+    clean = [words(rng, 200, 5000) for _ in range(20)]
+    phrases = [words(rng, 4, 5000) for _ in range(12)]
+    short = " ".join(rng.choice(phrases) + f" u{i}" for i in range(50))
+    rows = {r.doc_id: r for r in repetition.quality(frame(spark, [(i, t, None, None, None) for i, t in enumerate([*clean, short])])).collect()}
+    assert all(rows[i].kept for i in range(20))
+    assert not rows[20].base_failed and not rows[20].kept and rows[20].repeat_share > 0.3
+
+
 def test_quality_odd_rows(spark, odd, none):
     rows = {r.doc_id: r for r in repetition.quality(odd).collect()}
     assert rows[1].n_words == 0 and rows[1].base_failed and rows[4].n_words == 30_000 and rows[4].kept
