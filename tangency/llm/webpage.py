@@ -30,6 +30,8 @@ from tangency.llm import boosting
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head script style noscript template title svg math iframe object canvas select button textarea audio video datalist".split())
+#: What a head may hold; anything else ends it.
+HEAD_PARTS = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -65,9 +67,20 @@ class PageParser(HTMLParser):
         self.links = 0
         self.skipping: list[str] = []
 
+    def _resume(self, tag: str) -> None:
+        """Ends skipped elements that the start of ``tag`` ends, whether or not they were closed."""
+        if tag == "body" and self.skipping[:1] == ["head"]:
+            self.skipping.clear()
+        elif self.skipping == ["head"] and tag not in HEAD_PARTS:
+            self.skipping.clear()
+        elif self.skipping and self.skipping[-1] in ("svg", "math") and tag in BLOCKS:
+            while self.skipping and self.skipping[-1] in ("svg", "math"):
+                self.skipping.pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._resume(tag)
         if self.skipping:
-            if tag not in VOID and tag == self.skipping[-1]:
+            if tag in SKIPPED or tag in BLOCKS or tag in ("foreignobject", "desc"):
                 self.skipping.append(tag)
             return
         if tag in VOID:
@@ -93,18 +106,26 @@ class PageParser(HTMLParser):
             self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        self._resume(tag)
+        if not self.skipping and tag not in SKIPPED:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if self.skipping:
-            if tag == self.skipping[-1]:
-                self.skipping.pop()
-            return
+            if tag in self.skipping:
+                while self.skipping.pop() != tag:
+                    pass
+                return
+            if tag not in BLOCKS or all(t != tag for t, _ in self.open):
+                return
+            self.skipping.clear()
         if tag in BLOCKS:
             self.run = None
         self._close(tag, ())
 
     def handle_data(self, data: str) -> None:
+        if self.skipping == ["head"] and data.strip():
+            self.skipping.clear()
         if not self.skipping:
             self._add(data)
 

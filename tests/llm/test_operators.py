@@ -479,6 +479,19 @@ def test_parser_on_broken_markup():
     assert [re.sub(r"\s+", " ", "".join(n.text)).strip() for n in nodes if n.tag == "#text"] == ["a & b c", "d", "x", "y", "1", "2", "tail <"]
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<p>a</p><svg viewBox='0'/><p>b</p>", "<p>a</p><script src='x.js'/><p>b</p>", "<p>a</p><iframe src='x'/><math/><p>b</p>",
+        "<head><title>t</title><meta charset='u'><body><p>a</p><p>b</p>", "<head><title>t</title><p>a</p><p>b</p>", "<head><title>t</title></head><p>a</p><p>b</p>",
+        "<div><p>a</p><select><option>no</div><p>b</p>", "<div><p>a</p><button>no</div><p>b</p>", "<div><p>a</p><noscript><div>no</div></div><p>b</p>",
+        "<p>a</p><svg><path d='1'><p>b</p>", "<div><p>a</p><svg><foreignObject><div>no</div></foreignObject></svg></div><p>b</p>", "<head><noscript><img></noscript><script>no</script><body><p>a</p><p>b</p>",
+    ],
+)
+def test_unclosed_skipped_elements_lose_nothing(html):
+    assert ["".join(n.text).strip() for n in webpage.parse(html) if n.tag == "#text"] == ["a", "b"]
+
+
 def test_pages_odd_rows(spark, trees):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>" + "word " * 20_000 + "</p>"), (3, "u", "<b>"), (3, "u", "<b>")]
     got = webpage.extracted(frame(spark, rows, "page_id long, url string, html string").withColumn("text", F.lit(1)), trees).collect()
