@@ -356,7 +356,7 @@ def x5_audit_rows(spark, d):
 
 @query(None)
 def x1_certificate(spark, d):
-    rows = certificate.certificates(views.vertex_queries(spark, d), certificate.Limits(depth=12))
+    rows = certificate.certificates(views.vertex_queries(spark, d))
     return rows.select("query_id", "family", "status", r6(F.col("toi_upper")).alias("toi_upper"), r6(F.col("margin")).alias("margin"), "evaluations")
 
 
@@ -369,11 +369,11 @@ def e4_inference(spark, d):
 
 @query(None)
 def m5_scheduled_exact(spark, d):
-    """Scored candidates in order, each group until its first certified collision."""
+    """Scored candidates in order, each group until its first possible collision: certified or undecided."""
     rows = views.vertex_queries(spark, d).withColumn("grp", F.floor(F.col("query_id") / 1_000_000))
-    done = certificate.certificates(rows, certificate.Limits(depth=12))
+    done = certificate.certificates(rows)
     scored = done.select(
         F.col("grp").alias("query_id"), F.col("query_id").alias("candidate_id"), (-F.abs(F.col("v0") - F.col("v3"))).alias("priority"),
-        F.lit(0.0).alias("cost"), (F.col("status") == certificate.COLLISION).alias("collides"),
+        F.lit(0.0).alias("cost"), (F.col("status") != certificate.SEPARATION).alias("collides"),
     )
     return schedule.any_hit(scored)

@@ -242,3 +242,21 @@ def test_suite(spark, tmp_path):
     assert [(r.case, r.rows) for r in rows] == [("a", 1)]
     with pytest.raises(ValueError, match="unknown"):
         suite.Suite.from_json(text.replace("DiscreteCheck", "Other"))
+
+
+def test_scheduled_exact_keeps_real_crossings(spark, monkeypatch):
+    from tangency.plans import catalogue
+    from tangency.sources import views
+
+    # Points that fall from z = 1 to z = -h, beside or through a fixed triangle, at x: brute force is the sign of x.
+    def row(i, x, h):
+        fixed = [0.0, -1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0]
+        return (i, "vf", x, 0.0, 1.0, *fixed, x, 0.0, -h, *fixed)
+
+    rows = [row(1_000_000, 0.3, 0.7), row(2_000_000, -1.5e-4, 1.0), row(3_000_000, -0.5, 0.7), row(3_000_001, 0.2, 0.9)]
+    made = spark.createDataFrame(rows, "query_id long, family string, " + ", ".join(f"v{i} double" for i in range(24)))
+    monkeypatch.setattr(views, "vertex_queries", lambda spark, folder: made)
+    found = {r.query_id: r.truth for r in catalogue.QUERIES["m5_scheduled_exact"](spark, "").collect()}
+    assert found == {1: True, 2: False, 3: True}
+    status = {r.query_id: r.status for r in catalogue.QUERIES["x1_certificate"](spark, "").collect()}
+    assert status[2_000_000] == 1 and status[3_000_000] == 1 and status[1_000_000] != 1 and status[3_000_001] != 1
