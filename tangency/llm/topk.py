@@ -1,18 +1,20 @@
 """Exact top-k inner products from an impact-ordered index, score at a time.
 
-Vectors are integers. Equal vectors are one entry of the index. The index is
-cut into blocks of some thousand entries. A component's impact is written in
-quantised levels, the coarse one first and finer ones for what it leaves, and
-a block holds a posting segment of every dimension for each level. A group of
-queries goes through the segments by descending level and adds them to one
-accumulator per entry. What the levels still to come can add is at most the
-norm of the query times the norm of what they hold of the entry; an entry is
-left only when that bound proves that it is not among the best k, and the few
-entries that may be are rescored exactly.
-
-Segments ordered by the impact on one query (component times weight) were
-tried first: with dense vectors the sum of the least and largest impacts that
-are still possible bounds so little that no block could be left early.
+Vectors are integers. Equal vectors are one entry of the index. The entries
+are cut into blocks of some thousand, each of vectors of like norm. A block
+holds posting lists: per dimension the entries whose component is not zero, in
+segments by descending quantised size of the component. A query goes through
+the segments of all dimensions by descending impact, its weight times the
+segment's size, and adds them to one accumulator per entry.
+
+What an entry can still gain is at most the norm of what is unread of it times
+the norm of the query over those dimensions (Cauchy-Schwarz); both are kept as
+shares that shrink with every posting. A query leaves a block only on proof:
+when the entries that this bound cannot rule out are cheaper to score exactly
+than the next postings are to read. Those are scored exactly, so no result
+rests on quantised values. A first pass over one block of each query gives a
+score that its k-th best reaches, which later blocks are held against: a block
+in which norms alone cannot reach it is never visited.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from tangency.llm.common import materialised
 
 SCALE = 256
-#: Widths of the levels, the coarse one first.
-LEVELS = (8, 2)
+#: Sizes that components are quantised to within a block, and rounds of equally many postings.
+LEVELS = 8
+ROUNDS = 16
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -52,105 +55,143 @@ def distinct_vectors(rows: DataFrame, k: int, salts: int = 64) -> DataFrame:
 
 
 class Block:
-    """Entries of one block and their posting segments.
+    """Entries of one block and their posting segments; ``read`` counts the postings that queries have read.
 
-    ``segments[l]`` has, per entry and dimension, what level l holds of the
-    component, in units of the level's width; ``rests[l]`` is the norm of
-    what an entry has left after it, about the middle of the width.
+    Segment s holds the entries and components ``ids[start[s]:start[s] +
+    size[s]]`` of dimension ``dim[s]``, none larger than ``height[s]``.
     """
 
-    def __init__(self, vectors: np.ndarray, levels: tuple[int, ...] = LEVELS):
-        self.vectors = vectors
-        self.levels = levels
-        self.segments, self.rests = [], []
-        left = vectors
-        for width in levels:
-            own = left // width
-            left = left - own * width
-            self.segments.append(own.astype(np.float64))
-            self.rests.append(np.sqrt(((left - (width - 1) / 2) ** 2).sum(1)))
-
-    def best(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, entry, score) with all entries that may be among a query's k best of the block, ties included."""
-        q = queries.astype(np.float64)
-        size = np.sqrt((q * q).sum(1))
-        middle = q.sum(1)
-        n = len(self.vectors)
-        # Level 0 for all pairs, by one product; later levels only for the pairs left.
-        scores = (q @ self.segments[0].T) * self.levels[0]
-        room = size[:, None] * self.rests[0]
-        mid = scores + middle[:, None] * ((self.levels[0] - 1) / 2)
-        line = np.partition(mid - room, n - k, axis=1)[:, n - k] if n >= k else np.full(len(q), -np.inf)
-        ask, entry = np.nonzero(mid + room >= line[:, None] - 1e-6)
-        held = scores[ask, entry]
-        for level in range(1, len(self.levels)):
-            held = held + np.einsum("ij,ij->i", q[ask], self.segments[level][entry]) * self.levels[level]
-            mid = held + middle[ask] * ((self.levels[level] - 1) / 2)
-            room = size[ask] * self.rests[level][entry]
-            order = np.lexsort((room - mid, ask))
-            first = np.flatnonzero(np.r_[True, ask[order][1:] != ask[order][:-1]]) if len(ask) else np.zeros(0, np.int64)
-            line = np.full(len(q), -np.inf)
-            ends = np.r_[first[1:], len(order)]
-            full = ends - first >= k
-            line[ask[order][first[full]]] = (mid - room)[order][first[full] + k - 1]
-            keep = mid + room >= line[ask] - 1e-6
-            ask, entry, held = ask[keep], entry[keep], held[keep]
-        return ask, entry, np.einsum("ij,ij->i", queries[ask], self.vectors[entry])
-
-
-def _search(width: int, k: int):
+    def __init__(self, vectors: np.ndarray, levels: int = LEVELS, rounds: int = ROUNDS):
+        self.vectors, self.rounds, self.read = vectors, rounds, 0
+        n, width = vectors.shape
+        sizes = np.abs(vectors)
+        step = max(1, -(-int(sizes.max(initial=0)) // levels))
+        entry, dim = np.nonzero(sizes)
+        key = dim * levels + levels + (-sizes[entry, dim] // step)
+        order = np.argsort(key, kind="stable")
+        values = vectors[entry, dim].astype(np.float64)
+        squares = (vectors.astype(np.float64) ** 2).sum(1)
+        self.norms = np.sqrt(squares)
+        self.ids, self.values = entry[order], values[order]
+        self.shares = (values**2 / squares[entry])[order]
+        self.size = np.bincount(key, minlength=width * levels)
+        self.start = np.cumsum(self.size) - self.size
+        self.dim = np.repeat(np.arange(width), levels)
+        self.height = np.tile((levels - np.arange(levels)) * float(step), width)
+
+    def best(self, query: np.ndarray, k: int, line: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, scores) of all that may be among the ``k`` best of the block and reach ``line``, ties included."""
+        n, width = self.vectors.shape
+        q = query.astype(np.float64)
+        norm2 = float(q @ q)
+        reach = np.sqrt(norm2) * self.norms
+        slack = 1e-9 * (1.0 + float(reach.max(initial=0.0)))
+        impact = np.abs(q)[self.dim] * self.height
+        order = np.argsort(-impact, kind="stable")
+        order = order[(impact[order] > 0) & (self.size[order] > 0)]
+        upto = np.cumsum(self.size[order])
+        total = int(upto[-1]) if len(order) else 0
+        share = max(1, -(-total // self.rounds))
+        score, seen = np.zeros(n), np.zeros(n)
+        may, at = np.arange(n), 0
+        while True:
+            room = reach * np.maximum(0.0, 1.0 - 0.5 * seen)
+            if n >= k:
+                line = max(line, float(np.partition(score - room, n - k)[n - k]))
+            may = np.flatnonzero(score + room >= line - slack)
+            if at == len(order) or len(may) * width <= share:
+                return may, self.vectors[may] @ query
+            cut = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + share)) + 1
+            now = order[at:cut]
+            at = min(cut, len(order))
+            spans = [slice(a, a + b) for a, b in zip(self.start[now].tolist(), self.size[now].tolist())]
+            weights = np.repeat(q[self.dim[now]], self.size[now])
+            ids = np.concatenate([self.ids[s] for s in spans])
+            self.read += len(ids)
+            score += np.bincount(ids, np.concatenate([self.values[s] for s in spans]) * weights, n)
+            seen += np.bincount(ids, np.concatenate([self.shares[s] for s in spans]) + weights * weights / norm2, n)
+
+
+def _search_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple = (None, None, None)
+        key, block, own = None, None, []
         for batch in batches:
-            columns = batch.to_pydict()
-            out: list[tuple[int, int, int]] = []
-            for number, vectors, own, queries, wanted in zip(*(columns[c] for c in ("block", "vectors", "ids", "queries", "query_ids"))):
-                if kept[0] != number:
-                    kept = (number, Block(np.array(vectors, np.int64).reshape(-1, width)), own)
-                found: dict[int, list] = {}
-                for a, e, s in zip(*(x.tolist() for x in kept[1].best(np.array(queries, np.int64).reshape(-1, width), k + 1))):
-                    found.setdefault(a, []).extend((-s, i) for i in kept[2][e] if i != wanted[a])
-                for a, pairs in found.items():
-                    out.extend((wanted[a], i, -s) for s, i in sorted(pairs)[:k])
-            arrays = zip(*out) if out else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["query_id", "vec_id", "score"])
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            keys = list(zip(*(column[c].to_pylist() for c in ("width", "level", "block"))))
+            for row, here in enumerate(keys):
+                if here != key:
+                    vectors = column["vectors"][row].values.to_numpy(zero_copy_only=False).reshape(-1, here[0])
+                    key, block, own = here, Block(vectors), column["ids"][row].as_py()
+                queries = column["queries"][row].values.to_numpy(zero_copy_only=False).reshape(-1, here[0])
+                out: list[tuple[int, int, int]] = []
+                for query, asks, line in zip(queries, column["query_ids"][row].as_py(), column["lines"][row].as_py()):
+                    # One more than k, as the query itself may be among them.
+                    entries, scores = block.best(query, k + 1, -np.inf if line is None else line)
+                    pairs = [(-s, i) for e, s in zip(entries.tolist(), scores.tolist()) for i in own[e] if i != asks]
+                    out.extend((asks, i, -s) for s, i in sorted(pairs)[:k])
+                arrays = zip(*out) if out else ((),) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["query_id", "vec_id", "score"])
 
     return run
 
 
+_FOUND = "query_id long, vec_id long, score long"
+_PLACE = ["width", "level", "block"]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def top_k(
-    vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, block_rows: int = 4096, query_rows: int = 128
+    vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, block_rows: int = 4096, query_rows: int = 512
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row where ``is_query`` holds.
 
     Best by integer inner product of the quantised vectors, ties to the
     smaller vec_id. Vectors that are null or hold a null or non-finite
     component neither ask nor answer, nor do those of a null id. Repeated rows
-    count as one id. Vectors of other lengths than a query's are no answer to it.
-    Fewer than k rows: all. Blocks of queries meet blocks of entries, the one
-    stated query set against all rows.
+    count as one id; an id with two vectors asks with both and its rows are
+    ranked together. Vectors of other lengths than a query's are no answer to
+    it, and empty ones neither ask nor answer. Fewer than k rows: all. Other
+    columns are not read. Groups of queries meet the blocks of entries that
+    their scores do not rule out: the one stated query set against all rows.
     """
-    rows = quantised(vectors, scale).distinct()
-    entries = materialised(distinct_vectors(rows, k).withColumn("width", F.size("vector")))
-    queries = rows.where(is_query).withColumn("width", F.size("vector"))
-    results = None
-    for width, n in entries.where("width > 0").groupBy("width").count().collect():
-        part = entries.where(F.col("width") == width)
-        blocks = -(-n // block_rows)
-        part = part.withColumn("block", F.pmod(F.xxhash64("vector"), F.lit(blocks)))
-        part = part.groupBy("block").agg(F.flatten(F.collect_list("vector")).alias("vectors"), F.collect_list("ids").alias("ids"))
-        ask = queries.where(F.col("width") == width)
-        groups = max(1, -(-ask.count() // query_rows))
-        ask = ask.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("group")
-        ask = ask.agg(F.flatten(F.collect_list("vector")).alias("queries"), F.collect_list("vec_id").alias("query_ids"))
-        ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        found = part.join(ask, "block").select("block", "vectors", "ids", "queries", "query_ids")
-        found = found.mapInArrow(_search(width, k), "query_id long, vec_id long, score long")
-        results = found if results is None else results.union(found)
-    if results is None:
-        return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where("false")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return results.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    level = F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 2)).otherwise(-1).cast("int")
+    rows = quantised(vectors, scale).distinct().withColumn("width", F.size("vector")).where("width > 0")
+    entries = materialised(distinct_vectors(rows, k).withColumn("width", F.size("vector")).withColumn("norm", norm).withColumn("level", level))
+    # One row per length of vectors and half power of two of their norms.
+    sizes = entries.groupBy("width", "level").agg(F.count("*").alias("n"), F.max("norm").alias("top"))
+    sizes = materialised(sizes.withColumn("blocks", F.ceil(F.col("n") / block_rows)))
+    entries = entries.join(sizes.select("width", "level", "blocks"), ["width", "level"])
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks")))
+    blocks = entries.groupBy(*_PLACE).agg(F.flatten(F.collect_list("vector")).alias("vectors"), F.collect_list("ids").alias("ids"))
+    # A block is little to read and long to search: tasks by the number of blocks, not by bytes.
+    n = sizes.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    tasks = max(1, min(2 * n, max(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 8)))
+
+    def search(asked: DataFrame) -> DataFrame:
+        # Merged in order of blocks, so that a task indexes a block once for all its groups of queries.
+        pairs = blocks.repartition(tasks, *_PLACE).join(asked.hint("merge"), _PLACE)
+        return pairs.sortWithinPartitions(*_PLACE).mapInArrow(_search_batches(k), _FOUND)
+
+    asking = rows.where(is_query).withColumn("norm", norm)
+    lists = [F.flatten(F.collect_list("vector")).alias("queries"), F.collect_list("vec_id").alias("query_ids")]
+    fullest = sizes.groupBy("width").agg(F.max_by(F.struct("level", "blocks"), F.struct("n", "level")).alias("f"))
+    first = asking.join(fullest, "width").select("width", "f.level", F.pmod(F.xxhash64("vec_id"), F.col("f.blocks")).alias("block"), "vec_id", "vector")
+    first = first.groupBy(*_PLACE).agg(*lists).withColumn("lines", F.transform("query_ids", lambda _: F.lit(None).cast("long")))
+    lines = materialised(_ranked(search(first), k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("line")))
+
+    levels = sizes.groupBy("width").agg(F.collect_list(F.struct("level", "blocks", "top")).alias("levels"))
+    groups = asking.groupBy("width").agg(F.ceil(F.count("*") / query_rows).alias("groups"))
+    asked = asking.join(lines, "vec_id", "left").join(groups, "width").withColumn("group", F.pmod(F.xxhash64("vec_id"), F.col("groups")))
+    asked = asked.groupBy("width", "group").agg(*lists, F.collect_list(F.struct("line", "norm")).alias("hopes"))
+    asked = asked.join(levels, "width").withColumn("at", F.explode("levels"))
+    open_ = F.exists("hopes", lambda h: h["line"].isNull() | (h["norm"] * F.col("at.top") * (1 + 1e-9) >= h["line"]))
+    asked = asked.where(open_).select("width", "at.level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("at.blocks") - 1)).alias("block"), "queries", "query_ids", F.col("hopes.line").alias("lines"))
+    return _ranked(search(asked), k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = f"""

@@ -390,17 +390,42 @@ def test_top_k_equals_brute_force(spark):
     assert {r.query_id for r in got} == set(range(0, 400, 50))
 
 
-def test_block_search_keeps_all_possible_members():
-    rng = np.random.default_rng(2)
-    vectors = rng.integers(-100, 100, (300, 12))
+def test_block_stops_on_proof_with_postings_unread():
+    rng = np.random.default_rng(4)
+    vectors = np.floor(rng.normal(0, 32, (2000, 64))).astype(np.int64)
+    vectors[7] = 0
     block = topk.Block(vectors)
-    queries_ = rng.integers(-100, 100, (20, 12))
-    ask, entry, scores = block.best(queries_, 4)
-    every = queries_ @ vectors.T
-    assert (scores == every[ask, entry]).all() and len(ask) < every.size / 2
-    for i in range(20):
-        line = np.sort(every[i])[-4]
-        assert set(np.flatnonzero(every[i] >= line)) <= set(entry[ask == i].tolist())
+    for i in range(40):
+        query = np.floor(vectors[i] * 0.8 + rng.normal(0, 12, 64)).astype(np.int64)
+        scores = vectors @ query
+        entries, found = block.best(query, 5)
+        assert (scores[entries] == found).all()
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(entries.tolist())
+        high, _ = block.best(query, 5, float(np.sort(scores)[-3]))
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-3])) <= set(high.tolist())
+    # Postings of the block, read by 80 searches: a good part was never read.
+    assert 0 < block.read < 0.9 * 80 * len(block.ids)
+    assert (np.diff([block.height[s] for s in range(topk.LEVELS)]) < 0).all()
+
+
+def test_top_k_odd_rows(spark):
+    def ask(rows, is_query, **options):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string, score string, block string, ids string")
+        return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, is_query, **options).collect())
+
+    more = ("a", "b", "c", "d")
+    rows = [(0, [1.0, 0.0], *more), (0, [1.0, 0.0], *more), (1, [1.0, 0.0], *more), (2, [0.5, 0.5], *more), (3, [], *more), (None, [1.0, 1.0], *more), (4, [0.0, 0.0], *more)]
+    one = 256 * 256
+    wanted = [(0, 1, 1, one), (0, 2, 2, one // 2), (0, 3, 4, 0)]
+    assert ask(rows, F.col("vec_id") == 0) == wanted
+    assert ask(rows, F.col("vec_id") == 99) == []
+    assert ask(rows, F.col("vec_id") == 4) == [(4, 1, 0, 0), (4, 2, 1, 0), (4, 3, 2, 0)]
+    assert ask(rows, F.lit(None).cast("boolean")) == []
+    # One id with two vectors answers with both; vectors of very unlike norms are in blocks of their own.
+    twice = [(0, [1.0, 0.0], *more), (1, [1.0, 0.0], *more), (1, [100.0, 0.0], *more), (2, [0.01, 0.0], *more)]
+    assert ask(twice, F.col("vec_id") == 0, block_rows=1) == [(0, 1, 1, 100 * one), (0, 2, 1, one), (0, 3, 2, 2 * 256)]
+    many = [(i, [float(i % 7), 1.0], *more) for i in range(300)]
+    assert [r[2] for r in ask(many, F.col("vec_id") == 6, block_rows=16, query_rows=1)] == [13, 20, 27, 34, 41]
 
 
 def test_top_k_of_nothing(spark):
