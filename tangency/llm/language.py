@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,64 +29,129 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 
 
+def _signatures(letters: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each n-gram; ``letters`` has its code points, one row per place in the n-gram."""
+    h = np.full(letters.shape[1], len(letters), np.uint64)
+    with np.errstate(over="ignore"):
+        for row in letters:
+            h = h * np.uint64(0x9E3779B97F4A7C15) + row
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+@dataclass(frozen=True)
+class Table:
+    """Counts of known keys by language: sorted 64-bit hashes and, for each, the languages that have it.
+
+    ``gain`` is how far a count lifts the log frequency above that of a key
+    never seen in the language, which is ``base``.
+    """
+
+    keys: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, language: np.ndarray, counts: np.ndarray, languages: int, smooth: float = 0.5) -> Table:
+        order = np.argsort(hashes, kind="stable")
+        keys, first = np.unique(hashes[order], return_index=True)
+        total = np.bincount(language, counts, languages) + smooth * (len(keys) + 1)
+        gain = np.log((counts[order] + smooth) / smooth).astype(np.float32)
+        return cls(keys, np.r_[first, len(order)], language[order].astype(np.uint16), gain, np.log(smooth / total))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each hash's key, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def posteriors(self, numbers: np.ndarray) -> np.ndarray:
+        """Log posteriors over the languages of the keys of these numbers."""
+        logs = np.tile(self.base, (len(numbers), 1))
+        size = self.first[numbers + 1] - self.first[numbers]
+        place = np.repeat(self.first[numbers] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        logs[np.repeat(np.arange(len(numbers)), size), self.language[place]] += self.gain[place]
+        top = logs.max(1, keepdims=True)
+        return logs - top - np.log(np.exp(logs - top).sum(1, keepdims=True))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages in order, and per known word or n-gram a row of log posteriors.
+    """Languages in order, the table of known words, and one of n-grams per length, the longest first.
 
-    ``grams`` has one dictionary per length, the longest first. N-grams are of
-    the word between two spaces.
+    N-grams are of the word between two spaces.
     """
 
     languages: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: tuple[tuple[int, dict[str, tuple[float, ...]]], ...]
-
-    def posterior(self, word: str) -> tuple[float, ...]:
-        row = self.words.get(word)
-        if row is not None:
-            return row
-        padded = f" {word} "
+    words: Table | None
+    grams: tuple[tuple[int, Table], ...]
+
+    def posteriors(self, words: list[str]) -> np.ndarray:
+        """A row of log posteriors per word: its own if known, else the mean over its longest known n-grams."""
+        width = max(1, len(self.languages))
+        out = np.full((len(words), width), -math.log(width))
+        if self.words is None or not words:
+            return out
+        found = self.words.find(np.fromiter(map(_word_hash, words), np.uint64, len(words)))
+        out[found >= 0] = self.words.posteriors(found[found >= 0])
+        rest = np.flatnonzero(found < 0)
         for n, known in self.grams:
-            rows = [known[g] for g in [padded[i : i + n] for i in range(len(padded) - n + 1)] if g in known]
-            if rows:
-                return rows[0] if len(rows) == 1 else tuple(sum(c) / len(rows) for c in zip(*rows))
-        return (-math.log(max(1, len(self.languages))),) * len(self.languages)
-
-
-def _posteriors(counts: dict[str, np.ndarray], languages: int, smooth: float = 0.5) -> dict[str, tuple[float, ...]]:
-    total = sum(counts.values(), np.zeros(languages)) + smooth * (len(counts) + 1)
-    out = {}
-    for key, row in counts.items():
-        logs = np.log((row + smooth) / total)
-        out[key] = tuple((logs - np.logaddexp.reduce(logs)).tolist())
-    return out
+            if not len(rest):
+                break
+            letters = _code_points("".join(f" {words[i]} " for i in rest.tolist()))
+            sizes = np.fromiter((len(words[i]) + 2 for i in rest.tolist()), np.int64, len(rest))
+            count = len(letters) - n + 1
+            if count < 1:
+                continue
+            owner = np.repeat(np.arange(len(rest)), sizes)
+            found = known.find(_signatures(np.stack([letters[k : k + count] for k in range(n)])))
+            at = np.flatnonzero((found >= 0) & (owner[:count] == owner[n - 1 :]))
+            hits = np.bincount(owner[at], minlength=len(rest))
+            rows = known.posteriors(found[at])
+            for k in range(width):
+                sums = np.bincount(owner[at], rows[:, k], len(rest))
+                out[rest[hits > 0], k] = sums[hits > 0] / hits[hits > 0]
+            rest = rest[hits == 0]
+        return out
 
 
 def train(
     docs: DataFrame,
     rows_per_language: int = 1500,
-    most_languages: int = 200,
-    most_words: int = 10_000,
-    most_grams: int = 5_000,
+    most_words: int = 20_000,
+    most_grams: int = 20_000,
     lengths: tuple[int, ...] = (5, 4, 3, 2, 1),
 ) -> LanguageModel:
     """Fits the model on (text, lang) of ``docs``; rows with a null in either are left out.
 
     The fit is on a sample bounded by its parameters: about
-    ``rows_per_language`` rows, chosen by a hash of the text, of each of the
-    ``most_languages`` most frequent languages. Words and n-grams are counted
-    in Spark; what comes to the driver is the ``most_words`` words of each
-    language and the ``most_grams`` n-grams of each length and language.
+    ``rows_per_language`` rows of each language, drawn by a hash of doc_id (if
+    there) and text. Every labelled language is learned. Words and n-grams are
+    counted in Spark; what comes to the driver is the ``most_words`` words of
+    each language and the ``most_grams`` n-grams of each length and language.
     """
-    rows = docs.where("text is not null and lang is not null").select("lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()
+    ids = [F.col("doc_id")] if "doc_id" in docs.columns else []
+    rows = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(*ids, "text", F.lit(11)).alias("draw"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
-        return LanguageModel((), {}, ())
+        return LanguageModel((), None, ())
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["n"]))])
-    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(11)), 11).cast("double") / float(1 << 53)
+    draw = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
     sample = rows.withColumn("share", F.element_at(share, F.col("lang"))).where(draw < F.col("share"))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(0))).alias("key"))
-    words = words.groupBy("lang", "key").agg(F.count("*").alias("n")).where(F.length("key") <= 64)
+    words = words.groupBy("lang", "key").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(" "), "key", F.lit(" "))
     last = F.length("key") + 3 - F.col("length")
     grams = words.withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(last >= 1)
@@ -95,46 +161,63 @@ def train(
     both = words.select("lang", F.lit(0).alias("length"), "key", "n").union(grams)
     best = Window.partitionBy("lang", "length").orderBy(F.col("n").desc(), "key")
     most = F.when(F.col("length") == 0, most_words).otherwise(most_grams)
-    kept = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("rank").toPandas()
-
-    languages = tuple(sorted({r["lang"] for r in sizes}))
-    column = {lang: i for i, lang in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *lengths)}
-    for lang, length, key, n in kept.itertuples(index=False):
-        tables[length].setdefault(key, np.zeros(len(languages)))[column[lang]] = n
-    fitted = {n: _posteriors(t, len(languages)) for n, t in tables.items()}
-    return LanguageModel(languages, fitted[0], tuple((n, fitted[n]) for n in sorted(lengths, reverse=True)))
+    kept = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("rank").toArrow()
+
+    languages = tuple(sorted(r["lang"] for r in sizes))
+    place = {lang: i for i, lang in enumerate(languages)}
+    language = np.array([place[lang] for lang in kept["lang"].to_pylist()], np.int64)
+    length, counts = kept["length"].to_numpy(), kept["n"].to_numpy().astype(np.float64)
+    tables = {}
+    for n in (0, *lengths):
+        own = np.flatnonzero(length == n)
+        keys = kept["key"].take(pa.array(own)).to_pylist()
+        if n == 0:
+            hashes = np.fromiter(map(_word_hash, keys), np.uint64, len(keys))
+        else:
+            hashes = _signatures(_code_points("".join(keys)).reshape(-1, n).T)
+        tables[n] = Table.of(hashes, language[own], counts[own], len(languages))
+    return LanguageModel(languages, tables[0], tuple((n, tables[n]) for n in sorted(lengths, reverse=True)))
 
 
 class Scorer(dict):
-    """Sums of word posteriors for many texts; keeps the rows of words seen, at most ``most``.
+    """Sums of word posteriors for many texts; keeps the rows of words seen, about ``most`` numbers in all.
 
     As a dictionary it numbers words; ``rows`` has a row per number.
     """
 
-    def __init__(self, model: LanguageModel, most: int = 300_000):
+    def __init__(self, model: LanguageModel, most: int = 1_500_000):
         super().__init__()
         self.model, self.most = model, most
-        self.rows = np.zeros((1024, max(1, len(model.languages))))
+        self.rows = np.zeros((1024, max(1, len(model.languages))), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.posterior(word)
-        return at
-
-    def total(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.most:
+    def learn(self, words: set[str], at_once: int = 1 << 20) -> None:
+        """Numbers the words not yet known; ``at_once`` bounds letters times languages worked on together."""
+        if self.rows.shape[1] * len(self) > self.most:
             self.clear()
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > len(self.rows):
+            more = np.zeros((max(2 * len(self.rows), len(self) + len(new)), self.rows.shape[1]), np.float32)
+            more[: len(self)] = self.rows[: len(self)]
+            self.rows = more
+        begin, held = 0, 0
+        for i, w in enumerate(new, 1):
+            held += (len(w) + 2) * self.rows.shape[1]
+            if held >= at_once or i == len(new):
+                self.rows[len(self) : len(self) + i - begin] = self.model.posteriors(new[begin:i])
+                self.update(zip(new[begin:i], range(len(self), len(self) + i - begin)))
+                begin, held = i, 0
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text and its posterior; UNKNOWN and 0 without a letter or without a model."""
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        words = [_WORDS.findall(t.lower()) or [t] if t and _LETTER.search(t) else [] for t in texts]
+        self.learn(set().union(*words))
+        return [self._best(own) if own else (UNKNOWN, 0.0) for own in words]
+
+    def _best(self, words: list[str]) -> tuple[str, float]:
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.rows[numbers].sum(0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its posterior; UNKNOWN and 0 without a letter or without a model."""
-        if not text or not self.model.languages or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        total = self.total(_WORDS.findall(text.lower()) or [text])
+        total = self.rows[numbers].sum(0, dtype=np.float64)
         best = int(np.argmax(total))
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -155,7 +238,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         scorer = per_process(("language", name), lambda: Scorer(shared.value))
         for batch in batches:
             texts = batch.column(at)
-            found = [scorer.predict(texts[i].as_py()) for i in range(batch.num_rows)]
+            found, held, letters = [], [], 0
+            for i in range(batch.num_rows):
+                held.append(texts[i].as_py())
+                letters += len(held[-1] or "")
+                if letters >= 1 << 21 or i == batch.num_rows - 1:
+                    found += scorer.predict_all(held)
+                    held, letters = [], 0
             columns = dict(zip(batch.schema.names, batch.columns))
             columns["lang_pred"] = pa.array([f[0] for f in found], pa.string())
             columns["score"] = pa.array([f[1] for f in found], pa.float64())
