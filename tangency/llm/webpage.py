@@ -8,13 +8,18 @@ everything is, below one that is not nothing is, and only a node marked mixed
 leaves the choice to its children, so no choice contradicts another.
 
 The trees are trained here, on pages made from page-layout rules with seeded
-random words, so no words of any corpus are learned.
+random words, so no words of any corpus are learned. Attribute words are hashed
+into buckets. Some training pages have no attributes or meaningless ones, only
+``div`` for every kind of section, tables for layout, or no element around the
+article at all, so that no single mark is relied on.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -47,7 +52,7 @@ _TOKENS = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?。，]")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
@@ -62,9 +67,11 @@ class PageParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("body", -1)]
+        #: Open elements, how many of each tag, and the places in ``open`` of blocks.
         self.open: list[tuple[str, int]] = [("body", 0)]
+        self.count: Counter[str] = Counter(("body",))
+        self.blocks = [0]
         self.run: int | None = None
-        self.links = 0
         self.skipping: list[str] = []
 
     def _resume(self, tag: str) -> None:
@@ -94,16 +101,16 @@ class PageParser(HTMLParser):
             return
         if tag in BLOCKS:
             self.run = None
-            if any(t == "p" for t, _ in self.open):
-                self._close("p", ("table", "article", "section", "main", "body"))
+            self._close("p", ("table", "article", "section", "main", "body"))
             for old in ENDS.get(tag, ()):
                 self._close(old, FENCES[tag])
             words = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "itemprop", "aria-label")).lower()
             self.nodes.append(Node(tag, self._block(), frozenset(_TOKENS.findall(words))))
+            self.blocks.append(len(self.open))
             self.open.append((tag, len(self.nodes) - 1))
         else:
             self.open.append((tag, -1))
-            self.links += tag == "a"
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._resume(tag)
@@ -116,7 +123,7 @@ class PageParser(HTMLParser):
                 while self.skipping.pop() != tag:
                     pass
                 return
-            if tag not in BLOCKS or all(t != tag for t, _ in self.open):
+            if tag not in BLOCKS or not self.count[tag]:
                 return
             self.skipping.clear()
         if tag in BLOCKS:
@@ -130,14 +137,18 @@ class PageParser(HTMLParser):
             self._add(data)
 
     def _block(self) -> int:
-        return next(n for _, n in reversed(self.open) if n >= 0)
+        return self.open[self.blocks[-1]][1]
 
     def _close(self, tag: str, fences: tuple[str, ...]) -> None:
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             name = self.open[i][0]
             if name == tag:
-                self.links -= sum(t == "a" for t, _ in self.open[i:])
-                del self.open[i:]
+                while len(self.open) > i:
+                    self.count[self.open.pop()[0]] -= 1
+                while self.blocks[-1] >= i:
+                    self.blocks.pop()
                 return
             if name in fences:
                 return
@@ -150,7 +161,7 @@ class PageParser(HTMLParser):
             self.run = len(self.nodes) - 1
         node = self.nodes[self.run]
         node.text.append(data)
-        if self.links:
+        if self.count["a"]:
             node.linked += len(data.strip())
 
 
@@ -158,104 +169,174 @@ def parse(html: str | None) -> list[Node]:
     parser = PageParser()
     parser.feed(html or "")
     parser.close()
+    for node in parser.nodes:
+        if node.tag == "#text":
+            node.text = [_SPACE.sub(" ", "".join(node.text)).strip()]
     return parser.nodes
 
 
-@lru_cache(maxsize=1)
-def vocabulary() -> dict[str, int]:
-    """Attribute words that the layouts use, numbered."""
-    words = sorted({w for names in LAYOUT.values() for n in names for w in _TOKENS.findall(n)})
-    return {w: i for i, w in enumerate(words)}
+#: Buckets of attribute words, and the bits of a node's flags: its own tag and words, then those around it.
+BUCKETS = 64
+_OWN = len(TAGS) + BUCKETS
+_FLAG_BYTES = 8 * -(-2 * _OWN // 64)
+_TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
+
+
+@lru_cache(maxsize=1 << 16)
+def _word_bit(word: str) -> int:
+    return 1 << (len(TAGS) + zlib.crc32(word.encode()) % BUCKETS)
+
+
+@dataclass(frozen=True)
+class Features:
+    """Of many nodes: columns of numbers, and flags as bits of 64-bit words."""
+
+    numbers: np.ndarray
+    flags: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.numbers.shape[1] + 2 * _OWN
+
+    def columns(self, wanted: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
+        numbers, flags = self.numbers[rows], self.flags[rows]
+        out = np.empty((len(numbers), len(wanted)), np.float32)
+        for at, j in enumerate(wanted.tolist()):
+            bit = j - numbers.shape[1]
+            out[:, at] = numbers[:, j] if bit < 0 else (flags[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)
+        return out
+
+    @classmethod
+    def joined(cls, parts: list[Features]) -> Features:
+        return cls(np.concatenate([x.numbers for x in parts]), np.concatenate([x.flags for x in parts]))
+
 
+#: Runs of text of this many characters or more count as long.
+LONG = 80
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row per node: numbers, then flags of own tag, tags around, own words, words around."""
+
+def features(nodes: list[Node]) -> Features:
+    """Numbers per node, and flags of own tag and words, and of those around it. Time and memory grow with the nodes alone."""
     n = len(nodes)
-    tag_number = {t: i for i, t in enumerate(TAGS)}
-    word_number = vocabulary()
-    chars, links, marks, below, runs = (np.zeros(n) for _ in range(5))
-    depth, before = np.zeros(n), np.zeros(n)
-    total = 0.0
-    children: list[list[int]] = [[] for _ in range(n)]
-    width = len(TAGS), len(word_number)
-    flags = np.zeros((n, 2 * sum(width)), bool)
-    own, around = slice(0, sum(width)), slice(sum(width), None)
+    chars, links, marks, runs, long, heads, below, before, depth, nth = ([0] * n for _ in range(10))
+    own, around, seen, holds = [0] * n, [0] * n, [0] * n, [0] * n
+    landmark = _TAG_BIT["article"] | _TAG_BIT["main"]
+    kinds: Counter[tuple[int, str]] = Counter()
+    total = 0
     for i, node in enumerate(nodes):
         before[i] = total
+        bits = _TAG_BIT.get(node.tag, 0)
         if node.tag == "#text":
-            text = _SPACE.sub(" ", "".join(node.text)).strip()
-            chars[i], links[i], marks[i], runs[i] = len(text), min(node.linked, len(text)), len(_MARKS.findall(text)), 1
-            total += len(text)
-        if node.tag in tag_number:
-            flags[i, tag_number[node.tag]] = True
+            text = node.text[0]
+            size = len(text)
+            chars[i], links[i], marks[i], runs[i] = size, min(node.linked, size), len(_MARKS.findall(text)), 1
+            long[i] = size if size >= LONG else 0
+            total += size
         for w in node.words:
-            if w in word_number:
-                flags[i, width[0] + word_number[w]] = True
-        if node.parent >= 0:
-            depth[i] = depth[node.parent] + 1
-            children[node.parent].append(i)
-            flags[i, around] = flags[node.parent, around] | flags[node.parent, own]
+            bits |= _word_bit(w)
+        own[i] = bits
+        p = node.parent
+        if p >= 0:
+            depth[i], nth[i] = depth[p] + 1, seen[p]
+            seen[p] += 1
+            kinds[p, node.tag] += 1
+            around[i] = around[p] | own[p]
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
-        for v in (chars, links, marks, runs):
+        for v in (chars, links, marks, runs, long, heads):
             v[p] += v[i]
+        heads[p] += nodes[i].tag in ("h1", "h2", "h3")
+        holds[p] += holds[i] + (nodes[i].tag in ("article", "main"))
         below[p] += below[i] + 1
     parent = np.array([max(0, x.parent) for x in nodes])
-    place, siblings, alike = np.zeros(n), np.ones(n), np.ones(n)
-    mean_chars, mean_links = np.log1p(chars), np.zeros(n)
-    share = links / np.maximum(chars, 1)
-    for own_children in children:
-        if own_children:
-            c = np.array(own_children)
-            place[c] = np.arange(len(c)) / len(c)
-            siblings[c] = len(c)
-            mean_chars[c] = np.log1p(chars[c]).mean()
-            mean_links[c] = share[c].mean()
-            tags = [nodes[k].tag for k in own_children]
-            alike[c] = [tags.count(t) for t in tags] if len(tags) < 200 else len(tags)
-    total = max(total, 1.0)
+    # Beside the elements that say where main text is, if the page has any.
+    beside = np.array([holds[0] > 0 and not h and not (a | b) & landmark for h, a, b in zip(holds, own, around)])
+    alike = np.array([1, *(kinds[x.parent, x.tag] for x in nodes[1:])])
+    chars, links, marks, runs, long, heads, below, before, depth, nth, seen = (np.array(v, np.float64) for v in (chars, links, marks, runs, long, heads, below, before, depth, nth, seen))
+    size, share = np.maximum(chars, 1), links / np.maximum(chars, 1)
+    siblings = np.r_[1, seen[parent[1:]]]
+
+    def mean_of_siblings(v: np.ndarray) -> np.ndarray:
+        return np.r_[v[0], (np.bincount(parent[1:], v[1:], n) / np.maximum(seen, 1))[parent[1:]]]
+
     numbers = np.stack(
         [
-            depth, np.log1p(chars), share, marks / np.maximum(chars, 1), np.log1p(below), chars / (below + 1), np.log1p(runs),
-            chars / np.maximum(runs, 1), before / total, chars / total, chars / np.maximum(chars[parent], 1), place, np.log1p(siblings),
-            np.log1p(alike), mean_chars, mean_links, share[parent],
+            depth, np.log1p(chars), share, marks / size, np.log1p(below), chars / (below + 1), np.log1p(runs), chars / np.maximum(runs, 1),
+            before / max(total, 1), chars / max(total, 1), chars / size[parent], nth / siblings, np.log1p(siblings), np.log1p(alike),
+            mean_of_siblings(np.log1p(chars)), mean_of_siblings(share), share[parent], np.log1p(long), long / size, long[parent] / size[parent],
+            heads, heads[parent], mean_of_siblings(long / size), np.full(n, float(holds[0] > 0)), beside,
         ],
         axis=1,
-    )
-    return np.concatenate([numbers, flags], axis=1)
+    ).astype(np.float32)
+    flags = b"".join((a | (b << _OWN)).to_bytes(_FLAG_BYTES, "little") for a, b in zip(own, around))
+    return Features(numbers, np.frombuffer(flags, "<u8").reshape(n, -1))
+
+
+@dataclass(frozen=True)
+class NodeModel:
+    """Trees for the kind of a node that is not mixed, and for whether it is."""
+
+    main: boosting.Trees
+    mixed: boosting.Trees
 
+    def logits(self, found: Features, at_once: int = 20_000) -> np.ndarray:
+        """Two columns of logits, main and mixed, from the features that the trees read, ``at_once`` rows at a time."""
+        out = np.empty((len(found.numbers), 2))
+        for k, trees in enumerate((self.main, self.mixed)):
+            wanted, small = trees.compact()
+            for i in range(0, len(out), at_once):
+                out[i : i + at_once, k] = small.logits(found.columns(wanted, slice(i, i + at_once)))
+        return out
 
-def decode(nodes: list[Node], logits: np.ndarray, mixed: float = 1.0, limit: float = 4.0) -> np.ndarray:
-    """True for every node that is main text, by the best labelling that agrees along every path.
 
-    A node labelled main or not gains or loses its logit (within ``limit``);
-    a mixed one pays ``mixed``. Text runs cannot be mixed.
+def decode(nodes: list[Node], logits: np.ndarray, mixed: np.ndarray, limit: float = 4.0, change: float = 2.0) -> np.ndarray:
+    """True for every node that is main text, by the likeliest labelling that agrees along every path.
+
+    A node is main text, none of it, or mixed. ``mixed`` holds the logits of
+    being mixed, ``logits`` those of being main text if not mixed; both count
+    within ``limit``. Text runs cannot be mixed. Neighbours of one tag of which
+    one is main text and the other is not pay ``change``.
     """
-    s = np.clip(logits, -limit, limit).tolist()
+    s, m = np.clip(logits, -limit, limit), np.clip(mixed, -limit, limit)
     n = len(nodes)
-    main, other, either = list(s), [-x for x in s], [-mixed] * n
+    m[[x.tag == "#text" for x in nodes]] = -np.inf
+    pure = -np.logaddexp(0, m)
+    main, other, either = (pure - np.logaddexp(0, -s)).tolist(), (pure - np.logaddexp(0, s)).tolist(), (-np.logaddexp(0, -m)).tolist()
+    # Per parent the best of its children from the last one seen on, by the label of that one (main, other, mixed).
+    rest: list[tuple[str, float, float, float]] = [("", 0.0, 0.0, 0.0)] * n
+    follow: list[tuple[int, int, int]] = [(0, 0, 0)] * n
     for i in range(n - 1, 0, -1):
-        if nodes[i].tag == "#text":
-            either[i] = -np.inf
-        p = nodes[i].parent
+        p, tag = nodes[i].parent, nodes[i].tag
         main[p] += main[i]
         other[p] += other[i]
-        either[p] += max(main[i], other[i], either[i])
+        next_tag, a, b, c = rest[p]
+        pay = change if tag == next_tag else 0.0
+        after_main = max((a, 0), (b - pay, 1), (c, 2))
+        after_other = max((b, 1), (a - pay, 0), (c, 2))
+        after_mixed = max((a, 0), (b, 1), (c, 2))
+        own = either[i] + max(rest[i][1:])
+        follow[i] = (after_main[1], after_other[1], after_mixed[1])
+        rest[p] = (tag, main[i] + after_main[0], other[i] + after_other[0], own + after_mixed[0])
     keep = np.zeros(n, bool)
-    state = [0] * n
+    state = [2] * n
+    coming: list[int | None] = [None] * n
     for i, node in enumerate(nodes):
-        above = state[node.parent] if node.parent >= 0 else 0
-        if above:
-            state[i] = above
-        elif either[i] < max(main[i], other[i]):
-            state[i] = 1 if main[i] > other[i] else 2
-        keep[i] = state[i] == 1
+        p = node.parent
+        if p < 0:
+            best = (main[0], other[0], either[0] + max(rest[0][1:]))
+            state[0] = best.index(max(best))
+        elif state[p] < 2:
+            state[i] = state[p]
+        else:
+            values = rest[p][1:]
+            state[i] = values.index(max(values)) if coming[p] is None else coming[p]
+            coming[p] = follow[i][state[i]]
+        keep[i] = state[i] == 0
     return keep
 
 
 def main_text(nodes: list[Node], keep: np.ndarray) -> str:
-    blocks = (_SPACE.sub(" ", "".join(x.text)).strip() for x, k in zip(nodes, keep) if k and x.tag == "#text")
-    return "\n\n".join(b for b in blocks if b)
+    return "\n\n".join(x.text[0] for x, k in zip(nodes, keep) if k and x.tag == "#text" and x.text[0])
 
 
 # Layout rules of the training pages: kinds of parts and the names such parts go by.
@@ -323,7 +404,7 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         if kind == "footer":
             return tag("footer footer div", name(kind), "".join(rng.sample(["&copy; " + text(2, 15), links(2, 8), f"<p>{text(4, 30)}</p>"], rng.randint(1, 3))))
         if kind == "side":
-            return tag("aside aside div section", name(kind), "".join(rng.choice((lambda: f"<h3>{text(1, 4)}</h3>" + links(3, 8), lambda: f"<p>{text(4, 30)}</p>"))() for _ in range(rng.randint(1, 3))))
+            return tag("aside aside div section", name(kind), "".join(rng.choice((lambda: f"<h3>{text(1, 4)}</h3>" + links(3, 8), lambda: links(2, 6) if plain else f"<p>{text(4, 30)}</p>"))() for _ in range(rng.randint(1, 3))))
         if kind == "ad":
             own = name(kind) or ' class="ad"'
             return f"<!-- ad --><div{own}>{text(2, 40, stops=0.15)}</div>"
@@ -337,7 +418,9 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         items = "".join(tag("div li article", name("comments"), tag("span h4 b div", "", text(1, 2)) + paragraph(False, 3, 60)) for _ in range(rng.randint(1, 6)))
         return tag("section div div ol", name(kind) or ' id="comments"', f"<h3>{text(1, 4)}</h3>" + items)
 
-    kinds = ("nav", "header", "footer", "side", "ad", "notice", "social", "form", "comments")
+    # A share of pages is without telling names or tags; there only parts that their shape tells are not main text.
+    plain = rng.random() < 0.45
+    kinds = ("nav", "header", "footer", "side", "social", "form") if plain else ("nav", "header", "footer", "side", "ad", "notice", "social", "form", "comments")
     title = tag("h1 h1 h2", "", text(2, 14, True))
     parts = [title] if rng.random() < 0.85 else []
     for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14))):
@@ -349,61 +432,85 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         if rng.random() < 0.06:
             parts.append("<table>" + "".join(f"<tr><td>{text(1, 4, True)}</td><td>{text(1, 6, True)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>")
         if rng.random() < 0.1:
-            parts.append(boilerplate(rng.choice(("ad", "social", "notice", "side", "form"))))
+            parts.append(boilerplate(rng.choice(("social", "form") if plain else ("ad", "social", "notice", "side", "form"))))
     if rng.random() < 0.25:
-        parts.append(boilerplate(rng.choice(("comments", "social", "side", "nav", "footer"))))
+        parts.append(boilerplate(rng.choice(("social", "nav") if plain else ("comments", "social", "side", "nav", "footer"))))
+    if rng.random() < 0.08:
+        parts = [*parts[:1], "<br><br>".join(re.sub(r"</?(?:p|div|section|blockquote|pre)>", "", x) for x in parts[1:])]
     own = name("main")
-    article = tag("article article article main", own, "".join(parts)) if rng.random() < 0.7 or not own else tag("div section", own, "".join(parts))
+    bare = rng.random() < (0.3 if plain else 0.08)
+    if bare:
+        article = "".join(parts)
+    else:
+        article = tag("article article article main", own, "".join(parts)) if rng.random() < 0.7 or not own else tag("div section", own, "".join(parts))
     if rng.random() < 0.25:
         article = tag("main div section", name("main"), article)
     before = [boilerplate(k) for k in rng.sample(kinds[:2], rng.randint(0, 2))] + [boilerplate(rng.choice(kinds)) for _ in range(rng.choice((0, 0, 1, 2)))]
-    after = [boilerplate(rng.choice(kinds)) for _ in range(rng.choice((0, 0, 1, 2)))] + [boilerplate("comments")] * (rng.random() < 0.25) + [boilerplate("footer")] * (rng.random() < 0.8)
+    after = [boilerplate(rng.choice(kinds)) for _ in range(rng.choice((0, 0, 1, 2)))] + [boilerplate("comments")] * (not plain and rng.random() < 0.25) + [boilerplate("footer")] * (rng.random() < 0.8)
     middle = article + "".join(after[:-1])
-    if rng.random() < 0.4:
+    if rng.random() < 0.12:
+        cells = [boilerplate(rng.choice(("nav", "side")))] * (rng.random() < 0.8) + [article] + [boilerplate("side")] * (rng.random() < 0.5)
+        middle = "<table><tr>" + "".join(f"<td{name('page') if rng.random() < 0.3 else ''}>{x}</td>" for x in cells) + "</tr></table>" + "".join(after[:-1])
+    elif rng.random() < 0.4:
         middle = tag("div", name("page"), middle if rng.random() < 0.5 else boilerplate("side") + middle)
+    if bare and rng.random() < 0.5:
+        before, after, middle = [], after[-1:] * (rng.random() < 0.5), article
     body = "".join(before) + middle + "".join(after[-1:])
+    if plain and rng.random() < 0.6:
+        body = re.sub(r' (?:class|id)="[^"]*"', "", body)
+    elif rng.random() < 0.25:
+        body = re.sub(r'(class|id)="[^"]*"', lambda m: f'{m[1]}="{"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 7)))}{rng.randint(0, 99)}"', body)
+    if plain and rng.random() < 0.6:
+        body = re.sub(r"<(/?)(?:article|main|section|nav|header|footer|aside)\b", r"<\1div", body)
+    elif rng.random() < 0.3:
+        body = re.sub(r"<(/?)(?:article|main|section)\b", r"<\1div", body)
     return f"<!DOCTYPE html><html><head><title>{text(2, 9)}</title></head><body>{body}</body></html>", used
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 600, seed: int = 17) -> boosting.Trees:
-    """Trees fitted on ``pages`` layout pages; nodes that hold both kinds of text teach nothing."""
+def trained(pages: int = 800, seed: int = 17) -> NodeModel:
+    """Trees fitted on ``pages`` layout pages: main text or not on nodes of one kind of text, mixed or not on all elements."""
     rng = random.Random(seed)
-    rows, labels, weights = [], [], []
+    rows, goods, bads, texts, weights = [], [], [], [], []
     for _ in range(pages):
         html, main = training_page(rng)
         nodes = parse(html)
         good, bad = np.zeros(len(nodes)), np.zeros(len(nodes))
         for i in range(len(nodes) - 1, -1, -1):
             if nodes[i].tag == "#text":
-                found = re.findall(r"[mx]\d+e*", "".join(nodes[i].text))
+                found = re.findall(r"[mx]\d+e*", nodes[i].text[0])
                 good[i] = sum(w in main for w in found)
                 bad[i] = len(found) - good[i] + (not found)
             if i:
                 good[nodes[i].parent] += good[i]
                 bad[nodes[i].parent] += bad[i]
-        pure = ((good > 0) ^ (bad > 0)) & (np.arange(len(nodes)) > 0)
-        rows.append(features(nodes)[pure])
-        labels.append((good > 0)[pure])
-        weights.append(np.full(int(pure.sum()), 30 / max(1, int(pure.sum()))))
-    return boosting.fit(np.concatenate(rows), np.concatenate(labels).astype(np.float64), np.concatenate(weights))
-
-
-def extract(html: str | None, trees: boosting.Trees) -> str:
+        own = features(nodes)
+        rows.append(own.columns(np.arange(own.width)))
+        goods.append(good > 0)
+        bads.append(bad > 0)
+        texts.append([x.tag == "#text" for x in nodes])
+        weights.append(np.full(len(nodes), 30 / len(nodes)))
+    x, good, bad, text, weight = (np.concatenate(v) for v in (rows, goods, bads, texts, weights))
+    pure, whole = good ^ bad, ~text & (good | bad)
+    kind = boosting.fit(x[pure], good[pure].astype(np.float64), weight[pure])
+    return NodeModel(kind, boosting.fit(x[whole], (good & bad)[whole].astype(np.float64), weight[whole]))
+
+
+def extract(html: str | None, model: NodeModel) -> str:
     nodes = parse(html)
     if not any(x.tag == "#text" for x in nodes):
         return ""
-    return main_text(nodes, decode(nodes, trees.logits(features(nodes))))
+    return main_text(nodes, decode(nodes, *model.logits(features(nodes)).T))
 
 
-def extracted(pages: DataFrame, trees: boosting.Trees | None = None) -> DataFrame:
+def extracted(pages: DataFrame, model: NodeModel | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) per row of ``pages``, of the whole html.
 
     A null or empty html, and a page without main text, give an empty text.
     Null ids and urls and repeated rows stay; an empty table gives no rows.
     Other columns are not read. Broken markup is read as far as it goes.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(trees or trained())
+    shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -416,9 +523,9 @@ def extracted(pages: DataFrame, trees: boosting.Trees | None = None) -> DataFram
                 held.append(parse(html[row].as_py()))
                 sizes += len(held[-1])
                 if sizes > 20_000 or row == batch.num_rows - 1:
-                    scores = fitted.logits(np.concatenate([features(n) for n in held]))
+                    scores = fitted.logits(Features.joined([features(n) for n in held]))
                     for nodes, own in zip(held, np.split(scores, np.cumsum([len(n) for n in held])[:-1])):
-                        texts.append(main_text(nodes, decode(nodes, own)))
+                        texts.append(main_text(nodes, decode(nodes, *own.T)))
                     held, sizes = [], 0
             sizes_out = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes_out], ["page_id", "url", "text", "n_chars"])

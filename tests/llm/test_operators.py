@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -444,13 +445,53 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert (rows.held_out == rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
 
 
-def test_unseen_words_back_off_to_shorter_grams():
-    known = {"the": (math.log(0.9), math.log(0.1))}
-    grams = ((3, {"sch": (math.log(0.1), math.log(0.9))}), (1, {"x": (math.log(0.7), math.log(0.3))}))
-    model = language.LanguageModel(("a", "b"), known, grams)
-    scorer = language.Scorer(model)
-    assert scorer.predict("The")[0] == "a" and scorer.predict("schule")[0] == "b" and scorer.predict("x")[0] == "a"
-    assert scorer.predict("zzz") == ("a", pytest.approx(0.5)) and scorer.predict("12 ²") == ("und", 0.0) and scorer.predict(None) == ("und", 0.0)
+def plain_language_scores(counts, languages, text):
+    """The language scores of a text by dictionaries, one word and one n-gram after another.
+
+    ``counts[n]`` has, per word (0) or n-gram, its counts by language.
+    """
+    def posterior(n, key):
+        logs = []
+        for lang in languages:
+            total = sum(c.get(lang, 0) for c in counts[n].values()) + 0.5 * (len(counts[n]) + 1)
+            logs.append(math.log((counts[n][key].get(lang, 0) + 0.5) / total))
+        top = max(logs)
+        return [x - top - math.log(sum(math.exp(y - top) for y in logs)) for x in logs]
+
+    sums = [0.0] * len(languages)
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        rows = [posterior(0, word)] if word in counts[0] else []
+        for n in (5, 4, 3, 2, 1):
+            if not rows:
+                padded = f" {word} "
+                rows = [posterior(n, g) for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in counts[n]]
+        rows = rows or [[-math.log(len(languages))] * len(languages)]
+        sums = [s + sum(r[k] for r in rows) / len(rows) for k, s in enumerate(sums)]
+    top = max(sums)
+    return sums.index(top), 1 / sum(math.exp(s - top) for s in sums)
+
+
+def test_language_equals_a_plain_scorer(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("the dog der", "en"), ("der hund schlief", "de"), ("die katze die der", "de"), ("le chien dort 東京都", "fr")] * 3)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=10**6)
+    counts = {n: {} for n in range(6)}
+    for _, text, lang in rows:
+        for word in text.split():
+            if word.isalpha():
+                for n in range(6):
+                    for g in [word] if n == 0 else [f" {word} "[i : i + n] for i in range(len(word) + 3 - n)]:
+                        own = counts[n].setdefault(g, {})
+                        own[lang] = own.get(lang, 0) + 1
+    languages = ("de", "en", "fr")
+    assert model.languages == languages
+    texts = ["the hund", "kater schlafend", "catnap dogs", "qqq", "東京", "x" * 300, "Die The le LE chiens", "\U0001f600 \U00020000\U00020001 der"]
+    for text, (name, score) in zip(texts, language.Scorer(model).predict_all(texts)):
+        best, wanted = plain_language_scores(counts, languages, text)
+        assert score == pytest.approx(wanted, rel=1e-4), text
+        assert wanted < 0.34 or name == languages[best], text
+    scorer = language.Scorer(model, most=1)
+    assert [scorer.predict_all([t])[0] for t in texts] == language.Scorer(model).predict_all(texts)
+    assert scorer.predict_all([None, "", "12 ² ³", "!"]) == [("und", 0.0)] * 4
 
 
 def test_language_odd_rows(spark, odd, none):
@@ -488,6 +529,52 @@ def test_layouts_not_trained_on(trees):
     assert missed < 0.03 * total and extra < 0.05 * total
 
 
+HARBOUR = (
+    "The harbour was rebuilt after the storm of 1890, and its two stone piers still stand today, although the fishing fleet left long ago.",
+    "Most of the old warehouses have been turned into flats, which the town sold to pay for a new school and a library.",
+    "In summer the quay fills with visitors who come for the market, the boats and the long evenings by the water.",
+)
+_PARAGRAPHS = "".join(f"<p>{x}</p>" for x in HARBOUR * 2)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body><div><h1>The old harbour</h1>{_PARAGRAPHS}</div></body></html>",
+        f"<body>{_PARAGRAPHS}</body>",
+        f'<div class="x9"><h2>The old harbour</h2>{_PARAGRAPHS}</div>',
+        f'<body><table><tr><td><a href="/">Home</a><br><a href="/n">News</a><br><a href="/c">Contact us</a></td><td><h1>The old harbour</h1>{_PARAGRAPHS}</td></tr></table></body>',
+        f'<body><div><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact us</a></li></ul></div><div><h1>The old harbour</h1>{_PARAGRAPHS}</div><div>Contact Town Press</div></body>',
+        '<body><div id="main">' + "<br><br>".join(HARBOUR * 2) + "</div></body>",
+        f'<body><header><a href="/">Home</a></header><section><h1>The old harbour</h1>{_PARAGRAPHS}</section><section><h3>News</h3><ul><li><a href="1">One story</a></li><li><a href="2">Other story</a></li></ul></section></body>',
+    ],
+)
+def test_pages_written_by_hand(trees, page):
+    """Pages without telling tags or names, made by no rule of the training pages."""
+    got = webpage.extract(page, trees)
+    assert all(x in got for x in HARBOUR) and not any(x in got for x in ("Home", "Contact", "News", "Other story"))
+
+
+def test_article_element_is_not_needed(spark, trees):
+    pages = [r.html for r in spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/pages.parquet").collect()]
+    before = [webpage.extract(p, trees) for p in pages]
+    after = [webpage.extract(re.sub(r"<(/?)article>", r"<\1div>", p), trees) for p in pages]
+    assert sum(a == b for a, b in zip(after, before)) >= 0.9 * len(pages) and sum(not a for a in after) <= 0.005 * len(pages)
+
+
+def test_page_work_is_linear():
+    began = time.time()
+    nodes = webpage.parse("<b>" * 16_000 + "<p>x" * 16_000)
+    assert len(nodes) == 32_001
+    wide = webpage.parse("<ul>" + "<li>one<li>two" * 20_000)
+    found = webpage.features(wide)
+    assert found.flags.nbytes + found.numbers.nbytes < 250 * len(wide)
+    assert time.time() - began < 20
+    few, many = (webpage.features(webpage.parse("<div>" + "<p>a</p><h2>b</h2>" * k)) for k in (99, 300))
+    siblings = [round(float(np.expm1(f.numbers[2, 13]))) for f in (few, many)]
+    assert siblings == [99, 300]
+
+
 def test_decoding_never_contradicts_itself():
     rng = np.random.default_rng(0)
     nodes = [webpage.Node("body", -1)] + [webpage.Node("div" if i % 3 else "#text", int(rng.integers(0, max(1, i // 2)))) for i in range(1, 60)]
@@ -495,7 +582,7 @@ def test_decoding_never_contradicts_itself():
         if nodes[n.parent].tag == "#text":
             n.parent = 0
     for _ in range(30):
-        keep = webpage.decode(nodes, rng.normal(0, 2, 60))
+        keep = webpage.decode(nodes, rng.normal(0, 2, 60), rng.normal(0, 2, 60))
         assert all(keep[i] for i, n in enumerate(nodes) if n.parent >= 0 and keep[n.parent])
 
 
