@@ -3,9 +3,10 @@
 DataFrame functions only. The mix has a size in words, cut into blocks of
 ``block_words``. The blocks go to the sources by the highest quotients
 target / (2k - 1); since that order never takes a block back, cutting it into
-shards gives every shard integer quotas per source. A source's blocks are then
-taken, in order, from its own documents laid end to end in a seeded order and
-repeated up to ``max_epochs`` times.
+shards gives every shard integer quotas per source. A source's documents, laid
+end to end in a seeded order, are dealt to the shards in proportion to their
+quotas, and a shard takes its quota of blocks from its own part of each source,
+in that seeded order and up to ``max_epochs`` times over.
 """
 
 from __future__ import annotations
@@ -86,6 +87,36 @@ def document_sizes(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), order.alias("order"))
 
 
+def shard_pools(quotas: DataFrame, block_words: int) -> DataFrame:
+    """(place, shard, begin, end, words): the part of its source's stream that a shard draws from, and the words it draws."""
+    source = Window.partitionBy("place")
+    total = F.sum("quota").over(source)
+    cut = lambda blocks: F.floor(F.col("source_size") * (blocks / total))
+    rows = quotas.where("quota > 0").select("place", "shard", cut(F.col("before")).alias("begin"), cut(F.col("before") + F.col("quota")).alias("end"), (F.col("quota") * block_words).alias("words"))
+    return rows.where("end > begin")
+
+
+def bucket_pools(pools: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(place, bucket, offset, pools): per bucket of a stream, from word ``offset``, the pools that it meets, in order.
+
+    Both are cut into cells as wide as a source's pools are on average; a pair
+    counts in the first cell that it shares. A bucket's list is as long as the
+    bucket is in pools, whatever the source's size.
+    """
+    width = pools.groupBy("place").agg(F.greatest(F.ceil(F.max("end") / F.count("*")), F.lit(1).cast("long")).alias("width"))
+
+    def cells(rows: DataFrame, low: str, high: str) -> DataFrame:
+        first, last = (F.floor(F.col(c) / F.col("width")) for c in (low, high))
+        return rows.join(width, "place").withColumn("cell", F.explode(F.sequence(first, last)))
+
+    a = cells(buckets.where("bucket_size > 0").withColumn("last", F.col("offset") + F.col("bucket_size") - 1), "offset", "last")
+    b = cells(pools.withColumn("until", F.col("end") - 1), "begin", "until").drop("width")
+    both = a.join(b, ["place", "cell"]).where((F.col("begin") <= F.col("last")) & (F.col("until") >= F.col("offset")))
+    both = both.where(F.floor(F.greatest("begin", "offset") / F.col("width")) == F.col("cell"))
+    found = both.groupBy("place", "bucket").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "words", "shard"))).alias("pools"))
+    return buckets.select("place", "bucket", "offset").join(found, ["place", "bucket"], "left")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -95,11 +126,12 @@ def mix(
     seed: int = 7,
     bucket_rows: int = 1024,
 ) -> DataFrame:
-    """(doc_id, source, size, order, source_size, target, taken, start, quota_words) per row of ``docs``.
+    """(doc_id, source, size, order, source_size, target, taken, start, pools) per row of ``docs``.
 
     ``taken`` counts the words that the selected blocks cover, repeats
     included, never over ``max_epochs`` times ``size``; ``start`` is the
-    document's place in its source's seeded stream.
+    document's place in its source's seeded stream, ``pools`` the shards' parts
+    of the stream about there.
 
     A source may hold a third of all rows, so its stream is never one group:
     it is cut by the order hash into buckets of about ``bucket_rows`` rows,
@@ -111,13 +143,11 @@ def mix(
     sized = materialised(document_sizes(docs, seed))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     targets = source_targets(per_source.select("source", "size"), weights, max_epochs)
-    quotas = shard_quotas(targets, block_words, shard_blocks).groupBy("place").agg(F.sum("quota").alias("blocks"))
-    sources = targets.join(quotas, "place", "left").withColumn("quota_words", F.coalesce("blocks", F.lit(0).cast("long")) * block_words)
     counts = per_source.select(F.col("source").alias("s"), F.greatest(F.ceil(F.col("rows") / bucket_rows), F.lit(1).cast("long")).alias("buckets"))
-    sources = sources.join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s", "blocks")
-    sources = materialised(sources)
+    sources = materialised(targets.join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    pools = materialised(shard_pools(shard_quotas(sources.drop("buckets"), block_words, shard_blocks), block_words))
 
-    named = sources.select(F.col("source").alias("s"), "place", "source_size", "target", "quota_words", "buckets")
+    named = sources.select(F.col("source").alias("s"), "place", "source_size", "target", "buckets")
     # The top 31 bits of the order pick the bucket, so buckets follow the order.
     bucket = F.floor(F.shiftrightunsigned("order", 32).cast("double") * F.col("buckets") / float(1 << 31))
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", bucket)
@@ -126,28 +156,48 @@ def mix(
     offsets = offsets.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0).cast("long")))
     within = Window.partitionBy("place", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
-    rows = rows.join(offsets.select("place", "bucket", "offset"), ["place", "bucket"])
+    rows = rows.join(bucket_pools(pools, offsets), ["place", "bucket"])
     rows = rows.withColumn("start", F.col("offset") + F.col("inner"))
-    taken = sum((words_in_epoch(e) for e in range(max_epochs)), F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", "size", "order", "source_size", "target", taken.alias("taken"), "start", "quota_words")
+    return rows.withColumn("taken", words_taken(max_epochs)).select("doc_id", "source", "size", "order", "source_size", "target", "taken", "start", "pools")
+
+
+def _part(pool: Column, epoch: int) -> tuple[Column, Column]:
+    """The words of a document, from and to, that a pool's pass ``epoch`` (from 0) takes: the pool's first ones, all but in its last pass."""
+    width = pool["end"] - pool["begin"]
+    upto = pool["begin"] + F.greatest(F.lit(0).cast("long"), F.least(width, pool["words"] - width * epoch))
+    low, high = F.greatest(F.col("start"), pool["begin"]), F.least(F.col("start") + F.col("size"), upto)
+    return low - F.col("start"), F.greatest(low, high) - F.col("start")
+
+
+def words_taken(epochs: int) -> Column:
+    def own(pool: Column) -> Column:
+        return sum((to - since for since, to in (_part(pool, e) for e in range(epochs))), F.lit(0).cast("long"))
+
+    return F.coalesce(F.aggregate("pools", F.lit(0).cast("long"), lambda a, pool: a + own(pool)), F.lit(0).cast("long"))
+
 
+def ranges_taken(epochs: int) -> Column:
+    """Array of (since, to): the words of a document that each pass takes, whole documents as one range."""
+    def of(epoch: int) -> Column:
+        parts = F.transform("pools", lambda pool: F.struct(*[c.alias(n) for c, n in zip(_part(pool, epoch), ("since", "to"))]))
+        parts = F.filter(parts, lambda r: r["to"] > r["since"])
+        words = F.aggregate(parts, F.lit(0).cast("long"), lambda a, r: a + r["to"] - r["since"])
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("since"), F.col("size").alias("to")))
+        return F.when((words == F.col("size")) & (F.col("size") > 0), whole).otherwise(parts)
 
-def words_in_epoch(epoch: int) -> Column:
-    """Words of a document that pass ``epoch`` (from 0) over its source takes: a prefix, whole but for the last document."""
-    left = F.col("quota_words") - F.col("source_size") * epoch - F.col("start")
-    return F.greatest(F.lit(0).cast("long"), F.least("size", left))
+    return F.concat(*[of(e) for e in range(epochs)])
 
 
 def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 7, **options) -> DataFrame:
     """The mix as documents: one row per pass that takes a document, with the columns of ``docs``.
 
-    A document that the last block of its source cuts is written with its
-    first words that were taken, joined by spaces; there is at most one per
-    source. Documents of no words are never taken. ``n_chars``, if there, is counted anew for a cut text.
+    A document that the last block of a shard's part of its source cuts is
+    written with the words that were taken, joined by spaces; there are at most
+    a few per shard and source. Documents of no words are never taken.
+    ``n_chars``, if there, is counted anew for a cut text.
     """
     taken = mix(docs, max_epochs=max_epochs, seed=seed, **options).where("taken > 0")
-    passes = F.filter(F.array(*[words_in_epoch(e) for e in range(max_epochs)]), lambda w: w > 0)
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("order").alias("_order"), F.col("size").alias("_size"), F.col("start").alias("_start"), passes.alias("_passes"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("order").alias("_order"), F.col("size").alias("_size"), F.col("start").alias("_start"), ranges_taken(max_epochs).alias("_passes"))
     # Equal rows share id and order; numbering both sides pairs them one to one.
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
     taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_order").orderBy("_start", "_size")))
@@ -155,9 +205,10 @@ def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 7, **optio
     named = named.withColumn("_m", F.row_number().over(Window.partitionBy("doc_id", "_o").orderBy("doc_id")))
     joined = named.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_o") == F.col("_order")) & (F.col("_m") == F.col("_n")))
     rows = joined.withColumn("_words", F.explode("_passes"))
-    cut = F.col("_words") < F.col("_size")
-    text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    length = F.col("_words.to") - F.col("_words.since")
+    cut = length < F.col("_size")
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_words.since") + 1).cast("int"), length.cast("int"))
+    rows = rows.withColumn("text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
