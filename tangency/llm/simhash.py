@@ -78,19 +78,24 @@ def _fingerprint_batches(width: int, at_once: int = 200_000):
                 if rows and (n >= at_once or row == batch.num_rows - 1):
                     out[rows] = majority_bits(np.concatenate(hashes), np.array(counts))
                     hashes, counts, rows, n = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint, as a signed long, of every row's whole text.
+    """(doc_id, text_hash, fp): the 64-bit fingerprint, as a signed long, of every row's whole text, and the text's hash.
 
     Null, empty and white-space texts get fingerprint 0.
     """
     doc_id = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", doc_id), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_fingerprint_batches(width), schema)
+    schema = T.StructType([T.StructField("doc_id", doc_id), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_hash().alias("text_hash")).mapInArrow(_fingerprint_batches(width), schema)
+
+
+def text_hash() -> Column:
+    """Tells the texts of one doc_id apart; a null text is unlike an empty one."""
+    return F.xxhash64(F.lit(23), "text", F.col("text").isNull())
 
 
 def _pick(value: Column, segments: int, bits: int, index: Column) -> Column:
@@ -143,6 +148,14 @@ def hamming_links(fps: DataFrame, bucket: int = 1024) -> DataFrame:
     return cool.union(hot)
 
 
+def _labelled(docs: DataFrame, width: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), written, and (fp, component): the least fingerprint that each is linked to."""
+    rows = materialised(fingerprints(docs, width))
+    groups = rows.select("fp").distinct()
+    found = components(hamming_links(groups, bucket)).select(F.col("node").alias("fp"), "component")
+    return rows, groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, bucket: int = 1024) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -153,25 +166,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, bucket: int = 1024) -> Data
     null ids. Repeated rows stay repeated. An empty table gives no rows. Other
     columns are not read.
     """
-    rows = materialised(fingerprints(docs, width))
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(hamming_links(groups, bucket)).select(F.col("node").alias("fp"), "component")
-    known = groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rows, labels = _labelled(docs, width, bucket)
+    known = rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(labels, "fp")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = known.join(least, "component").select("fp", "component_id")
-    return rows.join(labels, "fp").select(
+    named = labels.join(least, "component").select("fp", "component_id")
+    return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of each near-duplicate component: that of the least doc_id.
+def keep_first(docs: DataFrame, width: int = 3, bucket: int = 1024) -> DataFrame:
+    """One row of each near-duplicate component: the least doc_id, nulls last, and of its texts there the least hash.
 
-    Rows without a doc_id cannot be named by a component and all stay. Of
-    repeated rows of the kept doc_id one stays, the least text first.
+    Every component keeps a row, whatever its ids: rows of one doc_id that are
+    no near copies stay each for its own component, and of rows without a
+    doc_id one stays if the component has none with. Of equal rows one stays.
     """
-    found = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    once = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return once.union(docs.where("doc_id is null"))
+    rows, labels = _labelled(docs, width, bucket)
+    row = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
+    # Least rows per fingerprint first, so a group of copies is one row where components meet.
+    first = rows.groupBy("fp").agg(F.min(row).alias("row")).join(labels, "fp").groupBy("component").agg(F.min("row").alias("row"))
+    kept = first.select(F.col("row.b").alias("_id"), F.col("row.c").alias("_hash")).distinct()
+    named = docs.withColumn("_text_hash", text_hash())
+    found = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    once = Window.partitionBy("doc_id", "_text_hash").orderBy("doc_id")
+    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
