@@ -12,6 +12,7 @@ fewer shards.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -37,8 +38,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# Fixed value: how the tokenizer file cuts words.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# How the tokenizer file cuts words, and the normal form that it gives them before.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_PARTS = regex.compile(_CUT)
+
+
+def cuts_as_expected(tokenizer) -> bool:
+    """True if a tokenizer lower-cases, drops white space and cuts words as this module does by itself."""
+    parts = json.loads(tokenizer.to_str())
+    normal, cut = ((parts.get(k) or {}).get(n, []) for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    regexes = [x.get("pattern", {}).get("Regex") for x in [*normal, *cut]]
+    return (
+        [(x["type"], r) for x, r in zip(normal, regexes)] == _NORMAL
+        and [x["type"] for x in cut] == ["Split", "ByteLevel"]
+        and regexes[len(normal)] == _CUT
+        and (cut[0].get("behavior"), cut[0].get("invert")) == ("Removed", True)
+        and not cut[1].get("add_prefix_space")
+        and not parts.get("post_processor")
+    )
 
 
 def _byte_letters() -> dict[int, str]:
@@ -74,7 +92,8 @@ class WordCache:
     of Latin-1 letters and marks, to which normal forms make no difference, is
     cut into parts as the tokenizer would and each part is given to the BPE
     model; any other word, or one with the beginning of a special token, goes
-    through the whole tokenizer.
+    through the whole tokenizer. A file that cuts in another way is not taken
+    apart: whole texts go through it.
     """
 
     def __init__(self, path: str, most: int = 350_000):
@@ -82,6 +101,7 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.plain = cuts_as_expected(self.tokenizer)
         self.letters = _byte_letters()
         self.words = _Generations(self._word, most)
         self.parts = _Generations(self._part, most // 2)
@@ -93,13 +113,18 @@ class WordCache:
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if max(text) > "\xff" or "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(text)
         text = text.lower()
         if text.isalpha():
             return self.parts[text]
         return b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: bytes) -> bytes:
+        if not self.plain:
+            return self._whole(text.decode())
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
@@ -169,15 +194,16 @@ def place(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np
 def _deal(items: DataFrame, shards: int, sequence: int, round_: int) -> DataFrame:
     """``items`` plus seq, the sequence they are placed in, and at, the place in it.
 
-    An item's shard is a hash of its row, so a rerun deals it alike. Sequences
-    are numbered within their shard and round.
+    ``items`` come from a written table. An item's shard is a hash of its row
+    and its place there, so a rerun deals it alike and equal rows do not meet
+    in one shard. Sequences are numbered within their shard and round.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         where, at = place(group["length"].to_numpy(), sequence)
         return group.assign(seq=(round_ << 60) + group["shard"].to_numpy() * (1 << 24) + where, at=at)
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_), *items.columns), F.lit(shards)).cast("long"))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_), F.monotonically_increasing_id(), *items.columns), F.lit(shards)).cast("long"))
     schema = T.StructType([*dealt.schema.fields, T.StructField("seq", T.LongType()), T.StructField("at", T.LongType())])
     return dealt.groupBy("shard").applyInPandas(run, schema).drop("shard")
 
@@ -195,7 +221,7 @@ def pack(rows: DataFrame, sequence: int = SEQUENCE, shard_sequences: int = 1024)
     shards = max(1, -(-total // (sequence * shard_sequences)))
     first = materialised(_deal(rows, shards, sequence, 0))
     filled = first.groupBy(F.col("seq").alias("old")).agg(F.sum("length").alias("length"))
-    again = _deal(filled.where(F.col("length") <= sequence - sequence // 64), -(-shards // 64), sequence, 1)
+    again = _deal(materialised(filled.where(F.col("length") <= sequence - sequence // 64)), -(-shards // 64), sequence, 1)
     again = again.select("old", F.col("seq").alias("new"), F.col("at").alias("base"))
     return first.join(again, F.col("seq") == F.col("old"), "left").select(
         *rows.columns,
