@@ -267,7 +267,7 @@ def _compare_batches(length: int, at_once: int = 8192):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*batch.to_pydict().values()):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if len(rows) >= at_once and row[0] != rows[-1][0]:
                     yield covers(rows)
                     rows = []
@@ -279,8 +279,26 @@ def _compare_batches(length: int, at_once: int = 8192):
 
 
 def with_ident(docs: DataFrame) -> DataFrame:
-    """``docs`` plus _ident, a hash of doc_id and text that tells rows apart; equal rows share it."""
-    return docs.withColumn("_ident", F.xxhash64("doc_id", "text"))
+    """``docs`` plus _ident, a 64-bit hash of doc_id and text; equal rows share it, unequal ones never do.
+
+    Hashes that unequal rows share, of which a table of n rows has about n^2 /
+    2^65, are found by a second hash and given anew with another seed.
+    """
+    shared: list[list[int]] = []
+
+    def name(salt: int):
+        out = F.xxhash64("doc_id", "text")
+        for i, clashes in enumerate(shared[:salt]):
+            out = F.when(out.isin(clashes), F.xxhash64(F.lit(i), "doc_id", "text")).otherwise(out)
+        return out
+
+    while True:
+        rows = docs.select(name(len(shared)).alias("a"), F.xxhash64(F.lit(-1), "doc_id", "text").alias("b"))
+        twice = rows.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high")
+        clashes = [r.a for r in twice.select("a").collect()]
+        if not clashes:
+            return docs.withColumn("_ident", name(len(shared)))
+        shared.append(clashes)
 
 
 _PART = "key long, digest long, ident long, pos long, single boolean, data binary, used array<int>, tied boolean"
@@ -334,14 +352,14 @@ def _divided(rows: DataFrame, length: int, most: int) -> tuple[DataFrame, list[D
 
 
 def repeated_covers(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -> DataFrame:
-    """(_ident, covers): per row the stretches, as start * 4096 + bytes, that strings found elsewhere cover.
+    """(_ident, covers): per row of (doc_id, _ident, _data) the stretches, as start * 4096 + bytes, that strings found elsewhere cover.
 
     Rows without any are absent. Stretches overlap and come in any order; one
     is less than two windows long. Anchors found over ``most`` times are
     divided by further anchors until no group has over ``most`` contexts; none
     is left out.
     """
-    texts = with_ident(docs).select("_ident", F.col("text").cast("binary").alias("_data"))
+    texts = docs.select("_ident", "_data")
     runs = texts.mapInArrow(_run_batches(length), "anchor long, context long, ident long, pos long")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
     # Written first, so that both sides of the join are plain exchanges and a frequent anchor can be split.
@@ -368,11 +386,13 @@ def repeated_covers(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -
             rows = rows.select(F.col("anchor").alias("key"), "one.ident", "one.pos", (F.col("n") == 1).alias("single"), "one.data", F.array(F.lit(0)).alias("used"))
             divided, known = _divided(rows, length, most)
     wanted = wanted.select(F.col("anchor").alias("key"), "one.ident", "one.pos", (F.col("n") == 1).alias("single"))
-    # Equal rows share an ident; either text will do.
+    # Equal rows share an ident; either text will do. With doc_id the texts are dealt just
+    # as for the cut itself, so both joins read one exchange.
     start, size = F.shiftright("pos", 24).cast("int") + 1, F.shiftright("pos", 12).bitwiseAND(F.lit(4095).cast("long")).cast("int")
-    pieces = wanted.join(texts, F.col("ident") == F.col("_ident")).select("key", "ident", "pos", "single", F.substring("_data", start, size).alias("data"))
+    dealt = docs.select("doc_id", "_ident", "_data")
+    pieces = wanted.join(dealt, F.col("ident") == F.col("_ident")).select("key", "ident", "pos", "single", F.substring("_data", start, size).alias("data"), "doc_id")
     if divided is not None:
-        pieces = pieces.union(divided)
+        pieces = pieces.union(divided.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
     compared = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_batches(length), "ident long, cover long")
     for more in (*known, compared):
         whole = whole.union(more)
@@ -423,8 +443,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = 20_000) ->
     null doc_id stays null. An empty table gives no rows. Other columns are
     not read.
     """
-    covers = repeated_covers(docs, length, most)
     rows = with_ident(docs).select("doc_id", "_ident", F.col("text").cast("binary").alias("_data"))
+    covers = repeated_covers(rows, length, most)
     rows = rows.join(covers, "_ident", "left").select("doc_id", "_data", "covers")
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -439,20 +459,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -
     A cut may fall within a character; bytes that no longer form one go too.
     ``n_chars``, if there, is counted anew where text was cut. Null texts stay null.
     """
-    covers = repeated_covers(docs, length, most)
-    rows = with_ident(docs).withColumn("_data", F.col("text").cast("binary")).join(covers, "_ident", "left")
     names = docs.columns
-    plain = [c for c in names if c != "text"]
+    # Other columns go by number, so none clashes with those added here.
+    rest = {c: f"p{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}
+    named = with_ident(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(p) for c, p in rest.items()])).withColumn("_data", F.col("text").cast("binary"))
+    covers = repeated_covers(named.select("doc_id", "_ident", "_data"), length, most)
+    rows = named.join(covers, "_ident", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lists = batch.column("text"), batch.column("covers")
             out = [None if texts[i].as_py() is None else cut_text(texts[i].as_py(), lists[i].values)[0].decode("utf-8", "ignore") for i in range(batch.num_rows)]
-            columns = {c: batch.column(c) for c in plain} | {"text": pa.array(out, pa.string())}
-            if "n_chars" in plain:
+            columns = {"doc_id": batch.column("doc_id"), "text": pa.array(out, pa.string())} | {c: batch.column(p) for c, p in rest.items()}
+            if "n_chars" in rest:
                 old = columns["n_chars"]
                 counts = [old[i].as_py() if lists[i].values is None else len(out[i]) for i in range(batch.num_rows)]
                 columns["n_chars"] = pa.array(counts, old.type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return rows.select(*plain, F.col("_data").alias("text"), "covers").mapInArrow(run, docs.schema)
+    return rows.select("doc_id", *rest.values(), F.col("_data").alias("text"), "covers").mapInArrow(run, docs.schema)

@@ -189,6 +189,43 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert {r.source: r.n for r in taken if r.n} == dict(got)
 
 
+def test_every_shard_takes_its_quota(spark):
+    """Shard by shard and source by source, against the pools laid out one word after another."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    options = dict(block_words=32, shard_blocks=200, bucket_rows=7)
+    rows = mixing.mix(docs, **options).collect()
+    sources = {r.source: (r.source_size, r.target) for r in rows}
+    places = {s: i + 1 for i, s in enumerate(sorted(sources))}
+    frame_ = spark.createDataFrame([(s, places[s], z, t) for s, (z, t) in sources.items()], "source string, place int, source_size long, target double")
+    quotas = mixing.shard_quotas(frame_, 32, 200).where("quota > 0").collect()
+    blocks = collections.Counter()
+    for q in quotas:
+        blocks[q.source] += q.quota
+    assert len({q.shard for q in quotas}) > 5
+    wanted, taken_in = collections.defaultdict(lambda: np.zeros(0, int)), {}
+    for source, (size, _) in sources.items():
+        wanted[source] = np.zeros(size, int)
+    for q in quotas:
+        size = sources[q.source][0]
+        low, high = (math.floor(size * (b / blocks[q.source])) for b in (q.before, q.before + q.quota))
+        left = min(q.quota * 32, 3 * (high - low))
+        taken_in[q.shard, q.source] = left
+        for _ in range(3):
+            now = min(left, high - low)
+            wanted[q.source][low : low + now] += 1
+            left -= now
+        assert q.quota * 32 - taken_in[q.shard, q.source] <= 3
+    for r in rows:
+        assert r.taken == wanted[r.source][r.start : r.start + r.size].sum(), r.doc_id
+    text_words = {r.doc_id: r.text.encode().split() for r in docs.collect()}
+    got = collections.defaultdict(collections.Counter)
+    for r in mixing.mixed_documents(docs, **options).collect():
+        own, whole = r.text.encode().split(), text_words[r.doc_id]
+        assert own == whole or any(whole[i : i + len(own)] == own for i in range(len(whole)))
+        got[r.doc_id]["words"] += len(own)
+    assert {r.doc_id: r.taken for r in rows if r.taken} == {k: v["words"] for k, v in got.items()}
+
+
 def test_mixing_odd_rows(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r.taken <= 3 * r.size for r in rows)
@@ -433,6 +470,33 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_other_tokenizer_files_are_not_taken_apart():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "It's a  test,\nwith ñandú and <|endoftext|> 42 日本"
+    for name, plain in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        cache = packing.WordCache(path)
+        assert cache.plain == plain
+        assert np.frombuffer(cache.ids(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1024).cast("long").alias("length"))
+    out = packing.pack(rows, 4096, 64).collect()
+    shards = {(r.sequence_id >> 24) & 0xFFFF for r in out if not r.sequence_id >> 60}
+    assert len(out) == 4000 and len(shards) >= 8
+    assert len({r.sequence_id for r in out}) <= 1.1 * 1000
+
+
+def test_one_row_of_each_component_stays(spark):
+    text, other, third = ("alpha beta gamma delta epsilon zeta " * 20, "one two three four five six seven " * 20, "red green blue black white pink " * 20)
+    rows = [(1, text), (1, other), (2, text), (None, other), (None, third), (None, third), (3, None), (4, ""), (1, text)]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text), (1, other), (None, third), (3, None)], key=str)
+
+
 # Language
 
 
