@@ -77,3 +77,23 @@ def rigid_pairs(bodies: DataFrame, keys: tuple[str, ...], number: str = "body_id
     """Combinations a < b of the bodies of a scene, without pairs of two fixed ones."""
     a, b = _side(bodies, "a", keys), _side(bodies, "b", keys)
     return a.join(b, list(keys)).where((F.col(f"a_{number}") < F.col(f"b_{number}")) & ~(F.col(f"a_{fixed}") & F.col(f"b_{fixed}")))
+
+
+def sorted_pairs(boxes: DataFrame, width: float, number: str = "body_id", keys: tuple[str, ...] = ("query_id",), axis: str = "x") -> DataFrame:
+    """Touching pairs of a key, found along one axis as a sort and forward scan finds them.
+
+    The axis is cut into strips of ``width``; the box that begins later is
+    looked up in the strips of the other, so a scan reads only boxes that begin
+    within it, and strips are tasks of their own. No box meets itself.
+    """
+    low, high = f"min_{axis}", f"max_{axis}"
+    strip = lambda c: F.floor(F.col(c) / width)
+    begins = boxes.withColumn("strip", strip(low))
+    spans = boxes.withColumn("strip", F.explode(F.sequence(strip(low), strip(high))))
+    a, b = _side(spans, "a", (*keys, "strip")), _side(begins, "b", (*keys, "strip"))
+    later = (F.col(f"b_{low}") > F.col(f"a_{low}")) | ((F.col(f"b_{low}") == F.col(f"a_{low}")) & (F.col(f"b_{number}") > F.col(f"a_{number}")))
+    met = a.join(b, [*keys, "strip"]).where(later & g.boxes_touch()).drop("strip")
+    swap = F.col(f"a_{number}") > F.col(f"b_{number}")
+    rest = [c for c in boxes.columns if c not in keys]
+    out = [F.when(swap, F.col(f"{t}_{c}")).otherwise(F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s, t in (("a", "b"), ("b", "a")) for c in rest]
+    return met.select(*keys, *out)

@@ -133,6 +133,15 @@ def rank_policies(rows: DataFrame, group: str, truth: str, policies: dict[str, C
     return out.select("policy", "all_calls", "calls", (1.0 - F.col("calls") / F.col("all_calls")).alias("saved"), *[F.col("_p")[i].alias(f"rank_p{n}") for i, n in enumerate((50, 90, 99))])
 
 
+def parameter_sweep(rows: DataFrame, options: dict[int, Column], truth: str, cost: str) -> DataFrame:
+    """Per option (a short list of predicates that keep rows) its calls, misses, recall and work, in one pass over the rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("option"), keep.alias("kept")) for i, keep in options.items()])).alias("o")
+    own = rows.select(F.col(truth).alias("truth"), F.col(cost).alias("cost"), each).select("truth", "cost", "o.*")
+    kept, hit = F.col("kept"), F.col("truth")
+    out = own.groupBy("option").agg(F.count_if(kept).alias("calls"), F.count_if(hit & ~kept).alias("fn"), F.count_if(hit & kept).alias("_tp"), F.sum(F.when(kept, F.col("cost")).otherwise(0.0)).alias("work"))
+    return out.withColumn("recall", ratio(F.col("_tp"), F.col("_tp") + F.col("fn"))).drop("_tp")
+
+
 def mean_interval(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Mean, sample deviation and half width of the 95 % interval, 1.96 s / sqrt(n)."""
     out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))

@@ -93,11 +93,36 @@ def early_stop(candidates: DataFrame, limit: int = 4, threshold: float = 0.97, p
     return out
 
 
+def order_key(priority="priority", cost="cost", number="candidate_id"):
+    """A struct that sorts rows as ``order_window`` does: by its least value comes the first row, nulls and NaN alike."""
+    p = F.col(priority) if isinstance(priority, str) else priority
+    rest = [F.col(c) for c in (cost, number) if c is not None]
+    return F.struct(p.isNull().alias("a"), (~F.coalesce(F.isnan(p.cast("double")), F.lit(False))).alias("b"), (-p).alias("c"), *[c.alias(f"d{i}") for i, c in enumerate(rest)])
+
+
+def first_hits(candidates: DataFrame, key, hit="collides", group: str = "query_id") -> DataFrame:
+    """Candidates with ``_key`` and ``_first``, the key of their group's first hit in that order (null without one).
+
+    A group is never sorted or held: its first hit is an aggregate that
+    combines before it shuffles, and goes back by a join that skewed groups may split.
+    """
+    rows = candidates.withColumn("_key", key)
+    first = rows.where(hit).groupBy(group).agg(F.min("_key").alias("_first"))
+    return rows.join(first, group, "left")
+
+
 def any_hit(candidates: DataFrame) -> DataFrame:
     """Per group the calls until the first collision in schedule order; all of them if there is none (rank: size + 1)."""
-    rows = ranked(candidates)
-    hit = F.min(F.when(F.col("collides"), F.col("rn")))
-    return rows.groupBy("query_id").agg(F.count("*").alias("all_calls"), F.coalesce(hit, F.count("*")).alias("calls"), F.coalesce(hit, F.count("*") + 1).alias("first_rank"), F.max("collides").alias("truth"))
+    rows = first_hits(candidates, order_key()).groupBy("query_id")
+    size, upto, truth = F.count("*"), F.count_if(F.col("_key") <= F.col("_first")), F.coalesce(F.max("collides"), F.lit(False))
+    return rows.agg(size.alias("all_calls"), F.when(truth, upto).otherwise(size).alias("calls"), F.when(truth, upto).otherwise(size + 1).alias("first_rank"), F.max("collides").alias("truth"))
+
+
+def first_positive(candidates: DataFrame, cost: str, key=None) -> DataFrame:
+    """Per group with a collision its rank in schedule order and the cost of what comes before it."""
+    rows = first_hits(candidates, order_key() if key is None else key).where("_first is not null").groupBy("query_id")
+    before = F.col("_key") < F.col("_first")
+    return rows.agg((F.count_if(before) + 1).alias("first_rank"), F.sum(F.when(before, F.col(cost)).otherwise(0.0)).alias("cost_before"))
 
 
 def top_k_then_scan(candidates: DataFrame, k: int) -> DataFrame:

@@ -207,9 +207,9 @@ def m8_discrete_check(spark, d):
     return metrics.confusion(rows, "collided", "predicted").select("tp", "tn", "fp", "fn")
 
 
-@query(_DISCRETE + "SELECT query_id, count(*) AS pairs, CAST(sum(CASE WHEN margin <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS flagged, round(min(margin), 6) + 0e0 AS worst FROM s WHERE query_id % 2 = 0 GROUP BY query_id")
+@query(_DISCRETE + "SELECT query_id, count(*) AS pairs, CAST(sum(CASE WHEN margin <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS flagged, round(min(margin), 6) + 0e0 AS worst FROM s GROUP BY query_id")
 def m11_robot_margin(spark, d):
-    rows = contacts(spark, d).where("query_id % 2 = 0").withColumn("margin", g.sampled_margin(*_sides(), F.col("a_r") + F.col("b_r"), 5))
+    rows = contacts(spark, d).withColumn("margin", g.sampled_margin(*_sides(), F.col("a_r") + F.col("b_r"), 5))
     return rows.groupBy("query_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("margin") <= 0).alias("flagged"), r6(F.min("margin")).alias("worst"))
 
 
@@ -232,12 +232,12 @@ def r22_touched_slabs(spark, d):
     return rows.select("query_id", "a_body_id", "b_body_id", F.col("slab_id").cast("int").alias("slab_id"))
 
 
-@query(CONTACTS + """, met AS (SELECT *, (b_x0 + (b_x1 - b_x0) * toi) - (a_x0 + (a_x1 - a_x0) * toi) AS nx, (b_y0 + (b_y1 - b_y0) * toi) - (a_y0 + (a_y1 - a_y0) * toi) AS ny, (b_z0 + (b_z1 - b_z0) * toi) - (a_z0 + (a_z1 - a_z0) * toi) AS nz,
+@query(CONTACTS + """, met AS MATERIALIZED (SELECT *, (b_x0 + (b_x1 - b_x0) * toi) - (a_x0 + (a_x1 - a_x0) * toi) AS nx, (b_y0 + (b_y1 - b_y0) * toi) - (a_y0 + (a_y1 - a_y0) * toi) AS ny, (b_z0 + (b_z1 - b_z0) * toi) - (a_z0 + (a_z1 - a_z0) * toi) AS nz,
   a_r * a_r * a_r * (4e0 / 3e0 * pi()) AS ma, b_r * b_r * b_r * (4e0 / 3e0 * pi()) AS mb, a_x1 - a_x0 AS vax, a_y1 - a_y0 AS vay, a_z1 - a_z0 AS vaz, b_x1 - b_x0 AS vbx, b_y1 - b_y0 AS vby, b_z1 - b_z0 AS vbz FROM contacts),
-n AS (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS s FROM met),
-u AS (SELECT *, CASE WHEN s <= 1e-12 THEN 1e0 ELSE nx / s END AS ux, CASE WHEN s <= 1e-12 THEN 0e0 ELSE ny / s END AS uy, CASE WHEN s <= 1e-12 THEN 0e0 ELSE nz / s END AS uz FROM n),
-c AS (SELECT *, (vax-vbx)*ux + (vay-vby)*uy + (vaz-vbz)*uz AS closing FROM u),
-i AS (SELECT *, CASE WHEN collided AND closing > 0 THEN -(1e0 + 0.8e0) * closing / (1e0/ma + 1e0/mb) ELSE 0e0 END AS j FROM c)
+n AS MATERIALIZED (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS s FROM met),
+u AS MATERIALIZED (SELECT *, CASE WHEN s <= 1e-12 THEN 1e0 ELSE nx / s END AS ux, CASE WHEN s <= 1e-12 THEN 0e0 ELSE ny / s END AS uy, CASE WHEN s <= 1e-12 THEN 0e0 ELSE nz / s END AS uz FROM n),
+c AS MATERIALIZED (SELECT *, (vax-vbx)*ux + (vay-vby)*uy + (vaz-vbz)*uz AS closing FROM u),
+i AS MATERIALIZED (SELECT *, CASE WHEN collided AND closing > 0 THEN -(1e0 + 0.8e0) * closing / (1e0/ma + 1e0/mb) ELSE 0e0 END AS j FROM c)
 SELECT query_id, count(*) AS pairs, round(sum(ma*(vax+ux*j/ma) + mb*(vbx-ux*j/mb)), 4) + 0e0 AS momentum_x, round(sum(0.5e0*(ma*((vax+ux*j/ma)*(vax+ux*j/ma) + (vay+uy*j/ma)*(vay+uy*j/ma) + (vaz+uz*j/ma)*(vaz+uz*j/ma)) + mb*((vbx-ux*j/mb)*(vbx-ux*j/mb) + (vby-uy*j/mb)*(vby-uy*j/mb) + (vbz-uz*j/mb)*(vbz-uz*j/mb)))), 4) + 0e0 AS energy_after FROM i GROUP BY query_id""")
 def r23_elastic_response(spark, d):
     rows = motion.responses(contacts(spark, d), 0.8).groupBy("query_id")
