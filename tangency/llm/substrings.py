@@ -370,7 +370,8 @@ def repeated_covers(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -
 
     mixed = shared.where("kind > 0")
     contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("ident", "pos")).alias("one"))
-    again = contexts.where("n > 1").select("anchor", "context")
+    # Written too: a context found very often is then a skewed side of a plain join.
+    again = materialised(contexts.where("n > 1").select("anchor", "context"))
     whole = shared.where("kind = 0").select("ident", cover).union(mixed.join(again, ["anchor", "context"]).select("ident", cover))
 
     wanted, divided, known = contexts, None, []
