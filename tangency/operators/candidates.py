@@ -24,13 +24,13 @@ def canonical(hits: DataFrame) -> DataFrame:
 
 
 def compact(hits: DataFrame) -> DataFrame:
-    """One candidate per key: hits added, motion bounds' element-wise maxima, flags or-ed.
+    """One candidate per key: hits added, motion bounds' element-wise maxima, flags or-ed, raw_hits the rows merged.
 
     candidate_id numbers the candidates of a query from 1 in key order.
     """
     bound = [F.max(F.col("motion_bound")[i]) for i in range(4)]
     rows = canonical(hits).groupBy(*KEY).agg(
-        F.sum("hit_count").alias("hit_count"), F.array(*bound).alias("motion_bound"), F.bit_or("flags").alias("flags")
+        F.count("*").alias("raw_hits"), F.sum("hit_count").alias("hit_count"), F.array(*bound).alias("motion_bound"), F.bit_or("flags").alias("flags")
     )
     over = F.raise_error(F.lit("hit count exceeds 32 bits")).cast("long")
     rows = rows.withColumn("hit_count", F.when(F.col("hit_count") > MOST_HITS, over).otherwise(F.col("hit_count")))
@@ -42,8 +42,8 @@ def ratio(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def density(proxies: DataFrame, hits: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row per query: counts and ratios. Cross-object pairs come from group sizes: per slab (n^2 - sum n_o^2) / 2."""
+def density(proxies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row per query, from its proxies and compacted candidates: counts and ratios. Cross-object pairs come from group sizes: per slab (n^2 - sum n_o^2) / 2."""
     own = proxies.groupBy("query_id", "slab_id", "object_id").agg(F.count("*").alias("n"))
     slabs = own.groupBy("query_id", "slab_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     pairs = slabs.groupBy("query_id").agg(
@@ -51,9 +51,8 @@ def density(proxies: DataFrame, hits: DataFrame, candidates: DataFrame) -> DataF
         F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).cast("long").alias("pair_count"),
     )
     objects = own.groupBy("query_id").agg(F.countDistinct("object_id").alias("object_count"))
-    raw = hits.groupBy("query_id").agg(F.count("*").alias("raw_hit_count"))
-    kept = candidates.groupBy("query_id").agg(F.count("*").alias("candidate_count"), F.sum("hit_count").alias("_hits"))
-    rows = pairs.join(objects, "query_id").join(raw, "query_id", "left").join(kept, "query_id", "left").fillna(0)
+    kept = candidates.groupBy("query_id").agg(F.sum("raw_hits").alias("raw_hit_count"), F.count("*").alias("candidate_count"), F.sum("hit_count").alias("_hits"))
+    rows = pairs.join(objects, "query_id").join(kept, "query_id", "left").fillna(0)
     return rows.withColumns(
         {
             "raw_hits_per_proxy": ratio(F.col("raw_hit_count"), F.col("proxy_count")),

@@ -4,8 +4,8 @@ A primitive is four vertices in linear motion: a point and a triangle, or two
 edges. An interval is a collision if its start, middle or end (in that order)
 comes within eps_space; separate if the middle's distance less the largest
 motion from it leaves more than eps_space; undecided at the greatest depth or
-below eps_time; else it is halved, the left half first. Arrow batches are
-evaluated together: every round tests all open intervals of all rows at once.
+below eps_time; else it is halved, the left half first. The rows of an Arrow
+batch are evaluated together, each at its own leftmost open interval.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def segment_segment(p1: np.ndarray, q1: np.ndarray, p2: np.ndarray, q2: np.ndarr
     d1, d2, r = q1 - p1, q2 - p2, p1 - p2
     a, e, f, b, c = _dot(d1, d1), _dot(d2, d2), _dot(d2, r), _dot(d1, d2), _dot(d1, r)
     point1, point2 = a <= _ZERO, e <= _ZERO
-    s = np.clip(_share(b * f - c * e, a * e - b * b), 0, 1)
+    bottom = a * e - b * b
+    s = np.clip(np.divide(b * f - c * e, bottom, out=np.zeros_like(bottom), where=np.abs(bottom) > _ZERO), 0, 1)
     t = _share(b * s + f, e)
     s = np.where(t < 0, np.clip(_share(-c, a), 0, 1), np.where(t > 1, np.clip(_share(b - c, a), 0, 1), s))
     t = np.clip(t, 0, 1)
@@ -72,64 +73,73 @@ def point_triangle(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -
     return np.where(inside, np.abs(_share(_dot(p - a, normal), size)), edges)
 
 
-def distance(at: np.ndarray, faces: np.ndarray) -> np.ndarray:
-    """Of vertices (rows x 4 x 3): point to triangle where ``faces``, else edge to edge."""
+def distance(at: np.ndarray, faces: bool) -> np.ndarray:
+    """Of vertices (rows x 4 x 3): point to triangle if ``faces``, else edge to edge."""
     v = [at[:, i] for i in range(4)]
-    return np.where(faces, point_triangle(*v), segment_segment(*v))
+    return point_triangle(*v) if faces else segment_segment(*v)
 
 
 def certify(values: np.ndarray, faces: np.ndarray, t0: np.ndarray, t1: np.ndarray, limits: Limits = Limits()) -> dict[str, np.ndarray]:
     """status, toi_upper, margin and evaluations per row of ``values`` (rows x 24).
 
-    Left halves go first, so of several collisions that with the least start
-    counts, and intervals to its right are dropped unseen, as they would be
-    one by one; intervals to its left are still tested. ``evaluations`` counts
-    the intervals tested up to there.
+    Every row halves its own intervals, the left half first, and stops at its
+    first collision; rows take their next interval together. A row holds at
+    most one open interval per depth, so memory is bounded by the rows given.
+    ``evaluations`` counts the intervals tested.
     """
     n = len(values)
-    start, end = values[:, :12].reshape(n, 4, 3), values[:, 12:].reshape(n, 4, 3)
-    speed = _norm(end - start)
-    reach = np.where(faces, speed[:, 0] + speed[:, 1:].max(1, initial=0), speed[:, :2].max(1, initial=0) + speed[:, 2:].max(1, initial=0))
-    hit_at, toi = np.full(n, np.inf), t1.astype(float).copy()
-    margin, open_end = np.full(n, np.inf), np.zeros(n, bool)
-    unsure_at: list[tuple[np.ndarray, np.ndarray]] = []
-    tested: list[tuple[np.ndarray, np.ndarray]] = []
-    margins: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    row, a, b = np.arange(n), t0.astype(float).copy(), t1.astype(float).copy()
-    depth = 0
-    while len(row):
-        live = a < hit_at[row]
-        row, a, b = row[live], a[live], b[live]
-        tested.append((row, a))
+    out = {"status": np.zeros(n, np.int32), "toi_upper": t1.astype(float).copy(), "margin": np.zeros(n), "evaluations": np.zeros(n, np.int64)}
+    for kind in (True, False):
+        own = np.flatnonzero(faces == kind)
+        for name, found in zip(out, _certify(values[own], kind, t0[own], t1[own], limits)):
+            out[name][own] = found
+    return out
+
+
+def _certify(values: np.ndarray, faces: bool, t0: np.ndarray, t1: np.ndarray, limits: Limits) -> tuple[np.ndarray, ...]:
+    n = len(values)
+    start = values[:, :12].reshape(n, 4, 3)
+    move = values[:, 12:].reshape(n, 4, 3) - start
+    speed = _norm(move)
+    first, second = (speed[:, :1], speed[:, 1:]) if faces else (speed[:, :2], speed[:, 2:])
+    reach = first.max(1, initial=0) + second.max(1, initial=0)
+    at = lambda rows, t: distance(start[rows] + move[rows] * t[:, None, None], faces)
+
+    toi, margin, evaluations = t1.astype(float).copy(), np.full(n, np.inf), np.zeros(n, np.int64)
+    collided, unsure = np.zeros(n, bool), np.zeros(n, bool)
+    # Open intervals of each row, the leftmost on top.
+    low, high, level = np.zeros((n, limits.depth + 2)), np.zeros((n, limits.depth + 2)), np.zeros((n, limits.depth + 2), np.int16)
+    low[:, 0], high[:, 0] = t0, t1
+    top = np.zeros(n, np.int64)
+    rows, begin = np.arange(n), True
+    while len(rows):
+        place = top[rows]
+        a, b, depth = low[rows, place], high[rows, place], level[rows, place]
         mid = 0.5 * (a + b)
-        gaps = [distance(start[row] + (end[row] - start[row]) * t[:, None, None], faces[row]) for t in (a, mid, b)]
-        near = np.stack(gaps, 1) <= limits.eps_space
-        hit = near.any(1)
-        when = np.choose(near.argmax(1), [a, mid, b]) if len(row) else a
-        for r, x, t in zip(row[hit].tolist(), a[hit].tolist(), when[hit].tolist()):
-            if x < hit_at[r]:
-                hit_at[r], toi[r] = x, t
-        bound = gaps[1] - reach[row] * 0.5 * (b - a)
+        gap = at(rows, mid)
+        evaluations[rows] += 1
+        hit, when = gap <= limits.eps_space, mid
+        if begin:
+            # Ends of later intervals were tested as ends or middles of those around them.
+            ends = at(rows, a) <= limits.eps_space, at(rows, b) <= limits.eps_space
+            when = np.where(ends[0], a, np.where(hit, mid, b))
+            hit, begin = ends[0] | hit | ends[1], False
+        bound = gap - reach[rows] * 0.5 * (b - a)
         free = ~hit & (bound > limits.eps_space)
-        margins.append((row[free], a[free], np.maximum(0, bound[free] - limits.eps_space)))
+        margin[rows[free]] = np.minimum(margin[rows[free]], bound[free] - limits.eps_space)
         rest = ~hit & ~free
         stuck = rest & ((depth >= limits.depth) | (b - a <= limits.eps_time))
-        unsure_at.append((row[stuck], a[stuck]))
+        unsure[rows[stuck]] = True
+        toi[rows[hit]], collided[rows[hit]] = when[hit], True
         go = rest & ~stuck
-        row, a, mid, b = row[go], a[go], mid[go], b[go]
-        row, a, b = np.r_[row, row], np.r_[a, mid], np.r_[mid, b]
-        depth += 1
-    for r, _ in unsure_at:
-        open_end[r] = True
-    for r, _, m in margins:
-        np.minimum.at(margin, r, m)
-    evaluations = np.zeros(n, np.int64)
-    for r, x in tested:
-        np.add.at(evaluations, r[x <= hit_at[r]], 1)
-    collided = np.isfinite(hit_at)
-    status = np.where(collided, COLLISION, np.where(open_end, UNDECIDED, SEPARATION)).astype(np.int32)
-    safe = np.where((status == SEPARATION) & np.isfinite(margin), margin, 0.0)
-    return {"status": status, "toi_upper": np.where(collided, toi, t1), "margin": safe, "evaluations": evaluations}
+        r, k = rows[go], place[go]
+        low[r, k], high[r, k], level[r, k] = mid[go], b[go], depth[go] + 1
+        low[r, k + 1], high[r, k + 1], level[r, k + 1] = a[go], mid[go], depth[go] + 1
+        top[rows] = np.where(hit, -1, place + np.where(go, 1, -1))
+        rows = rows[top[rows] >= 0]
+    status = np.where(collided, COLLISION, np.where(unsure, UNDECIDED, SEPARATION)).astype(np.int32)
+    safe = np.where((status == SEPARATION) & np.isfinite(margin), np.maximum(margin, 0.0), 0.0)
+    return status, np.where(collided, toi, t1), safe, evaluations
 
 
 def certificates(queries: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -77,10 +77,12 @@ def standard_scores(rows: DataFrame, columns: Sequence[str], by: Sequence[str])
 
 
 def unit_interval(rows: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """Adds unit_<column>: min-max scaled within ``by``; 0.5 where all are equal."""
-    stats = rows.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    """Adds unit_<column>: min-max scaled within ``by``; 0.5 where all are equal. Non-finite values do not set the ends and stand at 0."""
+    x = F.col(column)
+    usable = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    stats = rows.groupBy(*by).agg(F.min(usable).alias("_lo"), F.max(usable).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
-    unit = F.when(span <= 1.0e-12, F.lit(0.5)).otherwise((F.col(column) - F.col("_lo")) / span)
+    unit = F.when(span <= 1.0e-12, F.lit(0.5)).otherwise(F.coalesce((usable - F.col("_lo")) / span, F.lit(0.0)))
     return rows.join(stats, list(by)).withColumn(f"unit_{column}", unit).drop("_lo", "_hi")
 
 
@@ -99,12 +101,18 @@ def policy_scores(rows: DataFrame, by: Sequence[str], head: str) -> DataFrame:
     return scored.withColumn("policy_score", total).drop(*[f"z_{c}" for c in weights])
 
 
-def policy_head(source: str, density: float | None = None, hard_negative: bool = False) -> str:
-    """The head for a source: hybrid for primitive queries, hard negatives and dense groups, else cost aware."""
-    # Parts of the names of primitive-query sources.
-    if "tight_inclusion" in source or "nyu" in source or hard_negative or (density is not None and density >= 256):
-        return "risk_proximity_hybrid"
-    return "cost_aware"
+#: Heads by source that a run sets itself; looked up before anything else is asked.
+SOURCE_HEADS: dict[str, str] = {}
+# Parts of the names of primitive-query sources, and the candidates per query of a dense group.
+PRIMITIVE_SOURCES = ("tight_inclusion", "nyu")
+DENSE_GROUP = 256
+
+
+def policy_head(source: str, density: float | None = None, hard_negative: bool = False, heads: dict[str, str] | None = None) -> str:
+    """The head for a source: the one set for it in ``heads``; else hybrid for primitive queries, hard negatives and dense groups, else cost aware."""
+    known = (SOURCE_HEADS if heads is None else heads).get(source)
+    risky = hard_negative or any(part in source for part in PRIMITIVE_SOURCES) or (density or 0) >= DENSE_GROUP
+    return known or ("risk_proximity_hybrid" if risky else "cost_aware")
 
 
 def group_mix(rows: DataFrame, group: str, truth: str) -> DataFrame:
@@ -122,12 +130,15 @@ def expected_random(rows: DataFrame, group: str, truth: str) -> DataFrame:
 
 def rank_policies(rows: DataFrame, group: str, truth: str, policies: dict[str, Column], order: str) -> DataFrame:
     """Per policy over positive groups: calls, share of calls saved, percentiles of the first positive's rank."""
-    parts = None
-    for name, score in policies.items():
-        rn = F.row_number().over(Window.partitionBy(group).orderBy(score.desc(), order))
-        own = rows.withColumn("_rn", rn).groupBy(group).agg(F.count("*").alias("n"), F.min(F.when(F.col(truth), F.col("_rn"))).alias("first"))
-        own = own.withColumn("policy", F.lit(name)).withColumn("calls", F.coalesce("first", "n"))
-        parts = own if parts is None else parts.unionByName(own)
+    # All policies in one pass for first hits and one for ranks; no group is sorted.
+    keys = {name: F.struct(score.isNull().alias("a"), (-score).alias("b"), F.col(order).alias("c")) for name, score in policies.items()}
+    known = rows.select(group, truth, *[key.alias(f"_k{i}") for i, key in enumerate(keys.values())])
+    first = known.where(truth).groupBy(group).agg(*[F.min(f"_k{i}").alias(f"_f{i}") for i in range(len(keys))])
+    counted = known.join(first, group, "left").groupBy(group).agg(
+        F.count("*").alias("n"), F.max(truth).alias("_hit"), *[F.count_if(F.col(f"_k{i}") <= F.col(f"_f{i}")).alias(f"_c{i}") for i in range(len(keys))]
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("policy"), F.when(F.col("_hit"), F.col(f"_c{i}")).alias("first")) for i, name in enumerate(keys)])).alias("p")
+    parts = counted.select("n", each).select("n", "p.*").withColumn("calls", F.coalesce("first", "n"))
     p = F.percentile("first", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
     out = parts.groupBy("policy").agg(F.sum("n").alias("all_calls"), F.sum("calls").alias("calls"), p.alias("_p"))
     return out.select("policy", "all_calls", "calls", (1.0 - F.col("calls") / F.col("all_calls")).alias("saved"), *[F.col("_p")[i].alias(f"rank_p{n}") for i, n in enumerate((50, 90, 99))])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
+from tangency.sources.views import checkpointed
 
 
 def order_window(group: str = "query_id"):
@@ -118,6 +119,36 @@ def any_hit(candidates: DataFrame) -> DataFrame:
     return rows.agg(size.alias("all_calls"), F.when(truth, upto).otherwise(size).alias("calls"), F.when(truth, upto).otherwise(size + 1).alias("first_rank"), F.max("collides").alias("truth"))
 
 
+def certified_until_hit(candidates: DataFrame, certify, first: int = 8, group: str = "query_id") -> DataFrame:
+    """Runs ``certify`` on the candidates of each group in schedule order until its first collision.
+
+    Gives (group, all_calls, calls, evaluated, truth): ``calls`` up to the
+    first collision or all, ``evaluated`` the rows that were certified. Ranks
+    are taken in waves of ``first``, twice as many, and so on, each written; a
+    wave certifies only groups that have not collided, so at most about twice
+    the calls are spent and the rounds are the logarithm of the largest group.
+    ``certify`` adds a boolean column collides.
+    """
+    rows = checkpointed(ranked(candidates, group))
+    sizes = checkpointed(rows.groupBy(group).agg(F.count("*").alias("all_calls")))
+    waves, open_, since, most = [], sizes.select(group), 0, sizes.agg(F.max("all_calls")).first()[0] or 0
+    while since < most:
+        upto = 2 * since + first
+        wave = rows.where((F.col("rn") > since) & (F.col("rn") <= upto)).join(open_, group, "left_semi")
+        wave = checkpointed(certify(wave).groupBy(group).agg(F.min(F.when(F.col("collides"), F.col("rn"))).alias("hit"), F.count("*").alias("evaluated")))
+        waves.append(wave)
+        open_ = wave.where("hit is null").select(group)
+        since = upto
+    if not waves:
+        return sizes.select(group, "all_calls", F.col("all_calls").alias("calls"), F.lit(0).cast("long").alias("evaluated"), F.lit(False).alias("truth"))
+    every = waves[0]
+    for wave in waves[1:]:
+        every = every.union(wave)
+    found = every.groupBy(group).agg(F.min("hit").alias("hit"), F.sum("evaluated").alias("evaluated"))
+    rows = sizes.join(found, group)
+    return rows.select(group, "all_calls", F.coalesce("hit", "all_calls").alias("calls"), "evaluated", F.col("hit").isNotNull().alias("truth"))
+
+
 def first_positive(candidates: DataFrame, cost: str, key=None) -> DataFrame:
     """Per group with a collision its rank in schedule order and the cost of what comes before it."""
     rows = first_hits(candidates, order_key() if key is None else key).where("_first is not null").groupBy("query_id")

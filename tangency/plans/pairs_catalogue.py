@@ -173,9 +173,8 @@ SELECT q.query_id, CAST(n AS BIGINT) AS proxy_count, s AS slab_count, CAST(pairs
   round(CASE WHEN pairs = 0 THEN 0 ELSE coalesce(h.raw, 0) / pairs END, 6) AS overlap_ratio, round(CASE WHEN coalesce(c.kept, 0) = 0 THEN 0e0 ELSE c.hits / c.kept END, 6) AS hits_per_candidate
 FROM per_query q LEFT JOIN (SELECT query_id, count(*) AS raw FROM hits GROUP BY ALL) h USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS kept, CAST(sum(hit_count) AS DOUBLE) AS hits FROM compacted GROUP BY ALL) c USING (query_id)""")
 def a2_density(spark, d):
-    hits = raw_hits(spark, d)
     proxies = slabs.slab_boxes(views.moving_spheres(spark, d), 4).withColumn("object_id", F.col("body_id") % 3)
-    rows = candidates.density(proxies, hits, candidates.compact(hits))
+    rows = candidates.density(proxies, candidates.compact(raw_hits(spark, d)))
     return rows.select("query_id", "proxy_count", "slab_count", "pair_count", "raw_hit_count", "candidate_count", r6(F.col("overlap_ratio")).alias("overlap_ratio"), r6(F.col("hits_per_candidate")).alias("hits_per_candidate"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
 from tangency.functions.contracts import STATUS
-from tangency.operators import broadphase, candidates, features, metrics, runtime, schedule, slabs
+from tangency.operators import broadphase, candidates, features, inference, metrics, runtime, schedule, slabs
 from tangency.plans.group_catalogue import DENSE, RANKED, dense
 from tangency.plans.pairs_catalogue import _HITS, CONTACTS, SLAB_BOXES, SPHERES, contacts, r6, raw_hits
 from tangency.sources import views
@@ -142,10 +142,9 @@ def _proxies(spark, d) -> DataFrame:
 
 
 def candidates_with_density(spark, d) -> DataFrame:
-    hits = raw_hits(spark, d)
-    found = candidates.compact(hits)
+    found = candidates.compact(raw_hits(spark, d))
     proxies = slabs.slab_boxes(views.moving_spheres(spark, d), 4).withColumn("object_id", F.col("body_id") % 3)
-    ratios = candidates.density(proxies, hits, found).select("query_id", "candidates_per_proxy", "overlap_ratio", "hits_per_candidate")
+    ratios = candidates.density(proxies, found).select("query_id", "candidates_per_proxy", "overlap_ratio", "hits_per_candidate")
     return found.join(ratios, "query_id")
 
 
@@ -279,10 +278,13 @@ def m6_no_proposal(spark, d):
     return _benchmark(spark, d, "fallback")
 
 
-@query(f"WITH b AS ({views.SWEPT_BOXES_SQL}), e AS (SELECT query_id, body_id, min_x, max_x, count(*) OVER (PARTITION BY query_id) AS n FROM b) SELECT a.query_id, a.body_id AS a_body_id, c.body_id AS b_body_id FROM b a JOIN b c ON a.query_id = c.query_id AND a.body_id < c.body_id AND {_TOUCH.replace('b.', 'c.')}")
-def m3_sort_pairs(spark, d):
-    rows = views.swept_boxes(views.moving_spheres(spark, d))
-    return broadphase.sorted_pairs(rows, 2.0).select("query_id", "a_body_id", "b_body_id")
+@query(CONTACTS + "SELECT query_id, a_body_id, b_body_id, collided, round(toi, 6) + 0e0 AS toi FROM contacts")
+def m3_sort_exact(spark, d):
+    """Pairs found along the x axis, then solved."""
+    pairs = broadphase.sorted_pairs(views.swept_boxes(views.moving_spheres(spark, d)), 2.0)
+    ends = tuple(g.vec(*[f"{s}_{k}{e}" for k in "xyz"]) for s in "ab" for e in "01")
+    met = g.swept_spheres(*ends, F.col("a_r") + F.col("b_r"))
+    return pairs.select(*_PAIR, met["collided"].alias("collided"), r6(met["toi"]).alias("toi"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey > 0 AND o_orderkey % 3 <> 0 THEN o_orderkey ELSE o_custkey + 1 END AS runtime_id, (CASE WHEN o_orderkey > 0 AND o_orderkey % 3 <> 0 THEN o_orderkey ELSE o_custkey + 1 END) * 1000003 + o_custkey % 7 + 1 AS candidate_id FROM orders")
@@ -437,3 +439,22 @@ def a30_parameter_sweep(spark, d):
     kept = lambda option: F.col("priority") >= option * 0.02 + 0.0003
     rows = metrics.parameter_sweep(dense(spark, d), {i: kept(float(i)) for i in range(1, 5)}, "collides", "full_cost")
     return rows.select("option", "calls", "fn", r6(F.col("recall")).alias("recall"), F.round("work", 4).alias("work"))
+
+
+def _network_sql() -> str:
+    """The scoring network as lists of lists."""
+    network = inference.Network.seeded()
+    rows = lambda w: "[" + ", ".join("[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in column) + "]" for column in w.T) + "]"
+    layers = [rows(w) for w, _ in network.trunk]
+    heads = {k: rows(network.heads[k][0]) for k in ("priority", "cost", "uncertainty")}
+    return f""", x AS (SELECT query_id, [{", ".join(f"f{i}" for i in range(32))}] AS v FROM f), h1 AS (SELECT query_id, list_transform({layers[0]}, lambda w: greatest(0e0, list_dot_product(w, v))) AS v FROM x),
+h2 AS (SELECT query_id, list_transform({layers[1]}, lambda w: greatest(0e0, list_dot_product(w, v))) AS v FROM h1),
+s AS (SELECT query_id, {", ".join(f"list_dot_product({w}[1], v) AS {k}" for k, w in heads.items())} FROM h2)
+SELECT query_id, round(1e0 / (1e0 + exp(-priority)), 5) AS priority, round(ln(1e0 + exp(cost)), 5) AS cost, round(1e0 / (1e0 + exp(-uncertainty)), 5) AS uncertainty, false AS ood FROM s"""
+
+
+@query(_PRIMITIVE + _network_sql())
+def e4_inference(spark, d):
+    """The five heads on the features of primitive queries; the weights are seeded, as a trained file would be read."""
+    rows = inference.scored(primitive_rows(spark, d), inference.Network.seeded(), ["query_id"])
+    return rows.select("query_id", *[F.round(c, 5).alias(c) for c in ("priority", "cost", "uncertainty")], "ood")

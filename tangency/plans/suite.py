@@ -14,7 +14,9 @@ from tangency.plans import catalogue
 METHODS = {
     "PureExact": "m1_pure_exact",
     "BroadPhaseExact": "m2_broad_phase_exact",
-    "SortBroadPhaseExact": "j3_sweep_tests",
+    "SortBroadPhaseExact": "m3_sort_exact",
+    "RuntimeExact": "m4_runtime_exact",
+    "NoProposal": "m6_no_proposal",
     "ScheduledExact": "m5_scheduled_exact",
     "DiscreteCheck": "m8_discrete_check",
     "SlabCheck": "m9_slab_recall",

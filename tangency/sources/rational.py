@@ -43,11 +43,20 @@ def rational_queries(spark: SparkSession, path: str, columns: int = 7) -> DataFr
     return rows.select("file", "query_index", checked.alias("truth"), *values)
 
 
-def with_labels(queries: DataFrame, labels: DataFrame, stem=None) -> DataFrame:
-    """Joins (file, values array) by file stem and place; a query without a label keeps null."""
+def with_labels(queries: DataFrame, labels: DataFrame, mandatory: bool = False) -> DataFrame:
+    """Joins (file, values array) by file stem and place; a query without a label keeps null.
+
+    If labels are ``mandatory``, a file whose labels are not as many as its queries is an error.
+    """
     name = lambda c: F.regexp_extract(c, r"([^/]+)\.[^./]+$", 1)
     own = labels.select(name("file").alias("_stem"), F.posexplode("values").alias("query_index", "label"))
-    return queries.withColumn("_stem", name("file")).join(own, ["_stem", "query_index"], "left").drop("_stem")
+    named = queries.withColumn("_stem", name("file"))
+    if mandatory:
+        counts = named.groupBy("_stem").agg(F.count("*").alias("_queries"))
+        sizes = labels.select(name("file").alias("_stem"), F.size("values").alias("_labels"))
+        checked = counts.join(sizes, "_stem", "full").select("_stem", F.assert_true(F.col("_queries").eqNullSafe(F.col("_labels")), "labels are not as many as queries").alias("_ok"))
+        own = own.join(checked, "_stem", "full").where(F.col("_ok").isNull()).drop("_ok")
+    return named.join(own, ["_stem", "query_index"], "left").drop("_stem")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +70,8 @@ def listing(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> D
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     parts = F.split("path", "/")
     out = files.select(F.col("path").alias("file"), F.element_at(parts, -3).alias("case"), F.element_at(parts, -2).alias("kind"), F.col("length").alias("bytes"))
-    return out.where(~F.col("case").isin(*excluded) & ~F.element_at(F.split("file", "/"), -1).startswith("._")) if excluded else out
+    out = out.where(~F.element_at(F.split("file", "/"), -1).startswith("."))
+    return out.where(~F.coalesce(F.col("case").isin(*excluded), F.lit(False))) if excluded else out
 
 
 def write_run(rows: DataFrame, meta: DataFrame, folder: str) -> None:

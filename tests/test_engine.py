@@ -41,7 +41,7 @@ def _recursive(row, face, t0, t1, limits, depth=0):
     """One interval at a time, left before right."""
     at = lambda t: (row[:12] + (row[12:] - row[:12]) * t).reshape(1, 4, 3)
     mid = 0.5 * (t0 + t1)
-    gaps = [certificate.distance(at(t), np.array([face]))[0] for t in (t0, mid, t1)]
+    gaps = [certificate.distance(at(t), face)[0] for t in (t0, mid, t1)]
     for t, d in zip((t0, mid, t1), gaps):
         if d <= limits.eps_space:
             return certificate.COLLISION, t, 0.0, 1
@@ -64,6 +64,19 @@ def _recursive(row, face, t0, t1, limits, depth=0):
     return certificate.UNDECIDED, 1.0, 0.0, calls
 
 
+def test_certificate_of_grazing_rows_stays_small():
+    """Rows in lasting near-contact open every interval to the last; memory does not grow with those."""
+    import tracemalloc
+
+    row = _row([(0.2, 0.2, 2e-6), *TRIANGLE], [(0.4, 0.4, 2e-6), *TRIANGLE])
+    limits = certificate.Limits(eps_time=2e-3)
+    tracemalloc.start()
+    found = certificate.certify(np.stack([row] * 400), np.ones(400, bool), np.zeros(400), np.ones(400), limits)
+    assert (found["status"] == certificate.UNDECIDED).all() and (found["evaluations"] == 1023).all()
+    assert tracemalloc.get_traced_memory()[1] < 4e6
+    tracemalloc.stop()
+
+
 def test_certificate_equals_one_by_one_recursion():
     rng = np.random.default_rng(3)
     rows = rng.uniform(-1, 1, (60, 24))
@@ -260,3 +273,45 @@ def test_scheduled_exact_keeps_real_crossings(spark, monkeypatch):
     assert found == {1: True, 2: False, 3: True}
     status = {r.query_id: r.status for r in catalogue.QUERIES["x1_certificate"](spark, "").collect()}
     assert status[2_000_000] == 1 and status[3_000_000] == 1 and status[1_000_000] != 1 and status[3_000_001] != 1
+
+
+def test_waves_equal_running_everything(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(int(q), i, float(rng.random() < 0.5), float(rng.random()), bool(rng.random() < (0.0 if q == 3 else 0.02))) for q in range(6) for i in range(int(rng.integers(1, 90)))]
+    rows += [(9, i, 0.5, 0.5, i == 199) for i in range(200)]
+    df = spark.createDataFrame(rows, "query_id long, candidate_id long, priority double, cost double, label boolean")
+    every = {(r.query_id, r.all_calls, r.calls, r.truth) for r in schedule.any_hit(df.withColumnRenamed("label", "collides")).collect()}
+    got = schedule.certified_until_hit(df, lambda wave: wave.withColumn("collides", F.col("label")), first=4).collect()
+    assert {(r.query_id, r.all_calls, r.calls, r.truth) for r in got} == every
+    assert all(r.calls <= r.evaluated <= min(r.all_calls, 2 * r.calls + 8) for r in got)
+    assert schedule.certified_until_hit(df.where("false"), lambda wave: wave.withColumn("collides", F.col("label"))).count() == 0
+
+
+def test_first_hits_follow_the_schedule_order(spark):
+    nan = float("nan")
+    rows = [(1, 1, None, 0.0, True), (1, 2, nan, 1.0, False), (1, 3, 0.5, None, False), (1, 4, 0.5, 0.1, True), (1, 5, 0.5, 0.1, True), (2, 1, 0.1, 0.1, False), (3, 1, None, None, True)]
+    df = spark.createDataFrame(rows, "query_id long, candidate_id long, priority double, cost double, collides boolean")
+    by_window = {r.query_id: r.first for r in schedule.ranked(df).where("collides").groupBy("query_id").agg({"rn": "min"}).toDF("query_id", "first").collect()}
+    got = {r.query_id: (r.first_rank, r.calls, r.truth) for r in schedule.any_hit(df).collect()}
+    assert got == {1: (by_window[1], 3, True), 2: (2, 1, False), 3: (1, 1, True)}
+    assert {r.query_id: r.first_rank for r in schedule.first_positive(df, "candidate_id").collect()} == {1: 3, 3: 1}
+
+
+def test_strips_find_every_pair_once(spark):
+    rng = np.random.default_rng(5)
+    low = rng.uniform(0, 10, (120, 3)).round(1)
+    size = np.where(rng.random((120, 1)) < 0.1, 6.0, 0.8) * rng.random((120, 3)).round(1)
+    low[3], size[3] = low[4], size[4]
+    rows = [(int(i % 2), i, *low[i].tolist(), *(low[i] + size[i]).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "query_id long, body_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    got = [(r.a_body_id, r.b_body_id) for r in broadphase.sorted_pairs(df, 0.7).collect()]
+    high = low + size
+    wanted = {(i, j) for i in range(120) for j in range(i + 1, 120) if i % 2 == j % 2 and (low[i] <= high[j]).all() and (low[j] <= high[i]).all()}
+    assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_head_of_a_source():
+    assert metrics.policy_head("cad", 10) == "cost_aware" and metrics.policy_head("cad", 256) == "risk_proximity_hybrid"
+    assert metrics.policy_head("nyu_x") == "risk_proximity_hybrid" and metrics.policy_head("nyu_x", heads={"nyu_x": "priority_only"}) == "priority_only"
