@@ -52,6 +52,16 @@ def grid_pairs(boxes: DataFrame, cell: float, number: str = "body_id", axes: str
     return a.join(b, on).where(met).drop(*[f"cell_{k}" for k in axes])
 
 
+def grid_bipartite(left: DataFrame, right: DataFrame, cell: float, keys: tuple[str, ...] = (), axes: str = "xyz") -> DataFrame:
+    """All touching pairs of one row of ``left`` (a_*) and one of ``right`` (b_*) with equal keys, each once, by a grid."""
+    on = [*keys, *[f"cell_{k}" for k in axes]]
+    a, b = _side(_cells(left, cell, axes), "a", tuple(on)), _side(_cells(right, cell, axes), "b", tuple(on))
+    first = F.lit(True)
+    for k in axes:
+        first = first & (F.floor(F.greatest(f"a_min_{k}", f"b_min_{k}") / cell) == F.col(f"cell_{k}"))
+    return a.join(b, on).where(g.boxes_touch(axes=axes) & first).drop(*[f"cell_{k}" for k in axes])
+
+
 def radius_pairs(points: DataFrame, radius: float, number: str = "body_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs a < b of points (x, y, z) at ``radius`` or less: one side in its cell, the other in the 27 around."""
     at = points.withColumns({f"cell_{k}": F.floor(F.col(k) / radius) for k in "xyz"})

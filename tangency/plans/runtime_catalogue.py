@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
 from tangency.functions.contracts import STATUS
-from tangency.operators import broadphase, candidates, features, inference, metrics, runtime, schedule, slabs
+from tangency.operators import broadphase, candidates, features, inference, mesh, metrics, runtime, schedule, slabs
 from tangency.plans.group_catalogue import DENSE, RANKED, dense
 from tangency.plans.pairs_catalogue import _HITS, CONTACTS, SLAB_BOXES, SPHERES, contacts, r6, raw_hits
-from tangency.sources import views
+from tangency.sources import samples, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -458,3 +458,84 @@ def e4_inference(spark, d):
     """The five heads on the features of primitive queries; the weights are seeded, as a trained file would be read."""
     rows = inference.scored(primitive_rows(spark, d), inference.Network.seeded(), ["query_id"])
     return rows.select("query_id", *[F.round(c, 5).alias(c) for c in ("priority", "cost", "uncertainty")], "ood")
+
+
+# Two moving meshes per scene, of triangles made from orders.
+
+_TRI_START = ("x", "y", "z", "x + 1.3e0", "y", "z", "x", "y + 1.7e0", "z + 0.4e0")
+_TRI_MOVE = ("vx", "vy", "vz")
+_TRIANGLES = f"""WITH o AS (SELECT o_custkey % 200 AS scene, CAST(o_orderkey % 2 AS INTEGER) AS side, o_orderkey AS tri_id, CAST(o_orderkey * 13 % 97 AS DOUBLE) * 0.173e0 AS x, CAST(o_orderkey * 29 % 89 AS DOUBLE) * 0.191e0 AS y, CAST(o_custkey * 7 % 83 AS DOUBLE) * 0.157e0 AS z,
+  CAST(o_orderkey % 7 AS DOUBLE) * 0.21e0 - 0.61e0 AS vx, CAST(o_orderkey % 5 AS DOUBLE) * 0.33e0 - 0.67e0 AS vy, CAST(o_orderkey % 3 AS DOUBLE) * 0.47e0 - 0.41e0 AS vz FROM orders),
+t AS (SELECT scene, side, tri_id, {", ".join(f"{c} AS p{i}" for i, c in enumerate(_TRI_START))}, {", ".join(f"{c} + {_TRI_MOVE[i % 3]} AS q{i}" for i, c in enumerate(_TRI_START))} FROM o)"""
+
+
+def moving_triangles(spark, d) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    real = lambda column, factor: column.cast("double") * factor
+    x, y, z = real(k * 13 % 97, 0.173), real(k * 29 % 89, 0.191), real(c * 7 % 83, 0.157)
+    move = (real(k % 7, 0.21) - 0.61, real(k % 5, 0.33) - 0.67, real(k % 3, 0.47) - 0.41)
+    start = (x, y, z, x + 1.3, y, z, x, y + 1.7, z + 0.4)
+    points = [v.alias(f"p{i}") for i, v in enumerate(start)] + [(v + move[i % 3]).alias(f"q{i}") for i, v in enumerate(start)]
+    return views.table(spark, d, "orders").select((c % 200).alias("scene"), (k % 2).cast("int").alias("side"), k.alias("tri_id"), *points)
+
+
+def _part_sql(shape: str, number: str, corners: tuple[int, ...]) -> str:
+    ends = {k: ", ".join(f"{e}{3 * i + j}" for e in "pq" for i in corners) for j, k in enumerate("xyz")}
+    return f"SELECT scene, side, '{shape}' AS shape, {number} AS number, " + ", ".join(f"least({v}) AS min_{k}, greatest({v}) AS max_{k}" for k, v in ends.items()) + " FROM t"
+
+
+_PARTS_SQL = " UNION ALL ".join([_part_sql(s, f"tri_id * 3 + {i}", (i,) if s == "v" else (i, (i + 1) % 3)) for s in "ve" for i in range(3)] + [_part_sql("f", "tri_id", (0, 1, 2))])
+
+
+@query(_TRIANGLES + f""", parts AS MATERIALIZED ({_PARTS_SQL}) SELECT a.scene, CASE a.shape WHEN 'v' THEN 'vf' WHEN 'f' THEN 'fv' ELSE 'ee' END AS kind, count(*) AS pairs, CAST(sum(a.number % 1000 + b.number % 1000) AS BIGINT) AS numbers
+FROM parts a JOIN parts b ON a.scene = b.scene AND a.side = 0 AND b.side = 1 AND ((a.shape = 'v' AND b.shape = 'f') OR (a.shape = 'f' AND b.shape = 'v') OR (a.shape = 'e' AND b.shape = 'e')) AND {_TOUCH} GROUP BY ALL""")
+def j7_mesh_pairs(spark, d):
+    rows = mesh.mesh_queries(mesh.moving_primitives(moving_triangles(spark, d)), 2.5)
+    return rows.groupBy("scene", "kind").agg(F.count("*").alias("pairs"), F.sum(F.col("a_number") % 1000 + F.col("b_number") % 1000).alias("numbers"))
+
+
+@query(None)
+def m21_mesh_exact(spark, d):
+    """Meshes of a scene against each other: a certificate per scene from all primitive pairs whose boxes touch."""
+    found = mesh.mesh_certificates(moving_triangles(spark, d), 2.5, 50_000_000)
+    return found.select("scene", "status", r6(F.coalesce("toi_upper", F.lit(1.0))).alias("toi_upper"), r6(F.col("margin")).alias("margin"), "mask", "primitives")
+
+
+# Seeded samples, one per order.
+
+def _law_sql(pick) -> str:
+    return "CASE split " + " ".join(f"WHEN '{n}' THEN {float(pick(law))!r}::DOUBLE" for n, law in samples.LAWS.items()) + " END"
+
+
+def _uniform_sql(number: int, low: str, high: str) -> str:
+    return f"({low} + CAST(CAST('0x' || substr(md5('3:' || sample_id || ':{number}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 * ({high} - ({low})))"
+
+
+_NAMES = list(samples.LAWS)
+_MANY = "split = 'multiple_contact_intervals'"
+_SAMPLES = f"""WITH s AS (SELECT o_orderkey AS sample_id, ['{"', '".join(_NAMES)}'][o_orderkey % 5 + 1] AS split FROM orders),
+r AS MATERIALIZED (SELECT *, {_uniform_sql(0, _law_sql(lambda w: w[4][0][0]), _law_sql(lambda w: w[4][0][1]))} AS a_r, {_uniform_sql(1, _law_sql(lambda w: w[4][1][0]), _law_sql(lambda w: w[4][1][1]))} AS b_r, {_uniform_sql(2, "-0.12e0", "0.12e0")} AS y FROM s),
+m AS MATERIALIZED (SELECT *, {_uniform_sql(5, "-0.05e0", "0.05e0")} AS a_x0, CASE WHEN {_MANY} THEN 0.15e0 + {_uniform_sql(6, "-0.05e0", "0.05e0")} ELSE 0.55e0 + {_uniform_sql(6, "-0.09e0", "0.09e0")} END AS a_x1, CASE WHEN {_MANY} THEN y ELSE y + {_uniform_sql(7, "-0.08e0", "0.08e0")} END AS a_y1,
+  a_r + b_r + {_uniform_sql(3, _law_sql(lambda w: w[0][0]), _law_sql(lambda w: w[0][1]))} AS b_x0, y + {_uniform_sql(8, "-0.08e0", "0.08e0")} AS b_y0, (a_r + b_r) * {_law_sql(lambda w: w[1])} + {_uniform_sql(4, _law_sql(lambda w: w[2][0]), _law_sql(lambda w: w[2][1]))} AS b_x1,
+  y + CASE WHEN {_MANY} THEN {_uniform_sql(9, "-0.04e0", "0.04e0")} ELSE {_uniform_sql(9, "-0.08e0", "0.08e0")} END AS b_y1 FROM r)"""
+
+
+def order_samples(spark, d) -> DataFrame:
+    splits = F.array(*[F.lit(n) for n in _NAMES])
+    rows = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.element_at(splits, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("split"))
+    return samples.sphere_samples(rows, 3)
+
+
+@query(_SAMPLES + f"SELECT sample_id, split, {', '.join(f'{sql6(c)} AS {c}' for c in ('a_r', 'b_r', 'a_x0', 'a_x1', 'a_y1', 'b_x0', 'b_y0', 'b_x1', 'b_y1'))} FROM m")
+def s17_samples(spark, d):
+    return order_samples(spark, d).select("sample_id", "split", *[r6(F.col(c)).alias(c) for c in ("a_r", "b_r", "a_x0", "a_x1", "a_y1", "b_x0", "b_y0", "b_x1", "b_y1")])
+
+
+@query(_SAMPLES + """, d AS MATERIALIZED (SELECT *, a_x0 - b_x0 AS dx, y - b_y0 AS dy, (a_x1 - b_x1) - (a_x0 - b_x0) AS vx, (a_y1 - b_y1) - (y - b_y0) AS vy, a_r + b_r AS radii FROM m),
+t AS MATERIALIZED (SELECT *, CASE WHEN vx*vx + vy*vy > 1e-14 THEN least(1e0, greatest(0e0, -(dx*vx + dy*vy) / (vx*vx + vy*vy))) ELSE 0e0 END AS closest FROM d),
+g AS (SELECT split, sqrt((dx + vx*closest)**2 + (dy + vy*closest)**2) - radii AS margin, radii FROM t)
+SELECT split, count(*) AS samples, count(*) FILTER (WHERE margin <= 0) AS contacts, round(avg(margin), 5) + 0e0 AS margin, round(avg(least(1e0, greatest(0e0, 1e0 - greatest(0e0, margin) / radii))), 5) AS near FROM g GROUP BY split""")
+def s18_labelled_samples(spark, d):
+    rows = samples.labelled(order_samples(spark, d)).groupBy("split")
+    near = F.avg(F.col("features")[30])
+    return rows.agg(F.count("*").alias("samples"), F.count_if("collided").alias("contacts"), (F.round(F.avg("safe_margin"), 5) + 0.0).alias("margin"), F.round(near, 5).alias("near"))

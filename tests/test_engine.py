@@ -315,3 +315,99 @@ def test_strips_find_every_pair_once(spark):
 def test_head_of_a_source():
     assert metrics.policy_head("cad", 10) == "cost_aware" and metrics.policy_head("cad", 256) == "risk_proximity_hybrid"
     assert metrics.policy_head("nyu_x") == "risk_proximity_hybrid" and metrics.policy_head("nyu_x", heads={"nyu_x": "priority_only"}) == "priority_only"
+
+
+def test_meshes_equal_all_primitive_pairs(spark):
+    """Both directions of vertices and faces and all edges, against every pair without boxes or a grid."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for scene in range(12):
+        for side in (0, 1):
+            for t in range(3):
+                start = rng.uniform(0, 2, 9) + (3.0 * side if scene % 3 == 0 else 1.2 * side)
+                rows.append((scene, side, 10 * scene + 3 * side + t, *start.tolist(), *(start + np.tile(rng.uniform(-1, 1, 3), 3)).tolist()))
+    names = ", ".join(f"{e}{i} double" for e in "pq" for i in range(9))
+    df = spark.createDataFrame(rows, f"scene long, side int, tri_id long, {names}")
+    limits = certificate.Limits(eps_time=1e-3, eps_space=1e-3)
+    got = {r.scene: r for r in mesh.mesh_certificates(df, 0.9, 10_000, limits).collect()}
+    for scene in range(12):
+        sides = [[np.array(r[3:]).reshape(2, 3, 3) for r in rows if r[0] == scene and r[1] == side] for side in (0, 1)]
+        queries, faces = [], []
+        for a in sides[0]:
+            for b in sides[1]:
+                for v, f in ((a, b), (b, a)):
+                    for i in range(3):
+                        queries.append(np.concatenate([np.concatenate([v[e][i : i + 1], f[e]]).ravel() for e in (0, 1)]))
+                        faces.append(True)
+                for i in range(3):
+                    for j in range(3):
+                        queries.append(np.concatenate([np.concatenate([a[e][[i, (i + 1) % 3]], b[e][[j, (j + 1) % 3]]]).ravel() for e in (0, 1)]))
+                        faces.append(False)
+        found = certificate.certify(np.stack(queries), np.array(faces), np.zeros(len(queries)), np.ones(len(queries)), limits)
+        every = certificate.COLLISION if (found["status"] == 0).any() else certificate.UNDECIDED if (found["status"] == 2).any() else certificate.SEPARATION
+        assert (got[scene].status if scene in got else certificate.SEPARATION) == every
+    with pytest.raises(ValueError, match="budget"):
+        mesh.mesh_certificates(df, 0.9, 3)
+
+
+def test_shards_agree_with_their_manifest(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tangency.sources import samples
+
+    names = list(samples.LAWS)
+    rows = spark.range(500).select(F.col("id").alias("sample_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 5 + 1).cast("int")).alias("split"))
+    made = samples.labelled(samples.sphere_samples(rows, 9))
+    again = samples.labelled(samples.sphere_samples(rows.repartition(7), 9))
+    assert sorted(made.select("sample_id", "toi", "a_r").collect()) == sorted(again.select("sample_id", "toi", "a_r").collect())
+    hits = {r.split: r.n for r in made.groupBy("split").agg(F.count_if("collided").alias("n")).collect()}
+    assert hits["easy_negatives"] == 0 and hits["multiple_contact_intervals"] == 100
+    samples.write_shards(made.select("sample_id", "split", "features", "toi"), str(tmp_path / "set"))
+    assert samples.read_shards(spark, str(tmp_path / "set"), "ood_meshes").count() == 100
+    spark.createDataFrame([("ood_meshes", 99, 1)], "split string, rows long, version long").write.mode("append").json(str(tmp_path / "set" / "manifest"))
+    with pytest.raises(ValueError, match="manifest"):
+        samples.read_shards(spark, str(tmp_path / "set"))
+    with pytest.raises(Exception, match="unknown split"):
+        samples.sphere_samples(rows.withColumn("split", F.lit("other"))).count()
+
+
+def test_runtime_configuration_is_strict():
+    import json
+
+    from tangency.sources import files
+
+    data = {
+        "schema_version": 1, "epsilon": {"eps_time": 1e-4, "eps_space": 1e-6, "eps_proxy": 1e-5, "eps_cert": 1e-6},
+        "runtime": {"max_interval_bins": 8, "max_family_scores": 8, "enable_audit_log": True}, "benchmark": {"write_csv": True, "write_jsonl": False},
+    }
+    assert files.RuntimeConfig.from_json(json.dumps(data)).epsilon.eps_time == 1e-4
+    for path, value in ((("epsilon", "eps_time"), 0), (("runtime", "max_interval_bins"), 9), (("runtime", "max_interval_bins"), True), (("benchmark", "write_csv"), 1), (("epsilon", "more"), 1), (("schema_version",), 2)):
+        wrong = json.loads(json.dumps(data))
+        at = wrong
+        for key in path[:-1]:
+            at = at[key]
+        at[path[-1]] = value
+        with pytest.raises(ValueError):
+            files.RuntimeConfig.from_json(json.dumps(wrong))
+
+
+def test_schedules_and_selections(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tangency.sources import files
+
+    rows = spark.createDataFrame([(1, "c", "ee", "a/b.csv", 0, 0.25), (1, "c", "ee", "a/b.csv", 1, 1e-7), (2, "d", "vf", "c.csv", 0, -3.5)], "group_id long, case string, kind string, csv_path string, query_index long, score double")
+    files.write_schedule(rows, str(tmp_path / "schedule"))
+    (tmp_path / "plain.csv").write_text("csv_path,query_index,score\n\nx\\y.csv, 3 ,2.5e-1\nno,line\n")
+    assert sorted(tuple(r) for r in files.read_schedule(spark, str(tmp_path / "schedule")).collect()) == [("a/b.csv", 0, 0.25), ("a/b.csv", 1, 1e-7), ("c.csv", 0, -3.5)]
+    assert [tuple(r) for r in files.read_schedule(spark, str(tmp_path / "plain.csv")).collect()] == [("x/y.csv", 3, 0.25)]
+    for number, limit in enumerate((0.0, 0.2)):
+        marked = rows.withColumn("keep", F.col("score") > limit)
+        mode = files.write_selection(marked, "keep", str(tmp_path / f"s{number}"))
+        assert mode == ("exclude", "include")[number]
+        used = files.use_selection(rows, spark, str(tmp_path / f"s{number}"), mode)
+        assert used.count() == marked.where("keep").count()
+    files.append_rows(rows.withColumn("f", F.array("score", F.lit(0.1))), str(tmp_path / "out"))
+    files.append_rows(rows.withColumn("f", F.array("score", F.lit(0.1))), str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "csv"))
+    assert back.count() == 6 and "f_1" in back.columns and {float(r.f_1) for r in back.collect()} == {0.1}
