@@ -63,7 +63,9 @@ def rendered_turns(turns: DataFrame, block: int = 1024) -> DataFrame:
     ``rendered`` is one turn in the chat template; a conversation's text is
     its turns by place joined by nothing. One row per turn, so no conversation
     has to fit one row. Turns keep their order by turn number; null roles are
-    written as ``user`` and null texts as empty, and repeated turns stay. Rows
+    written as ``user`` and null texts as empty, and repeated turns stay. Texts
+    are written as they are, so a text that holds a marker of the template
+    shows it; tokenise such text without special tokens. Rows
     of a null conv_id belong to no conversation and are left out. An empty
     table gives no rows. Other columns are not read.
     """

@@ -10,44 +10,54 @@ from tangency.llm.common import table
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, ties and repeats as in simhash.near_duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document by the mix; nulls, ties and repeats as in mixing.mix."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence; nulls and repeats as in packing.pack_documents."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed of every document; nulls, repeats and short texts as in substrings.remove_repeats."""
     rows = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector; unusable vectors, ties and repeats as in topk.top_k."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; nulls and texts without letters as in language.identify."""
     return language.identified(table(spark, sf_dir, "documents"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; nulls, broken markup and empty pages as in webpage.extracted."""
     return webpage.extracted(table(spark, sf_dir, "pages"))
 
 
 def op8_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition counts and verdict of every document; nulls and empty texts as in repetition.quality."""
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of maximal conversations; nulls, ties and repeats as in chat.rendered_turns."""
     return chat.rendered_turns(table(spark, sf_dir, "conversations"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; nulls and repeats as in toxicity.score."""
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -11,7 +11,6 @@ union of these maximal repeats is what repeats in the text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,6 @@ WINDOW = 8
 #: Least words of the repeats that the verdict looks at; shorter than those of the base rules.
 SHORT = 3
 _SYMBOLS = "#*$%&|<>"
-_BLANK = re.compile(r"[ \t-\r]+")
 
 
 def word_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

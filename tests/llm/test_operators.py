@@ -811,3 +811,46 @@ def test_pipeline_stages(spark):
             assert sorted(seen[name].text) == sorted(wanted)
     packed_well(seen["pack"])
     assert len(corpus_pipeline.run(spark, FOLDER).toPandas()) == len(seen["pack"])
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    extra = odd.withColumn("covers", F.lit("x")).withColumn("_ident", F.lit(1)).withColumn("p0", F.lit(2.0))
+    for name, docs in (("odd", extra), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
+        assert (rows.count() > 0) == (name == "odd")
+
+
+def test_toxicity_equals_a_plain_scorer(spark):
+    """Every text by itself, word by word and filter place by filter place."""
+    rng = np.random.default_rng(6)
+    model = toxicity.ConvModel(
+        rng.normal(0, 0.3, (64, 5)).astype(np.float32), [rng.normal(0, 0.5, (w, 5, 4)).astype(np.float32) for w in (1, 2, 3)],
+        [rng.normal(0, 0.1, 4).astype(np.float32) for _ in range(3)], rng.normal(0, 0.5, 12).astype(np.float32), np.array([0.2], np.float32), {"": 0.3, "en": -0.4},
+    )
+    model.embedding[0] = 0
+    languages = language.train(spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate([("the cat and dog", "en"), ("der hund und die katze", "de")] * 5)], "doc_id long, text string, lang string"))
+    texts = ["the cat, the dog!", "der Hund", None, "", "a" * 50, "the " * 300, "und the die"]
+
+    def plain(text):
+        words = (text or "").lower().split()
+        units = []
+        for w in words:
+            w = w.strip(toxicity._EDGES) or w
+            parts = [w] + [w[:n] + "*" for n in toxicity.STEMS if len(w) > n]
+            units.append(sum(model.embedding[zlib.crc32(p.encode()) % 63 + 1].astype(float) for p in parts))
+        units += [np.zeros(5)] * 6
+        values = []
+        for f, b in zip(model.filters, model.bias):
+            answers = [sum(units[i + d] @ f[d].astype(float) for d in range(len(f))) for i in range(len(words) + 3)]
+            values += np.maximum(np.max(answers, axis=0) + b, 0).tolist()
+        logit = np.dot(values, model.weights.astype(float)) + float(model.intercept[0])
+        name = language.Scorer(languages).predict_all([text])[0][0]
+        return 1 / (1 + math.exp(-(logit - model.thresholds.get(name, model.thresholds[""]))))
+
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, languages).collect()
+    for r in rows:
+        assert r.score == pytest.approx(plain(texts[r.doc_id]), abs=1e-4) and r.predicted == (r.score >= 0.5)
