@@ -8,7 +8,7 @@ distinct is needed. Neither needs a nested loop over all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
@@ -29,37 +29,72 @@ def bipartite_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = (
     return _side(left, "a", keys).join(_side(right, "b", keys), list(keys)).where(g.boxes_touch())
 
 
-def _cells(boxes: DataFrame, cell: float, axes: str) -> DataFrame:
+def _levelled(boxes: DataFrame, cell: float, axes: str) -> DataFrame:
+    """Adds _own: how often ``cell`` is doubled until a cell is as wide as the box."""
+    extent = F.greatest(*[F.col(f"max_{k}") - F.col(f"min_{k}") for k in axes]) if len(axes) > 1 else F.col(f"max_{axes}") - F.col(f"min_{axes}")
+    return boxes.withColumn("_own", F.when(extent > cell, F.ceil(F.log2(extent / cell))).otherwise(0).cast("int"))
+
+
+def _cells(boxes: DataFrame, level: Column, cell: float, axes: str) -> DataFrame:
+    """Boxes at the cells of ``level`` that they cover; at a box's own level or above, at most two along an axis."""
+    boxes = boxes.withColumn("_level", level)
     for k in axes:
-        low, high = (F.floor(F.col(f"{end}_{k}") / cell) for end in ("min", "max"))
+        low, high = (F.floor(F.col(f"{end}_{k}") / _width(cell)) for end in ("min", "max"))
         boxes = boxes.withColumn(f"cell_{k}", F.explode(F.sequence(low, high)))
     return boxes
 
 
+def _width(cell: float) -> Column:
+    return F.pow(F.lit(2.0), F.col("_level")) * cell
+
+
+def _grid(large: DataFrame, small: DataFrame, cell: float, keys: tuple[str, ...], axes: str, above: int) -> DataFrame:
+    """Touching pairs of a box (a_*) and one (b_*) whose level is lower by ``above`` or more, each in the first cell of the larger one's level that both cover.
+
+    Sizes differ by levels, so a large box is in few cells however small the
+    others are, and a small one looks into a few cells of each level over it.
+    """
+    top = large.agg(F.max("_own")).first()[0]
+    if top is None:
+        top = 0
+    on = [*keys, "_level", *[f"cell_{k}" for k in axes]]
+    a = _cells(large, F.col("_own"), cell, axes)
+    b = _cells(small, F.explode(F.sequence(F.col("_own") + above, F.greatest(F.col("_own") + above, F.lit(top)))), cell, axes)
+    first = F.lit(True)
+    for k in axes:
+        first = first & (F.floor(F.greatest(f"a_min_{k}", f"b_min_{k}") / _width(cell)) == F.col(f"cell_{k}"))
+    met = _side(a, "a", tuple(on)).join(_side(b, "b", tuple(on)), on).where(g.boxes_touch(axes=axes) & first)
+    return met.drop("_level", *[f"cell_{k}" for k in axes])
+
+
+def _in_order(pairs: DataFrame, number: str) -> DataFrame:
+    """Pairs with the lower number as a_*."""
+    swap = F.col(f"a_{number}") > F.col(f"b_{number}")
+    rest = [c[2:] for c in pairs.columns if c.startswith("a_")]
+    keys = [c for c in pairs.columns if c not in {f"{s}_{c}" for s in "ab" for c in rest}]
+    out = [F.when(swap, F.col(f"{t}_{c}")).otherwise(F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s, t in (("a", "b"), ("b", "a")) for c in rest]
+    return pairs.select(*keys, *out)
+
+
 def grid_pairs(boxes: DataFrame, cell: float, number: str = "body_id", axes: str = "xyz", keys: tuple[str, ...] = ()) -> DataFrame:
-    """All touching pairs a < b of a scene, each once, by a grid of ``cell`` wide cells.
+    """All touching pairs a < b of a scene, each once, by grids of ``cell`` wide cells and doubles of that for larger boxes.
 
     A crowded cell is a skewed key of an ordinary equality join, which
     adaptive execution splits; smaller cells thin it out.
     """
-    on = [*keys, *[f"cell_{k}" for k in axes]]
-    rows = _cells(boxes, cell, axes)
-    a, b = _side(rows, "a", tuple(on)), _side(rows, "b", tuple(on))
-    first = F.lit(True)
-    for k in axes:
-        first = first & (F.floor(F.greatest(f"a_min_{k}", f"b_min_{k}") / cell) == F.col(f"cell_{k}"))
-    met = (F.col(f"a_{number}") < F.col(f"b_{number}")) & g.boxes_touch(axes=axes) & first
-    return a.join(b, on).where(met).drop(*[f"cell_{k}" for k in axes])
+    rows = _levelled(boxes, cell, axes)
+    met = _grid(rows, rows, cell, keys, axes, 0)
+    met = met.where((F.col("a__own") > F.col("b__own")) | (F.col(f"a_{number}") < F.col(f"b_{number}"))).drop("a__own", "b__own")
+    return _in_order(met, number)
 
 
 def grid_bipartite(left: DataFrame, right: DataFrame, cell: float, keys: tuple[str, ...] = (), axes: str = "xyz") -> DataFrame:
-    """All touching pairs of one row of ``left`` (a_*) and one of ``right`` (b_*) with equal keys, each once, by a grid."""
-    on = [*keys, *[f"cell_{k}" for k in axes]]
-    a, b = _side(_cells(left, cell, axes), "a", tuple(on)), _side(_cells(right, cell, axes), "b", tuple(on))
-    first = F.lit(True)
-    for k in axes:
-        first = first & (F.floor(F.greatest(f"a_min_{k}", f"b_min_{k}") / cell) == F.col(f"cell_{k}"))
-    return a.join(b, on).where(g.boxes_touch(axes=axes) & first).drop(*[f"cell_{k}" for k in axes])
+    """All touching pairs of one row of ``left`` (a_*) and one of ``right`` (b_*) with equal keys, each once, by such grids."""
+    one, two = _levelled(left, cell, axes), _levelled(right, cell, axes)
+    met = _grid(one, two, cell, keys, axes, 0).drop("a__own", "b__own")
+    other = _grid(two, one, cell, keys, axes, 1).drop("a__own", "b__own")
+    turned = other.select(*[F.col(c).alias(("b" if c[0] == "a" else "a") + c[1:]) if c[:2] in ("a_", "b_") and c not in keys else F.col(c) for c in other.columns])
+    return met.unionByName(turned)
 
 
 def radius_pairs(points: DataFrame, radius: float, number: str = "body_id", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -103,7 +138,4 @@ def sorted_pairs(boxes: DataFrame, width: float, number: str = "body_id", keys:
     a, b = _side(spans, "a", (*keys, "strip")), _side(begins, "b", (*keys, "strip"))
     later = (F.col(f"b_{low}") > F.col(f"a_{low}")) | ((F.col(f"b_{low}") == F.col(f"a_{low}")) & (F.col(f"b_{number}") > F.col(f"a_{number}")))
     met = a.join(b, [*keys, "strip"]).where(later & g.boxes_touch()).drop("strip")
-    swap = F.col(f"a_{number}") > F.col(f"b_{number}")
-    rest = [c for c in boxes.columns if c not in keys]
-    out = [F.when(swap, F.col(f"{t}_{c}")).otherwise(F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s, t in (("a", "b"), ("b", "a")) for c in rest]
-    return met.select(*keys, *out)
+    return _in_order(met, number)

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from tangency.functions import geometry as g
 
 
-def pose_at(segments: DataFrame, times: DataFrame) -> DataFrame:
+def pose_at(segments: DataFrame, times: DataFrame, width: float = 1.0) -> DataFrame:
     """Joins (object_id, t) to the segment t0 <= t < t1 and interpolates the pose there.
 
-    The key is the object; time is a residual condition within it.
+    The key is the object and a slot of time ``width`` wide, in which a time
+    is and which a segment covers: about a segment's length is a good width.
     """
-    rows = segments.join(times, "object_id").where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
+    slot = lambda c: F.floor(F.col(c) / width)
+    covered = segments.withColumn("_slot", F.explode(F.sequence(slot("t0"), slot("t1"))))
+    rows = covered.join(times.withColumn("_slot", slot("t")), ["object_id", "_slot"]).where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
     a = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     place = [F.col(f"p{k}0") * (1.0 - a) + F.col(f"p{k}1") * a for k in "xyz"]
     q0, q1 = (g.unit_quaternion(tuple(F.col(f"q{k}{e}") for k in "xyzw")) for e in "01")

@@ -411,3 +411,18 @@ def test_schedules_and_selections(spark, tmp_path):
     files.append_rows(rows.withColumn("f", F.array("score", F.lit(0.1))), str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out" / "csv"))
     assert back.count() == 6 and "f_1" in back.columns and {float(r.f_1) for r in back.collect()} == {0.1}
+
+
+def test_grids_of_boxes_of_all_sizes(spark):
+    rng = np.random.default_rng(15)
+    low = rng.uniform(-5, 5, (150, 3)).round(2)
+    size = (rng.random((150, 3)) * rng.choice([0.1, 1.0, 9.0], (150, 1))).round(2)
+    low[0], size[0] = (-1000, -1000, -1000), (2000, 2000, 2000)
+    high = low + size
+    names = "query_id long, body_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    df = spark.createDataFrame([(int(i % 2), i, *low[i].tolist(), *high[i].tolist()) for i in range(150)], names)
+    touch = {(i, j) for i in range(150) for j in range(i + 1, 150) if i % 2 == j % 2 and (low[i] <= high[j]).all() and (low[j] <= high[i]).all()}
+    got = [(r.a_body_id, r.b_body_id) for r in broadphase.grid_pairs(df, 0.4, keys=("query_id",)).collect()]
+    assert len(got) == len(set(got)) and set(got) == touch
+    both = [(r.a_body_id, r.b_body_id) for r in broadphase.grid_bipartite(df.where("body_id % 3 = 0"), df.where("body_id % 3 <> 0"), 0.4, ("query_id",)).collect()]
+    assert len(both) == len(set(both)) and {tuple(sorted(p)) for p in both} == {p for p in touch if (p[0] % 3 == 0) != (p[1] % 3 == 0)} and all(p[0] % 3 == 0 for p in both)
