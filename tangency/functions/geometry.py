@@ -48,6 +48,13 @@ def lerp(a: Vec, b: Vec, t: Column | float) -> Vec:
     return tuple(x + (y - x) * t for x, y in zip(a, b))
 
 
+def closest_on_segment(p: Vec, a: Vec, b: Vec) -> tuple[Column, Vec]:
+    """Where on the segment, from 0 to 1, the point nearest to ``p`` lies, and that point; 0 on a segment of no length."""
+    ab = sub(b, a)
+    t = F.coalesce(clamp(F.try_divide(dot(sub(p, a), ab), F.when(dot(ab, ab) > DEGENERATE, dot(ab, ab))), 0.0, 1.0), F.lit(0.0))
+    return t, add(a, scale(ab, t))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -97,6 +97,12 @@ def grid_bipartite(left: DataFrame, right: DataFrame, cell: float, keys: tuple[s
     return met.unionByName(turned)
 
 
+def envelopes(boxes: DataFrame, keys: tuple[str, ...] = ("query_id", "object_id")) -> DataFrame:
+    """One box around all boxes of a key, and how many they are."""
+    ends = [f(f"{e}_{k}").alias(f"{e}_{k}") for e, f in (("min", F.min), ("max", F.max)) for k in "xyz"]
+    return boxes.groupBy(*keys).agg(F.count("*").alias("parts"), *ends)
+
+
 def radius_pairs(points: DataFrame, radius: float, number: str = "body_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs a < b of points (x, y, z) at ``radius`` or less: one side in its cell, the other in the 27 around."""
     at = points.withColumns({f"cell_{k}": F.floor(F.col(k) / radius) for k in "xyz"})

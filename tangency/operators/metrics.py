@@ -153,6 +153,14 @@ def parameter_sweep(rows: DataFrame, options: dict[int, Column], truth: str, cos
     return out.withColumn("recall", ratio(F.col("_tp"), F.col("_tp") + F.col("fn"))).drop("_tp")
 
 
+def known_recall(rows: DataFrame, truth: str, active: str, by: Sequence[str] = ()) -> DataFrame:
+    """Recall over rows of known truth in two ways: positives that stayed active, and one less misses over all known rows."""
+    t, a = F.col(truth), F.col(active)
+    out = rows.where(t.isNotNull()).groupBy(*by).agg(F.count("*").alias("known"), F.count_if(t).alias("positives"), F.count_if(t & ~a).alias("misses"))
+    covered = F.when(F.col("positives") == 0, F.lit(1.0)).otherwise(1.0 - F.col("misses") / F.col("positives"))
+    return out.withColumns({"recall": covered, "known_recall": 1.0 - ratio(F.col("misses"), F.col("known"))})
+
+
 def mean_interval(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Mean, sample deviation and half width of the 95 % interval, 1.96 s / sqrt(n)."""
     out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))

@@ -173,8 +173,16 @@ def top_k_then_scan(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def with_predictions(candidates: DataFrame, predictions: DataFrame, threshold: float) -> DataFrame:
-    """Left join of predictions on (query_id, candidate_id); says why a row falls back: missing, invalid, unusual, unsure."""
-    rows = candidates.join(predictions.withColumn("_there", F.lit(True)), ["query_id", "candidate_id"], "left")
+    """Left join of predictions on (query_id, candidate_id); says why a row falls back: missing, invalid, unusual, unsure.
+
+    Two predictions for one candidate are an error.
+    """
+    keys = ["query_id", "candidate_id"]
+    rest = [c for c in predictions.columns if c not in keys]
+    once = predictions.groupBy(*keys).agg(F.count("*").alias("_n"), F.any_value(F.struct(*rest)).alias("_p"))
+    twice = F.raise_error(F.lit("a candidate has two predictions")).cast("boolean")
+    once = once.select(*keys, "_p.*", F.when(F.col("_n") > 1, twice).otherwise(F.lit(True)).alias("_there"))
+    rows = candidates.join(once, keys, "left")
     missing = F.col("_there").isNull()
     invalid = ~missing & (F.col("score").isNull() | F.isnan("score"))
     unusual = F.coalesce(F.exists("features", lambda x: F.isnan(x) | (F.abs(x) > 1.0e5)), F.lit(False))

@@ -539,3 +539,82 @@ def s18_labelled_samples(spark, d):
     rows = samples.labelled(order_samples(spark, d)).groupBy("split")
     near = F.avg(F.col("features")[30])
     return rows.agg(F.count("*").alias("samples"), F.count_if("collided").alias("contacts"), (F.round(F.avg("safe_margin"), 5) + 0.0).alias("margin"), F.round(near, 5).alias("near"))
+
+
+# Envelopes, recall, and comparisons of whole runs.
+
+@query(f"""WITH b AS ({views.SWEPT_BOXES_SQL}), e AS MATERIALIZED (SELECT query_id, body_id % 3 AS object_id, count(*) AS parts, {", ".join(f"min(min_{k}) AS min_{k}, max(max_{k}) AS max_{k}" for k in "xyz")} FROM b GROUP BY ALL)
+SELECT a.query_id, a.object_id AS a_object_id, b.object_id AS b_object_id, a.parts * b.parts AS part_pairs FROM e a JOIN e b ON a.query_id = b.query_id AND a.object_id < b.object_id AND {_TOUCH}""")
+def j8_envelope_pairs(spark, d):
+    boxes = views.swept_boxes(views.moving_spheres(spark, d)).withColumn("object_id", F.col("body_id") % 3)
+    found = broadphase.query_pairs(broadphase.envelopes(boxes), number="object_id")
+    return found.select("query_id", "a_object_id", "b_object_id", (F.col("a_parts") * F.col("b_parts")).alias("part_pairs"))
+
+
+@query(f"WITH c AS ({DENSE}), k AS (SELECT query_id % 10 AS scene, CASE WHEN candidate_id % 7 = 0 THEN NULL ELSE collides END AS truth, priority >= 0.0203e0 AS active FROM c), s AS (SELECT scene, count(*) AS known, count(*) FILTER (WHERE truth) AS positives, count(*) FILTER (WHERE truth AND NOT active) AS misses FROM k WHERE truth IS NOT NULL GROUP BY scene) SELECT scene, known, positives, misses, round(1e0 - misses / CAST(positives AS DOUBLE), 6) AS recall, round(1e0 - misses / CAST(known AS DOUBLE), 6) AS known_recall FROM s")
+def a25_known_recall(spark, d):
+    rows = dense(spark, d).select((F.col("query_id") % 10).alias("scene"), F.when(F.col("candidate_id") % 7 != 0, F.col("collides")).alias("truth"), (F.col("priority") >= 0.0203).alias("active"))
+    return metrics.known_recall(rows, "truth", "active", ["scene"]).withColumns({c: r6(F.col(c)) for c in ("recall", "known_recall")})
+
+
+@query(RANKED + """, v AS (SELECT query_id, candidate_id AS place, collides AND greatest(interval_t0, contact_t0) <= least(interval_t1, contact_t1) AS hit, 'interval_only' AS variant FROM r UNION ALL SELECT query_id, rn, collides, 'ranking_only' FROM r),
+o AS (SELECT variant, query_id, count(*) AS n, min(CASE WHEN hit THEN place END) AS first FROM v GROUP BY ALL)
+SELECT variant, count(*) AS groups, CAST(sum(n) AS BIGINT) AS all_calls, CAST(sum(coalesce(first, n)) AS BIGINT) AS calls, count(first) AS hits FROM o GROUP BY variant""")
+def m7_single_parts(spark, d):
+    """The schedule with only one of its parts: predicted intervals in input order, or the order without intervals."""
+    met = g.intervals_touch(*[F.col(c) for c in ("interval_t0", "interval_t1", "contact_t0", "contact_t1")])
+    rows = dense(spark, d)
+    narrow = schedule.any_hit(rows.withColumns({"collides": F.col("collides") & met, "priority": -F.col("candidate_id").cast("double"), "cost": F.lit(0.0)}))
+    both = narrow.withColumn("variant", F.lit("interval_only")).unionByName(schedule.any_hit(rows).withColumn("variant", F.lit("ranking_only")))
+    return both.groupBy("variant").agg(F.count("*").alias("groups"), F.sum("all_calls").alias("all_calls"), F.sum("calls").cast("long").alias("calls"), F.count_if("truth").alias("hits"))
+
+
+_OPTIONS = (1, 2, 5)
+
+
+def _slab_found_sql(n: int) -> str:
+    ends = ", ".join(f"least({k}0 + ({k}1 - {k}0) * t0, {k}0 + ({k}1 - {k}0) * t1) - r AS min_{k}, greatest({k}0 + ({k}1 - {k}0) * t0, {k}0 + ({k}1 - {k}0) * t1) + r AS max_{k}" for k in "xyz")
+    slabs_ = f"SELECT s.*, i AS slab_id, CAST(i AS DOUBLE) * {1 / n!r}::DOUBLE AS t0, CASE WHEN i = {n - 1} THEN 1e0 ELSE (i + 1) * {1 / n!r}::DOUBLE END AS t1 FROM ({SPHERES}) s, range({n}) t(i)"
+    return f"SELECT {n} AS slabs, a.query_id, a.body_id AS a_body_id, b.body_id AS b_body_id, count(*) AS n FROM (SELECT *, {ends} FROM ({slabs_})) a JOIN (SELECT *, {ends} FROM ({slabs_})) b ON a.query_id = b.query_id AND a.slab_id = b.slab_id AND a.body_id < b.body_id AND {_TOUCH} GROUP BY ALL"
+
+
+@query(CONTACTS + f""", found AS MATERIALIZED ({" UNION ALL ".join(map(_slab_found_sql, _OPTIONS))}), truth AS MATERIALIZED (SELECT query_id, a_body_id, b_body_id FROM contacts WHERE collided)
+SELECT CAST(f.slabs AS INTEGER) AS slabs, CAST(sum(n) AS BIGINT) AS raw_hits, count(*) AS candidates, count(t.query_id) AS covered FROM found f LEFT JOIN truth t USING (query_id, a_body_id, b_body_id) GROUP BY f.slabs""")
+def m12_slab_ablation(spark, d):
+    """How many slabs a motion is cut into, against raw hits, candidates and contacts covered; all options in one join."""
+    spheres = views.moving_spheres(spark, d)
+    every = None
+    for n in _OPTIONS:
+        own = slabs.slab_boxes(spheres, n).withColumn("slabs", F.lit(n))
+        every = own if every is None else every.unionByName(own)
+    found = broadphase.query_pairs(every, ("query_id", "slabs", "slab_id")).groupBy("slabs", *_PAIR).agg(F.count("*").alias("n"))
+    truth = contacts(spark, d).where("collided").select(*_PAIR, F.lit(True).alias("hit"))
+    rows = found.join(truth, _PAIR, "left").groupBy("slabs")
+    return rows.agg(F.sum("n").alias("raw_hits"), F.count("*").alias("candidates"), F.count("hit").alias("covered"))
+
+
+_DICE = "CAST(CAST('0x' || substr(md5('11:' || query_id || ':' || candidate_id), 1, 8) AS BIGINT) AS DOUBLE)"
+_PATHS = {"learned": "priority", "cheapest": "-full_cost", "unsure": "uncertainty", "natural": "-CAST(candidate_id AS DOUBLE)", "random": _DICE}
+
+
+@query(f"""WITH c AS ({DENSE}), p AS ({" UNION ALL ".join(f"SELECT query_id, candidate_id, collides, full_cost, '{name}' AS policy, {score} AS score FROM c" for name, score in _PATHS.items())}),
+r AS (SELECT *, row_number() OVER (PARTITION BY policy, query_id ORDER BY score DESC, candidate_id) AS rn FROM p), q AS (SELECT policy, query_id, count(*) AS n, min(CASE WHEN collides THEN rn END) AS first FROM r GROUP BY ALL)
+SELECT policy, CAST(sum(n) AS BIGINT) AS all_calls, CAST(sum(coalesce(first, n)) AS BIGINT) AS calls, round(1e0 - sum(coalesce(first, n)) / sum(n), 6) + 0e0 AS saved FROM q GROUP BY policy""")
+def m16_five_paths(spark, d):
+    """Five orders of the same candidates replayed to the first hit: learned, by cost, by uncertainty, as they come, and at random."""
+    dice = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("11"), F.col("query_id").cast("string"), F.col("candidate_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double")
+    paths = {"learned": F.col("priority"), "cheapest": -F.col("full_cost"), "unsure": F.col("uncertainty"), "natural": -F.col("candidate_id").cast("double"), "random": dice}
+    rows = metrics.rank_policies(dense(spark, d), "query_id", "collides", paths, "candidate_id")
+    return rows.select("policy", "all_calls", "calls", r6(F.col("saved")).alias("saved"))
+
+
+_AB = ["x2 - x1", "y2 - y1", "z2 - z1"]
+
+
+@query(f"""WITH w AS ({_WIDE}), m AS MATERIALIZED (SELECT *, {" + ".join(f"({c})*({c})" for c in _AB)} AS ab, {" + ".join(f"({k}0 - {k}1)*({c})" for k, c in zip("xyz", _AB))} AS ap FROM w),
+t AS MATERIALIZED (SELECT *, CASE WHEN ab > 1e-14 THEN least(1e0, greatest(0e0, ap / ab)) ELSE 0e0 END AS t FROM m)
+SELECT query_id, {sql6("t")} AS t, {", ".join(f"{sql6(f'{k}1 + ({c}) * t')} AS {k}" for k, c in zip("xyz", _AB))}, {sql6("sqrt(" + " + ".join(f"({k}0 - {k}1 - ({c}) * t)**2" for k, c in zip("xyz", _AB)) + ")")} AS distance FROM t""")
+def f3_closest_on_segment(spark, d):
+    p, a, b = (g.vec(*[f"v{3 * i + j}" for j in range(3)]) for i in range(3))
+    t, q = g.closest_on_segment(p, a, b)
+    return views.vertex_queries(spark, d).select("query_id", r6(t).alias("t"), *[r6(c).alias(k) for k, c in zip("xyz", q)], r6(g.norm(g.sub(p, q))).alias("distance"))
