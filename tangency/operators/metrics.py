@@ -153,6 +153,12 @@ def parameter_sweep(rows: DataFrame, options: dict[int, Column], truth: str, cos
     return out.withColumn("recall", ratio(F.col("_tp"), F.col("_tp") + F.col("fn"))).drop("_tp")
 
 
+def calls_by_family(rows: DataFrame, family: str, measures: dict[str, Column], known: Sequence) -> DataFrame:
+    """Measures per known family; what is of none of them is one row ``unknown``, so rows add up to all calls."""
+    name = F.when(F.col(family).isin(*known), F.col(family).cast("string")).otherwise("unknown")
+    return rows.groupBy(name.alias("family")).agg(*[m.alias(c) for c, m in measures.items()])
+
+
 def known_recall(rows: DataFrame, truth: str, active: str, by: Sequence[str] = ()) -> DataFrame:
     """Recall over rows of known truth in two ways: positives that stayed active, and one less misses over all known rows."""
     t, a = F.col(truth), F.col(active)

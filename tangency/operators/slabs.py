@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
@@ -28,6 +28,26 @@ def slab_boxes(spheres: DataFrame, count: int, inflate: float = 0.0) -> DataFram
     return rows.withColumn("volume", g.box_volume(g.vec("min_x", "min_y", "min_z"), g.vec("max_x", "max_y", "max_z")))
 
 
+def proxy_table(segments: DataFrame, patches: DataFrame, count: int, inflate: float = 0.0) -> DataFrame:
+    """One proxy per object, motion segment, time slab and patch.
+
+    ``segments`` has object_id, segment_id (from 1), t0, t1, p?0, p?1;
+    ``patches`` has object_id, patch_id and reach, the distance from the
+    object's origin that no point of the patch exceeds, so that a box holds
+    the patch however the object turns. slab_id is (segment - 1) * count + the
+    slab's place in its segment; proxy_id numbers an object's proxies from 0.
+    """
+    rows = uniform_slabs(segments, count).withColumnRenamed("slab_id", "_local").join(patches, "object_id")
+    share = lambda t: (F.col(t) - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    slab = (F.col("segment_id") - 1) * count + F.col("_local")
+    number = (F.row_number().over(Window.partitionBy("object_id").orderBy("slab_id", "patch_id")) - 1).cast("long")
+    out = {"slab_id": slab}
+    for k in "xyz":
+        ends = [F.col(f"p{k}0") + (F.col(f"p{k}1") - F.col(f"p{k}0")) * share(t) for t in ("slab_t0", "slab_t1")]
+        out |= {f"min_{k}": F.least(*ends) - F.col("reach") - inflate, f"max_{k}": F.greatest(*ends) + F.col("reach") + inflate}
+    return rows.withColumns(out).withColumn("proxy_id", number).drop("_local")
+
+
 def sampled_boxes(spheres: DataFrame, samples: int) -> DataFrame:
     """One box per sphere and sampled time (slab_id): what a discrete check sees."""
     rows = spheres.withColumn("slab_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
@@ -69,7 +89,5 @@ def touched_slabs(contacts: DataFrame, count: int) -> DataFrame:
 
 def slab_faults(slabs: DataFrame, key: str, tolerance: float = 1.0e-12) -> DataFrame:
     """Rows whose slab begins before the one before it ends; empty: a proper partition."""
-    from pyspark.sql import Window
-
     before = F.lag("slab_t1").over(Window.partitionBy(key).orderBy("slab_id"))
     return slabs.withColumn("_end", before).where(F.col("_end") > F.col("slab_t0") + tolerance).drop("_end")

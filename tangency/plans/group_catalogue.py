@@ -151,10 +151,11 @@ def a24_zero_miss_threshold(spark, d):
     return metrics.zero_miss_threshold(dense(spark, d), "uncertainty", "collides", ["query_id"]).withColumn("threshold", r6(F.col("threshold")))
 
 
-@query(f"WITH c AS ({DENSE}) SELECT query_id % 3 AS family, count(*) AS exact_calls, CAST(sum(CASE WHEN collides THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(sum(full_cost), 4) AS work FROM c WHERE uncertainty < 0.8003e0 GROUP BY ALL")
+@query(f"WITH c AS ({DENSE}) SELECT CASE WHEN query_id % 4 IN (1, 2) THEN CAST(query_id % 4 AS VARCHAR) ELSE 'unknown' END AS family, count(*) AS exact_calls, CAST(sum(CASE WHEN collides THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(sum(full_cost), 4) AS work FROM c WHERE uncertainty < 0.8003e0 GROUP BY ALL")
 def a27_calls_by_family(spark, d):
-    rows = dense(spark, d).where("uncertainty < cast('0.8003' as double)").groupBy((F.col("query_id") % 3).alias("family"))
-    return rows.agg(F.count("*").alias("exact_calls"), F.count_if("collides").alias("hits"), F.round(F.sum("full_cost"), 4).alias("work"))
+    rows = dense(spark, d).where("uncertainty < cast('0.8003' as double)").withColumn("family", F.col("query_id") % 4)
+    measures = {"exact_calls": F.count("*"), "hits": F.count_if("collides"), "work": F.round(F.sum("full_cost"), 4)}
+    return metrics.calls_by_family(rows, "family", measures, [1, 2])
 
 
 @query("SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS total, round(max(value), 6) AS slowest FROM events GROUP BY event_type")

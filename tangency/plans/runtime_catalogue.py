@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
+from tangency.functions import scores
 from tangency.functions.contracts import STATUS
 from tangency.operators import broadphase, candidates, features, inference, mesh, metrics, runtime, schedule, slabs
 from tangency.plans.group_catalogue import DENSE, RANKED, dense
@@ -618,3 +619,31 @@ def f3_closest_on_segment(spark, d):
     p, a, b = (g.vec(*[f"v{3 * i + j}" for j in range(3)]) for i in range(3))
     t, q = g.closest_on_segment(p, a, b)
     return views.vertex_queries(spark, d).select("query_id", r6(t).alias("t"), *[r6(c).alias(k) for k, c in zip("xyz", q)], r6(g.norm(g.sub(p, q))).alias("distance"))
+
+
+# Proxy tables, score and text columns.
+
+@query(f"""WITH seg AS ({views.MOTION_SEGMENTS_SQL}), x AS (SELECT object_id, segment_id, CAST((segment_id - 1) * 3 + i AS BIGINT) AS slab_id, CAST(j AS INTEGER) AS patch_id, 0.5e0 + CAST(j AS DOUBLE) * 0.37e0 AS reach, i / 3e0 AS a, CASE WHEN i = 2 THEN 1e0 ELSE (i + 1) / 3e0 END AS b, {", ".join(f"p{k}0, p{k}1" for k in "xyz")} FROM seg, range(3) s(i), range(2) p(j))
+SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY slab_id, patch_id) - 1 AS proxy_id, slab_id, patch_id, {", ".join(f"round(least(p{k}0 + (p{k}1 - p{k}0) * a, p{k}0 + (p{k}1 - p{k}0) * b) - reach, 5) + 0e0 AS min_{k}, round(greatest(p{k}0 + (p{k}1 - p{k}0) * a, p{k}0 + (p{k}1 - p{k}0) * b) + reach, 5) + 0e0 AS max_{k}" for k in "xyz")} FROM x""")
+def r2_proxy_table(spark, d):
+    segments = views.motion_segments(spark, d)
+    patches = segments.select("object_id").distinct().withColumn("patch_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("reach", F.col("patch_id").cast("double") * 0.37 + 0.5)
+    rows = slabs.proxy_table(segments, patches, 3)
+    return rows.select("object_id", "proxy_id", "slab_id", "patch_id", *[(F.round(f"{e}_{k}", 5) + 0.0).alias(f"{e}_{k}") for k in "xyz" for e in ("min", "max")])
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 10e0) AS v FROM embeddings), p AS (SELECT vec_id, v, list_sum(list_transform(v, lambda x: greatest(x, 0e0))) AS total, list_max(v) AS top FROM e)
+SELECT vec_id, round(list_max(v) / total, 5) AS best, round(1e0 / list_sum(list_transform(v, lambda x: exp(x - top))), 5) AS likeliest, round(list_sum(list_transform(v, lambda x: 1e0 / (1e0 + exp(-x)))), 4) AS sigmoids, round(list_sum(list_transform(v, lambda x: ln(1e0 + exp(x)))), 4) AS softplus FROM p""")
+def f15_scores(spark, d):
+    v = F.transform("embedding", lambda x: x.cast("double") * 10.0)
+    rows = views.table(spark, d, "embeddings").select("vec_id", v.alias("v"))
+    total = lambda f: F.round(F.aggregate(F.transform("v", f), F.lit(0.0), lambda a, x: a + x), 4)
+    best = [F.round(F.array_max(f(F.col("v"))), 5) for f in (scores.normalised, scores.softmax)]
+    return rows.select("vec_id", best[0].alias("best"), best[1].alias("likeliest"), total(scores.sigmoid).alias("sigmoids"), total(scores.softplus).alias("softplus"))
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(p_name || ' # ' || p_brand, '#.*$', '')) AS plain, CASE p_partkey % 4 WHEN 0 THEN 'vf' WHEN 1 THEN 'ee' WHEN 2 THEN 'vf' END AS kind, p_brand AS stem FROM part""")
+def f22_strings(spark, d):
+    spelt = F.element_at(F.array(F.lit(" Vertex-Face "), F.lit("EDGE_EDGE"), F.lit("vf"), F.lit("other")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    line, path = F.concat("p_name", F.lit(" # "), "p_brand"), F.concat(F.lit("a/b.c/"), "p_brand", F.lit(".csv"))
+    return views.table(spark, d, "part").select("p_partkey", scores.without_comment(line).alias("plain"), scores.query_kind(spelt).alias("kind"), scores.stem(path).alias("stem"))

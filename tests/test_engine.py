@@ -426,3 +426,23 @@ def test_grids_of_boxes_of_all_sizes(spark):
     assert len(got) == len(set(got)) and set(got) == touch
     both = [(r.a_body_id, r.b_body_id) for r in broadphase.grid_bipartite(df.where("body_id % 3 = 0"), df.where("body_id % 3 <> 0"), 0.4, ("query_id",)).collect()]
     assert len(both) == len(set(both)) and {tuple(sorted(p)) for p in both} == {p for p in touch if (p[0] % 3 == 0) != (p[1] % 3 == 0)} and all(p[0] % 3 == 0 for p in both)
+
+
+def test_rigid_scenes(spark, tmp_path):
+    import json
+
+    from tangency.sources import rigid
+
+    bodies = [
+        {"mesh": "cube.obj", "position": [0, 1], "linear_velocity": [1, 0, 0], "scale": 2, "is_dof_fixed": False},
+        {"vertices": [[0, 0, 0], [2, 0, 0], [0, 1, 2]], "position": [3, 0, 0], "scale": [1, -2], "is_dof_fixed": [True, True, True]},
+        {"type": "static", "position": [5, 0, 0]},
+        {"type": "dynamic", "position": [7, 0, 0], "is_dof_fixed": [True, False]},
+    ]
+    (tmp_path / "a.json").write_text(json.dumps({"max_time": 2.0, "rigid_body_problem": {"rigid_bodies": bodies}}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"rigid_body_problem": {"rigid_bodies": []}}))
+    rows = rigid.read_scenes(spark, str(tmp_path))
+    got = {r.body_id: (r.fixed, r.x, r.y, r.z, r.vx, r.radius) for r in rows.collect()}
+    assert got == {0: (False, 0.0, 1.0, 0.0, 1.0, 1.0), 1: (True, 3.0, 0.0, 0.0, 0.0, 3.0), 2: (True, 5.0, 0.0, 0.0, 0.0, 0.5), 3: (False, 7.0, 0.0, 0.0, 0.0, 0.5)}
+    pairs = {(r.a_body_id, r.b_body_id): r.a_x1 for r in rigid.scene_pairs(rows).collect()}
+    assert set(pairs) == {(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)} and pairs[0, 1] == 2.0
