@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangency.llm import chat, language, mixing, packing, repetition, simhash, substrings, topk, toxicity, webpage
-from tangency.llm.common import table
+from tangency.llm import chat, importance, infill, language, mixing, packing, repetition, simhash, substrings, topk, toxicity, warc, webpage
+from tangency.llm.common import shared_dir, table
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every document; nulls, empty texts, marks and repeats as in infill.transformed."""
+    rows = infill.transformed(table(spark, sf_dir, "documents"))
+    text = infill.restored("output", "form")
+    digests = [F.sha2(c.cast("binary"), 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (text, "restored_sha256"))]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document; nulls, ties and repeats as in importance.resampled."""
+    rows = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, read back and assembled; nulls, ties and repeats as in warc.write_captures."""
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_captures(pages, folder)
+    rows = warc.read_captures(spark, folder)
+    return rows.select(F.col("page_id").cast(pages.schema["page_id"].dataType).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +99,15 @@ QUERIES = {
         op8_repetition_quality,
         op9_chat_format,
         op10_toxicity,
+        op11_fill_in_middle,
+        op12_importance_resampling,
+        op13_warc_captures,
     )
 }
-ORACLES: dict[str, str] = {"op5_exact_top_k": topk.ORACLE, "op9_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_exact_top_k": topk.ORACLE,
+    "op9_chat_format": chat.ORACLE,
+    "op11_fill_in_middle": infill.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
+    "op13_warc_captures": warc.ORACLE,
+}
