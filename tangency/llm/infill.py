@@ -1,16 +1,15 @@
 """Fill-in-the-middle: a text cut in three and put in an order that ends with its middle.
 
-The units that a text is cut into are the isolated matches of a pattern, found
-by the tokenizers library's Split pre-tokenizer; nothing is trained. Its
-code-point offsets are the array that a document is cut by: their number is n,
-and the offsets of two seeded ranks are the ends of prefix and middle. Numbers
-that decide form and cuts come from the document's id alone.
+A text's units are isolated matches of the tokenizers library's Split
+pre-tokenizer; nothing is trained. Its code-point offsets are the array that a
+document is cut by: their number is n, and the offsets of two seeded ranks are
+the ends of prefix and middle. Numbers that decide form and cuts come from the
+document's id alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,38 +19,40 @@ from tokenizers import Regex, pre_tokenizers
 
 #: Marks of prefix, suffix and middle.
 MARKS = ("<P>", "<S>", "<M>")
-#: Any one code point, line ends included.
-UNIT = r"[\s\S]"
-
-
 class Units:
-    """The isolated matches of ``pattern``, of which none may be longer than one code point or cross a block of the text."""
-
-    def __init__(self, pattern: str = UNIT, block: int = 1024):
-        self.split = pre_tokenizers.Split(Regex(pattern), "isolated")
-        self.block = block
+    """The code points of a text, as isolated matches of a pre-tokenizer, by rank.
 
-    def ends(self, text: str, first: int) -> list[int]:
-        """End offsets, in the whole text, of the units of the block that begins at ``first``."""
-        return [first + end for _, (_, end) in self.split.pre_tokenize_str(text[first : first + self.block])]
-
-    def counts(self, text: str) -> list[int]:
-        """Units before every block, and of the whole text at the end.
-
-        A text goes through in blocks, so that a very long one never has all its offsets in memory.
-        """
-        found = (len(self.split.pre_tokenize_str(text[i : i + self.block])) for i in range(0, len(text), self.block))
-        return list(accumulate(found, initial=0))
+    Two arrays of offsets, coarse and fine: matches of up to ``run`` units,
+    and, within the one match where a rank falls or the text ends, those of
+    single units. A text goes through in blocks of whole matches, so that a
+    very long one never has all its offsets in memory.
+    """
 
-    def offset(self, text: str, counts: Sequence[int], rank: int) -> int:
+    def __init__(self, run: int = 64, block: int = 16_384):
+        # Any one code point, line ends included.
+        self.fine = pre_tokenizers.Split(Regex(r"[\s\S]"), "isolated")
+        self.coarse = pre_tokenizers.Split(Regex(rf"[\s\S]{{1,{run}}}"), "isolated")
+        self.run, self.block = run, -(-block // run) * run
+
+    def runs(self, text: str, first: int) -> list[tuple[str, tuple[int, int]]]:
+        """The coarse matches of the block that begins at ``first``."""
+        return self.coarse.pre_tokenize_str(text[first : first + self.block])
+
+    def count(self, text: str) -> int:
+        """How many units there are: all matches but a block's last are full, and that one's fine array has a length."""
+        n = 0
+        for first in range(0, len(text), self.block):
+            found = self.runs(text, first)
+            n += (len(found) - 1) * self.run + len(self.fine.pre_tokenize_str(found[-1][0]))
+        return n
+
+    def offset(self, text: str, rank: int) -> int:
         """Where the first ``rank`` units end."""
         if rank == 0:
             return 0
-        low, high = 0, len(counts) - 2
-        while low < high:
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if counts[middle] < rank else (low, middle - 1)
-        return self.ends(text, low * self.block)[rank - counts[low] - 1]
+        first = (rank - 1) // self.block * self.block
+        part, (start, _) = self.runs(text, first)[(rank - 1 - first) // self.run]
+        return first + start + self.fine.pre_tokenize_str(part)[(rank - 1) % self.run][1][1]
 
 
 def arranged(prefix: str, middle: str, suffix: str, form: str, marks: Sequence[str] = MARKS) -> str:
@@ -59,21 +60,20 @@ def arranged(prefix: str, middle: str, suffix: str, form: str, marks: Sequence[s
     return f"{s}{suffix}{p}{prefix}{m}{middle}" if form == "spm" else f"{p}{prefix}{s}{suffix}{m}{middle}"
 
 
-def _transformed_batches(marks: Sequence[str], pattern: str, most: int):
+def _transformed_batches(marks: Sequence[str], most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(pattern)
+        units = Units()
         for batch in batches:
             texts, forms, one, two = (batch.column(c) for c in ("text", "form", "h1", "h2"))
             rows, since, size = [], 0, 0
             for i in range(batch.num_rows):
                 text, form = texts[i].as_py(), forms[i].as_py()
-                counts = units.counts(text)
-                n = counts[-1]
+                n = units.count(text)
                 if form == "plain":
                     rows.append((n, None, None, text))
                 else:
                     low, high = sorted((one[i].as_py() % (n + 1), two[i].as_py() % (n + 1)))
-                    a, b = (units.offset(text, counts, rank) for rank in (low, high))
+                    a, b = (units.offset(text, rank) for rank in (low, high))
                     rows.append((n, a, b - a, arranged(text[:a], text[a:b], text[b:], form, marks)))
                 size += len(text)
                 if size > most or i == batch.num_rows - 1:
@@ -86,7 +86,7 @@ def _transformed_batches(marks: Sequence[str], pattern: str, most: int):
 
 
 def transformed(
-    docs: DataFrame, seed: int = 1, percent: int = 90, spm_percent: int = 20, marks: Sequence[str] = MARKS, pattern: str = UNIT, batch_chars: int = 4_000_000
+    docs: DataFrame, seed: int = 1, percent: int = 90, spm_percent: int = 20, marks: Sequence[str] = MARKS, batch_chars: int = 4_000_000
 ) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output) per row of ``docs``.
 
@@ -108,7 +108,7 @@ def transformed(
     rows = docs.select("doc_id", text.alias("text"), form.alias("form"), number(0).alias("h1"), number(1).alias("h2"))
     longs = [T.StructField(c, T.LongType()) for c in ("prefix_chars", "middle_chars")]
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("form", T.StringType()), *longs, T.StructField("output", T.StringType())])
-    return rows.mapInArrow(_transformed_batches(tuple(marks), pattern, batch_chars), schema)
+    return rows.mapInArrow(_transformed_batches(tuple(marks), batch_chars), schema)
 
 
 def restored(output: Column | str, form: Column | str, marks: Sequence[str] = MARKS) -> Column:
