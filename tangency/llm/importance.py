@@ -107,11 +107,14 @@ def least(rows: DataFrame, keys: Sequence[Column], k: int, bits: int = 16) -> Co
     found so far are counted by their next one, and the counts, at most
     2 ** ``bits`` of them, tell which digit the k-th key has. Digits that all
     rows share are passed over, and the search ends as soon as a digit's rows
-    are all needed. If rows of equal keys would have to be parted, ValueError.
+    are all needed. If rows of equal keys would have to be
+    parted, ValueError.
     """
     if k <= 0:
         return F.lit(False)
-    ends = rows.agg(*[f(key).alias(f"{n}{i}") for i, key in enumerate(keys) for n, f in (("low", F.min), ("high", F.max))]).first()
+    ends = rows.agg(*[f(key).alias(f"{n}{i}") for i, key in enumerate(keys) for n, f in (("low", F.min), ("high", F.max))], F.count("*").alias("n")).first()
+    if k >= ends["n"]:
+        return F.lit(True)
     below, equal, left = F.lit(False), F.lit(True), k
     for i, key in enumerate(keys):
         low, high = ends[f"low{i}"], ends[f"high{i}"]
