@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,34 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder; for rows that hold texts."""
+    folder = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def hot_join(rows: DataFrame, others: DataFrame, keys: Sequence[str], number: Column, share: int = 256, salts: int = 64, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``others``, which has one row per ``keys``, without a key's rows meeting in one task.
+
+    A key of more than 1 / ``share`` of the rows is hot; there are fewer than
+    ``share`` of those, so their list may go everywhere. Its rows are spread by
+    ``number`` over ``salts`` copies of the other side's row. Null keys meet
+    none and are spread too.
+    """
+    total = rows.count()
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    hot = rows.where(known).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * share > total)
+    hot = F.broadcast(materialised(hot.select(*keys, F.lit(True).alias("hot"))))
+    salt = F.pmod(number, F.lit(salts)).cast("int")
+    spread = rows.join(hot, list(keys), "left").withColumn("salt", F.when(F.col("hot") | ~known, salt).otherwise(0)).drop("hot")
+    copies = others.join(hot, list(keys), "left")
+    copies = copies.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return spread.join(copies, [*keys, "salt"], how).drop("salt")
+
+
 def held_out(key: Column | str, modulus: int, remainder: int) -> Column:
     """True where crc32 of ``key`` as text leaves ``remainder``; never null."""
     key = F.col(key) if isinstance(key, str) else key

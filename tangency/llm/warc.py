@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tangency.llm.common import materialised
+from tangency.llm.common import hot_join, materialised
 
 END = b"\r\n\r\n"
 #: Kinds of record that are captures, and those that go with one.
@@ -34,22 +34,6 @@ def base32(hexadecimal: Column) -> Column:
     return F.translate(F.concat(part(1, 15), part(16, 15), part(31, 10)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
-def hot_join(rows: DataFrame, others: DataFrame, key: str, number: Column, share: int = 256, salts: int = 64, how: str = "left") -> DataFrame:
-    """``rows`` joined with ``others``, which has one row per ``key``, without a key's rows meeting in one task.
-
-    A key of more than 1 / ``share`` of the rows is hot; there are fewer than
-    ``share`` of those, so their list may go everywhere. Its rows are spread by
-    ``number`` over ``salts`` copies of the other side's row.
-    """
-    total = rows.count()
-    hot = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") * share > total).select("hot")
-    hot = F.broadcast(materialised(hot))
-    spread = rows.join(hot, F.col(key) == F.col("hot"), "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(number, F.lit(salts))).otherwise(0)).drop("hot")
-    copies = others.join(hot, F.col(key) == F.col("hot"), "left")
-    copies = copies.withColumn("salt", F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    return spread.join(copies, [key, "salt"], how).drop("salt")
-
-
 def _clean(value: Column) -> Column:
     """A field's value on one line: white space as percent codes."""
     for character, code in (("\r", "%0D"), ("\n", "%0A"), ("\t", "%09"), (" ", "%20")):
@@ -96,23 +80,32 @@ def write_captures(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     null url or page_id is left out of the records. White space in a url
     becomes percent codes. An empty table gives archives of no records.
 
-    Rows go by id, url and digest until they are known to be responses; a
-    payload travels once per distinct text, combined before it is shuffled.
+    Rows go by id, url and digest until they are known to be responses; then
+    each text is dealt once, past a table of the responses, and not sorted.
     """
     run = run or uuid.uuid4().hex
     html = F.coalesce("html", F.lit(""))
     digest = F.sha1(html.cast("binary"))
     rows = materialised(pages.select("page_id", "url", digest.alias("digest"), F.octet_length(html).cast("long").alias("n")).withColumn("row", F.monotonically_increasing_id()))
-    best = rows.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best")).select("digest", F.col("best.row").alias("best_row"))
-    payloads = pages.select(digest.alias("digest"), html.alias("html")).groupBy("digest").agg(F.first("html").alias("html"))
-
-    large = hot_join(rows.where(F.col("n") >= least_bytes), best, "digest", F.col("row"), how="inner")
-    first = large.where("row = best_row").join(payloads, "digest")
-    lines = [first.select(_capture(False, date, run).alias("value")), large.where("row <> best_row").select(_capture(True, date, run).alias("value"))]
+    alike = rows.groupBy("digest", "page_id").agg(F.max("row").alias("row"), F.count("*").alias("copies"))
+    best = alike.groupBy("digest").agg(F.max(F.struct("page_id", "row", "copies")).alias("best"))
+    best = best.select("digest", F.col("best.row").alias("best_row"), F.col("best.copies").alias("copies"))
+    large = materialised(hot_join(rows.where(F.col("n") >= least_bytes), best, ["digest"], F.col("row"), how="inner"))
+
+    page = lambda: F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    first = large.where("row = best_row").withColumn("page", page())
+    texts = pages.select(digest.alias("digest"), page().alias("page"), html.alias("html"))
+    lone = texts.join(first.where("copies = 1").hint("shuffle_hash"), ["digest", "page"])
+    lines = [lone.select(_capture(False, date, run).alias("value")), large.where("row <> best_row").select(_capture(True, date, run).alias("value"))]
+    again = first.where("copies > 1")
+    # A row that comes more than once has its text more than once: those are made one in an aggregate.
+    payloads = texts.select("digest", "html").groupBy("digest").agg(F.first("html").alias("html"))
+    if not again.isEmpty():
+        lines.append(again.join(payloads, "digest").select(_capture(False, date, run).alias("value")))
     if least_bytes > 0:
         small = rows.where(F.col("n") < least_bytes)
         few = payloads.where(F.octet_length("html") < least_bytes)
-        lines.append(hot_join(small, few, "digest", F.col("row"), how="inner").withColumn("best_row", F.col("row")).select(_capture(False, date, run).alias("value")))
+        lines.append(hot_join(small, few, ["digest"], F.col("row"), how="inner").withColumn("best_row", F.col("row")).select(_capture(False, date, run).alias("value")))
     out = lines[0]
     for more in lines[1:]:
         out = out.union(more)
@@ -295,7 +288,7 @@ def read_captures(spark: SparkSession, folder: str, payload: bool = False) -> Da
     rows = materialised(assembled(found).withColumn("page_id", F.col("metadata.fields")["page-id"]))
     rows = rows.withColumn("refers", F.when(F.col("capture.kind") == "revisit", F.col("capture.refers_to")))
     targets = rows.where("capture.kind = 'response'").select(F.col("capture.record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("capture.payload_bytes").alias("their_bytes"))
-    full = hot_join(rows, targets, "refers", F.abs(F.hash("capture.record_id")))
+    full = hot_join(rows, targets, ["refers"], F.hash("capture.record_id"))
     out = full.select(
         "capture", "request", "metadata", "n_requests", "n_metadata", "page_id", F.col("capture.kind").alias("record_type"),
         F.coalesce("capture.payload_bytes", "their_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"), "refers_to",
