@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tangency.llm.common import materialised
+from tangency.llm.common import hot_join, materialised
 from tangency.llm.graph import components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -116,36 +116,53 @@ def _first_shared(diff: Column, segments: int, bits: int) -> Column:
     return F.coalesce(*cases)
 
 
+#: Bits of the two segments that a fingerprint, and then the segment that a crowded variant leaves open, is cut into.
+LEVELS = (32, 16, 8)
+
+
+def _other(value: Column, index: Column, bits: int) -> Column:
+    """The segment of the two of ``bits`` in ``value`` that variant ``index`` does not come from."""
+    return F.when(index < bits, value.bitwiseAND(F.lit((1 << bits) - 1))).otherwise(F.call_function("shiftrightunsigned", value, F.lit(bits)))
+
+
 def hamming_links(fps: DataFrame, bucket: int = 1024) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct longs ``fp`` at distance 3 or less, once each.
 
     A variant held by more than ``bucket`` fingerprints is not compared within
     itself: its members already agree on 31 bits, so the other half is cut
     again into two segments of 16, of which one differs by at most one bit,
-    and the same one-wildcard variants of those are joined instead. Nothing is
-    dropped: a pair is emitted at the first variant it shares, on either level.
+    and the same one-wildcard variants of those are joined instead; what is
+    crowded there is cut once more, by segments of 8. Then 11 bits are left
+    open, so no group holds more than 2,048 fingerprints. Nothing is dropped:
+    a pair is emitted at the first variant it shares on every level. How many
+    hold a variant is counted by groups and joined back; the fingerprints of a
+    hot variant are spread for that.
     """
-    low = F.lit((1 << 32) - 1)
-    fps = fps.select("fp").where("fp is not null").distinct()
-    every = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    every = every.select("fp", "i", _pick(F.col("fp"), 2, 32, F.col("i")).bitwiseOR(F.col("i").cast("long") * F.lit(1 << 32)).alias("key"))
-    sized = every.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("fp", "i", "key", "n")
-
-    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
-        left, right = (rows.select(*keys, "i", F.col("fp").alias(c), *[F.col("j").alias(f"j{c}") for _ in range("j" in rows.columns)]) for c in "ab")
-        return left.join(right.drop("i"), keys).where(F.col("a") < F.col("b"))
-
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    near = (F.bit_count(diff) <= 3) & (F.col("i") == _first_shared(diff, 2, 32))
-    cool = joined(sized.where(F.col("n") <= bucket), ["key"]).where(near).select("a", "b")
-
-    hot = sized.where(F.col("n") > bucket)
-    other = F.when(F.col("i") < 32, F.col("fp").bitwiseAND(low)).otherwise(F.call_function("shiftrightunsigned", F.col("fp"), F.lit(32)))
-    hot = hot.select("fp", "i", "key", other.alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("j"))
-    hot = hot.select("fp", "i", "key", "j", _pick(F.col("rest"), 2, 16, F.col("j")).bitwiseOR(F.col("j").cast("long") * F.lit(1 << 16)).alias("key2"))
-    rest = F.when(F.col("i") < 32, diff.bitwiseAND(low)).otherwise(F.call_function("shiftrightunsigned", diff, F.lit(32)))
-    hot = joined(hot, ["key", "key2"]).where(near & (F.col("ja") == _first_shared(rest, 2, 16))).select("a", "b")
-    return cool.union(hot)
+    rows = materialised(fps.select("fp").where("fp is not null").distinct()).withColumn("rest", F.col("fp"))
+    keys, found = [], None
+    for level, bits in enumerate(LEVELS):
+        index, key = F.col(f"i{level}"), f"k{level}"
+        every = rows.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.lit(2 * bits - 1))).alias(f"i{level}"))
+        every = every.withColumn(key, _pick(F.col("rest"), 2, bits, index).bitwiseOR(index.cast("long") * F.lit(1 << bits)))
+        keys.append(key)
+        counts = materialised(every.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
+        last = level == len(LEVELS) - 1
+        crowded = F.lit(False) if last else F.col("n") > bucket
+        sized = hot_join(every, counts, keys, F.hash("fp"), share=1 << 16, how="inner")
+        indexes = [f"i{m}" for m in range(level + 1)]
+        calm = sized.where(~crowded)
+        left, right = calm.select(*keys, *indexes, F.col("fp").alias("a")), calm.select(*keys, F.col("fp").alias("b"))
+        diff = F.col("a").bitwiseXOR(F.col("b"))
+        near, part = F.bit_count(diff) <= 3, diff
+        for m in range(level + 1):
+            near = near & (F.col(f"i{m}") == _first_shared(part, 2, LEVELS[m]))
+            part = _other(part, F.col(f"i{m}"), LEVELS[m])
+        pairs = left.join(right, keys).where((F.col("a") < F.col("b")) & near).select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        if last or counts.where(crowded).isEmpty():
+            return found
+        rows = sized.where(crowded).select(*keys, *indexes, "fp", _other(F.col("rest"), index, bits).alias("rest"))
+    return found
 
 
 def _labelled(docs: DataFrame, width: int, bucket: int) -> tuple[DataFrame, DataFrame]:
@@ -186,8 +203,13 @@ def keep_first(docs: DataFrame, width: int = 3, bucket: int = 1024) -> DataFrame
     row = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
     # Least rows per fingerprint first, so a group of copies is one row where components meet.
     first = rows.groupBy("fp").agg(F.min(row).alias("row")).join(labels, "fp").groupBy("component").agg(F.min("row").alias("row"))
-    kept = first.select(F.col("row.b").alias("_id"), F.col("row.c").alias("_hash")).distinct()
-    named = docs.withColumn("_text_hash", text_hash())
-    found = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    once = Window.partitionBy("doc_id", "_text_hash").orderBy("doc_id")
-    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+
+    def key(doc_id: Column, digest: Column) -> list[Column]:
+        return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), digest.alias("digest")]
+
+    kept = first.select(*key(F.col("row.b"), F.col("row.c"))).distinct()
+    # Columns go by number, so none clashes with those added here. Equal rows are made one in an
+    # aggregate, which combines before it shuffles; what is left has keys of its own.
+    names = [F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(docs.columns)]
+    once = docs.select(*names, *key(F.col("doc_id"), text_hash())).dropDuplicates(["no_id", "id", "digest"])
+    return once.join(kept, ["no_id", "id", "digest"], "left_semi").select(*[F.col(f"p{i}").alias(c) for i, c in enumerate(docs.columns)])
