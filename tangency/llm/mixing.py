@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tangency.llm.common import WORD, materialised
+from tangency.llm.common import WORD, materialised, written
 
 WEIGHTS = (5, 2, 1)
 
@@ -80,11 +80,26 @@ def shard_quotas(targets: DataFrame, block_words: int = 32, shard_blocks: int =
     )
 
 
-def document_sizes(docs: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, source, size, order): words of the whole text, and the seeded order as an unsigned 63-bit hash."""
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
+def document_sizes(docs: DataFrame, seed: int, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, source, size, order), written: words of the whole text, and the seeded order as an unsigned 63-bit hash.
+
+    Equal rows would share their place, so the nth of them has n in its hash:
+    a group of copies of any size is spread over the stream. They are counted
+    by the part of the table that they are in, and in each of those by row, so
+    that no task orders a whole group.
+    """
+    key = F.xxhash64(F.lit(seed), "doc_id", "text")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), order.alias("order"))
+    row = F.monotonically_increasing_id() if row is None else row
+    rows = materialised(docs.select(row.alias("row"), "doc_id", "source", size.alias("size"), key.alias("key")))
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = before.select("key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("key", "part").orderBy("row")) - 1
+    rows = rows.withColumn("here", nth).join(before, ["key", "part"])
+    order = F.shiftrightunsigned(F.when(F.col("before") + F.col("here") == 0, F.col("key")).otherwise(F.xxhash64("key", F.col("before") + F.col("here"))), 1)
+    return materialised(rows.select("row", "doc_id", "source", "size", order.alias("order")))
 
 
 def shard_pools(quotas: DataFrame, block_words: int) -> DataFrame:
@@ -125,13 +140,15 @@ def mix(
     shard_blocks: int = 32_768,
     seed: int = 7,
     bucket_rows: int = 1024,
+    row: Column | None = None,
 ) -> DataFrame:
-    """(doc_id, source, size, order, source_size, target, taken, start, pools) per row of ``docs``.
+    """(row, doc_id, source, size, source_size, target, taken, start, pools) per row of ``docs``.
 
     ``taken`` counts the words that the selected blocks cover, repeats
     included, never over ``max_epochs`` times ``size``; ``start`` is the
     document's place in its source's seeded stream, ``pools`` the shards' parts
-    of the stream about there.
+    of the stream about there. ``row`` names the rows of ``docs``, without
+    ties; by itself it is a number that the rows get here.
 
     A source may hold a third of all rows, so its stream is never one group:
     it is cut by the order hash into buckets of about ``bucket_rows`` rows,
@@ -140,7 +157,7 @@ def mix(
     is a source of its own; equal rows are interchangeable, so reruns agree;
     an empty table gives no rows. Other columns are not read.
     """
-    sized = materialised(document_sizes(docs, seed))
+    sized = document_sizes(docs, seed, row)
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     targets = source_targets(per_source.select("source", "size"), weights, max_epochs)
     counts = per_source.select(F.col("source").alias("s"), F.greatest(F.ceil(F.col("rows") / bucket_rows), F.lit(1).cast("long")).alias("buckets"))
@@ -154,11 +171,11 @@ def mix(
     offsets = rows.groupBy("place", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0).cast("long")))
-    within = Window.partitionBy("place", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("place", "bucket").orderBy("order", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
     rows = rows.join(bucket_pools(pools, offsets), ["place", "bucket"])
     rows = rows.withColumn("start", F.col("offset") + F.col("inner"))
-    return rows.withColumn("taken", words_taken(max_epochs)).select("doc_id", "source", "size", "order", "source_size", "target", "taken", "start", "pools")
+    return rows.withColumn("taken", words_taken(max_epochs)).select("row", "doc_id", "source", "size", "source_size", "target", "taken", "start", "pools")
 
 
 def _part(pool: Column, epoch: int) -> tuple[Column, Column]:
@@ -196,19 +213,18 @@ def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 7, **optio
     a few per shard and source. Documents of no words are never taken.
     ``n_chars``, if there, is counted anew for a cut text.
     """
-    taken = mix(docs, max_epochs=max_epochs, seed=seed, **options).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("order").alias("_order"), F.col("size").alias("_size"), F.col("start").alias("_start"), ranges_taken(max_epochs).alias("_passes"))
-    # Equal rows share id and order; numbering both sides pairs them one to one.
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_order").orderBy("_start", "_size")))
-    named = docs.withColumn("_o", order)
-    named = named.withColumn("_m", F.row_number().over(Window.partitionBy("doc_id", "_o").orderBy("doc_id")))
-    joined = named.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_o") == F.col("_order")) & (F.col("_m") == F.col("_n")))
-    rows = joined.withColumn("_words", F.explode("_passes"))
-    length = F.col("_words.to") - F.col("_words.since")
-    cut = length < F.col("_size")
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_words.since") + 1).cast("int"), length.cast("int"))
-    rows = rows.withColumn("text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    names = docs.columns
+    # Columns go by number, so none clashes with those added here, and rows by one that is written with them.
+    rows = written(docs.select(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(names)]).withColumn("row", F.monotonically_increasing_id()))
+    own = {c: F.col(f"p{i}") for i, c in enumerate(names)}
+    mixed = mix(rows.select(*[own[c].alias(c) for c in ("doc_id", "source", "text")], "row"), max_epochs=max_epochs, seed=seed, row=F.col("row"), **options)
+    taken = mixed.where("taken > 0").select("row", "size", ranges_taken(max_epochs).alias("passes"))
+    rows = rows.join(taken, "row").withColumn("words", F.explode("passes"))
+    length = F.col("words.to") - F.col("words.since")
+    cut = length < F.col("size")
+    part = F.slice(F.regexp_extract_all(own["text"], F.lit(WORD), F.lit(0)), (F.col("words.since") + 1).cast("int"), length.cast("int"))
+    text = F.when(cut, F.array_join(part, " ")).otherwise(own["text"])
+    out = own | {"text": text}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*[out[c].alias(c) for c in names])
