@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tangency.llm.common import materialised
+from tangency.llm.common import hot_join, materialised
 from tangency.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -91,22 +91,15 @@ def window_runs(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return piece[starts], starts - base[piece[starts]], ends - starts, at[starts] - starts, hashes[at[starts]], contexts
 
 
-def _run_batches(length: int, only: np.ndarray | None = None):
-    """The runs of all texts, or those of the anchors ``only`` with their contexts' bytes."""
+def _run_batches(length: int):
+    """The runs of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(pieces, idents, bases):
-            found = window_runs(pieces, length)
-            if only is not None:
-                found = [x[np.isin(found[4].view(np.int64), only)] for x in found]
-            piece, start, size, place, anchor, context = found
-            data = [pieces[p][i : i + n] for p, i, n in zip(piece.tolist(), start.tolist(), size.tolist())] if only is not None else None
+            piece, start, size, place, anchor, context = window_runs(pieces, length)
             start = start + np.array(bases, np.int64)[piece]
             columns = [anchor.view(np.int64), context.view(np.int64), np.array(idents, np.int64)[piece], (start << 24) | (size << 12) | place]
-            arrays, names = [pa.array(c) for c in columns], ["anchor", "context", "ident", "pos"]
-            if data is not None:
-                arrays, names = [*arrays, pa.array(data, pa.binary())], [*names, "data"]
-            return pa.RecordBatch.from_arrays(arrays, names)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "ident", "pos"])
 
         for batch in batches:
             idents, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -309,6 +302,11 @@ def _cover(pos: str = "pos"):
     return (F.shiftright(pos, 24) * 4096 + F.shiftright(pos, 12).bitwiseAND(F.lit(4095).cast("long"))).alias("cover")
 
 
+def _crowded(rows: DataFrame, most: int) -> DataFrame:
+    """(key, crowded): keys of more than ``most`` rows."""
+    return rows.groupBy("key").count().where(F.col("count") > most).select("key", F.lit(True).alias("crowded"))
+
+
 def _divided(rows: DataFrame, length: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
     """Contexts (key, ident, pos, single, data, used) of crowded anchors, divided until no key has over ``most``.
 
@@ -331,12 +329,13 @@ def _divided(rows: DataFrame, length: int, most: int) -> tuple[DataFrame, list[D
         known.append(parts.where("single").join(again, ["key", "digest"]).select("ident", _cover()))
         single = (F.col("one.single") & (F.col("n") == 1)).alias("single")
         rows = merged.select("key", "one.ident", "one.pos", single, "one.data", "one.used")
-        crowded = materialised(rows.groupBy("key").count().where(F.col("count") > most).select("key"))
+        crowded = materialised(_crowded(rows, most))
         if crowded.isEmpty():
-            ready.append(rows)
+            ready.append(rows.select("key", "ident", "pos", "single", "data"))
             break
-        ready.append(rows.join(F.broadcast(crowded), "key", "left_anti"))
-        rows = rows.join(F.broadcast(crowded), "key", "left_semi")
+        flagged = materialised(hot_join(rows, crowded, ["key"], F.hash("ident", "pos"), share=4096))
+        ready.append(flagged.where("crowded is null").select("key", "ident", "pos", "single", "data"))
+        rows = flagged.where("crowded").drop("crowded")
         level += 1
     windows = tied[0]
     for more in tied[1:]:
@@ -345,9 +344,9 @@ def _divided(rows: DataFrame, length: int, most: int) -> tuple[DataFrame, list[D
         windows = materialised(windows.mapInArrow(_window_batches(length), "key long, window long, ident long, cover long, single boolean"))
         again = materialised(windows.groupBy("key", "window").count().where("count > 1").select("key", "window"))
         known.append(windows.where("single").join(again, ["key", "window"]).select("ident", "cover"))
-    out = ready[0].select("key", "ident", "pos", "single", "data")
+    out = ready[0]
     for more in ready[1:]:
-        out = out.union(more.select("key", "ident", "pos", "single", "data"))
+        out = out.union(more)
     return out, known
 
 
@@ -374,26 +373,24 @@ def repeated_covers(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -
     again = materialised(contexts.where("n > 1").select("anchor", "context"))
     whole = shared.where("kind = 0").select("ident", cover).union(mixed.join(again, ["anchor", "context"]).select("ident", cover))
 
-    wanted, divided, known = contexts, None, []
+    wanted = contexts.select(F.col("anchor").alias("key"), "one.ident", "one.pos", (F.col("n") == 1).alias("single"))
+    crowded = None
     if not anchors.where("kind = 2").isEmpty():
-        # At most one anchor for ``most`` runs.
-        many = shared.where("kind = 2").select("anchor", "context").distinct().groupBy("anchor").count()
-        crowded = materialised(many.where(F.col("count") > most).select("anchor"))
-        names = np.array([r.anchor for r in crowded.collect()], np.int64)
-        if len(names):
-            wanted = contexts.join(F.broadcast(crowded), "anchor", "left_anti")
-            rows = texts.select("_ident", "_data").mapInArrow(_run_batches(length, names), "anchor long, context long, ident long, pos long, data binary")
-            rows = rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("ident", "pos", "data")).alias("one"))
-            rows = rows.select(F.col("anchor").alias("key"), "one.ident", "one.pos", (F.col("n") == 1).alias("single"), "one.data", F.array(F.lit(0)).alias("used"))
-            divided, known = _divided(rows, length, most)
-    wanted = wanted.select(F.col("anchor").alias("key"), "one.ident", "one.pos", (F.col("n") == 1).alias("single"))
+        crowded = materialised(_crowded(wanted, most))
+        if crowded.isEmpty():
+            crowded = None
+        else:
+            wanted = hot_join(materialised(wanted), crowded, ["key"], F.hash("ident", "pos"), share=4096)
     # Equal rows share an ident; either text will do. With doc_id the texts are dealt just
     # as for the cut itself, so both joins read one exchange.
     start, size = F.shiftright("pos", 24).cast("int") + 1, F.shiftright("pos", 12).bitwiseAND(F.lit(4095).cast("long")).cast("int")
     dealt = docs.select("doc_id", "_ident", "_data")
-    pieces = wanted.join(dealt, F.col("ident") == F.col("_ident")).select("key", "ident", "pos", "single", F.substring("_data", start, size).alias("data"), "doc_id")
-    if divided is not None:
-        pieces = pieces.union(divided.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    pieces = wanted.join(dealt, F.col("ident") == F.col("_ident")).select(*wanted.columns, F.substring("_data", start, size).alias("data"), "doc_id")
+    known = []
+    if crowded is not None:
+        rows = materialised(pieces.where("crowded").select("key", "ident", "pos", "single", "data", F.array(F.lit(0)).alias("used")))
+        divided, known = _divided(rows, length, most)
+        pieces = pieces.where("crowded is null").drop("crowded").union(divided.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
     compared = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_batches(length), "ident long, cover long")
     for more in (*known, compared):
         whole = whole.union(more)
