@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__
+import corpus_pipeline
 from tangency.llm import boosting, chat, language, mixing, packing, queries, repetition, simhash, substrings, suffix, topk, toxicity, webpage
 from tangency.llm.graph import components
 
@@ -30,13 +31,17 @@ def words(rng, n, pool=500):
     return " ".join(f"w{rng.randrange(pool)}" for _ in range(n))
 
 
+#: Names that the operators use, or once used, for columns of their own.
+CLASHING = ("_id", "_n", "_hash", "_text_hash", "_o", "_m", "_words", "_order", "_size", "_passes", "_start", "_ident", "_data", "row", "part", "id", "digest", "no_id", "p0", "passes", "words", "order", "hot", "salt")
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty, blank and very long texts, repeated rows, extra columns with clashing names."""
     rng = random.Random(4)
     long = words(rng, 30_000)
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, long, "en", "a", 5), (None, "some words here", "en", None, 1), (5, "same text", "de", "b", 9), (5, "same text", "de", "b", 9), (6, "é" * 150 + " x", "de", "b", 9)]
-    return frame(spark, rows).withColumns({c: F.lit(1) for c in ("score", "size", "taken", "fp", "key", "rank", "pos", "cover", "_ident2", "held_out")})
+    return frame(spark, rows).withColumns({c: F.lit(1) for c in ("score", "size", "taken", "fp", "key", "rank", "pos", "cover", "_ident2", "held_out", *CLASHING)})
 
 
 @pytest.fixture(scope="module")
@@ -772,9 +777,47 @@ def test_toxicity_odd_rows(spark, odd, none):
 # Registered queries
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Foreign columns, named as the stages' own, come out as they went in."""
+    rng = random.Random(9)
+    plain = [(i, words(rng, 40 + i), "en", "ab"[i % 2], 5) for i in range(30)]
+    rows = plain + [plain[3], plain[3], (None, plain[5][1], "en", None, 5), (None, words(rng, 50), "en", None, 5), (40, plain[7][1] + " more", "en", "a", 5)]
+    docs = frame(spark, rows).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found, name
+        for r in found:
+            assert all(r[c] == c + ("none" if r.doc_id is None else str(r.doc_id)) for c in CLASHING), name
+        docs = spark.createDataFrame(found, docs.schema)
+    assert corpus_pipeline.pack(spark, docs, FOLDER).count() > 0
+
+
+def test_one_of_equal_rows_stays_and_none_of_another_text_goes(spark):
+    rng = random.Random(2)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(None, a, "en", "x", 1)] * 50 + [(7, b, "en", "x", 1)] * 20 + [(7, a, "en", "y", 1), (3, b, "en", "y", 1), (None, "", None, None, 0), (None, None, None, None, 0)]
+    out = simhash.keep_first(frame(spark, rows).repartition(4)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text or "") for r in out if r.text) == sorted([(False, 7, a), (False, 3, b)])
+    assert len(out) == 3
+
+
+def test_equal_rows_are_spread_over_the_stream(spark):
+    """Many copies of one row take no one place, and reruns on other partitions agree."""
+    rows = [(1, "one two three", "en", "a", 13)] * 300 + [(i, words(random.Random(i), 30), "en", "b", 1) for i in range(2, 60)]
+    docs = frame(spark, rows)
+    sizes = mixing.document_sizes(docs.repartition(6), 7).toPandas()
+    assert len(sizes) == len(rows) and sizes["order"].is_unique and (sizes["order"] >= 0).all()
+    again = mixing.document_sizes(docs.repartition(2), 7).toPandas()
+    assert sorted(sizes["order"]) == sorted(again["order"])
+    taken = [sorted(mixing.mix(docs.repartition(n), bucket_rows=16).toPandas()["taken"]) for n in (2, 5)]
+    assert taken[0] == taken[1]
+
+
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -789,7 +832,7 @@ def test_sql_oracles(spark, name):
 
 
 def test_pipeline_stages(spark):
-    import corpus_pipeline
+
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, seen = docs.columns, {}
