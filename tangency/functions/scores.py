@@ -50,3 +50,8 @@ def without_comment(line: Column) -> Column:
 def stem(path: Column) -> Column:
     """The file name without folders and its last extension."""
     return F.regexp_replace(F.regexp_replace(path, r"^.*[/\\]", ""), r"\.[^.]*$", "")
+
+
+def one_hot(index: Column, size: int) -> Column:
+    """An array of ``size`` zeros but for a one at ``index``; all zeros for an index that is null or elsewhere."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce((i == index).cast("double"), F.lit(0.0)))

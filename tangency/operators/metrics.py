@@ -101,18 +101,22 @@ def policy_scores(rows: DataFrame, by: Sequence[str], head: str) -> DataFrame:
     return scored.withColumn("policy_score", total).drop(*[f"z_{c}" for c in weights])
 
 
-#: Heads by source that a run sets itself; looked up before anything else is asked.
-SOURCE_HEADS: dict[str, str] = {}
-# Parts of the names of primitive-query sources, and the candidates per query of a dense group.
+# Heads found best for some sources, parts of the names of primitive-query sources, and the
+# candidates per query of a dense group.
+SOURCE_HEADS = {"common_modeling_large": "priority_only", "fusion360_full_assembly": "cost_aware", "shapenet_ood_dense": "cost_aware"}
 PRIMITIVE_SOURCES = ("tight_inclusion", "nyu")
 DENSE_GROUP = 256
 
 
 def policy_head(source: str, density: float | None = None, hard_negative: bool = False, heads: dict[str, str] | None = None) -> str:
-    """The head for a source: the one set for it in ``heads``; else hybrid for primitive queries, hard negatives and dense groups, else cost aware."""
-    known = (SOURCE_HEADS if heads is None else heads).get(source)
-    risky = hard_negative or any(part in source for part in PRIMITIVE_SOURCES) or (density or 0) >= DENSE_GROUP
-    return known or ("risk_proximity_hybrid" if risky else "cost_aware")
+    """The head for a source: hybrid for primitive queries and hard negatives, then the one set for it, then hybrid for dense groups, else cost aware.
+
+    ``heads`` adds to, or replaces, the heads by source.
+    """
+    known = (SOURCE_HEADS | (heads or {})).get(source)
+    if hard_negative or any(part in source for part in PRIMITIVE_SOURCES):
+        return "risk_proximity_hybrid"
+    return known or ("risk_proximity_hybrid" if (density or 0) >= DENSE_GROUP else "cost_aware")
 
 
 def group_mix(rows: DataFrame, group: str, truth: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Per-group ranking with early stop, top-k proposals and fallback, as windows.
 
-A group may hold a third of all rows and still ranks in one sort that spills;
-what follows the rank is aggregates, which combine before they shuffle.
+A group may hold a third of all rows. Where every row needs a rank it ranks in
+one sort that spills; where the first rows or hits do, they are heaps and
+aggregates, which combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -10,9 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
+from tangency.operators.heaps import first_rows
 from tangency.sources.views import checkpointed
 
 
+#: The order of a schedule as columns, and whether they descend.
+ORDER = (("priority", True), ("cost", False), ("candidate_id", False))
+
+
 def order_window(group: str = "query_id"):
     """Priority down, cost up, then input order."""
     return Window.partitionBy(group).orderBy(F.col("priority").desc(), "cost", "candidate_id")
@@ -157,19 +163,25 @@ def first_positive(candidates: DataFrame, cost: str, key=None) -> DataFrame:
 
 
 def top_k_then_scan(candidates: DataFrame, k: int) -> DataFrame:
-    """Per group: ``k`` proposals by priority, then, without a hit, a scan of the rest in input order."""
-    rows = ranked(candidates)
-    group = Window.partitionBy("query_id")
-    proposed = F.min(F.when(F.col("collides") & (F.col("rn") <= k), F.col("rn"))).over(group)
-    rest = F.row_number().over(Window.partitionBy("query_id", F.col("rn") <= k).orderBy("candidate_id"))
-    rows = rows.withColumns({"proposed": proposed, "rest": rest})
-    scanned = F.min(F.when(F.col("collides") & (F.col("rn") > k), F.col("rest")))
-    size = F.count("*")
-    return rows.groupBy("query_id").agg(
-        F.coalesce(F.max("proposed"), F.least(F.lit(k), size)).cast("long").alias("proposal_calls"),
-        F.when(F.max("proposed").isNotNull(), F.lit(0)).otherwise(F.coalesce(scanned, F.greatest(size - k, F.lit(0)))).cast("long").alias("fallback_calls"),
-        F.max("collides").alias("truth"),
+    """Per group: ``k`` proposals by priority, then, without a hit, a scan of the rest in input order.
+
+    Proposals come from heaps of ``k`` rows, so a group is never sorted; where
+    none hits, the scan ends at the group's first hit in input order, which is
+    an aggregate, and costs the rows up to it that were not proposed.
+    """
+    proposals = first_rows(candidates.select("query_id", "candidate_id", "priority", "cost", "collides"), ["query_id"], ORDER, k)
+    best = proposals.groupBy("query_id").agg(
+        F.min(F.when(F.col("collides"), F.col("rn"))).alias("proposed"), F.count("*").alias("tried"), F.collect_list("candidate_id").alias("_own")
     )
+    rows = first_hits(candidates.select("query_id", "candidate_id", "collides"), F.col("candidate_id"))
+    scan = rows.groupBy("query_id").agg(F.count("*").alias("size"), F.count_if(F.col("_key") <= F.col("_first")).alias("upto"), F.max("_first").alias("_first"), F.max("collides").alias("truth"))
+    out = scan.join(best, "query_id")
+    skipped = F.size(F.filter("_own", lambda c: c <= F.col("_first")))
+    scanned = F.when(F.col("_first").isNull(), F.col("size") - F.col("tried")).otherwise(F.col("upto") - skipped)
+    return out.select(
+        "query_id", F.coalesce("proposed", "tried").cast("long").alias("proposal_calls"),
+        F.when(F.col("proposed").isNotNull(), F.lit(0)).otherwise(scanned).cast("long").alias("fallback_calls"), "truth",
+    )
 
 
 def with_predictions(candidates: DataFrame, predictions: DataFrame, threshold: float) -> DataFrame:

@@ -314,7 +314,8 @@ def test_strips_find_every_pair_once(spark):
 
 def test_head_of_a_source():
     assert metrics.policy_head("cad", 10) == "cost_aware" and metrics.policy_head("cad", 256) == "risk_proximity_hybrid"
-    assert metrics.policy_head("nyu_x") == "risk_proximity_hybrid" and metrics.policy_head("nyu_x", heads={"nyu_x": "priority_only"}) == "priority_only"
+    assert metrics.policy_head("nyu_x") == "risk_proximity_hybrid" and metrics.policy_head("nyu_x", heads={"nyu_x": "priority_only"}) == "risk_proximity_hybrid"
+    assert metrics.policy_head("cad", 300, heads={"cad": "priority_only"}) == "priority_only"
 
 
 def test_meshes_equal_all_primitive_pairs(spark):
