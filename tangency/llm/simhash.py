@@ -207,9 +207,15 @@ def keep_first(docs: DataFrame, width: int = 3, bucket: int = 1024) -> DataFrame
     def key(doc_id: Column, digest: Column) -> list[Column]:
         return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), digest.alias("digest")]
 
-    kept = first.select(*key(F.col("row.b"), F.col("row.c"))).distinct()
-    # Columns go by number, so none clashes with those added here. Equal rows are made one in an
-    # aggregate, which combines before it shuffles; what is left has keys of its own.
+    keys = ["no_id", "id", "digest"]
+    copies = rows.groupBy(*key(F.col("doc_id"), F.col("text_hash"))).agg(F.count("*").alias("copies")).where("copies > 1")
+    kept = materialised(first.select(*key(F.col("row.b"), F.col("row.c"))).distinct().join(copies, keys, "left"))
+    # Columns go by number, so none clashes with those added here. Texts stream past a table of the
+    # keys; only if a row to keep comes more than once are equal rows made one, in an aggregate.
     names = [F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(docs.columns)]
-    once = docs.select(*names, *key(F.col("doc_id"), text_hash())).dropDuplicates(["no_id", "id", "digest"])
-    return once.join(kept, ["no_id", "id", "digest"], "left_semi").select(*[F.col(f"p{i}").alias(c) for i, c in enumerate(docs.columns)])
+    named = docs.select(*names, *key(F.col("doc_id"), text_hash()))
+    found = named.join(kept.where("copies is null").hint("shuffle_hash"), keys, "left_semi")
+    again = kept.where("copies is not null")
+    if not again.isEmpty():
+        found = found.union(named.dropDuplicates(keys).join(again, keys, "left_semi").select(*found.columns))
+    return found.select(*[F.col(f"p{i}").alias(c) for i, c in enumerate(docs.columns)])
