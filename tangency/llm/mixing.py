@@ -219,7 +219,7 @@ def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 7, **optio
     own = {c: F.col(f"p{i}") for i, c in enumerate(names)}
     mixed = mix(rows.select(*[own[c].alias(c) for c in ("doc_id", "source", "text")], "row"), max_epochs=max_epochs, seed=seed, row=F.col("row"), **options)
     taken = mixed.where("taken > 0").select("row", "size", ranges_taken(max_epochs).alias("passes"))
-    rows = rows.join(taken, "row").withColumn("words", F.explode("passes"))
+    rows = rows.join(taken.hint("shuffle_hash"), "row").withColumn("words", F.explode("passes"))
     length = F.col("words.to") - F.col("words.since")
     cut = length < F.col("size")
     part = F.slice(F.regexp_extract_all(own["text"], F.lit(WORD), F.lit(0)), (F.col("words.since") + 1).cast("int"), length.cast("int"))
