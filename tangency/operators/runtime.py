@@ -100,6 +100,36 @@ def certificates(results: DataFrame, eps_time: float = 1.0e-4, eps_space: float
     )
 
 
+def sphere_results(items: DataFrame) -> DataFrame:
+    """Adds status, toi_upper and margin to work items with the spheres a_* and b_* (x0 to z1, r): their contact within the item's own interval."""
+    # Columns of their own, so that the contact's many uses of them do not repeat the arithmetic.
+    at = lambda s, k, t: F.col(f"{s}_{k}0") + (F.col(f"{s}_{k}1") - F.col(f"{s}_{k}0")) * F.col(t)
+    items = items.withColumns({f"_{s}{k}{i}": at(s, k, t) for s in "ab" for k in "xyz" for i, t in enumerate(("t0", "t1"))})
+    ends = tuple(tuple(F.col(f"_{s}{k}{i}") for k in "xyz") for s in "ab" for i in (0, 1))
+    met = g.swept_spheres(*ends, F.col("a_r") + F.col("b_r"))
+    rows = items.withColumn("_met", F.struct(met["collided"].alias("c"), met["toi"].alias("t"), met["safe_margin"].alias("m")))
+    status = F.when(F.col("_met.c"), STATUS["collision"]).otherwise(STATUS["separation"])
+    return rows.withColumns({"status": status, "toi_upper": F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("_met.t"), "margin": F.col("_met.m")}).drop("_met", *[f"_{s}{k}{i}" for s in "ab" for k in "xyz" for i in (0, 1)])
+
+
+def query_outcomes(certified: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per query (``keys``) from its certificates: predicted, toi_upper, margin, items and calls.
+
+    Items of a query are worked on in ``order`` until one collides; those
+    after it are not called. A query's items are aggregated, never sorted: the
+    first collision goes back to them by a join.
+    """
+    hit = F.col("status") == STATUS["collision"]
+    first = certified.groupBy(*keys).agg(F.min(F.when(hit, F.col(order))).alias("_first"))
+    rows = certified.join(first, keys)
+    called = F.col("_first").isNull() | (F.col(order) <= F.col("_first"))
+    out = rows.groupBy(*keys).agg(
+        F.max(hit).alias("predicted"), F.min(F.when(hit, F.col("toi_upper"))).alias("toi_upper"), F.min(F.when(called, F.col("safe_margin"))).alias("margin"),
+        F.count("*").alias("items"), F.count_if(called).alias("calls"),
+    )
+    return out.withColumns({"toi_upper": F.coalesce("toi_upper", F.lit(1.0)), "margin": F.when(F.col("predicted"), F.lit(0.0)).otherwise(F.col("margin"))})
+
+
 def with_culled(queries: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Every query with its certificate; one without a candidate is separate over its whole interval and was not evaluated."""
     rest = [c for c in found.columns if c not in keys]

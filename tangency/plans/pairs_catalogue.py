@@ -100,7 +100,11 @@ def r7_slab_boxes(spark, d):
     return rows.agg(F.count("*").alias("boxes"), F.round(F.sum("volume"), 4).alias("volume"), r6(F.min("slab_t0")).alias("t0"), r6(F.max("slab_t1")).alias("t1"))
 
 
-@query(SLAB_BOXES + f"SELECT a.query_id, a.slab_id, a.body_id AS a_body_id, b.body_id AS b_body_id FROM slab_boxes a JOIN slab_boxes b ON a.query_id = b.query_id AND a.slab_id = b.slab_id AND a.body_id < b.body_id AND {_TOUCH}")
+@query(
+    SLAB_BOXES.replace("slab_boxes AS (", "slab_boxes AS MATERIALIZED (")
+    + f""", met AS MATERIALIZED (SELECT query_id, slab_id, a.body_id AS a_body_id, b.body_id AS b_body_id, {_TOUCH} AS touch FROM slab_boxes a JOIN slab_boxes b USING (query_id, slab_id))
+SELECT query_id, slab_id, a_body_id, b_body_id FROM met WHERE a_body_id < b_body_id AND touch"""
+)
 def j1_slab_pairs(spark, d):
     rows = slabs.slab_boxes(views.moving_spheres(spark, d), 4)
     return broadphase.query_pairs(rows, ("query_id", "slab_id")).select("query_id", "slab_id", "a_body_id", "b_body_id")

@@ -10,7 +10,7 @@ from tangency.functions import scores
 from tangency.functions.contracts import STATUS
 from tangency.operators import broadphase, candidates, features, inference, mesh, metrics, runtime, schedule, slabs
 from tangency.plans.group_catalogue import DENSE, RANKED, dense
-from tangency.plans.pairs_catalogue import _HITS, CONTACTS, SLAB_BOXES, SPHERES, contacts, r6, raw_hits
+from tangency.plans.pairs_catalogue import _ALL_PAIRS, _HITS, CONTACTS, SLAB_BOXES, SPHERES, contacts, r6, raw_hits
 from tangency.sources import samples, views
 
 QUERIES: dict = {}
@@ -253,30 +253,57 @@ def r17_certificates(spark, d):
     return rows.select(*_PAIR, *filled)
 
 
-_ROLLED = """SELECT query_id, count(*) AS queries, count(d.item) AS exact_calls, count(*) FILTER (WHERE collided) AS positives, CAST(0 AS BIGINT) AS fn, CAST(0 AS BIGINT) AS fp, 1e0 AS recall, round(count(d.item) / CAST(count(*) AS DOUBLE), 6) AS call_ratio
-FROM every LEFT JOIN done d USING (query_id, a_body_id, b_body_id) GROUP BY query_id"""
-
-
-def _benchmark(spark, d, source: str) -> DataFrame:
-    """The run against all pairs solved without a broad phase."""
-    run = exact_run(spark, d, source)
+def _run_row(spark, d, items: DataFrame, order: str) -> DataFrame:
+    """The work items, certified and worked on in ``order``, against all pairs solved without a broad phase."""
+    done = runtime.query_outcomes(runtime.certificates(runtime.sphere_results(items)), _PAIR, order)
     a = views.moving_spheres(spark, d)
     sides = [a.select("query_id", *[F.col(c).alias(f"{s}_{c}") for c in a.columns if c != "query_id"]) for s in "ab"]
     ends = tuple(g.vec(*[f"{s}_{k}{e}" for k in "xyz"]) for s in "ab" for e in "01")
     truth = sides[0].join(sides[1], "query_id").where("a_body_id < b_body_id").select(*_PAIR, g.swept_spheres(*ends, F.col("a_r") + F.col("b_r"))["collided"].alias("truth"))
-    rows = run.join(truth, _PAIR).withColumns({"predicted": F.col("status") == STATUS["collision"], "cost": F.lit(1.0)})
+    rows = truth.join(done, _PAIR, "left").withColumn("predicted", F.coalesce("predicted", F.lit(False)))
+    rows = rows.withColumns({"evaluated": F.col("items").isNotNull(), "cost": F.coalesce("calls", F.lit(0)).cast("double")})
     out = metrics.benchmark_row(rows, ["query_id"])
-    return out.select("query_id", "queries", "exact_calls", "positives", "fn", "fp", "recall", r6(F.col("call_ratio")).alias("call_ratio"))
+    toi = rows.groupBy("query_id").agg(F.coalesce(F.sum("items"), F.lit(0)).alias("candidates"), F.min(F.when(F.col("predicted"), F.col("toi_upper"))).alias("first_toi"))
+    out = out.join(toi, "query_id")
+    return out.select("query_id", "queries", "candidates", F.col("work").cast("long").alias("exact_calls"), "positives", "fn", "fp", r6(F.col("recall")).alias("recall"), r6(F.col("first_toi")).alias("first_toi"))
+
+
+#: The two bodies of a pair, for the certificate.
+_BODIES = [f"{s}_{c}" for s in "ab" for c in ("x0", "y0", "z0", "x1", "y1", "z1", "r")]
+_TAIL = CONTACTS[CONTACTS.index("moved AS") :]
+_TRUTH = f", truth AS MATERIALIZED ({_ALL_PAIRS} SELECT query_id, a_body_id, b_body_id, collided AS truth FROM contacts)"
+
 
+def _rolled(pairs: str, calls: str) -> str:
+    """Rolled up per query from CTEs before it that give ``pairs`` (with item, t0, t1 and the bodies at the item's ends)."""
+    return f"""{pairs}, {_TAIL}{_TRUTH}, first AS (SELECT query_id, a_body_id, b_body_id, min(CASE WHEN collided THEN item END) AS f FROM contacts GROUP BY ALL),
+done AS (SELECT query_id, a_body_id, b_body_id, bool_or(collided) AS predicted, min(CASE WHEN collided THEN t0 + (t1 - t0) * toi END) AS toi, count(*) AS items, count(*) FILTER (WHERE {calls}) AS calls FROM contacts JOIN first USING (query_id, a_body_id, b_body_id) GROUP BY ALL)
+SELECT query_id, count(*) AS queries, CAST(coalesce(sum(items), 0) AS BIGINT) AS candidates, CAST(coalesce(sum(calls), 0) AS BIGINT) AS exact_calls, count(*) FILTER (WHERE truth) AS positives,
+  count(*) FILTER (WHERE truth AND NOT coalesce(predicted, false)) AS fn, count(*) FILTER (WHERE NOT truth AND coalesce(predicted, false)) AS fp,
+  round(CASE WHEN count(*) FILTER (WHERE truth) = 0 THEN 1e0 ELSE 1e0 - count(*) FILTER (WHERE truth AND NOT coalesce(predicted, false)) / CAST(count(*) FILTER (WHERE truth) AS DOUBLE) END, 6) + 0e0 AS recall, round(min(toi), 6) + 0e0 AS first_toi
+FROM truth LEFT JOIN done USING (query_id, a_body_id, b_body_id) GROUP BY query_id"""
 
-@query(_RUN + _ROLLED)
+
+_AT_ENDS = ", ".join([f"{s}.{k}0 + ({s}.{k}1 - {s}.{k}0) * a.t{e} AS {s}_{k}{e}" for s in "ab" for k in "xyz" for e in "01"] + [f"{s}.r AS {s}_r" for s in "ab"])
+
+
+@query(_rolled(SLAB_BOXES + f", pairs AS MATERIALIZED (SELECT a.query_id, a.slab_id AS item, a.t0, a.t1, a.body_id AS a_body_id, b.body_id AS b_body_id, {_AT_ENDS} FROM slab_boxes a JOIN slab_boxes b ON a.query_id = b.query_id AND a.slab_id = b.slab_id AND a.body_id < b.body_id AND {_TOUCH})", "f IS NULL OR item <= f"))
 def m4_runtime_exact(spark, d):
-    return _benchmark(spark, d, "raw")
+    """One work item per pair and time slab in which its boxes touch, the earlier slab first, until the pair collides."""
+    boxes = slabs.slab_boxes(views.moving_spheres(spark, d), 4)
+    pairs = broadphase.query_pairs(boxes, ("query_id", "slab_id")).withColumnsRenamed({"a_slab_t0": "slab_t0", "a_slab_t1": "slab_t1"})
+    found = pairs.select(*_PAIR, "slab_id", "slab_t0", "slab_t1", *_BODIES)
+    found = found.withColumns({"candidate_id": (F.col("a_body_id") * 1_000_003 + F.col("b_body_id")) * 4 + F.col("slab_id"), "urgency": -F.col("slab_t0")})
+    items = runtime.work_items(found, "raw", F.lit(runtime.POINT_TRIANGLE), "urgency")
+    return _run_row(spark, d, items, "slab_id")
 
 
-@query(_RUN + _ROLLED)
+@query(_rolled(f"WITH boxes AS ({views.SWEPT_BOXES_SQL}), pairs AS MATERIALIZED (SELECT a.query_id, 0 AS item, 0e0 AS t0, 1e0 AS t1, a.body_id AS a_body_id, b.body_id AS b_body_id, {', '.join(f'{s}.{c} AS {s}_{c}' for s in 'ab' for c in ('x0', 'y0', 'z0', 'x1', 'y1', 'z1', 'r'))} FROM boxes a JOIN boxes b ON a.query_id = b.query_id AND a.body_id < b.body_id AND {_TOUCH})", "true"))
 def m6_no_proposal(spark, d):
-    return _benchmark(spark, d, "fallback")
+    """Nothing proposed: every pair whose swept boxes touch is one item over the whole time, in input order."""
+    pairs = broadphase.query_pairs(views.swept_boxes(views.moving_spheres(spark, d)))
+    found = pairs.select(*_PAIR, *_BODIES).withColumns({"candidate_id": F.col("a_body_id") * 1_000_003 + F.col("b_body_id"), "hit_count": F.lit(1)})
+    return _run_row(spark, d, runtime.work_items(found, "fallback", F.lit(runtime.POINT_TRIANGLE)), "work_item_id")
 
 
 @query(CONTACTS + "SELECT query_id, a_body_id, b_body_id, collided, round(toi, 6) + 0e0 AS toi FROM contacts")
@@ -498,7 +525,7 @@ def j7_mesh_pairs(spark, d):
 @query(None)
 def m21_mesh_exact(spark, d):
     """Meshes of a scene against each other: a certificate per scene from all primitive pairs whose boxes touch."""
-    found = mesh.mesh_certificates(moving_triangles(spark, d), 2.5, 50_000_000)
+    found = mesh.mesh_certificates(moving_triangles(spark, d), 2.5)
     return found.select("scene", "status", r6(F.coalesce("toi_upper", F.lit(1.0))).alias("toi_upper"), r6(F.col("margin")).alias("margin"), "mask", "primitives")
 
 

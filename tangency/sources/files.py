@@ -71,24 +71,41 @@ def _strict(kind: type, data, name: str):
 _SCHEDULE_LINE = r"^\s*(?:[^,]*,[^,]*,[^,]*,)?(.*?)\s*,\s*(\d+)\s*,\s*([-+]?[0-9.]+(?:[eE][-+]?\d+)?)\s*$"
 
 
+_SCHEDULE_HEADER = r"^\s*(?:group_id\s*,.*|csv_path\s*,\s*query_index\s*,\s*score\s*)$"
+
+
 def write_schedule(rows: DataFrame, folder: str) -> None:
     """(group_id, case, kind, csv_path, query_index, score) as CSV with a header per file."""
     columns = ["group_id", "case", "kind", "csv_path", "query_index", "score"]
     rows.select(*columns).write.mode("error").option("header", True).csv(folder)
 
 
-def read_schedule(spark: SparkSession, path: str) -> DataFrame:
+def _schedule_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are not blank and no header, with ``fits``: whether they are of a schedule's shape."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.where(~F.col("value").rlike(_SCHEDULE_HEADER)).withColumn("fits", F.col("value").rlike(_SCHEDULE_LINE))
+
+
+def read_schedule(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
     """(csv_path, query_index, score) of lines whose last two values are an index and a score.
 
     Lines of six values, as ``write_schedule`` writes them, and of three are
-    read; paths come back with forward slashes. Blank lines, headers and lines
-    of another shape are passed over.
+    read; paths come back with forward slashes. Blank lines and headers are
+    passed over; a line of another shape is an error when it is read, or, with
+    ``quarantine``, left to ``schedule_faults``.
     """
     group = lambda i: F.regexp_extract("value", _SCHEDULE_LINE, i)
-    lines = spark.read.text(path).where(F.col("value").rlike(_SCHEDULE_LINE))
+    lines = _schedule_lines(spark, path)
+    fault = F.raise_error(F.concat(F.lit("no line of a schedule: "), F.col("value"))).cast("boolean")
+    lines = lines.where(F.col("fits") if quarantine else F.when(F.col("fits"), F.lit(True)).otherwise(fault))
     return lines.select(F.translate(group(1), "\\", "/").alias("csv_path"), group(2).cast("long").alias("query_index"), group(3).cast("double").alias("score"))
 
 
+def schedule_faults(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a schedule that are neither read, blank nor a header."""
+    return _schedule_lines(spark, path).where(~F.col("fits")).select("value")
+
+
 def write_selection(rows: DataFrame, selected: str, folder: str) -> str:
     """Selected and skipped queries (csv_path, query_index) as two CSV folders; gives the mode that lists fewer: include or exclude."""
     chosen = F.coalesce(F.col(selected), F.lit(False))
