@@ -98,3 +98,66 @@ def best_certificates(queries: DataFrame, limits: Limits = Limits()) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[c for c, _ in _NEW]])
 
     return rows.mapInArrow(run, schema)
+
+
+# Closest points
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * b).sum(-1)
+
+
+def on_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The point of a segment nearest to ``p``; a segment of no length is its first end."""
+    ab = b - a
+    long = _dot(ab, ab)
+    t = np.divide(_dot(p - a, ab), long, out=np.zeros_like(long), where=long > 1e-14)
+    return a + ab * np.clip(t, 0, 1)[..., None]
+
+
+def on_triangle(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The point of a triangle nearest to ``p``: its foot if that lies inside, else on the nearest edge (the first of equals)."""
+    edges = np.stack([on_segment(p, a, b), on_segment(p, b, c), on_segment(p, c, a)], 1)
+    gaps = ((edges - p[:, None]) ** 2).sum(2)
+    best = edges[np.arange(len(p)), gaps.argmin(1)]
+    normal = np.cross(b - a, c - a)
+    size = _dot(normal, normal)
+    inside = (size > 1e-28) & (_dot(np.cross(b - a, p - a), normal) >= 0) & (_dot(np.cross(c - b, p - b), normal) >= 0) & (_dot(np.cross(a - c, p - c), normal) >= 0)
+    share = np.divide(_dot(p - a, normal), size, out=np.zeros_like(size), where=inside)
+    return np.where(inside[:, None], p - normal * share[:, None], best)
+
+
+def between_segments(p1: np.ndarray, q1: np.ndarray, p2: np.ndarray, q2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest points of two segments: where the lines are nearest if both are inside, else the best of an end and the other segment."""
+    d1, d2, r = q1 - p1, q2 - p2, p1 - p2
+    a, e, b, c, f = _dot(d1, d1), _dot(d2, d2), _dot(d1, d2), _dot(d1, r), _dot(d2, r)
+    bottom = a * e - b * b
+    skew = bottom > 1e-14
+    s = np.divide(b * f - c * e, bottom, out=np.full_like(bottom, -1.0), where=skew)
+    t = np.divide(a * f - b * c, bottom, out=np.full_like(bottom, -1.0), where=skew)
+    inside = skew & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
+    ones = [p1, q1, on_segment(p2, p1, q1), on_segment(q2, p1, q1)]
+    twos = [on_segment(p1, p2, q2), on_segment(q1, p2, q2), p2, q2]
+    gaps = np.stack([((x - y) ** 2).sum(1) for x, y in zip(ones, twos)], 1)
+    best, rows = gaps.argmin(1), np.arange(len(p1))
+    one, two = np.stack(ones, 1)[rows, best], np.stack(twos, 1)[rows, best]
+    return np.where(inside[:, None], p1 + d1 * s[:, None], one), np.where(inside[:, None], p2 + d2 * t[:, None], two)
+
+
+def closest_points(queries: DataFrame, time: float = 0.0) -> DataFrame:
+    """Adds a_x to b_z, the nearest points of the two primitives at ``time``, and gap, their distance, to rows of (family, v0..v23)."""
+    names = [f"{s}_{k}" for s in "ab" for k in "xyz"]
+    schema = T.StructType([*queries.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (*names, "gap")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in VALUES], 1) if batch.num_rows else np.zeros((0, 24))
+            faces = batch.column("family").to_numpy(zero_copy_only=False) == "vf"
+            v = (values[:, :12] + (values[:, 12:] - values[:, :12]) * time).reshape(-1, 4, 3)
+            one, two = between_segments(*(v[:, i] for i in range(4)))
+            one = np.where(faces[:, None], v[:, 0], one)
+            two = np.where(faces[:, None], on_triangle(*(v[:, i] for i in range(4))), two)
+            gap = np.sqrt(((one - two) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x) for x in (*one.T, *two.T)], pa.array(gap)], [*batch.schema.names, *names, "gap"])
+
+    return queries.mapInArrow(run, schema)

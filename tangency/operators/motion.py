@@ -56,3 +56,18 @@ def responses(pairs: DataFrame, restitution: float = 1.0) -> DataFrame:
     out |= {"energy_before": energy(va, vb), "energy_after": energy(wa, wb)}
     out |= {"momentum_x_before": ma * va[0] + mb * vb[0], "momentum_x_after": ma * wa[0] + mb * wb[0]}
     return pairs.withColumns(out)
+
+
+def approach_motions(pairs: DataFrame, fraction: float = 0.5) -> DataFrame:
+    """Adds a_x1 to b_z1 to pairs of assets (a_x0 to b_z0, their centres; a_diagonal, b_diagonal): the first moves towards the second, which stays.
+
+    It moves by ``fraction`` of the larger diagonal, or of 1 if both are
+    smaller; along x if the centres agree.
+    """
+    a, b = (g.vec(*[f"{s}_{k}0" for k in "xyz"]) for s in "ab")
+    gap = g.sub(b, a)
+    size = g.norm(gap)
+    step = F.greatest("a_diagonal", "b_diagonal", F.lit(1.0)) * fraction
+    unit = [F.when(size <= 1.0e-12, F.lit(1.0 if i == 0 else 0.0)).otherwise(F.try_divide(x, size)) for i, x in enumerate(gap)]
+    out = {f"a_{k}1": F.col(f"a_{k}0") + u * step for k, u in zip("xyz", unit)}
+    return pairs.withColumns(out | {f"b_{k}1": F.col(f"b_{k}0") for k in "xyz"})

@@ -169,3 +169,29 @@ def feasible(recall: Column, misses: Column, false_alarms: Column, least: float
 def negatives_kept(collides: Column, key: Column, stride: int) -> Column:
     """All positives and, by a hash of the key, one negative in ``stride``; none if it is 0."""
     return collides | ((F.lit(stride) > 0) & (F.pmod(F.xxhash64(key), F.lit(max(1, stride))) == 0))
+
+
+def scene_run(pairs: DataFrame, slabs: int = 4) -> DataFrame:
+    """One row per pair of bodies of a scene: predicted, toi_upper, margin, items, calls and evaluated.
+
+    ``pairs`` (file, a_*, b_*: body_id, x0 to z1, r) are the bodies to test,
+    as ``rigid.scene_pairs`` gives them. A pair is one work item for each of
+    ``slabs`` time slabs in which the swept boxes touch, worked on from the
+    earliest until it collides; without one it is separate and not evaluated.
+    Times are shares of the scene's own.
+    """
+    keys = ["file", "a_body_id", "b_body_id"]
+    rows = pairs.withColumn("slab_id", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
+    rows = rows.withColumns({"slab_t0": F.col("slab_id") / float(slabs), "slab_t1": F.when(F.col("slab_id") == slabs - 1, F.lit(1.0)).otherwise((F.col("slab_id") + 1) / float(slabs))})
+    boxes = {}
+    for s in "ab":
+        for k in "xyz":
+            ends = [F.col(f"{s}_{k}0") + (F.col(f"{s}_{k}1") - F.col(f"{s}_{k}0")) * F.col(t) for t in ("slab_t0", "slab_t1")]
+            boxes |= {f"{s}_min_{k}": F.least(*ends) - F.col(f"{s}_r"), f"{s}_max_{k}": F.greatest(*ends) + F.col(f"{s}_r")}
+    found = rows.withColumns(boxes).where(g.boxes_touch()).drop(*boxes)
+    found = found.withColumns({"query_id": F.col("file"), "candidate_id": (F.col("a_body_id") * 1_000_003 + F.col("b_body_id")) * slabs + F.col("slab_id"), "urgency": -F.col("slab_t0")})
+    items = work_items(found, "raw", F.lit(POINT_TRIANGLE), "urgency")
+    done = query_outcomes(certificates(sphere_results(items)), keys, "slab_id")
+    out = pairs.select(*keys).join(done, keys, "left").withColumn("evaluated", F.col("items").isNotNull())
+    none = {"predicted": F.lit(False), "toi_upper": F.lit(1.0), "margin": F.lit(0.0), "items": F.lit(0).cast("long"), "calls": F.lit(0).cast("long")}
+    return out.withColumns({c: F.coalesce(c, v) for c, v in none.items()})

@@ -137,7 +137,8 @@ MOTION_SEGMENTS_SQL = (
 def vertex_queries(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, family, v0..v23): primitive queries of four vertices in motion, from eight lines of a supplier each.
 
-    Values 3 i to 3 i + 2 are vertex i % 4 at the start (i < 4) or the end. Groups of fewer than eight lines are left out.
+    Values 3 i to 3 i + 2 are vertex i % 4 at the start (i < 4) or the end. What is left of a
+    supplier's lines is no query; ``leftover_lines`` tells them.
     """
     order = ("l_orderkey", *_ORDER)
     number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1
@@ -146,3 +147,9 @@ def vertex_queries(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows.groupBy("l_suppkey", F.floor(F.col("n") / 8).alias("chunk")).agg(F.array_sort(F.collect_list(point)).alias("v")).where(F.size("v") == 8)
     values = [F.col("v")[i][a].alias(f"v{3 * i + j}") for i in range(8) for j, a in enumerate("xyz")]
     return rows.select((F.col("l_suppkey") * 1_000_000 + F.col("chunk")).alias("query_id"), F.when(F.col("chunk") % 2 == 0, "vf").otherwise("ee").alias("family"), *values)
+
+
+def leftover_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(l_suppkey, lines): how many lines of a supplier are left over by ``vertex_queries``, where any are."""
+    rows = table(spark, folder, "lineitem").groupBy("l_suppkey").agg((F.count("*") % 8).alias("lines"))
+    return rows.where("lines > 0")
