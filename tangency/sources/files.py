@@ -86,18 +86,18 @@ def _schedule_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(~F.col("value").rlike(_SCHEDULE_HEADER)).withColumn("fits", F.col("value").rlike(_SCHEDULE_LINE))
 
 
-def read_schedule(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
+def read_schedule(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(csv_path, query_index, score) of lines whose last two values are an index and a score.
 
     Lines of six values, as ``write_schedule`` writes them, and of three are
     read; paths come back with forward slashes. Blank lines and headers are
-    passed over; a line of another shape is an error when it is read, or, with
-    ``quarantine``, left to ``schedule_faults``.
+    passed over; lines of another shape are left to ``schedule_faults``, or,
+    if ``strict``, an error when they are read.
     """
     group = lambda i: F.regexp_extract("value", _SCHEDULE_LINE, i)
     lines = _schedule_lines(spark, path)
     fault = F.raise_error(F.concat(F.lit("no line of a schedule: "), F.col("value"))).cast("boolean")
-    lines = lines.where(F.col("fits") if quarantine else F.when(F.col("fits"), F.lit(True)).otherwise(fault))
+    lines = lines.where(F.when(F.col("fits"), F.lit(True)).otherwise(fault) if strict else F.col("fits"))
     return lines.select(F.translate(group(1), "\\", "/").alias("csv_path"), group(2).cast("long").alias("query_index"), group(3).cast("double").alias("score"))
 
 

@@ -176,8 +176,8 @@ def test_approach_motions(spark):
 def test_faulty_schedule_lines(spark, tmp_path):
     (tmp_path / "s.csv").write_text("csv_path,query_index,score\na.csv,1,0.5\n\nb.csv,x,1\njust text\n")
     with pytest.raises(Exception, match="no line of a schedule"):
-        files.read_schedule(spark, str(tmp_path / "s.csv")).collect()
-    assert [tuple(r) for r in files.read_schedule(spark, str(tmp_path / "s.csv"), quarantine=True).collect()] == [("a.csv", 1, 0.5)]
+        files.read_schedule(spark, str(tmp_path / "s.csv"), strict=True).collect()
+    assert [tuple(r) for r in files.read_schedule(spark, str(tmp_path / "s.csv")).collect()] == [("a.csv", 1, 0.5)]
     assert sorted(r.value for r in files.schedule_faults(spark, str(tmp_path / "s.csv")).collect()) == ["b.csv,x,1", "just text"]
 
 
