@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tangency.operators import ranks
 from tangency.operators.candidates import ratio
 
 
@@ -20,19 +21,12 @@ def confusion(rows: DataFrame, truth: str, predicted: str, by: Sequence[str] = (
 
 def percentiles(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles with linear interpolation, and the extremes."""
-    points = {"min": 0.0, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}
-    found = F.percentile(value, F.array(*[F.lit(p) for p in points.values()]))
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), found.alias("_p"))
-    return out.select(*by, "n", *[F.col("_p")[i].alias(c) for i, c in enumerate(points)])
+    return ranks.percentiles(rows, value, {"min": 0.0, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}, by)
 
 
 def weighted_median(rows: DataFrame, value: str, weight: str, by: Sequence[str]) -> DataFrame:
     """The first value, in order, at which half of the weight is reached."""
-    order = Window.partitionBy(*by).orderBy(value)
-    running = F.sum(weight).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    half = F.sum(weight).over(Window.partitionBy(*by)) * 0.5
-    marked = rows.withColumns({"_run": running, "_half": half})
-    return marked.where(F.col("_run") >= F.col("_half")).groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    return ranks.weighted_median(rows, value, weight, by)
 
 
 def rollup(rows: DataFrame, levels: Sequence[str], measures: dict[str, Column]) -> DataFrame:
