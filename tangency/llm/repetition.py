@@ -6,7 +6,9 @@ array comes from prefix doubling, in which only suffixes that still share
 their rank take part; the ranks of each step are kept and give the longest
 common prefixes. Each suffix's longest repeat is the larger of the prefixes
 shared with its neighbours, that is the deepest LCP interval it lies in; the
-union of these maximal repeats is what repeats in the text.
+union of these maximal repeats is what repeats in the text. The same is done
+with the marks of the words alone: a text whose words all end in the same few
+symbols repeats itself there, whatever its letters are.
 """
 
 from __future__ import annotations
@@ -23,6 +25,20 @@ WINDOW = 8
 #: Least words of the repeats that the verdict looks at; shorter than those of the base rules.
 SHORT = 3
 _SYMBOLS = "#*$%&|<>"
+#: What is left of a word without letters and digits is no mark if it is made of these, or one exclamation mark.
+_ORDINARY = b".,;:?'\"()-"
+_LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum())
+
+
+def word_marks(words: list[bytes]) -> list[bytes]:
+    """The first symbol of each word's mark, empty without one."""
+    found: dict[bytes, bytes] = {}
+
+    def mark(word: bytes) -> bytes:
+        rest = word.translate(None, _LETTERS)
+        return b"" if rest == b"!" or not rest.strip(_ORDINARY) else rest.strip(_ORDINARY)[:1]
+
+    return [found[w] if w in found else found.setdefault(w, mark(w)) for w in words]
 
 
 def word_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -106,7 +122,7 @@ def repeat_measures(texts: list[list[bytes]], least: int = WINDOW, short: int |
     )
 
 
-def _measure_batches(most_covered: float, most_longest: float, at_once: int):
+def _measure_batches(most_covered: float, most_longest: float, most_marked: float, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -124,35 +140,38 @@ def _measure_batches(most_covered: float, most_longest: float, at_once: int):
                 held.append(words)
                 n += len(words) + 1
                 if n >= at_once or row == batch.num_rows - 1:
-                    for (size, *base), (covered, covered_bytes, longest), w in zip(partial, repeat_measures(held, short=SHORT), held):
+                    measures = zip(partial, repeat_measures(held, short=SHORT), repeat_measures([word_marks(w) for w in held], least=SHORT), held)
+                    for (size, *base), (covered, covered_bytes, longest), (_, marked, _), w in measures:
                         failed = size < 20 or 100 * covered > 30 * size
-                        share = covered_bytes / max(1, sum(map(len, w)))
-                        kept = not failed and share <= most_covered and longest <= max(2 * WINDOW, most_longest * size)
-                        out.append((size, *base, covered, failed, kept, share, longest))
+                        share, marked = covered_bytes / max(1, sum(map(len, w))), marked / max(1, size)
+                        kept = not failed and share <= most_covered and longest <= max(2 * WINDOW, most_longest * size) and marked <= most_marked
+                        out.append((size, *base, covered, failed, kept, share, longest, marked))
                     held, partial, n = [], [], 0
-            columns = list(zip(*out)) if out else [()] * 9
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64(), pa.int64()]
+            columns = list(zip(*out)) if out else [()] * 10
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *_NAMES])
 
     return run
 
 
-_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_share", "longest_repeat")
+_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "repeat_share", "longest_repeat", "mark_share")
 
 
-def quality(docs: DataFrame, most_covered: float = 0.3, most_longest: float = 0.15, at_once: int = 400_000) -> DataFrame:
-    """Per row of ``docs``: the base counts, base_failed, kept, repeat_share and longest_repeat (words).
+def quality(docs: DataFrame, most_covered: float = 0.3, most_longest: float = 0.15, most_marked: float = 0.1, at_once: int = 400_000) -> DataFrame:
+    """Per row of ``docs``: the base counts, base_failed, kept, repeat_share, longest_repeat (words) and mark_share.
 
     A repeat is a maximal string of words found twice or more in the text. A
     text is kept if the base rules pass, repeats of 3 or more words cover at
-    most ``most_covered`` of its bytes in words (repeat_share), and the longest
-    repeat is at most ``most_longest`` of its words (16 words always pass). The
-    bounds were set on the labelled rows of 10,000 documents. A null text has
+    most ``most_covered`` of its bytes in words (repeat_share), the longest
+    repeat is at most ``most_longest`` of its words (16 words always pass), and
+    the words whose marks repeat, 3 or more words on end, are at most
+    ``most_marked`` of all (mark_share). The bounds were set on the labelled
+    rows of 10,000 documents. A null text has
     no words and fails; a null doc_id stays. Whole texts are read; an empty
     table gives no rows. Other columns are not read.
     """
     longs = [T.StructField(c, T.LongType()) for c in _NAMES[:5]]
     flags = [T.StructField(c, T.BooleanType()) for c in _NAMES[5:7]]
-    rest = [T.StructField("repeat_share", T.DoubleType()), T.StructField("longest_repeat", T.LongType())]
+    rest = [T.StructField("repeat_share", T.DoubleType()), T.StructField("longest_repeat", T.LongType()), T.StructField("mark_share", T.DoubleType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs, *flags, *rest])
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_measure_batches(most_covered, most_longest, at_once), schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_measure_batches(most_covered, most_longest, most_marked, at_once), schema)
