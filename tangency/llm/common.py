@@ -48,19 +48,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
-def hot_join(rows: DataFrame, others: DataFrame, keys: Sequence[str], number: Column, share: int = 256, salts: int = 64, how: str = "left") -> DataFrame:
+def hot_join(rows: DataFrame, others: DataFrame, keys: Sequence[str], number: Column, share: int = 256, salts: int = 64, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``others``, which has one row per ``keys``, without a key's rows meeting in one task.
 
     A key of more than 1 / ``share`` of the rows is hot; there are fewer than
     ``share`` of those, so their list may go everywhere. Its rows are spread by
     ``number`` over ``salts`` copies of the other side's row. Null keys meet
-    none and are spread too.
+    none and are spread too. ``counts``, if known, has ``n`` rows per key.
     """
     total = rows.count()
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    hot = rows.where(known).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * share > total)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where(known & (F.col("n") * share > total))
     hot = F.broadcast(materialised(hot.select(*keys, F.lit(True).alias("hot"))))
     salt = F.pmod(number, F.lit(salts)).cast("int")
     spread = rows.join(hot, list(keys), "left").withColumn("salt", F.when(F.col("hot") | ~known, salt).otherwise(0)).drop("hot")

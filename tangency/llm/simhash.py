@@ -148,7 +148,7 @@ def hamming_links(fps: DataFrame, bucket: int = 1024) -> DataFrame:
         counts = materialised(every.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
         last = level == len(LEVELS) - 1
         crowded = F.lit(False) if last else F.col("n") > bucket
-        sized = hot_join(every, counts, keys, F.hash("fp"), share=1 << 16, how="inner")
+        sized = hot_join(every, counts, keys, F.hash("fp"), share=1 << 16, how="inner", counts=counts)
         indexes = [f"i{m}" for m in range(level + 1)]
         calm = sized.where(~crowded)
         left, right = calm.select(*keys, *indexes, F.col("fp").alias("a")), calm.select(*keys, F.col("fp").alias("b"))

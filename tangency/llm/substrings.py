@@ -369,9 +369,10 @@ def repeated_covers(docs: DataFrame, length: int = LENGTH, most: int = 20_000) -
 
     mixed = shared.where("kind > 0")
     contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("ident", "pos")).alias("one"))
-    # Written too: a context found very often is then a skewed side of a plain join.
-    again = materialised(contexts.where("n > 1").select("anchor", "context"))
-    whole = shared.where("kind = 0").select("ident", cover).union(mixed.join(again, ["anchor", "context"]).select("ident", cover))
+    again = materialised(contexts.where("n > 1").select("anchor", "context", "n"))
+    # The rows of a context that is found very often are spread.
+    found = hot_join(mixed, again.drop("n"), ["anchor", "context"], F.hash("ident", "pos"), share=4096, how="inner", counts=again)
+    whole = shared.where("kind = 0").select("ident", cover).union(found.select("ident", cover))
 
     wanted = contexts.select(F.col("anchor").alias("key"), "one.ident", "one.pos", (F.col("n") == 1).alias("single"))
     crowded = None
