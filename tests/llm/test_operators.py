@@ -727,6 +727,31 @@ def test_verdict_rejects_what_the_base_rules_pass(spark):
     assert not rows[20].base_failed and not rows[20].kept and rows[20].repeat_share > 0.3
 
 
+def test_marks_of_words():
+    texts = ["THE!! Of%%% the&&& plain, (words) don't end.) 5$ | ok! a-b x--y e.g. *** é§ #tag".encode().split()]
+    assert repetition.word_marks(texts[0]) == [b"!", b"%", b"&", b"", b"", b"", b"", b"$", b"|", b"", b"", b"", b"", b"*", b"", b"#"]
+
+
+def test_share_of_repeated_marks_equals_brute_force(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["a!!", "b$$", "c,", "plain", "| ", "f%%%"]) for _ in range(rng.randint(20, 70))) for _ in range(15)] + [" ".join(f"w{i}!!" for i in range(60)), words(rng, 80, 5000) + " 5$"]
+    for r in repetition.quality(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect():
+        marks = repetition.word_marks(texts[r.doc_id].encode().split())
+        n = len(marks)
+        runs = collections.Counter(tuple(marks[i : i + 3]) for i in range(n - 2))
+        inside = {j for i in range(n - 2) if runs[tuple(marks[i : i + 3])] > 1 for j in range(i, i + 3)}
+        assert r.mark_share == pytest.approx(sum(1 for j in inside if marks[j]) / n)
+        assert r.kept == (not r.base_failed and r.repeat_share <= 0.3 and r.longest_repeat <= max(16, 0.15 * r.n_words) and r.mark_share <= 0.1)
+
+
+def test_verdict_on_labelled_texts(spark):
+    """Of what the base rules pass, bad texts go and good ones stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = repetition.quality(docs).join(labels, "doc_id").where("not base_failed and quality is not null").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    found = {r.quality: (r.n, r.kept) for r in rows}
+    assert found[0][0] > 20 and found[0][1] <= 0.05 * found[0][0] and found[1][1] >= 0.99 * found[1][0]
+
+
 def test_quality_odd_rows(spark, odd, none):
     rows = {r.doc_id: r for r in repetition.quality(odd).collect()}
     assert rows[1].n_words == 0 and rows[1].base_failed and rows[4].n_words == 30_000 and rows[4].kept
