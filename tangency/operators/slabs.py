@@ -91,3 +91,20 @@ def slab_faults(slabs: DataFrame, key: str, tolerance: float = 1.0e-12) -> DataF
     """Rows whose slab begins before the one before it ends; empty: a proper partition."""
     before = F.lag("slab_t1").over(Window.partitionBy(key).orderBy("slab_id"))
     return slabs.withColumn("_end", before).where(F.col("_end") > F.col("slab_t0") + tolerance).drop("_end")
+
+
+def patch_slab_boxes(spheres: DataFrame, slabs: int, patches: int, spread: float = 0.5) -> DataFrame:
+    """One box per sphere, time slab and patch: patch i is shifted along axis i mod 3 and has a share of the radius.
+
+    More patches mean smaller boxes, which may miss a contact that one whole
+    box finds.
+    """
+    rows = uniform_slabs(spheres.withColumns({"t0": F.lit(0.0), "t1": F.lit(1.0)}), slabs).withColumn("patch_id", F.explode(F.sequence(F.lit(0), F.lit(patches - 1))))
+    offset = (F.col("patch_id") + 0.5) / float(patches) - 0.5
+    radius = F.col("r") / float(patches)
+    out = {}
+    for i, k in enumerate("xyz"):
+        ends = [F.col(f"{k}0") + (F.col(f"{k}1") - F.col(f"{k}0")) * F.col(t) for t in ("slab_t0", "slab_t1")]
+        shift = F.when(F.col("patch_id") % 3 == i, offset * F.col("r") * spread).otherwise(F.lit(0.0))
+        out |= {f"min_{k}": F.least(*ends) + shift - radius, f"max_{k}": F.greatest(*ends) + shift + radius}
+    return rows.withColumns(out)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tangency.functions import contracts, validators
-from tangency.operators import closest, group_features, motion
+from tangency.operators import broadphase, closest, group_features, metrics, motion, schedule, slabs
 from tangency.plans import certificate_sql
-from tangency.plans.group_catalogue import DENSE, dense
-from tangency.plans.pairs_catalogue import r6
-from tangency.plans.runtime_catalogue import _WIDE, slots, sql_slots
-from tangency.sources import views
+from tangency.plans.group_catalogue import _CONFUSED, _STOP, DENSE, dense
+from tangency.plans.pairs_catalogue import _TOUCH, CONTACTS, contacts, r6
+from tangency.plans.runtime_catalogue import _SAMPLES, _WIDE, slots, sql_slots
+from tangency.sources import samples, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,60 @@ def r21_approach_motions(spark, d):
 def w10_leftover_lines(spark, d):
     """The lines of each supplier that fill no group of eight and so are in no primitive query."""
     return views.leftover_lines(spark, d)
+
+
+# Grids of settings, confusion of scenes, robot links.
+
+_GRID = tuple((n, p) for n in (1, 2, 4) for p in (1, 2))
+
+
+def _grid_sql(n: int, p: int) -> str:
+    at = {k: [f"{k}0 + ({k}1 - {k}0) * {t}" for t in ("t0", "t1")] for k in _K}
+    shift = {k: f"CASE WHEN patch % 3 = {i} THEN ((patch + 0.5e0) / {float(p)}e0 - 0.5e0) * r * 0.5e0 ELSE 0e0 END" for i, k in enumerate(_K)}
+    ends = ", ".join(f"least({', '.join(at[k])}) + {shift[k]} - r / {float(p)}e0 AS min_{k}, greatest({', '.join(at[k])}) + {shift[k]} + r / {float(p)}e0 AS max_{k}" for k in _K)
+    rows = f"SELECT s.*, i AS slab_id, patch, CAST(i AS DOUBLE) * {1 / n!r}::DOUBLE AS t0, CASE WHEN i = {n - 1} THEN 1e0 ELSE (i + 1) * {1 / n!r}::DOUBLE END AS t1 FROM ({views.MOVING_SPHERES_SQL}) s, range({n}) t(i), range({p}) u(patch)"
+    return f"SELECT {n} AS slabs, {p} AS patches, query_id, slab_id, body_id, {ends} FROM ({rows})"
+
+
+@query(
+    CONTACTS
+    + f""", grid AS MATERIALIZED ({" UNION ALL ".join(_grid_sql(n, p) for n, p in _GRID)}),
+met AS MATERIALIZED (SELECT a.slabs, a.patches, a.query_id, a.body_id AS a_body_id, b.body_id AS b_body_id, {_TOUCH} AS touch FROM grid a JOIN grid b ON a.slabs = b.slabs AND a.patches = b.patches AND a.query_id = b.query_id AND a.slab_id = b.slab_id AND a.body_id < b.body_id),
+found AS (SELECT slabs, patches, query_id, a_body_id, b_body_id, count(*) AS n FROM met WHERE touch GROUP BY ALL), truth AS MATERIALIZED (SELECT query_id, a_body_id, b_body_id FROM contacts WHERE collided),
+o AS (SELECT slabs, patches, CAST(sum(n) AS BIGINT) AS raw_hits, count(*) AS candidates, count(t.query_id) AS covered, any_value(positives) AS positives FROM found LEFT JOIN truth t USING (query_id, a_body_id, b_body_id), (SELECT count(*) AS positives FROM truth) GROUP BY slabs, patches)
+SELECT CAST(slabs AS INTEGER) AS slabs, CAST(patches AS INTEGER) AS patches, raw_hits, candidates, covered, covered = positives AS feasible,
+  row_number() OVER (ORDER BY CASE WHEN covered = positives THEN 0 ELSE 1 END, candidates, raw_hits, slabs, patches) = 1 AS best FROM o"""
+)
+def m12_grid_ablation(spark, d):
+    """Slabs and patches a motion is cut into: what each setting finds, and the feasible one of fewest candidates."""
+    spheres = views.moving_spheres(spark, d)
+    every = None
+    for n, p in _GRID:
+        own = slabs.patch_slab_boxes(spheres, n, p).withColumns({"slabs": F.lit(n), "patches": F.lit(p)})
+        every = own if every is None else every.unionByName(own)
+    pair, setting = ["query_id", "a_body_id", "b_body_id"], ["slabs", "patches"]
+    found = broadphase.query_pairs(every, ("query_id", "slabs", "patches", "slab_id")).groupBy(*setting, *pair).agg(F.count("*").alias("n"))
+    truth = views.checkpointed(contacts(spark, d).where("collided").select(*pair, F.lit(True).alias("hit")))
+    rows = found.join(truth, pair, "left").groupBy(*setting).agg(F.sum("n").alias("raw_hits"), F.count("*").alias("candidates"), F.count("hit").alias("covered"))
+    rows = rows.withColumn("feasible", F.col("covered") == truth.count())
+    # One row per setting: the order of a dozen.
+    best = rows.agg(F.min_by(F.struct(*setting), F.struct((~F.col("feasible")).alias("a"), "candidates", "raw_hits", *setting)).alias("_best"))
+    return rows.join(F.broadcast(best)).select(*setting, "raw_hits", "candidates", "covered", "feasible", (F.struct(*setting) == F.col("_best")).alias("best"))
+
+
+@query(f"SELECT query_id % 10 AS scene, {_CONFUSED} FROM ({_STOP}) GROUP BY ALL")
+def a13_scene_confusion(spark, d):
+    """Scenes replayed with early stops: what they tell of each group, against the truth."""
+    rows = schedule.early_stop(dense(spark, d)).withColumn("scene", F.col("query_id") % 10)
+    return metrics.confusion(rows, "truth", "predicted", ["scene"]).select("scene", "tp", "tn", "fp", "fn")
+
+
+_LINKS = _SAMPLES.replace(_SAMPLES[_SAMPLES.index("WITH s AS (") : _SAMPLES.index("r AS MATERIALIZED")], f"WITH s AS (SELECT o_orderkey AS sample_id, CASE WHEN o_orderkey % 2 = 0 THEN '{samples.ROBOT_LAWS[0]}' ELSE '{samples.ROBOT_LAWS[1]}' END AS split FROM orders),\n")
+
+
+@query(_LINKS + f"""SELECT sample_id, {", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in ("a_r", "b_r", "a_x0", "a_x1", "b_x0", "b_x1"))},
+  round((CASE WHEN sample_id % 2 = 0 THEN {samples.LAWS[samples.ROBOT_LAWS[0]][3]}e0 ELSE {samples.LAWS[samples.ROBOT_LAWS[1]][3]}e0 END) + {samples.ROBOT_HARDER}e0, 6) AS hardness, true AS capsules FROM m""")
+def s17_robot_links(spark, d):
+    """Samples of robot links: near contacts and grazing ones in turn, as capsules."""
+    rows = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit(samples.ROBOT_LINKS).alias("split"))
+    return samples.sphere_samples(rows, 3).select("sample_id", *[r6(F.col(c)).alias(c) for c in ("a_r", "b_r", "a_x0", "a_x1", "b_x0", "b_x1", "hardness")], "capsules")

@@ -65,6 +65,39 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<boolean>").alias("values"))
 
 
+def read_box_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pairs) of JSON files that hold one list of pairs of box numbers each; another entry is an error when it is read."""
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<array<long>>").alias("pairs"))
+    fits = F.col("pairs").isNotNull() & F.forall("pairs", lambda p: p.isNotNull() & (F.size(p) == 2) & p[0].isNotNull() & p[1].isNotNull())
+    fault = F.raise_error(F.concat(F.lit("no pairs of boxes in "), F.col("file"))).cast("array<array<long>>")
+    return rows.select("file", F.when(fits, F.col("pairs")).otherwise(fault).alias("pairs"))
+
+
+def with_boxes(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds a_box and b_box, null without, by file stem and place in the file."""
+    name = lambda c: F.regexp_extract(c, r"([^/]+)\.[^./]+$", 1)
+    own = pairs.select(name("file").alias("_stem"), F.posexplode("pairs").alias("query_index", "_pair"))
+    rows = queries.withColumn("_stem", name("file")).join(own, ["_stem", "query_index"], "left")
+    return rows.withColumns({"a_box": F.col("_pair")[0], "b_box": F.col("_pair")[1]}).drop("_stem", "_pair")
+
+
+def registry(spark: SparkSession, root: str, markers: dict[str, str]) -> DataFrame:
+    """(source, available, files, bytes): for each source whether files below ``root`` fit its marker, a pattern of their path there.
+
+    Only the listing is read. A source without a file is there as not available.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    below = F.substring(path, F.locate(base, path) + len(base), F.length(path))
+    own = F.explode(F.array(*[F.struct(F.lit(name).alias("source"), F.lit(pattern).alias("pattern")) for name, pattern in markers.items()])).alias("m")
+    found = files.select(below.alias("below"), "length", own).where(F.regexp("below", "m.pattern"))
+    counts = found.groupBy("m.source").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    rows = spark.createDataFrame([(name,) for name in markers], "source string").join(counts, "source", "left")
+    return rows.select("source", F.col("files").isNotNull().alias("available"), F.coalesce("files", F.lit(0).cast("long")).alias("files"), F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"))
+
+
 def listing(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     """(file, case, kind, bytes): files below ``path`` by their two nearest folders; hidden and excluded folders left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")

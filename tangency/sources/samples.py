@@ -24,6 +24,10 @@ LAWS = {
     "ood_meshes": ((4.0, 7.0), 1.0, (-0.7, -0.2), 1.0, ((0.65, 1.2), (0.55, 1.1))),
 }
 
+# The split of robot links, whose even and odd samples follow these two laws in turn, with capsules and
+# so much more hardness.
+ROBOT_LINKS, ROBOT_LAWS, ROBOT_HARDER = "robot_link_validation", ("near_contact_hard_negatives", "grazing_contacts"), 0.08
+
 
 def uniform(seed: int, sample: Column, number: int, low: Column | float = 0.0, high: Column | float = 1.0) -> Column:
     """A number in [low, high) from the first 32 bits of a digest of seed, sample and number."""
@@ -37,29 +41,32 @@ def _by_split(pick) -> Column:
     out = None
     for name, law in LAWS.items():
         value = F.lit(float(pick(law)))
-        out = F.when(F.col("split") == name, value) if out is None else out.when(F.col("split") == name, value)
+        out = F.when(F.col("_law") == name, value) if out is None else out.when(F.col("_law") == name, value)
     return out
 
 
 def sphere_samples(rows: DataFrame, seed: int = 1) -> DataFrame:
-    """Pairs of spheres in motion for rows (sample_id, split): a_x0 to b_z1, a_r, b_r, hardness, ood.
+    """Pairs of spheres in motion for rows (sample_id, split): a_x0 to b_z1, a_r, b_r, hardness, ood, capsules.
 
     The first sphere moves a little, the second from its start gap to its end
     gap along x; heights differ by some jitter. Unknown splits are an error.
     """
-    known = F.assert_true(F.col("split").isin(*LAWS), F.concat(F.lit("unknown split "), F.col("split")))
+    known = F.assert_true(F.col("split").isin(*LAWS, ROBOT_LINKS), F.concat(F.lit("unknown split "), F.col("split")))
+    robot = F.col("split") == ROBOT_LINKS
+    law = F.when(robot, F.when(F.pmod("sample_id", F.lit(2)) == 0, ROBOT_LAWS[0]).otherwise(ROBOT_LAWS[1])).otherwise(F.col("split"))
     u = lambda number, low, high: uniform(seed, F.col("sample_id"), number, low, high)
     jitter = lambda number, size: u(number, -size, size)
-    rows = rows.where(F.coalesce(known.cast("string"), F.lit("")) == "").withColumns(
+    rows = rows.where(F.coalesce(known.cast("string"), F.lit("")) == "").withColumn("_law", law).withColumns(
         {
             "a_r": u(0, _by_split(lambda law: law[4][0][0]), _by_split(lambda law: law[4][0][1])),
             "b_r": u(1, _by_split(lambda law: law[4][1][0]), _by_split(lambda law: law[4][1][1])),
-            "hardness": _by_split(lambda law: law[3]),
+            "hardness": F.when(robot, F.least(F.lit(1.0), _by_split(lambda law: law[3]) + ROBOT_HARDER)).otherwise(_by_split(lambda law: law[3])),
+            "capsules": robot,
             "ood": F.col("split") == "ood_meshes",
             "_y": jitter(2, 0.12),
         }
     )
-    radii, many = F.col("a_r") + F.col("b_r"), F.col("split") == "multiple_contact_intervals"
+    radii, many = F.col("a_r") + F.col("b_r"), F.col("_law") == "multiple_contact_intervals"
     start = radii + u(3, _by_split(lambda law: law[0][0]), _by_split(lambda law: law[0][1]))
     end = radii * _by_split(lambda law: law[1]) + u(4, _by_split(lambda law: law[2][0]), _by_split(lambda law: law[2][1]))
     zero = F.lit(0.0)
@@ -71,7 +78,7 @@ def sphere_samples(rows: DataFrame, seed: int = 1) -> DataFrame:
             "b_x0": start, "b_y0": F.col("_y") + jitter(8, 0.08), "b_z0": zero,
             "b_x1": end, "b_y1": F.col("_y") + F.when(many, jitter(9, 0.04)).otherwise(jitter(9, 0.08)), "b_z1": zero,
         }
-    ).drop("_y")
+    ).drop("_y", "_law")
 
 
 def labelled(samples: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tangency.functions import contracts, validators
 from tangency.operators import certificate, closest, cloth, group_features, mesh, motion, runtime
-from tangency.sources import artifacts, files, meshes, rigid
+from tangency.sources import artifacts, files, meshes, rational, rigid
 
 GRID = 4
 
@@ -187,3 +187,23 @@ def test_scenes_of_meshes_that_do_not_touch(spark):
     table = spark.createDataFrame(rows, "scene int, side int, tri_id long, " + ", ".join(f"{e}{i} double" for e in "pq" for i in range(9)))
     found = {r.scene: r for r in mesh.mesh_certificates(table, 1.0).collect()}
     assert (found[1].status, found[1].primitives, found[1].mask) == (1, 0, 0) and found[2].status == 0 and found[2].primitives > 0
+
+
+def test_box_pairs_and_registry(spark, tmp_path):
+    (tmp_path / "boxes").mkdir()
+    (tmp_path / "boxes" / "3vf.json").write_text("[[4, 7], [1, 2]]")
+    queries = spark.createDataFrame([("x/3vf.csv", 0), ("x/3vf.csv", 1), ("x/3vf.csv", 2), ("x/9ee.csv", 0)], "file string, query_index int")
+    found = {(r.file, r.query_index): (r.a_box, r.b_box) for r in rational.with_boxes(queries, rational.read_box_pairs(spark, str(tmp_path / "boxes"))).collect()}
+    assert found == {("x/3vf.csv", 0): (4, 7), ("x/3vf.csv", 1): (1, 2), ("x/3vf.csv", 2): (None, None), ("x/9ee.csv", 0): (None, None)}
+    (tmp_path / "boxes" / "4vf.json").write_text("[[4], [1, 2]]")
+    with pytest.raises(Exception, match="no pairs of boxes"):
+        rational.read_box_pairs(spark, str(tmp_path / "boxes")).collect()
+    rows = rational.registry(spark, str(tmp_path), {"pairs": r"^boxes/.*json$", "nothing": r"\\.zip$"}).collect()
+    assert {r.source: (r.available, r.files, r.bytes) for r in rows} == {"pairs": (True, 2, 29), "nothing": (False, 0, 0)}
+
+
+def test_negatives_kept_by_a_stride(spark):
+    rows = spark.range(4000).select("id", (F.col("id") % 10 == 0).alias("hit"))
+    for stride, low, high in ((0, 400, 400), (1, 4000, 4000), (4, 1100, 1500)):
+        kept = rows.where(runtime.negatives_kept(F.col("hit"), F.col("id"), stride))
+        assert low <= kept.count() <= high and kept.where("hit").count() == 400
