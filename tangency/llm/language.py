@@ -130,8 +130,8 @@ class LanguageModel:
 def train(
     docs: DataFrame,
     rows_per_language: int = 1500,
-    most_words: int = 20_000,
-    most_grams: int = 20_000,
+    most_words: int | None = 20_000,
+    most_grams: int | None = 20_000,
     lengths: tuple[int, ...] = (5, 4, 3, 2, 1),
 ) -> LanguageModel:
     """Fits the model on (text, lang) of ``docs``; rows with a null in either are left out.
@@ -140,7 +140,8 @@ def train(
     ``rows_per_language`` rows of each language, drawn by a hash of doc_id (if
     there) and text. Every labelled language is learned. Words and n-grams are
     counted in Spark; what comes to the driver is the ``most_words`` words of
-    each language and the ``most_grams`` n-grams of each length and language.
+    each language and the ``most_grams`` n-grams of each length and language,
+    or, where that is None, all of the sample's.
     """
     ids = [F.col("doc_id")] if "doc_id" in docs.columns else []
     rows = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(*ids, "text", F.lit(11)).alias("draw"))
@@ -160,7 +161,8 @@ def train(
     grams = grams.groupBy("lang", "length", "key").agg(F.sum("n").alias("n"))
     both = words.select("lang", F.lit(0).alias("length"), "key", "n").union(grams)
     best = Window.partitionBy("lang", "length").orderBy(F.col("n").desc(), "key")
-    most = F.when(F.col("length") == 0, most_words).otherwise(most_grams)
+    every = (1 << 31) - 1
+    most = F.when(F.col("length") == 0, every if most_words is None else most_words).otherwise(every if most_grams is None else most_grams)
     kept = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("rank").toArrow()
 
     languages = tuple(sorted(r["lang"] for r in sizes))

@@ -49,6 +49,7 @@ TAGS = tuple("#text a article aside blockquote dd div dl dt fieldset figcaption
 
 _SPACE = re.compile(r"\s+")
 _TOKENS = re.compile(r"[a-z]+")
+_END_TAGS = re.compile(r"</([a-z]+)")
 _MARKS = re.compile(r"[.,;:!?。，]")
 
 
@@ -73,6 +74,8 @@ class PageParser(HTMLParser):
         self.blocks = [0]
         self.run: int | None = None
         self.skipping: list[str] = []
+        #: End tags that are still to come; an element that is never closed hides nothing.
+        self.ends: Counter[str] = Counter()
 
     def _resume(self, tag: str) -> None:
         """Ends skipped elements that the start of ``tag`` ends, whether or not they were closed."""
@@ -97,7 +100,8 @@ class PageParser(HTMLParser):
                 self.run = None
             return
         if tag in SKIPPED:
-            self.skipping.append(tag)
+            if tag == "head" or self.ends[tag] > 0:
+                self.skipping.append(tag)
             return
         if tag in BLOCKS:
             self.run = None
@@ -118,6 +122,7 @@ class PageParser(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        self.ends[tag] -= 1
         if self.skipping:
             if tag in self.skipping:
                 while self.skipping.pop() != tag:
@@ -167,6 +172,7 @@ class PageParser(HTMLParser):
 
 def parse(html: str | None) -> list[Node]:
     parser = PageParser()
+    parser.ends.update(_END_TAGS.findall((html or "").lower()))
     parser.feed(html or "")
     parser.close()
     for node in parser.nodes:

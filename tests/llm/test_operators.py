@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -840,6 +841,64 @@ def test_equal_rows_are_spread_over_the_stream(spark):
     assert taken[0] == taken[1]
 
 
+def test_very_long_conversations_and_clashing_columns(spark):
+    """Whole texts and turns of any number come through, whatever else the table holds."""
+    long = words(random.Random(3), 40_000)
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(3000)] + [(2, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(2999)]
+    rows += [(3, 0, "user", long), (4, 0, "user", long), (4, 1, "assistant", None)]
+    table = conversations(spark, rows).withColumns({c: F.lit(7) for c in ("place", "turns", "rendered", "n_turns", "h1", "h2", "all", "block", "_n")})
+    out = chat.rendered_turns(table).orderBy("conv_id", "place").collect()
+    kept = collections.Counter(r.conv_id for r in out)
+    assert kept == {1: 3000, 4: 2}
+    assert out[-2].rendered == f"<|im_start|>user\n{long}<|im_end|>\n" and out[2999].rendered == "<|im_start|>assistant\nturn 2999<|im_end|>\n"
+
+
+def test_language_tables_without_a_cap(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    small, every = language.train(docs, most_words=50, most_grams=50), language.train(docs, most_words=None, most_grams=None)
+    texts = docs.where("lang is not null").limit(60)
+    wrong = language.identify(texts.select("doc_id", "text", "lang"), every).where("lang_pred <> lang and lang_pred <> 'und'").count()
+    assert wrong <= 2 and small.languages == every.languages
+
+
+@pytest.mark.parametrize("tag", ["button", "video", "select", "iframe", "noscript", "canvas", "object"])
+def test_an_element_that_is_never_closed_hides_nothing(tag):
+    texts = lambda html: [n.text[0] for n in webpage.parse(html) if n.tag == "#text" and n.text[0]]
+    assert texts(f"<body><div><p>one</p><{tag}><p>two</p><p>three</p></div></body>") == ["one", "two", "three"]
+    assert texts(f"<body><div><p>one</p><{tag}>hidden <p>too</p></{tag}><p>three</p></div></body>") == ["one", "three"]
+
+
+def test_decoding_equals_exhaustive_labelling():
+    """The likeliest labelling that agrees along every path, over all labellings of small trees."""
+    rng = np.random.default_rng(5)
+    for _ in range(120):
+        n = int(rng.integers(2, 8))
+        nodes = [webpage.Node("body", -1)] + [webpage.Node(str(rng.choice(["div", "p", "#text"])), int(rng.integers(0, i))) for i in range(1, n)]
+        for i in range(1, n):  # text runs have no children
+            while nodes[nodes[i].parent].tag == "#text":
+                nodes[i].parent = nodes[nodes[i].parent].parent
+        logits, mixed = rng.normal(0, 2, n), rng.normal(0, 2, n)
+        s, m = np.clip(logits, -4, 4), np.clip(mixed, -4, 4)
+        m[[x.tag == "#text" for x in nodes]] = -np.inf
+        pure = -np.logaddexp(0, m)
+        own = np.stack([pure - np.logaddexp(0, -s), pure - np.logaddexp(0, s), -np.logaddexp(0, -m)], 1)
+        children = collections.defaultdict(list)
+        for i in range(1, n):
+            children[nodes[i].parent].append(i)
+        best, found = -np.inf, None
+        for label in itertools.product(range(3), repeat=n):
+            if any(label[nodes[i].parent] != 2 and label[i] != label[nodes[i].parent] for i in range(1, n)):
+                continue
+            value = sum(own[i][label[i]] for i in range(n))
+            for p, below in children.items():
+                if label[p] == 2:
+                    value -= sum(2.0 for a, b in zip(below, below[1:]) if nodes[a].tag == nodes[b].tag and {label[a], label[b]} == {0, 1})
+            if value > best + 1e-9:
+                best, found = value, label
+        keep = webpage.decode(nodes, logits.copy(), mixed.copy())
+        assert keep.tolist() == [label == 0 for label in found]
+
+
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
