@@ -12,14 +12,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
+from tangency.sources.views import checkpointed
 
 
 def _side(boxes: DataFrame, side: str, keys: tuple[str, ...]) -> DataFrame:
     return boxes.select(*[F.col(c) if c in keys else F.col(c).alias(f"{side}_{c}") for c in boxes.columns])
 
 
-def query_pairs(boxes: DataFrame, keys: tuple[str, ...] = ("query_id",), number: str = "body_id") -> DataFrame:
-    """Pairs a < b by ``number`` with equal ``keys`` whose boxes touch; columns a_*, b_*."""
+#: A key of more boxes than this is not joined with itself but cut into grid cells.
+MOST_BOXES = 4096
+
+
+def query_pairs(boxes: DataFrame, keys: tuple[str, ...] = ("query_id",), number: str = "body_id", most: int = MOST_BOXES) -> DataFrame:
+    """Pairs a < b by ``number`` with equal ``keys`` whose boxes touch; columns a_*, b_*.
+
+    Boxes of a key are joined by it and tested; a key of more than ``most``
+    boxes goes through ``grid_pairs``, in cells twice as wide as such boxes are
+    on average. Both give all pairs. Rows of a null key meet none.
+    """
+    big = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys)
+    if big.isEmpty():
+        return _joined(boxes, keys, number)
+    big = checkpointed(big)
+    large = boxes.join(big, list(keys), "left_semi")
+    extent = F.greatest(*[F.col(f"max_{k}") - F.col(f"min_{k}") for k in "xyz"])
+    cell = 2.0 * (large.agg(F.avg(extent)).first()[0] or 0.0) or 1.0
+    small = _joined(boxes.join(big, list(keys), "left_anti"), keys, number)
+    return small.unionByName(grid_pairs(large, cell, number, keys=keys))
+
+
+def _joined(boxes: DataFrame, keys: tuple[str, ...], number: str) -> DataFrame:
     a, b = _side(boxes, "a", keys), _side(boxes, "b", keys)
     return a.join(b, list(keys)).where((F.col(f"a_{number}") < F.col(f"b_{number}")) & g.boxes_touch())
 

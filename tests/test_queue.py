@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tangency.functions import hashes, scores
-from tangency.operators import certificate, closest, heaps, inference, metrics, schedule, sweep, training, workqueue
+from tangency.operators import broadphase, certificate, closest, heaps, inference, metrics, schedule, sweep, training, workqueue
 from tangency.sources import views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -127,6 +127,18 @@ def test_sweep_of_a_scene_and_of_odd_boxes(spark):
     assert sweep.sweep_pairs(boxes.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [4096, 90, 0])
+def test_pairs_of_crowded_keys(spark, most):
+    """Keys of many boxes by grids, others by a join: all pairs once, either way."""
+    boxes, rows = _boxes(spark, 260, 1, 3)
+    few, more = _boxes(spark, 60, 4, 4)
+    rows, more = [(9, *r[1:]) for r in rows], more
+    table = boxes.withColumn("query_id", F.lit(9).cast("long")).union(few).withColumn("note", F.col("body_id") * 2)
+    found = [(r.query_id, r.a_body_id, r.b_body_id) for r in broadphase.query_pairs(table, most=most).collect()]
+    assert len(found) == len(set(found)) and set(found) == _touching(rows + more)
+    assert all(r.a_note == 2 * r.a_body_id and r.b_note == 2 * r.b_body_id for r in broadphase.query_pairs(table, most=most).collect())
+
+
 # The first rows of groups
 
 
