@@ -138,7 +138,9 @@ def hamming_links(fps: DataFrame, bucket: int = 1024) -> DataFrame:
     hold a variant is counted by groups and joined back; the fingerprints of a
     hot variant are spread for that.
     """
-    rows = materialised(fps.select("fp").where("fp is not null").distinct()).withColumn("rest", F.col("fp"))
+    # Dealt out again, as a row becomes 64: adaptive execution would leave few tasks for so small a table.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialised(fps.select("fp").where("fp is not null").distinct().repartition(tasks, "fp")).withColumn("rest", F.col("fp"))
     keys, found = [], None
     for level, bits in enumerate(LEVELS):
         index, key = F.col(f"i{level}"), f"k{level}"
