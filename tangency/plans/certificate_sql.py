@@ -96,3 +96,34 @@ found AS (
     count(*) FILTER (WHERE hit.a IS NULL OR tried.a <= hit.a) AS evaluations
   FROM tried JOIN (SELECT query_id, family FROM q) USING (query_id) LEFT JOIN hit USING (query_id) GROUP BY query_id, family
 )"""
+
+
+def best_distances(wide: str, eps_time: float = 1.0e-4, eps_space: float = 1.0e-6, depth: int = 24) -> str:
+    """CTEs after ``WITH RECURSIVE``: ``found`` (query_id, family, status, toi, margin, evaluations, depth, least_distance) of the certificate that keeps the nearest sample.
+
+    As in ``certificates``, an interval that is halved has no collision, so
+    the leftmost collision ends what was tried.
+    """
+    speed = [f"sqrt({' + '.join(f'({k}{i + 4} - {k}{i}) * ({k}{i + 4} - {k}{i})' for k in _K)})" for i in range(4)]
+    reach = f"CASE WHEN family = 'vf' THEN {speed[0]} + greatest({', '.join(speed[1:])}) ELSE greatest({speed[0]}, {speed[1]}) + greatest({speed[2]}, {speed[3]}) END"
+    level = "(SELECT q.*, a, b, depth, 0.5e0 * (a + b) AS mid FROM node JOIN q USING (query_id) WHERE state = 'todo')"
+    for time, name in (("a", "gap_a"), ("mid", "gap_m"), ("b", "gap_b")):
+        level = gap(level, time, name)
+    least = "least(gap_a, gap_m, gap_b)"
+    outcome = f"""CASE WHEN {least} <= {eps_space} THEN 'hit' WHEN gap_m - reach * 0.5e0 * (b - a) > {eps_space} THEN 'free' WHEN depth >= {depth} OR b - a <= {eps_time} THEN 'stuck' ELSE 'split' END"""
+    return f"""q AS MATERIALIZED (SELECT *, {reach} AS reach FROM ({wide})),
+node(query_id, a, b, depth, state, toi, margin, least) AS (
+  SELECT query_id, 0e0, 1e0, 0, 'todo', 1e0, 0e0, 0e0 FROM q
+  UNION ALL
+  SELECT query_id, CASE WHEN k = 2 THEN mid ELSE a END, CASE WHEN k = 1 THEN mid ELSE b END, CASE WHEN k = 0 THEN depth ELSE depth + 1 END, CASE WHEN k = 0 THEN outcome ELSE 'todo' END,
+    CASE WHEN gap_a <= {least} THEN a WHEN gap_m <= {least} THEN mid ELSE b END, gap_m - reach * 0.5e0 * (b - a) - {eps_space}, {least}
+  FROM (SELECT *, {outcome} AS outcome FROM {level}), (VALUES (0), (1), (2)) v(k) WHERE k = 0 OR outcome = 'split'
+),
+tried AS MATERIALIZED (SELECT * FROM node WHERE state <> 'todo'),
+hit AS (SELECT query_id, min(a) AS a, min_by(toi, a) AS toi FROM tried WHERE state = 'hit' GROUP BY query_id),
+found AS (
+  SELECT query_id, family, CAST(CASE WHEN max(hit.a) IS NOT NULL THEN 0 WHEN bool_or(state = 'stuck') THEN 2 ELSE 1 END AS INTEGER) AS status, coalesce(max(hit.toi), 1e0) AS toi,
+    CASE WHEN max(hit.a) IS NULL AND NOT bool_or(state = 'stuck') THEN greatest(0e0, min(CASE WHEN state = 'free' THEN margin END)) ELSE 0e0 END AS margin,
+    3 * count(*) AS evaluations, CAST(max(depth) AS INTEGER) AS depth, min(least) AS least_distance
+  FROM tried JOIN (SELECT query_id, family FROM q) USING (query_id) LEFT JOIN hit USING (query_id) WHERE hit.a IS NULL OR tried.a <= hit.a GROUP BY query_id, family
+)"""

@@ -117,11 +117,14 @@ def w7_heap_top_k(spark, d):
 # Certificates and hashes.
 
 
-@query(None)
+@query(
+    "WITH RECURSIVE " + certificate_sql.best_distances(_WIDE)
+    + " SELECT query_id, family, status, round(toi, 6) + 0e0 AS toi, round(margin, 6) + 0e0 AS margin, round(least_distance, 6) + 0e0 AS least_distance, evaluations, depth FROM found"
+)
 def x4_best_distance(spark, d):
     """The certificate that keeps the nearest of its samples, for every primitive query."""
     rows = closest.best_certificates(views.vertex_queries(spark, d))
-    return rows.select("query_id", "family", "status", *[r6(F.col(c)).alias(c) for c in ("toi", "margin", "least_distance", "least_time")], "evaluations", "depth", "sample")
+    return rows.select("query_id", "family", "status", *[r6(F.col(c)).alias(c) for c in ("toi", "margin", "least_distance")], "evaluations", "depth")
 
 
 _WRAP = "18446744073709551616::HUGEINT"
