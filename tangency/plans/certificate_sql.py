@@ -127,3 +127,24 @@ found AS (
     3 * count(*) AS evaluations, CAST(max(depth) AS INTEGER) AS depth, min(least) AS least_distance
   FROM tried JOIN (SELECT query_id, family FROM q) USING (query_id) LEFT JOIN hit USING (query_id) WHERE hit.a IS NULL OR tried.a <= hit.a GROUP BY query_id, family
 )"""
+
+
+def mesh_queries(triangles: str, touch: str) -> str:
+    """CTEs that give ``wide`` (query_id, scene, family, a_number, b_number, turned, x0 to z7) of the triangles ``t`` (scene, side, tri_id, p0 to q8) of CTEs before them.
+
+    ``touch`` tests the boxes of a and b.
+    """
+
+    def part(shape: str, number: str, corners: tuple[int, ...]) -> str:
+        ends = {e: "[" + ", ".join(f"{e}{3 * i + j}" for i in corners for j in range(3)) + "]" for e in "pq"}
+        boxes = ", ".join(f"least({v}) AS min_{k}, greatest({v}) AS max_{k}" for j, k in enumerate(_K) for v in [", ".join(f"{e}{3 * i + j}" for e in "pq" for i in corners)])
+        return f"SELECT scene, side, '{shape}' AS shape, {number} AS number, {ends['p']} AS p, {ends['q']} AS q, {boxes} FROM t"
+
+    parts = [part(s, f"tri_id * 3 + {i}", (i,) if s == "v" else (i, (i + 1) % 3)) for s in "ve" for i in range(3)] + [part("f", "tri_id", (0, 1, 2))]
+    places = ", ".join(f"v[{3 * i + j + 1}] AS {k}{i}" for i in range(8) for j, k in enumerate(_K))
+    return f"""{triangles}, parts AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+met AS MATERIALIZED (SELECT a.scene, a.shape AS a_shape, a.number AS a_number, b.number AS b_number, a.p AS ap, a.q AS aq, b.p AS bp, b.q AS bq
+  FROM parts a JOIN parts b ON a.scene = b.scene AND a.side = 0 AND b.side = 1 AND ((a.shape = 'v' AND b.shape = 'f') OR (a.shape = 'f' AND b.shape = 'v') OR (a.shape = 'e' AND b.shape = 'e')) AND {touch}),
+wide AS MATERIALIZED (SELECT query_id, scene, family, a_number, b_number, turned, {places} FROM (
+  SELECT row_number() OVER () AS query_id, scene, CASE WHEN a_shape = 'e' THEN 'ee' ELSE 'vf' END AS family, a_number, b_number, a_shape = 'f' AS turned,
+    CASE WHEN a_shape = 'f' THEN bp || ap || bq || aq ELSE ap || bp || aq || bq END AS v FROM met))"""

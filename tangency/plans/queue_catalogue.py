@@ -10,12 +10,12 @@ from tangency.operators import candidates, closest, heaps, runtime, schedule, sw
 from tangency.plans import certificate_sql
 from tangency.plans.group_catalogue import RANKED, dense
 from tangency.plans.pairs_catalogue import _SCENE, _TOUCH, BOXES, boxes, r6, raw_hits, scene_boxes
-from tangency.plans.runtime_catalogue import _DENSITY, _WIDE, order_samples
+from tangency.plans.runtime_catalogue import _DENSITY, _TRIANGLES, _WIDE, order_samples
 from tangency.sources import samples, views
 
 QUERIES: dict = {}
 _FOUND = "WITH RECURSIVE " + certificate_sql.certificates(_WIDE)
-#: Also the texts of two queries that are registered elsewhere.
+#: Also the texts of three queries that are registered elsewhere.
 ORACLES: dict[str, str] = {
     "x1_certificate": _FOUND + " SELECT query_id, family, status, round(toi_upper, 6) + 0e0 AS toi_upper, round(margin, 6) + 0e0 AS margin, evaluations FROM found",
     "m5_scheduled_exact": _FOUND
@@ -27,6 +27,15 @@ ORACLES: dict[str, str] = {
 SELECT grp AS query_id, n AS all_calls, coalesce(hit, n) AS calls,
   least(n, CAST(8 * (pow(2, ceil(log2(coalesce(hit, n) / 8e0 + 1e0 - 1e-12))) - 1) AS BIGINT)) AS evaluated, hit IS NOT NULL AS truth
 FROM g""",
+    "m21_mesh_exact": "WITH RECURSIVE "
+    + certificate_sql.mesh_queries(_TRIANGLES.removeprefix("WITH "), _TOUCH)
+    + ", "
+    + certificate_sql.certificates("SELECT * EXCLUDE (scene, a_number, b_number, turned) FROM wide")
+    + """, r AS (SELECT scene, w.family, status, toi_upper, margin, row_number() OVER (PARTITION BY scene ORDER BY CASE WHEN status = 0 THEN 0 ELSE 1 END, CASE WHEN w.family = 'vf' THEN 0 ELSE 1 END, a_number, b_number, turned) AS n
+  FROM found JOIN wide w USING (query_id)),
+s AS (SELECT scene, min(status) = 0 AS c, max(status) = 2 AS u, max(CASE WHEN n = 1 AND status = 0 THEN toi_upper END) AS toi, min(margin) AS m, CAST(bit_or(CASE WHEN family = 'vf' THEN 1 ELSE 2 END) AS INTEGER) AS mask, count(*) AS primitives FROM r GROUP BY scene)
+SELECT scene, CAST(CASE WHEN c THEN 0 WHEN u THEN 2 ELSE 1 END AS INTEGER) AS status, round(coalesce(toi, 1e0), 6) + 0e0 AS toi_upper, round(CASE WHEN c OR u OR m IS NULL THEN 0e0 ELSE m END, 6) + 0e0 AS margin, coalesce(mask, 0) AS mask, coalesce(primitives, 0) AS primitives
+FROM (SELECT DISTINCT scene FROM t) LEFT JOIN s USING (scene)""",
 }
 
 
