@@ -207,3 +207,40 @@ def stratified_split(files: DataFrame, strata: Sequence[str], name: str, train:
     rn, n = F.row_number().over(order), F.count("*").over(Window.partitionBy(*strata))
     split = F.when(n == 1, "heldout").when(rn <= F.floor(n * train), "train").when(rn <= F.floor(n * train) + F.floor(n * validation), "validation").otherwise("heldout")
     return files.withColumn("split", split)
+
+
+def run_rows(rows: DataFrame, runs: DataFrame, latencies: DataFrame | None = None, families: DataFrame | None = None) -> DataFrame:
+    """Benchmark rows of the earlier contract as rows of the later one, what that adds being inferred.
+
+    ``rows`` has run_id and the columns of ``validators.benchmark``; ``runs``
+    (run_id, dataset, scene, method, config_hash, seed) describes them. The
+    percentiles come from ``latencies`` (run_id, ms) or, for a run without,
+    are all the mean per query; negative ones do not count. The calls by family
+    come from ``families`` (run_id and ``validators.FAMILY_CALLS``); those that
+    no family accounts for are of unknown family. Candidates
+    per call and calls per candidate follow from the means. A row whose run is
+    not described is an error when it is read.
+    """
+    names = {"latency_min_ms": 0.0, "latency_p50_ms": 0.5, "latency_p90_ms": 0.9, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99, "latency_max_ms": 1.0}
+    calls = ("point_triangle_calls", "edge_edge_calls", "conservative_calls", "unknown_calls")
+    out = rows.join(runs.withColumn("_run", F.lit(True)), "run_id", "left")
+    out = out.where(F.when(F.col("_run"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no description of run "), "run_id")).cast("boolean"))).drop("_run")
+    if latencies is not None:
+        out = out.join(ranks.percentiles(latencies.where("ms >= 0"), "ms", names, ["run_id"]).drop("n"), "run_id", "left")
+    if families is not None:
+        out = out.join(families.select("run_id", *calls), "run_id", "left")
+    missing = [c for c in (*names, *calls) if c not in out.columns]
+    out = out.withColumns({c: F.lit(None).cast("double" if c in names else "long") for c in missing}) if missing else out
+    mean = F.coalesce(F.try_divide("total_ms", "queries"), F.lit(0.0))
+    exact, candidates = F.bround(F.col("calls_per_query") * F.col("queries")).cast("long"), F.greatest(F.lit(0.0), F.col("candidates_per_query") * F.col("queries"))
+    out = out.withColumns({"_exact": exact, "_all": candidates, **{c: F.coalesce(c, mean) for c in names}, **{c: F.coalesce(c, F.lit(0).cast("long")) for c in calls}})
+    # Calls that no family accounts for are of unknown family.
+    told = sum((F.col(c) for c in calls[1:]), F.col(calls[0]))
+    out = out.withColumn(calls[3], F.col(calls[3]) + F.greatest(F.col("_exact") - told, F.lit(0).cast("long")))
+    one = lambda c: F.greatest(c, F.lit(1.0))
+    return out.withColumns(
+        {
+            "exact_calls": told, "candidates_per_call": F.col("_all") / one(F.col("_exact").cast("double")),
+            "queue_occupancy": F.least(F.lit(1.0), F.col("_exact") / one(F.col("_all"))), "tail_ms": F.col("latency_p99_ms"),
+        }
+    ).drop("_exact", "_all")

@@ -220,3 +220,24 @@ def s17_robot_links(spark, d):
     """Samples of robot links: near contacts and grazing ones in turn, as capsules."""
     rows = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit(samples.ROBOT_LINKS).alias("split"))
     return samples.sphere_samples(rows, 3).select("sample_id", *[r6(F.col(c)).alias(c) for c in ("a_r", "b_r", "a_x0", "a_x1", "b_x0", "b_x1", "hardness")], "capsules")
+
+
+_RUN_ROWS = f"""WITH c AS ({DENSE}), rows AS (SELECT 'run' || CAST(query_id % 10 AS VARCHAR) AS run_id, count(*) AS queries, count(*) FILTER (WHERE collides AND priority < 0.0503e0) AS fn, 2.5e0 AS candidates_per_query, CAST(count(*) FILTER (WHERE uncertainty >= 0.2003e0) AS DOUBLE) / count(*) AS calls_per_query, sum(full_cost) AS total_ms FROM c GROUP BY ALL),
+lat AS (SELECT 'run' || CAST(query_id % 10 AS VARCHAR) AS run_id, quantile_cont(full_cost, 0.5) AS p50, quantile_cont(full_cost, 0.99) AS p99, max(full_cost) AS top FROM c WHERE query_id % 10 < 5 GROUP BY ALL)
+SELECT run_id, queries, fn, CAST(round(calls_per_query * queries) AS BIGINT) AS exact_calls, CAST(round(calls_per_query * queries) AS BIGINT) AS unknown_calls, round(candidates_per_query * queries / greatest(1e0, round(calls_per_query * queries)), 6) AS candidates_per_call,
+  round(least(1e0, round(calls_per_query * queries) / greatest(1e0, candidates_per_query * queries)), 6) AS queue_occupancy, round(coalesce(p50, total_ms / queries), 6) AS latency_p50_ms, round(coalesce(p99, total_ms / queries), 6) AS tail_ms, round(coalesce(top, total_ms / queries), 6) AS latency_max_ms
+FROM rows LEFT JOIN lat USING (run_id)"""
+
+
+@query(_RUN_ROWS)
+def r19_run_rows(spark, d):
+    """Benchmark rows of the earlier contract, one per part of the groups, as rows of the later one; half of the runs have latencies."""
+    run = F.concat(F.lit("run"), (F.col("query_id") % 10).cast("string")).alias("run_id")
+    own = dense(spark, d)
+    rows = own.groupBy(run).agg(
+        F.count("*").alias("queries"), F.count_if(F.col("collides") & (F.col("priority") < 0.0503)).alias("fn"), F.lit(2.5).alias("candidates_per_query"),
+        (F.count_if(F.col("uncertainty") >= 0.2003).cast("double") / F.count("*")).alias("calls_per_query"), F.sum("full_cost").alias("total_ms"),
+    )
+    runs = rows.select("run_id", F.lit("dense").alias("dataset"), F.col("run_id").alias("scene"), F.lit("early stop").alias("method"), F.lit("0").alias("config_hash"), F.lit(1).alias("seed"))
+    out = metrics.run_rows(rows, runs, own.where(F.col("query_id") % 10 < 5).select(run, F.col("full_cost").alias("ms")))
+    return out.select("run_id", "queries", "fn", "exact_calls", "unknown_calls", *[r6(F.col(c)).alias(c) for c in ("candidates_per_call", "queue_occupancy", "latency_p50_ms", "tail_ms", "latency_max_ms")])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tangency.functions import contracts, validators
-from tangency.operators import certificate, closest, cloth, group_features, mesh, motion, runtime
+from tangency.operators import certificate, closest, cloth, group_features, mesh, metrics, motion, runtime
 from tangency.sources import artifacts, files, meshes, rational, rigid
 
 GRID = 4
@@ -207,3 +207,16 @@ def test_negatives_kept_by_a_stride(spark):
     for stride, low, high in ((0, 400, 400), (1, 4000, 4000), (4, 1100, 1500)):
         kept = rows.where(runtime.negatives_kept(F.col("hit"), F.col("id"), stride))
         assert low <= kept.count() <= high and kept.where("hit").count() == 400
+
+
+def test_rows_of_a_run_that_is_not_described(spark):
+    rows = spark.createDataFrame([("a", 4, 1, 2.0, 0.5, 8.0), ("b", 0, 0, 0.0, 0.0, 0.0)], "run_id string, queries long, fn long, candidates_per_query double, calls_per_query double, total_ms double")
+    runs = spark.createDataFrame([("a", "d"), ("b", "d")], "run_id string, dataset string")
+    families = spark.createDataFrame([("a", 1, 2, 3, 4)], "run_id string, point_triangle_calls long, edge_edge_calls long, conservative_calls long, unknown_calls long")
+    one, two = metrics.run_rows(rows, runs, families=families).orderBy("run_id").collect()
+    assert (one.exact_calls, one.unknown_calls, one.candidates_per_call, one.queue_occupancy, one.latency_p99_ms) == (10, 4, 4.0, 0.25, 2.0)
+    few = metrics.run_rows(rows, runs, families=families.withColumns({c: F.lit(0).cast("long") for c in ("edge_edge_calls", "conservative_calls", "unknown_calls")})).orderBy("run_id").first()
+    assert (few.point_triangle_calls, few.unknown_calls, few.exact_calls) == (1, 1, 2)
+    assert (two.exact_calls, two.unknown_calls, two.candidates_per_call, two.queue_occupancy, two.latency_max_ms) == (0, 0, 0.0, 0.0, 0.0)
+    with pytest.raises(Exception, match="no description of run"):
+        metrics.run_rows(rows, runs.where("run_id = 'a'")).collect()
