@@ -31,9 +31,11 @@ def _best(rows: pa.Table, groups: Sequence[str], order: Sequence[tuple[str, bool
     columns = [np.arange(rows.num_rows)]
     for name, down in reversed(order):
         column = rows.column(name)
-        void = pc.is_null(column, nan_is_null=True).to_numpy()
-        values = np.where(void, 0, pc.fill_null(column, 0).to_numpy())
-        columns += [-values if down else values, void]
+        void = pc.is_null(column).to_numpy()
+        values = pc.fill_null(column, 0).to_numpy()
+        odd = np.isnan(values) if values.dtype.kind == "f" else np.zeros(len(values), bool)
+        values = np.where(odd, 0, values)
+        columns += [-values, ~odd, void] if down else [values, odd, ~void]
     codes = _codes(rows, groups)
     at = np.lexsort([*columns, codes])
     start = np.flatnonzero(np.r_[True, codes[at][1:] != codes[at][:-1]]) if len(at) else np.zeros(0, np.int64)
@@ -45,8 +47,8 @@ def first_rows(rows: DataFrame, groups: Sequence[str], order: Sequence[tuple[str
     """At most ``k`` rows per group, the first by ``order``, (column of numbers, descending) each, with rn from 1.
 
     ``order`` should tell all rows of a group apart; of rows equal in it the
-    earlier ones of a task win. Nulls and NaN come last in either direction,
-    and null group keys are a group of their own. A task holds ``k`` rows per
+    earlier ones of a task win. NaN is above all numbers, nulls below, as Spark
+    sorts; null group keys are a group of their own. A task holds ``k`` rows per
     group that it has met and passes them on when they are over ``held``;
     after the shuffle a group is at most ``k`` rows of each task, and goes
     through in batches too.

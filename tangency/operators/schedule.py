@@ -40,7 +40,11 @@ def positive_cost(cost: str, fallback):
     return F.when(c.isNull() | F.isnan(c) | (c <= 0) | (c == float("inf")), fallback).otherwise(c)
 
 
-def early_stop(candidates: DataFrame, limit: int = 4, threshold: float = 0.97, penalty: float = 1.0, certified: bool = False) -> DataFrame:
+#: A group of more rows than this is not ranked in one sort.
+MOST_RANKED = 200_000
+
+
+def early_stop(candidates: DataFrame, limit: int = 4, threshold: float = 0.97, penalty: float = 1.0, certified: bool = False, most: int = MOST_RANKED) -> DataFrame:
     """One row per group: calls, work and outcome of a scheduled run that stops at the first proof.
 
     Rows run in schedule order at their narrow cost. The run stops at the
@@ -49,29 +53,56 @@ def early_stop(candidates: DataFrame, limit: int = 4, threshold: float = 0.97, p
     ``limit``-th attempt on, a collision outside it, which costs a full run.
     Otherwise the group is taken as free, which may be wrong; ``certified``
     runs such groups once more at full cost.
+
+    Groups are ranked by a window; groups of more than ``most`` rows are not:
+    their stops are least keys, aggregates joined back, and the ``limit``-th
+    row comes from heaps. Both give the same.
     """
-    rows = ranked(candidates).withColumns({"full": positive_cost("full_cost", F.lit(1.0))})
+    rows = candidates.withColumn("full", positive_cost("full_cost", F.lit(1.0)))
     rows = rows.withColumn("narrow", positive_cost("narrow_cost", F.col("full")))
     met = g.intervals_touch(F.col("interval_t0"), F.col("interval_t1"), F.col("contact_t0"), F.col("contact_t1"))
     unsure = F.col("uncertainty") >= threshold
+    rows = rows.withColumns({"_unsure": unsure, "_inside": F.col("collides") & met & ~unsure, "miss": F.col("collides") & ~met & ~unsure})
+    big = candidates.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("query_id")
+    if big.isEmpty():
+        out = _worked(_ranked_stops(rows, limit), penalty)
+    else:
+        big = checkpointed(big)
+        small, large = (rows.join(big, "query_id", how) for how in ("left_anti", "left_semi"))
+        out = _worked(_ranked_stops(small, limit), penalty).union(_worked(_keyed_stops(large, limit), penalty))
+    return _certified(out) if certified else out
+
+
+def _ranked_stops(rows: DataFrame, limit: int) -> DataFrame:
+    """Adds _at, a row's rank, and trip, hit, late and found, ranks of the group's first such rows."""
+    rows = ranked(rows).withColumnRenamed("rn", "_at")
     group = Window.partitionBy("query_id")
-    first = lambda c: F.min(F.when(c, F.col("rn"))).over(group)
-    rows = rows.withColumns(
-        {
-            "trip": first(unsure),
-            "hit": first(F.col("collides") & met & ~unsure),
-            "late": first(F.col("collides") & ~met & ~unsure & (F.col("rn") >= limit)),
-            "miss": F.col("collides") & ~met & ~unsure,
-        }
-    )
+    first = lambda c: F.min(F.when(c, F.col("_at"))).over(group)
+    rows = rows.withColumns({"trip": first(F.col("_unsure")), "hit": first(F.col("_inside")), "late": first(F.col("miss") & (F.col("_at") >= limit))})
+    return rows.withColumn("found", first(F.col("collides") & (F.col("_at") >= F.col("trip"))))
+
+
+def _keyed_stops(rows: DataFrame, limit: int) -> DataFrame:
+    """The same with keys that sort as ranks do, without a sort of a group."""
+    rows = rows.withColumn("_at", order_key())
+    heads = first_rows(rows.select("query_id", *[c for c, _ in ORDER]), ["query_id"], ORDER, limit).where(F.col("rn") == limit)
+    rows = rows.join(heads.select("query_id", order_key().alias("_limit")), "query_id", "left")
+    first = lambda c: F.min(F.when(c, F.col("_at")))
+    ends = rows.groupBy("query_id").agg(first(F.col("_unsure")).alias("trip"), first(F.col("_inside")).alias("hit"), first(F.col("miss") & (F.col("_at") >= F.col("_limit"))).alias("late"))
+    rows = rows.drop("_limit").join(ends, "query_id")
+    found = rows.groupBy("query_id").agg(first(F.col("collides") & (F.col("_at") >= F.col("trip"))).alias("found"))
+    return rows.join(found, "query_id")
+
+
+def _worked(rows: DataFrame, penalty: float) -> DataFrame:
+    """Calls, work and outcome per group of rows with their stops."""
     rows = rows.withColumn("stop", F.least("trip", "hit", "late"))
-    rows = rows.withColumn("found", F.min(F.when(F.col("collides") & (F.col("rn") >= F.col("trip")), F.col("rn"))).over(group))
-    tripped = F.col("stop") == F.col("trip")
-    on_hit = ~F.coalesce(tripped, F.lit(False)) & F.coalesce(F.col("stop") == F.col("hit"), F.lit(False))
-    on_late = ~F.coalesce(tripped, F.lit(False)) & ~on_hit & F.col("stop").isNotNull()
-    before = F.col("stop").isNull() | (F.col("rn") < F.col("stop"))
-    at = F.col("rn") == F.col("stop")
-    in_fallback = F.coalesce(tripped, F.lit(False)) & (F.col("rn") >= F.col("trip")) & (F.col("found").isNull() | (F.col("rn") <= F.col("found")))
+    tripped = F.coalesce(F.col("stop") == F.col("trip"), F.lit(False))
+    on_hit = ~tripped & F.coalesce(F.col("stop") == F.col("hit"), F.lit(False))
+    on_late = ~tripped & ~on_hit & F.col("stop").isNotNull()
+    before = F.col("stop").isNull() | (F.col("_at") < F.col("stop"))
+    at = F.col("_at") == F.col("stop")
+    in_fallback = tripped & (F.col("_at") >= F.col("trip")) & (F.col("found").isNull() | (F.col("_at") <= F.col("found")))
     zero = F.lit(0.0)
     work = (
         F.when(before, F.col("narrow") + F.when(F.col("miss"), F.col("full") * penalty).otherwise(zero))
@@ -82,22 +113,24 @@ def early_stop(candidates: DataFrame, limit: int = 4, threshold: float = 0.97, p
     )
     calls = F.when(before | in_fallback | (at & on_hit), 1).when(at & on_late, 2).otherwise(0)
     fallback = F.when(in_fallback, 1).when(at & on_late & ~in_fallback, 1).otherwise(0)
-    predicted = F.max(F.when(F.coalesce(tripped, F.lit(False)), F.col("found").isNotNull()).otherwise(F.col("stop").isNotNull()))
-    out = rows.groupBy("query_id").agg(
+    predicted = F.max(F.when(tripped, F.col("found").isNotNull()).otherwise(F.col("stop").isNotNull()))
+    return rows.groupBy("query_id").agg(
         F.count("*").alias("candidates"), F.sum("full").alias("all_work"), F.max("collides").alias("truth"),
         F.sum(calls).alias("calls"), F.sum(work).alias("work"), F.sum(fallback).alias("fallback_calls"), predicted.alias("predicted"),
     )
-    if certified:
-        again = ~F.col("predicted")
-        out = out.withColumns(
-            {
-                "calls": F.col("calls") + F.when(again, F.col("candidates")).otherwise(0),
-                "work": F.col("work") + F.when(again, F.col("all_work")).otherwise(0.0),
-                "fallback_calls": F.col("fallback_calls") + F.when(again, F.col("candidates")).otherwise(0),
-                "predicted": F.col("predicted") | F.col("truth"),
-            }
-        )
-    return out
+
+
+def _certified(out: DataFrame) -> DataFrame:
+    """Groups taken as free, run once more at full cost."""
+    again = ~F.col("predicted")
+    return out.withColumns(
+        {
+            "calls": F.col("calls") + F.when(again, F.col("candidates")).otherwise(0),
+            "work": F.col("work") + F.when(again, F.col("all_work")).otherwise(0.0),
+            "fallback_calls": F.col("fallback_calls") + F.when(again, F.col("candidates")).otherwise(0),
+            "predicted": F.col("predicted") | F.col("truth"),
+        }
+    )
 
 
 def order_key(priority="priority", cost="cost", number="candidate_id"):

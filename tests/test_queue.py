@@ -145,18 +145,24 @@ def test_pairs_of_crowded_keys(spark, most):
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_heaps_equal_a_window(spark, k):
     rng = random.Random(k)
-    rows = [(None if i % 41 == 0 else 7 if i % 2 else i % 9, i, rng.choice([None, float("nan"), -1.0, 0.0, 2.0]), float(rng.randrange(3))) for i in range(1500)]
+    rows = [(None if i % 41 == 0 else 7 if i % 2 else i % 9, i, rng.choice([None, float("nan"), -1.0, 0.0, 2.0]), rng.choice([None, float("nan"), 0.0, 1.0, 2.0])) for i in range(1500)]
     table = spark.createDataFrame(rows, "query_id long, candidate_id long, priority double, cost double").repartition(6)
     found = {(r.query_id, r.rn): r.candidate_id for r in heaps.first_rows(table, ["query_id"], schedule.ORDER, k, held=20).collect()}
-    wanted = {}
-    order = lambda r: (r[2] is None or r[2] != r[2], -(r[2] or 0.0) if r[2] == r[2] else 0, r[3], r[1])
-    for q in {r[0] for r in rows}:
-        for n, r in enumerate(sorted((r for r in rows if r[0] == q), key=order)[:k], 1):
-            wanted[q, n] = r[1]
+    wanted = {(r.query_id, r.rn): r.candidate_id for r in schedule.ranked(table).where(F.col("rn") <= k).collect()}
     assert found == wanted
     assert heaps.first_rows(table.limit(0), ["query_id"], schedule.ORDER, k).count() == 0
 
 
+@pytest.mark.parametrize("most, certified", [(0, False), (560, True), (0, True)])
+def test_groups_too_large_for_a_rank_stop_alike(spark, most, certified):
+    """Stops by keys and joins are those by ranks, also where priorities tie or are missing."""
+    rows = views.dense_candidates(spark, FOLDER)
+    rows = rows.withColumn("priority", F.when(F.col("candidate_id") % 17 == 0, F.lit(None)).when(F.col("candidate_id") % 19 == 0, float("nan")).otherwise(F.col("priority")))
+    rows = rows.union(rows.limit(2).withColumn("query_id", F.lit(-1).cast("long")))
+    wanted, found = (sorted(map(str, schedule.early_stop(rows, certified=certified, most=m).withColumn("work", F.round("work", 6)).withColumn("all_work", F.round("all_work", 6)).collect())) for m in (schedule.MOST_RANKED, most))
+    assert found == wanted and len(found) == 11
+
+
 # The best-distance certificate
 
 
