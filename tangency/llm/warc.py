@@ -192,7 +192,7 @@ def _row(head: dict, together: list, block: bytes, keep: bool) -> tuple:
 
 
 def _record_batches(keep: bool, most_rows: int = 2_000, most_bytes: int = 8_000_000):
-    names, kinds = _RECORD.names, None
+    names = _RECORD.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string, strings, pairs = pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())
