@@ -41,6 +41,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Starts of these end a skipped element that is never closed.
+RESUMING = frozenset("article blockquote h1 h2 h3 h4 h5 h6 main p section table".split())
 #: An element of the key ends open elements of the values, up to a table, list or section around them.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 ENDS |= {"tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
@@ -74,8 +76,9 @@ class PageParser(HTMLParser):
         self.blocks = [0]
         self.run: int | None = None
         self.skipping: list[str] = []
-        #: End tags that are still to come; an element that is never closed hides nothing.
+        #: End tags that are still to come, and whether what is skipped is never closed.
         self.ends: Counter[str] = Counter()
+        self.loose = False
 
     def _resume(self, tag: str) -> None:
         """Ends skipped elements that the start of ``tag`` ends, whether or not they were closed."""
@@ -83,6 +86,8 @@ class PageParser(HTMLParser):
             self.skipping.clear()
         elif self.skipping == ["head"] and tag not in HEAD_PARTS:
             self.skipping.clear()
+        elif self.loose and self.skipping and tag in RESUMING:
+            self.skipping.clear()
         elif self.skipping and self.skipping[-1] in ("svg", "math") and tag in BLOCKS:
             while self.skipping and self.skipping[-1] in ("svg", "math"):
                 self.skipping.pop()
@@ -100,8 +105,8 @@ class PageParser(HTMLParser):
                 self.run = None
             return
         if tag in SKIPPED:
-            if tag == "head" or self.ends[tag] > 0:
-                self.skipping.append(tag)
+            self.skipping.append(tag)
+            self.loose = tag != "head" and self.ends[tag] <= 0
             return
         if tag in BLOCKS:
             self.run = None

@@ -862,7 +862,7 @@ def test_language_tables_without_a_cap(spark):
 
 
 @pytest.mark.parametrize("tag", ["button", "video", "select", "iframe", "noscript", "canvas", "object"])
-def test_an_element_that_is_never_closed_hides_nothing(tag):
+def test_an_element_that_is_never_closed_hides_no_paragraph(tag):
     texts = lambda html: [n.text[0] for n in webpage.parse(html) if n.tag == "#text" and n.text[0]]
     assert texts(f"<body><div><p>one</p><{tag}><p>two</p><p>three</p></div></body>") == ["one", "two", "three"]
     assert texts(f"<body><div><p>one</p><{tag}>hidden <p>too</p></{tag}><p>three</p></div></body>") == ["one", "three"]
