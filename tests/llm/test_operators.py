@@ -907,10 +907,12 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     wanted, ours = con.sql(queries.ORACLES[name]).df(), queries.QUERIES[name](spark, FOLDER).toPandas()
     columns = sorted(wanted.columns)
+    # Whole numbers with nulls come as floats on one side.
+    ours = ours.astype({c: "Int64" for c in columns if str(wanted[c].dtype) == "Int64"})
     sides = [d[columns].astype(str).sort_values(columns).reset_index(drop=True) for d in (wanted, ours)]
     assert len(ours) and sides[0].equals(sides[1])
 
