@@ -23,13 +23,19 @@ def _side(boxes: DataFrame, side: str, keys: tuple[str, ...]) -> DataFrame:
 MOST_BOXES = 4096
 
 
-def query_pairs(boxes: DataFrame, keys: tuple[str, ...] = ("query_id",), number: str = "body_id", most: int = MOST_BOXES) -> DataFrame:
+def query_pairs(boxes: DataFrame, keys: tuple[str, ...] = ("query_id",), number: str = "body_id", most: int = MOST_BOXES, counted: DataFrame | None = None) -> DataFrame:
     """Pairs a < b by ``number`` with equal ``keys`` whose boxes touch; columns a_*, b_*.
 
     Boxes of a key are joined by it and tested; a key of more than ``most``
     boxes goes through ``grid_pairs``, in cells twice as wide as such boxes are
-    on average. Both give all pairs. Rows of a null key meet none.
+    on average. Both give all pairs. Rows of a null key meet none. ``counted``
+    may give rows with some of the ``keys`` that are no fewer than a key's
+    boxes, such as what was cut into slabs; they are then counted first.
     """
+    if counted is not None:
+        own = [k for k in keys if k in counted.columns]
+        if counted.groupBy(*own).agg(F.count("*").alias("_n")).where(F.col("_n") > most).isEmpty():
+            return _joined(boxes, keys, number)
     big = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys)
     if big.isEmpty():
         return _joined(boxes, keys, number)

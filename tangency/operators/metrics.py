@@ -19,13 +19,27 @@ def confusion(rows: DataFrame, truth: str, predicted: str, by: Sequence[str] = (
     return out.withColumns({"recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp"))})
 
 
+#: A group of more rows than this is neither held nor sorted whole.
+MOST_HELD = 1_000_000
+
+
+def _held(rows: DataFrame, by: Sequence[str]) -> bool:
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > MOST_HELD).isEmpty()
+
+
 def percentiles(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact percentiles with linear interpolation, and the extremes."""
-    return ranks.percentiles(rows, value, {"min": 0.0, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}, by)
+    """Exact percentiles with linear interpolation, and the extremes; by ranges of values where a group is too large to be held."""
+    points = {"min": 0.0, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}
+    usable = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if not _held(rows, by):
+        return ranks.percentiles(usable, value, points, by)
+    found = F.percentile(value, F.array(*[F.lit(p) for p in points.values()]))
+    out = usable.groupBy(*by).agg(F.count(value).alias("n"), found.alias("_p")).where("n > 0")
+    return out.select(*by, "n", *[F.col("_p")[i].alias(c) for i, c in enumerate(points)])
 
 
 def weighted_median(rows: DataFrame, value: str, weight: str, by: Sequence[str]) -> DataFrame:
-    """The first value, in order, at which half of the weight is reached."""
+    """The first value, in order, at which half of the weight is reached; by ranges of values, so no group is sorted."""
     return ranks.weighted_median(rows, value, weight, by)
 
 

@@ -195,13 +195,16 @@ def first_positive(candidates: DataFrame, cost: str, key=None) -> DataFrame:
     return rows.agg((F.count_if(before) + 1).alias("first_rank"), F.sum(F.when(before, F.col(cost)).otherwise(0.0)).alias("cost_before"))
 
 
-def top_k_then_scan(candidates: DataFrame, k: int) -> DataFrame:
+def top_k_then_scan(candidates: DataFrame, k: int, most: int = MOST_RANKED) -> DataFrame:
     """Per group: ``k`` proposals by priority, then, without a hit, a scan of the rest in input order.
 
-    Proposals come from heaps of ``k`` rows, so a group is never sorted; where
+    Groups are ranked by a window unless one has more than ``most`` rows. Then
+    proposals come from heaps of ``k`` rows, so a group is never sorted; where
     none hits, the scan ends at the group's first hit in input order, which is
     an aggregate, and costs the rows up to it that were not proposed.
     """
+    if candidates.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most).isEmpty():
+        return _ranked_then_scanned(candidates, k)
     proposals = first_rows(candidates.select("query_id", "candidate_id", "priority", "cost", "collides"), ["query_id"], ORDER, k)
     best = proposals.groupBy("query_id").agg(
         F.min(F.when(F.col("collides"), F.col("rn"))).alias("proposed"), F.count("*").alias("tried"), F.collect_list("candidate_id").alias("_own")
@@ -217,6 +220,21 @@ def top_k_then_scan(candidates: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _ranked_then_scanned(candidates: DataFrame, k: int) -> DataFrame:
+    rows = ranked(candidates)
+    group = Window.partitionBy("query_id")
+    proposed = F.min(F.when(F.col("collides") & (F.col("rn") <= k), F.col("rn"))).over(group)
+    rest = F.row_number().over(Window.partitionBy("query_id", F.col("rn") <= k).orderBy("candidate_id"))
+    rows = rows.withColumns({"proposed": proposed, "rest": rest})
+    scanned = F.min(F.when(F.col("collides") & (F.col("rn") > k), F.col("rest")))
+    size = F.count("*")
+    return rows.groupBy("query_id").agg(
+        F.coalesce(F.max("proposed"), F.least(F.lit(k), size)).cast("long").alias("proposal_calls"),
+        F.when(F.max("proposed").isNotNull(), F.lit(0)).otherwise(F.coalesce(scanned, F.greatest(size - k, F.lit(0)))).cast("long").alias("fallback_calls"),
+        F.max("collides").alias("truth"),
+    )
+
+
 def with_predictions(candidates: DataFrame, predictions: DataFrame, threshold: float) -> DataFrame:
     """Left join of predictions on (query_id, candidate_id); says why a row falls back: missing, invalid, unusual, unsure.
 

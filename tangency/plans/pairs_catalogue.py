@@ -107,7 +107,7 @@ SELECT query_id, slab_id, a_body_id, b_body_id FROM met WHERE a_body_id < b_body
 )
 def j1_slab_pairs(spark, d):
     rows = slabs.slab_boxes(views.moving_spheres(spark, d), 4)
-    return broadphase.query_pairs(rows, ("query_id", "slab_id")).select("query_id", "slab_id", "a_body_id", "b_body_id")
+    return broadphase.query_pairs(rows, ("query_id", "slab_id"), counted=views.moving_spheres(spark, d)).select("query_id", "slab_id", "a_body_id", "b_body_id")
 
 
 @query(f"WITH boxes AS ({BOXES}) SELECT a.query_id, count(*) AS tests FROM boxes a JOIN boxes b ON a.query_id = b.query_id AND a.body_id < b.body_id AND a.min_x <= b.max_x AND b.min_x <= a.max_x GROUP BY a.query_id")
@@ -156,7 +156,7 @@ compacted AS (SELECT query_id, slab_id, object_a, patch_a, object_b, patch_b, CA
 
 def raw_hits(spark, d) -> DataFrame:
     rows = slabs.slab_boxes(views.moving_spheres(spark, d), 4)
-    pairs = broadphase.query_pairs(rows, ("query_id", "slab_id")).where("a_body_id % 3 <> b_body_id % 3")
+    pairs = broadphase.query_pairs(rows, ("query_id", "slab_id"), counted=views.moving_spheres(spark, d)).where("a_body_id % 3 <> b_body_id % 3")
     total = F.col("a_body_id") + F.col("b_body_id")
     out = [F.expr(f"{s}_body_id % 3").alias(f"object_{s}") for s in "ab"] + [F.expr(f"{s}_body_id % 2").alias(f"patch_{s}") for s in "ab"]
     out += [F.col(f"{s}_body_id").alias(f"proxy_{s}") for s in "ab"] + [F.lit(0).alias(f"type_{s}") for s in "ab"]

@@ -291,7 +291,7 @@ _AT_ENDS = ", ".join([f"{s}.{k}0 + ({s}.{k}1 - {s}.{k}0) * a.t{e} AS {s}_{k}{e}"
 def m4_runtime_exact(spark, d):
     """One work item per pair and time slab in which its boxes touch, the earlier slab first, until the pair collides."""
     boxes = slabs.slab_boxes(views.moving_spheres(spark, d), 4)
-    pairs = broadphase.query_pairs(boxes, ("query_id", "slab_id")).withColumnsRenamed({"a_slab_t0": "slab_t0", "a_slab_t1": "slab_t1"})
+    pairs = broadphase.query_pairs(boxes, ("query_id", "slab_id"), counted=views.moving_spheres(spark, d)).withColumnsRenamed({"a_slab_t0": "slab_t0", "a_slab_t1": "slab_t1"})
     found = pairs.select(*_PAIR, "slab_id", "slab_t0", "slab_t1", *_BODIES)
     found = found.withColumns({"candidate_id": (F.col("a_body_id") * 1_000_003 + F.col("b_body_id")) * 4 + F.col("slab_id"), "urgency": -F.col("slab_t0")})
     items = runtime.work_items(found, "raw", F.lit(runtime.POINT_TRIANGLE), "urgency")

@@ -136,6 +136,7 @@ def test_pairs_of_crowded_keys(spark, most):
     table = boxes.withColumn("query_id", F.lit(9).cast("long")).union(few).withColumn("note", F.col("body_id") * 2)
     found = [(r.query_id, r.a_body_id, r.b_body_id) for r in broadphase.query_pairs(table, most=most).collect()]
     assert len(found) == len(set(found)) and set(found) == _touching(rows + more)
+    assert len(found) == broadphase.query_pairs(table, most=most, counted=table.select("query_id")).count()
     assert all(r.a_note == 2 * r.a_body_id and r.b_note == 2 * r.b_body_id for r in broadphase.query_pairs(table, most=most).collect())
 
 
@@ -163,6 +164,13 @@ def test_groups_too_large_for_a_rank_stop_alike(spark, most, certified):
     assert found == wanted and len(found) == 11
 
 
+@pytest.mark.parametrize("k", [1, 5, 10_000])
+def test_proposals_by_heaps_are_those_by_ranks(spark, k):
+    rows = views.dense_candidates(spark, FOLDER).withColumn("collides", F.col("collides") & (F.col("query_id") > 2))
+    wanted, found = (sorted(map(tuple, schedule.top_k_then_scan(rows, k, most=m).collect())) for m in (schedule.MOST_RANKED, 0))
+    assert found == wanted and len(found) == 10
+
+
 # The best-distance certificate
 
 
