@@ -52,6 +52,27 @@ def _joined(boxes: DataFrame, keys: tuple[str, ...], number: str) -> DataFrame:
     return a.join(b, list(keys)).where((F.col(f"a_{number}") < F.col(f"b_{number}")) & g.boxes_touch())
 
 
+def all_pairs(rows: DataFrame, keys: tuple[str, ...] = ("query_id",), number: str = "body_id", most: int = MOST_BOXES, blocks: int = 64) -> DataFrame:
+    """All pairs a < b by ``number`` with equal ``keys``, without a test; columns a_*, b_*.
+
+    The pairs of a key are as many as the square of its rows; a key of more
+    than ``most`` rows is dealt out in ``blocks`` of one side, to each of which
+    the other side comes whole, so that no task makes all of them.
+    """
+    def met(df: DataFrame) -> DataFrame:
+        return _side(df, "a", keys).join(_side(df, "b", keys), list(keys)).where(F.col(f"a_{number}") < F.col(f"b_{number}"))
+
+    big = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys)
+    if big.isEmpty():
+        return met(rows)
+    big = checkpointed(big)
+    large = rows.join(big, list(keys), "left_semi")
+    a = _side(large, "a", keys).withColumn("_block", F.pmod(F.xxhash64(f"a_{number}"), F.lit(blocks)))
+    b = _side(large, "b", keys).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = a.join(b, [*keys, "_block"]).where(F.col(f"a_{number}") < F.col(f"b_{number}")).drop("_block")
+    return met(rows.join(big, list(keys), "left_anti")).unionByName(dealt)
+
+
 def bipartite_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Touching pairs of one row of ``left`` (a_*) and one of ``right`` (b_*) with equal keys."""
     return _side(left, "a", keys).join(_side(right, "b", keys), list(keys)).where(g.boxes_touch())

@@ -185,13 +185,13 @@ def mean_interval(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return out.withColumn("ci95", F.col("std") * 1.96 / F.sqrt("n"))
 
 
-def benchmark_row(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of a run of (truth, predicted, evaluated, cost): misses, false alarms, calls, averages and ratios."""
+def benchmark_row(rows: DataFrame, by: Sequence[str] = (), *more: Column) -> DataFrame:
+    """Counts of a run of (truth, predicted, evaluated, cost): misses, false alarms, calls, averages and ratios; ``more`` are further aggregates."""
     t, p = F.col("truth"), F.col("predicted")
     known = t.isNotNull()
     out = rows.groupBy(*by).agg(
         F.count("*").alias("queries"), F.count_if(F.col("evaluated")).alias("exact_calls"), F.count_if(known & t & ~p).alias("fn"),
-        F.count_if(known & ~t & p).alias("fp"), F.count_if(t).alias("positives"), F.sum(F.when(F.col("evaluated"), F.col("cost")).otherwise(0.0)).alias("work"),
+        F.count_if(known & ~t & p).alias("fp"), F.count_if(t).alias("positives"), F.sum(F.when(F.col("evaluated"), F.col("cost")).otherwise(0.0)).alias("work"), *more,
     )
     return out.withColumns(
         {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
 from tangency.functions.contracts import SOURCE, STATUS
+from tangency.operators import slabs
 
 #: Family bits: point against triangle, edge against edge.
 POINT_TRIANGLE, EDGE_EDGE = 1, 2
@@ -130,6 +131,39 @@ def query_outcomes(certified: DataFrame, keys: list[str], order: str) -> DataFra
     return out.withColumns({"toi_upper": F.coalesce("toi_upper", F.lit(1.0)), "margin": F.when(F.col("predicted"), F.lit(0.0)).otherwise(F.col("margin"))})
 
 
+def pair_outcomes(pairs: DataFrame, keys: list[str], count: int = 4) -> DataFrame:
+    """One row per pair of spheres (``keys``; a_*, b_*: x0 to z1, r): truth, predicted, toi_upper, items and calls.
+
+    A pair is one work item for each of ``count`` slabs in which its boxes
+    touch, worked on from the earliest until one collides; truth is its contact
+    over the whole motion. All of that is rows of one pair that are made from
+    it and added up again, with slabs as bits, so that pairs which are dealt
+    out by a part of their keys stay where they are. toi_upper is null without
+    a collision.
+    """
+    if count > 62:
+        raise ValueError("slabs are bits of one number")
+    step, slab, whole = 1.0 / count, F.col("_slab"), F.col("_slab") < 0
+    rows = pairs.withColumn("_slab", F.explode(F.sequence(F.lit(-1), F.lit(count - 1))))
+    rows = rows.withColumns({"_t0": F.when(whole, 0.0).otherwise(slab * step), "_t1": F.when(whole | (slab == count - 1), 1.0).otherwise((slab + 1) * step)})
+    ends = {(s, k, e): F.when(whole, F.col(f"{s}_{k}{e}")).otherwise(slabs.pair_position(s, k, f"_t{e}")) for s in "ab" for k in "xyz" for e in (0, 1)}
+    rows = rows.withColumns({f"_{s}{k}{e}": v for (s, k, e), v in ends.items()})
+    at = lambda s, k, e: F.col(f"_{s}{k}{e}")
+    rows = rows.where(whole | slabs.pair_boxes_touch(at, 0, 1))
+    met = g.swept_spheres(*[tuple(at(s, k, e) for k in "xyz") for s in "ab" for e in (0, 1)], F.col("a_r") + F.col("b_r"))
+    rows = rows.select(*keys, "_slab", "_t0", "_t1", F.struct(met["collided"].alias("hit"), met["toi"].alias("toi")).alias("_met"))
+    hit, toi = F.col("_met.hit") & ~whole, F.col("_t0") + F.col("_met.toi") * (F.col("_t1") - F.col("_t0"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slab)
+    out = rows.groupBy(*keys).agg(
+        F.max(F.when(whole, F.col("_met.hit"))).alias("truth"), F.coalesce(F.sum(F.when(~whole, bit)), F.lit(0)).alias("_items"), F.coalesce(F.sum(F.when(hit, bit)), F.lit(0)).alias("_hits"),
+        F.min(F.when(hit, F.least(F.greatest(toi, F.col("_t0")), F.col("_t1")))).alias("toi_upper"),
+    )
+    # The lowest bit of the hits and those under it.
+    called = F.col("_hits").bitwiseAND(-F.col("_hits")) * 2 - 1
+    calls = F.when(F.col("_hits") == 0, F.col("_items")).otherwise(F.col("_items").bitwiseAND(called))
+    return out.withColumns({"predicted": F.col("_hits") > 0, "items": F.bit_count("_items").cast("long"), "calls": F.bit_count(calls).cast("long")}).drop("_items", "_hits")
+
+
 def with_culled(queries: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Every query with its certificate; one without a candidate is separate over its whole interval and was not evaluated."""
     rest = [c for c in found.columns if c not in keys]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
@@ -108,3 +112,122 @@ def patch_slab_boxes(spheres: DataFrame, slabs: int, patches: int, spread: float
         shift = F.when(F.col("patch_id") % 3 == i, offset * F.col("r") * spread).otherwise(F.lit(0.0))
         out |= {f"min_{k}": F.least(*ends) + shift - radius, f"max_{k}": F.greatest(*ends) + shift + radius}
     return rows.withColumns(out)
+
+
+# Slabs of pairs: two spheres are brought together once, by their query, and cut into slabs side by side. Boxes that
+# are cut first and joined by query and slab are dealt out once per slab and setting, and what is found once more.
+
+
+def whole_boxes(spheres: DataFrame) -> DataFrame:
+    """Adds one box per sphere that holds its boxes of all slabs and patches, with room for how their ends are rounded."""
+    out = {}
+    for k in "xyz":
+        reach = F.col("r") + (F.abs(f"{k}0") + F.abs(f"{k}1") + F.col("r")) * 1.0e-12
+        out |= {f"min_{k}": F.least(f"{k}0", f"{k}1") - reach, f"max_{k}": F.greatest(f"{k}0", f"{k}1") + reach}
+    return spheres.withColumns(out)
+
+
+def slab_times(count: int) -> list[tuple[float, float]]:
+    """Start and end of each of ``count`` slabs of [0, 1], as ``uniform_slabs`` cuts it."""
+    step = 1.0 / count
+    return [(step * i, 1.0 if i == count - 1 else step * (i + 1)) for i in range(count)]
+
+
+def pair_positions(pairs: DataFrame, times: Iterable[float]) -> tuple[DataFrame, Callable[[str, str, float], Column]]:
+    """Pairs of spheres (a_*, b_*) with where both are at ``times``, and what gives the column of (side, axis, time)."""
+    number = {t: i for i, t in enumerate(sorted(set(times)))}
+    rows = pairs.withColumns({f"_{s}_{k}_{i}": pair_position(s, k, t) for s in "ab" for k in "xyz" for t, i in number.items()})
+    return rows, lambda s, k, t: F.col(f"_{s}_{k}_{number[t]}")
+
+
+def pair_position(side: str, axis: str, t: float | str) -> Column:
+    """Where a sphere of a pair is at a time, given as a number or a column."""
+    start = F.col(f"{side}_{axis}0")
+    return start + (F.col(f"{side}_{axis}1") - start) * (F.col(t) if isinstance(t, str) else F.lit(t))
+
+
+def pair_end(side: str, axis: str, t: int) -> Column:
+    """Where a sphere of a pair is at its start (0) or its end (1), as given."""
+    return F.col(f"{side}_{axis}{t}")
+
+
+def pair_boxes_touch(at: Callable[..., Column], t0, t1, a: tuple[int, int] = (0, 1), b: tuple[int, int] = (0, 1), spread: float = 0.5) -> Column:
+    """Whether the boxes of a pair touch in a slab; ``a`` and ``b`` are (patch, patches), the boxes those of ``patch_slab_boxes``."""
+    out = F.lit(True)
+    for i, k in enumerate("xyz"):
+        low, high = [], []
+        for s, (patch, patches) in zip("ab", (a, b)):
+            ends, r = [at(s, k, t) for t in (t0, t1)], F.col(f"{s}_r")
+            # Whole spheres have no shift, and nothing is divided.
+            shift = F.lit((patch + 0.5) / float(patches) - 0.5) * r * spread if patches > 1 and patch % 3 == i else F.lit(0.0)
+            radius = r / float(patches) if patches > 1 else r
+            low.append(F.least(*ends) + shift - radius)
+            high.append(F.greatest(*ends) + shift + radius)
+        out = out & (low[0] <= high[1]) & (low[1] <= high[0])
+    return out
+
+
+def pairs_by_slab(pairs: DataFrame, count: int) -> DataFrame:
+    """Pairs of spheres once per slab in which their boxes touch: adds slab_id, slab_t0 and slab_t1."""
+    rows = uniform_slabs(pairs.withColumns({"t0": F.lit(0.0), "t1": F.lit(1.0)}), count).drop("t0", "t1")
+    return rows.where(pair_boxes_touch(pair_position, "slab_t0", "slab_t1"))
+
+
+def _setting_batches(settings: list[tuple[int, int]], spread: float):
+    """Per Arrow batch of pairs one row for each setting: what the touching boxes of slabs and patches add up to."""
+
+    def ends(values: dict, t0: float, t1: float) -> dict:
+        out = {}
+        for s in "ab":
+            for k in "xyz":
+                start, move = values[f"{s}_{k}0"], values[f"{s}_{k}1"] - values[f"{s}_{k}0"]
+                one, two = start + move * t0, start + move * t1
+                out[s, k] = np.minimum(one, two), np.maximum(one, two)
+        return out
+
+    def boxes(spans: dict, values: dict, side: str, patch: int, patches: int) -> list:
+        radius, offset = values[f"{side}_r"] / float(patches), (patch + 0.5) / float(patches) - 0.5
+        shifts = [values[f"{side}_r"] * offset * spread if patch % 3 == i else 0.0 for i in range(3)]
+        return [(low + shift - radius, high + shift + radius) for shift, (low, high) in zip(shifts, (spans[side, k] for k in "xyz"))]
+
+    # A NaN is greater than any number and equal to itself, as for Spark.
+    within = lambda a, b: (a <= b) | np.isnan(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = {c: batch.column(c).to_numpy() for c in SPHERES_OF_PAIR}
+            truth = batch.column("truth").to_numpy(zero_copy_only=False)
+            out = []
+            for n, p in settings:
+                hits = np.zeros(batch.num_rows, np.int64)
+                for t0, t1 in slab_times(n):
+                    spans = ends(values, t0, t1)
+                    a, b = ([boxes(spans, values, s, i, p) for i in range(p)] for s in "ab")
+                    for one in a:
+                        for two in b:
+                            met = np.ones(batch.num_rows, bool)
+                            for (low_a, high_a), (low_b, high_b) in zip(one, two):
+                                met &= within(low_a, high_b) & within(low_b, high_a)
+                            hits += met
+                found = hits > 0
+                out.append((n, p, int(hits.sum()), int(found.sum()), int((found & truth).sum()), int(truth.sum())))
+            columns = list(zip(*out))
+            kinds = [pa.int32()] * 2 + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["slabs", "patches", "raw_hits", "candidates", "covered", "positives"])
+
+    return run
+
+
+#: The numbers of the two spheres of a pair.
+SPHERES_OF_PAIR = [f"{s}_{c}" for s in "ab" for c in ("x0", "y0", "z0", "x1", "y1", "z1", "r")]
+
+
+def setting_hits(pairs: DataFrame, truth: str, settings: list[tuple[int, int]], spread: float = 0.5) -> DataFrame:
+    """Parts of sums per setting (slabs, patches) over pairs of spheres: raw_hits, candidates, covered and positives.
+
+    raw_hits counts touching boxes of one slab, of any patch of a with any of
+    b, as ``patch_slab_boxes`` makes them; a pair with any is a candidate, and
+    covered if it is true as well. Whole spheres are one patch.
+    """
+    rows = pairs.select(*SPHERES_OF_PAIR, F.col(truth).alias("truth"))
+    return rows.mapInArrow(_setting_batches(list(settings), spread), "slabs int, patches int, raw_hits long, candidates long, covered long, positives long")

@@ -40,13 +40,14 @@ _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpri
 
 def moving_spheres(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, body_id, x0..z1, r): one sphere per order line, in linear motion over [0, 1]."""
-    body = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER))
+    # Numbered by query_id itself, so that the spheres lie as later joins and groups by query want them and are dealt
+    # out only once; as the table's own columns, which are fewer than what is made of them.
+    rows = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("query_id"), *_ORDER)
+    rows = rows.withColumn("body_id", F.row_number().over(Window.partitionBy("query_id").orderBy(*_ORDER)).cast("long"))
     q, d, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
     x0, y0, z0 = q * 0.0973, d * 19.37, t * 21.13
-    rows = table(spark, folder, "lineitem")
     return rows.select(
-        F.col("l_orderkey").alias("query_id"),
-        body.cast("long").alias("body_id"),
+        "query_id", "body_id",
         x0.alias("x0"), y0.alias("y0"), z0.alias("z0"),
         (x0 + (d - 0.0513) * 31.7).alias("x1"), (y0 + (t - 0.0411) * 18.9).alias("y1"), z0.alias("z1"),
         (0.2137 + (F.col("l_partkey") % 7) * 0.0519).alias("r"),
