@@ -10,7 +10,7 @@ from tangency.operators import broadphase, closest, group_features, metrics, mot
 from tangency.plans import certificate_sql
 from tangency.plans.group_catalogue import _CONFUSED, _STOP, DENSE, dense
 from tangency.plans.pairs_catalogue import _TOUCH, CONTACTS, contacts, r6
-from tangency.plans.runtime_catalogue import _SAMPLES, _WIDE, slots, sql_slots
+from tangency.plans.runtime_catalogue import _SAMPLES, _WIDE, ablation, slots, sql_slots
 from tangency.sources import samples, views
 
 QUERIES: dict = {}
@@ -189,19 +189,12 @@ SELECT CAST(slabs AS INTEGER) AS slabs, CAST(patches AS INTEGER) AS patches, raw
 )
 def m12_grid_ablation(spark, d):
     """Slabs and patches a motion is cut into: what each setting finds, and the feasible one of fewest candidates."""
-    spheres = views.moving_spheres(spark, d)
-    every = None
-    for n, p in _GRID:
-        own = slabs.patch_slab_boxes(spheres, n, p).withColumns({"slabs": F.lit(n), "patches": F.lit(p)})
-        every = own if every is None else every.unionByName(own)
-    pair, setting = ["query_id", "a_body_id", "b_body_id"], ["slabs", "patches"]
-    found = broadphase.query_pairs(every, ("query_id", "slabs", "patches", "slab_id")).groupBy(*setting, *pair).agg(F.count("*").alias("n"))
-    truth = views.checkpointed(contacts(spark, d).where("collided").select(*pair, F.lit(True).alias("hit")))
-    rows = found.join(truth, pair, "left").groupBy(*setting).agg(F.sum("n").alias("raw_hits"), F.count("*").alias("candidates"), F.count("hit").alias("covered"))
-    rows = rows.withColumn("feasible", F.col("covered") == truth.count())
+    setting = ["slabs", "patches"]
+    rows = ablation(views.moving_spheres(spark, d), _GRID).withColumn("feasible", F.col("covered") == F.col("positives"))
     # One row per setting: the order of a dozen.
-    best = rows.agg(F.min_by(F.struct(*setting), F.struct((~F.col("feasible")).alias("a"), "candidates", "raw_hits", *setting)).alias("_best"))
-    return rows.join(F.broadcast(best)).select(*setting, "raw_hits", "candidates", "covered", "feasible", (F.struct(*setting) == F.col("_best")).alias("best"))
+    rows = rows.groupBy().agg(F.collect_list(F.struct("*")).alias("_rows"), F.min_by(F.struct(*setting), F.struct((~F.col("feasible")).alias("a"), "candidates", "raw_hits", *setting)).alias("_best"))
+    rows = rows.select(F.explode("_rows").alias("_own"), "_best").select("_own.*", "_best")
+    return rows.select(*setting, "raw_hits", "candidates", "covered", "feasible", (F.struct(*setting) == F.col("_best")).alias("best"))
 
 
 @query(f"SELECT query_id % 10 AS scene, {_CONFUSED} FROM ({_STOP}) GROUP BY ALL")

@@ -32,6 +32,7 @@ def _shuffles(df) -> list[str]:
 #: Shuffles of rows; what is beyond the spheres' own is one row per query.
 ONCE = {
     "m4_runtime_exact": 2,
+    "m12_grid_ablation": 2,
 }
 
 
