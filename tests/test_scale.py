@@ -33,6 +33,7 @@ def _shuffles(df) -> list[str]:
 ONCE = {
     "m4_runtime_exact": 2,
     "m12_grid_ablation": 2,
+    "m6_no_proposal": 2,
 }
 
 
