@@ -34,6 +34,7 @@ ONCE = {
     "m4_runtime_exact": 2,
     "m12_grid_ablation": 2,
     "m6_no_proposal": 2,
+    "m12_slab_ablation": 2,
 }
 
 
