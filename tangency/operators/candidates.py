@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIDES = ("object", "patch", "proxy")
@@ -78,3 +78,8 @@ def recall(truth: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame
     hit = found.select(*keys).distinct().withColumn("_hit", F.lit(1))
     rows = truth.select(*keys).distinct().join(hit, list(keys), "left")
     return rows.agg(F.count("*").alias("positives"), F.count("_hit").alias("covered")).withColumn("recall", ratio(F.col("covered"), F.col("positives")))
+
+
+def recall_of(truth: DataFrame, found: Column) -> DataFrame:
+    """(positives, covered, recall) of the rows of ``truth``, of which those are covered where ``found``."""
+    return truth.agg(F.count("*").alias("positives"), F.count_if(found).alias("covered")).withColumn("recall", ratio(F.col("covered"), F.col("positives")))

@@ -35,6 +35,7 @@ ONCE = {
     "m12_grid_ablation": 2,
     "m6_no_proposal": 2,
     "m12_slab_ablation": 2,
+    "m9_slab_recall": 2,
 }
 
 
