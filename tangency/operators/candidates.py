@@ -42,17 +42,19 @@ def ratio(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def density(proxies: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row per query, from its proxies and compacted candidates: counts and ratios. Cross-object pairs come from group sizes: per slab (n^2 - sum n_o^2) / 2."""
-    own = proxies.groupBy("query_id", "slab_id", "object_id").agg(F.count("*").alias("n"))
+def _proxy_counts(proxies: DataFrame) -> DataFrame:
+    """Per query its proxies, slabs, objects and cross-object pairs, these from group sizes: per slab (n^2 - sum n_o^2) / 2."""
+    # Without null queries, which the joins leave out, the proxies are dealt out as the pairs' spheres are, once for both.
+    own = proxies.where("query_id is not null").groupBy("query_id", "slab_id", "object_id").agg(F.count("*").alias("n"))
     slabs = own.groupBy("query_id", "slab_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     pairs = slabs.groupBy("query_id").agg(
         F.sum("n").alias("proxy_count"), F.count("*").alias("slab_count"),
         F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).cast("long").alias("pair_count"),
     )
-    objects = own.groupBy("query_id").agg(F.countDistinct("object_id").alias("object_count"))
-    kept = candidates.groupBy("query_id").agg(F.sum("raw_hits").alias("raw_hit_count"), F.count("*").alias("candidate_count"), F.sum("hit_count").alias("_hits"))
-    rows = pairs.join(objects, "query_id").join(kept, "query_id", "left").fillna(0)
+    return pairs.join(own.groupBy("query_id").agg(F.countDistinct("object_id").alias("object_count")), "query_id")
+
+
+def _ratios(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "raw_hits_per_proxy": ratio(F.col("raw_hit_count"), F.col("proxy_count")),
@@ -64,6 +66,19 @@ def density(proxies: DataFrame, candidates: DataFrame) -> DataFrame:
     ).drop("_hits")
 
 
+def density(proxies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row per query, from its proxies and compacted candidates: counts and ratios."""
+    kept = candidates.groupBy("query_id").agg(F.sum("raw_hits").alias("raw_hit_count"), F.count("*").alias("candidate_count"), F.sum("hit_count").alias("_hits"))
+    return _ratios(_proxy_counts(proxies).join(kept, "query_id", "left").fillna(0))
+
+
+def with_density(proxies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Compacted candidates with the ``density`` of their query, whose candidates are counted in place: they are made once."""
+    own = Window.partitionBy("query_id")
+    rows = candidates.withColumns({"raw_hit_count": F.sum("raw_hits").over(own), "candidate_count": F.count("*").over(own), "_hits": F.sum("hit_count").over(own)})
+    return _ratios(rows.join(_proxy_counts(proxies), "query_id"))
+
+
 def conservation_faults(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that one side lacks or that either side repeats, with the kind of fault; empty: conserved."""
     keys = list(keys)

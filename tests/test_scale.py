@@ -36,6 +36,7 @@ ONCE = {
     "m6_no_proposal": 2,
     "m12_slab_ablation": 2,
     "m9_slab_recall": 2,
+    "a2_density": 2,
 }
 
 
