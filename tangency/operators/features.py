@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tangency.functions import geometry as g
+from tangency.sources.views import checkpointed
 
 WIDTH = 32
 
@@ -53,19 +54,56 @@ def first_proxies(proxies: DataFrame, keys: list[str], number: str) -> DataFrame
     return proxies.groupBy(*keys).agg(F.min_by(F.struct(*rest), number).alias("p")).select(*keys, "p.*")
 
 
-def with_proxies(candidates: DataFrame, proxies: DataFrame, number: str = "proxy_id") -> DataFrame:
+#: A query of more proxies than this is not held in one row.
+MOST_PROXIES = 4096
+
+
+def with_proxies(candidates: DataFrame, proxies: DataFrame, number: str = "proxy_id", most: int = MOST_PROXIES) -> DataFrame:
     """Candidates with the first proxy of either side, as columns a_* and b_*.
 
     ``proxies`` has query_id, slab_id, object, patch, type and further columns;
     a candidate without one on a side is an error of its producer and drops out.
+    The first proxies of a query are one map, in which a candidate looks up
+    both, so that candidates are dealt out by query alone; a query of more than
+    ``most`` proxies is joined by all keys instead.
     """
-    own = first_proxies(proxies, ["query_id", "slab_id", "object", "patch", "type"], number)
-    rest = [c for c in own.columns if c not in ("query_id", "slab_id", "object", "patch", "type")]
+    big = proxies.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("query_id")
+    if big.isEmpty():
+        return _looked_up(candidates, proxies, number)
+    big = checkpointed(big)
+    split = lambda df, how: df.join(big, "query_id", how)
+    large = _joined_proxies(split(candidates, "left_semi"), split(proxies, "left_semi"), number)
+    return _looked_up(split(candidates, "left_anti"), split(proxies, "left_anti"), number).unionByName(large)
+
+
+_PLACE = ("slab_id", "object", "patch", "type")
+
+
+def _looked_up(candidates: DataFrame, proxies: DataFrame, number: str) -> DataFrame:
+    known = F.lit(True)
+    for c in _PLACE:
+        known = known & F.col(c).isNotNull()
+    own = first_proxies(proxies.where(known & F.col("query_id").isNotNull()), ["query_id", *_PLACE], number)
+    rest = [c for c in own.columns if c not in ("query_id", *_PLACE)]
+    entry = F.struct(F.struct(*[F.col(c).cast("long").alias(c) for c in _PLACE]).alias("key"), F.struct(*rest).alias("value"))
+    maps = own.groupBy("query_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_own"))
+    out = candidates.join(maps, "query_id")
+    for s in "ab":
+        place = ["slab_id", *[f"{c}_{s}" for c in _PLACE[1:]]]
+        key = F.struct(*[F.col(c).cast("long").alias(k) for k, c in zip(_PLACE, place)])
+        out = out.withColumn(f"_{s}", F.try_element_at("_own", key))
+    out = out.where("_a is not null and _b is not null")
+    return out.select(*candidates.columns, *[F.col(f"_{s}")[c].alias(f"{s}_{c}") for s in "ab" for c in rest])
+
+
+def _joined_proxies(candidates: DataFrame, proxies: DataFrame, number: str) -> DataFrame:
+    own = first_proxies(proxies, ["query_id", *_PLACE], number)
+    rest = [c for c in own.columns if c not in ("query_id", *_PLACE)]
     out = candidates
     for s in "ab":
-        side = own.select("query_id", "slab_id", *[F.col(k).alias(f"{k}_{s}") for k in ("object", "patch", "type")], *[F.col(c).alias(f"{s}_{c}") for c in rest])
-        out = out.join(side, ["query_id", "slab_id", *[f"{k}_{s}" for k in ("object", "patch", "type")]])
-    return out
+        side = own.select("query_id", "slab_id", *[F.col(k).alias(f"{k}_{s}") for k in _PLACE[1:]], *[F.col(c).alias(f"{s}_{c}") for c in rest])
+        out = out.join(side, ["query_id", "slab_id", *[f"{k}_{s}" for k in _PLACE[1:]]])
+    return out.select(*candidates.columns, *[f"{s}_{c}" for s in "ab" for c in rest])
 
 
 def scene_features(rows: DataFrame) -> DataFrame:

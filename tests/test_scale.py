@@ -38,6 +38,7 @@ ONCE = {
     "m9_slab_recall": 2,
     "a2_density": 2,
     "r12_runtime_features": 2,
+    "r11_scene_features": 2,
 }
 
 
