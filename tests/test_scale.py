@@ -39,6 +39,7 @@ ONCE = {
     "a2_density": 2,
     "r12_runtime_features": 2,
     "r11_scene_features": 2,
+    "j9_scene_targets": 2,
 }
 
 
