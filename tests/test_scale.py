@@ -46,3 +46,12 @@ ONCE = {
 @pytest.mark.parametrize("name", sorted(ONCE))
 def test_spheres_are_dealt_out_once(plain, name):
     assert len(_shuffles(catalogue.QUERIES[name](plain, FOLDER))) <= ONCE[name]
+
+
+def test_near_points_are_not_broadcast(spark):
+    rng = random.Random(5)
+    points = [(i, *(round(rng.uniform(-6, 6) * 4) / 4 for _ in "xyz")) for i in range(300)] + [(300, float("nan"), 0.0, 0.0), (301, float("inf"), 0.0, 0.0), (302, None, 0.0, 0.0)]
+    found = broadphase.radius_pairs(spark.createDataFrame(points, "body_id long, x double, y double, z double"), 1.25)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    wanted = sorted((a[0], b[0]) for a, b in itertools.combinations(points[:300], 2) if sum((p - q) ** 2 for p, q in zip(a[1:], b[1:])) <= 1.25 * 1.25)
+    assert sorted((r.a_body_id, r.b_body_id) for r in found.collect()) == wanted and len(wanted) > 100
