@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tangency.operators import broadphase, features
+from tangency.operators import broadphase, features, sweep
 from tangency.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -55,3 +55,20 @@ def test_near_points_are_not_broadcast(spark):
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     wanted = sorted((a[0], b[0]) for a, b in itertools.combinations(points[:300], 2) if sum((p - q) ** 2 for p, q in zip(a[1:], b[1:])) <= 1.25 * 1.25)
     assert sorted((r.a_body_id, r.b_body_id) for r in found.collect()) == wanted and len(wanted) > 100
+
+
+def test_crowded_sweeps_go_by_lanes(spark):
+    rng = random.Random(8)
+    lows = [(i, rng.uniform(0, 4), rng.uniform(0, 400), rng.uniform(0, 3)) for i in range(500)]
+    size = lambda i: 60.0 if i % 50 == 0 else 1.5
+    rows = [(i, x, y, z, x + 1.0, y + size(i), z + 1.0) for i, x, y, z in lows] + [(500, 1.0, float("-inf"), 1.0, 2.0, float("inf"), 2.0)]
+    boxes = spark.createDataFrame(rows, "body_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    lanes = sweep.crowded_lanes(boxes, (), "x", 100, 20)
+    assert lanes.axis == "y" and lanes.count > 10 and sweep.crowded_lanes(boxes, (), "x", 501) is None
+    wanted = sorted((a[0], b[0]) for a, b in itertools.combinations(rows, 2) if all(a[k] <= b[k + 3] and b[k] <= a[k + 3] for k in (1, 2, 3)))
+    for own in (lanes, None):
+        found = sweep.swept(boxes, (), strip_rows=100, lanes=own)
+        assert sorted((r.a, r.b) for r in found.where("a is not null").collect()) == wanted
+        tests = found.where("a is null").agg(F.sum("tests")).first()[0]
+        assert tests < 20_000 if own else tests > 30_000
+    assert sorted((r.a_body_id, r.b_body_id) for r in sweep.sweep_pairs(boxes, (), strip_rows=100).collect()) == wanted
