@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tangency.operators import broadphase, features, sweep
+from tangency.operators import broadphase, certificate, features, mesh, sweep
 from tangency.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +72,24 @@ def test_crowded_sweeps_go_by_lanes(spark):
         tests = found.where("a is null").agg(F.sum("tests")).first()[0]
         assert tests < 20_000 if own else tests > 30_000
     assert sorted((r.a_body_id, r.b_body_id) for r in sweep.sweep_pairs(boxes, (), strip_rows=100).collect()) == wanted
+
+
+def test_meshes_in_waves_equal_all_at_once(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for scene in range(9):
+        for i in range(24):
+            start = [rng.uniform(0, 2) + (2.1 * (i % 2) if scene % 3 == 0 else 0.4 * (i % 2)) for _ in range(9)]
+            move = [rng.uniform(-0.6, 0.6) for _ in "xyz"]
+            rows.append((scene, i % 2, 100 * scene + i, *start, *(x + move[k % 3] for k, x in enumerate(start))))
+    names = ", ".join(f"{e}{i} double" for e in "pq" for i in range(9))
+    table = spark.createDataFrame(rows, f"scene long, side int, tri_id long, {names}")
+    limits, certified = certificate.Limits(eps_time=1e-2, eps_space=1e-3), []
+    plain = mesh.certificates
+    monkeypatch.setattr(mesh, "certificates", lambda rows, limits: certified.append(rows.count()) or plain(rows, limits))
+    columns = ["scene", "status", "toi_upper", "witness", "margin", "mask", "primitives"]
+    whole = sorted(tuple(r) for r in mesh.mesh_certificates(table, 1.0, limits=limits).select(*columns).collect())
+    waves = sorted(tuple(r) for r in mesh.mesh_certificates(table, 1.0, limits=limits, at_once=0, first=4).select(*columns).collect())
+    assert waves == whole and len({r[1] for r in whole}) > 1
+    # Scenes that collide are not certified whole.
+    assert sum(certified[1:]) < certified[0]
