@@ -93,3 +93,18 @@ def test_meshes_in_waves_equal_all_at_once(spark, monkeypatch):
     assert waves == whole and len({r[1] for r in whole}) > 1
     # Scenes that collide are not certified whole.
     assert sum(certified[1:]) < certified[0]
+
+
+def test_crowded_queries_give_the_same_pairs_and_proxies(spark):
+    rows = [(q, i, float(i)) for q, n in ((1, 40), (2, 3), (None, 2)) for i in range(n)]
+    table = spark.createDataFrame(rows, "query_id long, body_id long, x double")
+    wanted = sorted((q, a, b) for q, n in ((1, 40), (2, 3)) for a, b in itertools.combinations(range(n), 2))
+    for most in (10, 4096):
+        found = broadphase.all_pairs(table, most=most)
+        assert sorted((r.query_id, r.a_body_id, r.b_body_id) for r in found.collect()) == wanted
+    places = [(q, s, o, p, 0, 10 * n + q, n * 0.5) for q in (1, 2) for n, (s, o, p) in enumerate(itertools.product((0, 1), (0, 1, 2), (0, 1)))]
+    proxies = spark.createDataFrame(places + [(1, 0, 0, 0, 0, 99, 7.0)] * 3, "query_id long, slab_id int, object long, patch long, type int, proxy_id long, w double")
+    hits = spark.createDataFrame([(q, s, 0, 1, 0, 2, p, 0) for q in (1, 2) for s in (0, 1, 5) for p in (0, 1)], "query_id long, slab_id int, object_a long, patch_a long, type_a int, object_b long, patch_b long, type_b int")
+    columns = ["query_id", "slab_id", "patch_b", "a_proxy_id", "a_w", "b_proxy_id", "b_w"]
+    by_map, mixed, joined = (sorted(tuple(r) for r in features.with_proxies(hits, proxies, most=m).select(*columns).collect()) for m in (4096, 13, 0))
+    assert by_map == mixed == joined and len(by_map) == 8
